@@ -133,6 +133,18 @@ def clean_mail(df: DataFrame, message_col: str = "message",
     return step3.drop("_lf_body", "_lf_thread")
 
 
+def drop_empty(df: DataFrame, col: str) -> DataFrame:
+    """Keep rows whose ``col`` is not ``''`` without re-evaluating ``col``.
+
+    A plain filter on a computed column is pushed below the projection with
+    the expression inlined, so the whole cleaning chain would run twice per
+    row.  A zero-or-one ``explode`` of the computed value is not pushed down.
+    """
+    keep = F.when(F.col(col) != "", F.array(F.col(col))).otherwise(F.array().cast("array<string>"))
+    others = [c for c in df.columns if c != col]
+    return df.select(*others, F.explode(keep).alias(col))
+
+
 # -- X8 / X9: prefixes and prompts ------------------------------------------
 
 def with_prefix(c, prefix_name: str, medium: str = spec.INSTRUCT_MEDIUM_CLASSIFICATION) -> Column:

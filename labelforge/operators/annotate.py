@@ -145,8 +145,10 @@ def vote(annotated: DataFrame, key_col: str, attempts: int = spec.NUM_ATTEMPTS)
     top_n = F.array_max(F.transform(tally, lambda s: s["n"]))
     winner = F.get(F.filter(tally, lambda s: s["n"] == top_n), 0)["label"]
     counts_json = F.to_json(F.map_from_entries(F.array_sort(tally)))
-    wide = [F.get(F.filter("attempts", lambda a, i=i: a["attempt_id"] == i), 0)["emotion"]
-            .alias(f"emotion_attempt_{i + 1}") for i in range(attempts)]
+    def attempt(i: int) -> Column:
+        return F.get(F.filter("attempts", lambda a: a["attempt_id"] == i), 0)["emotion"]
+
+    wide = [attempt(i).alias(f"emotion_attempt_{i + 1}") for i in range(attempts)]
     keep = [c for c in annotated.columns if c != "attempts"]
     return annotated.select(
         *keep,

@@ -185,14 +185,14 @@ att1 AS (
   FROM att0),
 att AS (
   SELECT email_id, attempt_id,
-    CASE WHEN json_valid(response) AND json_type(response) = 'OBJECT'
-              AND list_contains({LABEL_NAMES}, json_extract_string(response, '$.emotion'))
-         THEN json_extract_string(response, '$.emotion') ELSE {q(TARGETS[0])} END AS emotion,
-    json_valid(response) AND json_type(response) = 'OBJECT' AS success,
+    CASE WHEN is_object AND list_contains({LABEL_NAMES}, json_extract_string(js, '$.emotion'))
+         THEN json_extract_string(js, '$.emotion') ELSE {q(TARGETS[0])} END AS emotion,
+    is_object AS success,
     CAST(0.0 AS DOUBLE) AS elapsed_time,
-    CASE WHEN json_valid(response) AND json_type(response) = 'OBJECT' THEN response END AS raw_response,
-    CASE WHEN json_valid(response) THEN NULL ELSE 'answer is not valid JSON' END AS error
-  FROM att1)"""
+    CASE WHEN is_object THEN response END AS raw_response,
+    CASE WHEN js IS NOT NULL THEN NULL ELSE 'answer is not valid JSON' END AS error
+  FROM (SELECT *, coalesce(json_type(js) = 'OBJECT', FALSE) AS is_object
+        FROM (SELECT *, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS js FROM att1)))"""
 
 VOTE = f"""tally AS (
   SELECT email_id, emotion, count(*) AS n, min(attempt_id) AS first_seen FROM att GROUP BY email_id, emotion),

@@ -171,7 +171,7 @@ def q_text_volume(spark, sf):
 
 def q_email_clean(spark, sf):
     m = tx.clean_mail(views.raw_mail(spark, sf), "message", "preprocessed_text")
-    return m.where(F.col("preprocessed_text") != "").select("doc_id", "preprocessed_text")
+    return tx.drop_empty(m, "preprocessed_text").select("doc_id", "preprocessed_text")
 
 
 def q_footer_hits(spark, sf):
