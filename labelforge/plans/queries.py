@@ -426,7 +426,7 @@ def q_event_roundtrip(spark, sf):
     e = derived_events(spark, sf)
     path = scratch_path(spark, "events_json")
     fio.write_json(e.withColumn("event_id", F.col("event_id").cast("string")), path)
-    valid, _ = fio.read_event_lists(spark, path, spec.EVENT_SCHEMA, event_type="inference_run")
+    valid, _ = fio.read_event_lists(spark, path, spec.EVENT_SCHEMA, event_type="inference_run", multiline=False)
     return valid.select(F.col("event_id").cast("bigint").alias("event_id"), "context_name", "duration_seconds",
                         "num_texts_processed", "seconds_per_text")
 

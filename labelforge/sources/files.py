@@ -72,14 +72,16 @@ def _escape(s: str) -> str:
 
 
 def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
-                     event_type: str | None = "inference_run") -> tuple[DataFrame, DataFrame]:
-    """Event files holding a top-level JSON array.
+                     event_type: str | None = "inference_run",
+                     multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Event files holding a top-level JSON array (S8), or JSON lines with
+    ``multiline=False``.
 
     Returns ``(valid, rejected)``: rows failing the schema (corrupt records
     or a missing required field) are set aside instead of failing the load.
     """
     full = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(full).option("multiLine", "true").option("mode", "PERMISSIVE") \
+    df = spark.read.schema(full).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     df = df.cache()
     required = ["event_id", "event_type", "duration_seconds"]

@@ -86,7 +86,8 @@ def _k(props: str = "props"):
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per user; one epoch per event in (ts, event_id) order."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
-    hour = F.floor(F.unix_seconds("ts") / 3600).cast("bigint")
+    # hours since 1970-01-01, monotone in ts for both timestamp types
+    hour = (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 24 + F.hour("ts"))
     ranked = bucketed_row_number(ev, ["user_id"], ["ts", "event_id"], hour, "_lf_rn")
     k = _k()
     return ranked.select(
