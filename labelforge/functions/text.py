@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge import spec
+from labelforge.operators.partitioning import spread
 
 # Characters removed by a Unicode strip: every code point that is whitespace
 # by the Unicode White_Space property as Python's str.isspace() reports it.
@@ -123,7 +124,7 @@ def clean_mail(df: DataFrame, message_col: str = "message",
     Returns ``df`` with ``out_col`` added; the result is ``''`` when the mail
     is empty, forwarded, or only headers.
     """
-    step1 = df.withColumn("_lf_body", extract_after_headers(message_col))
+    step1 = spread(df).withColumn("_lf_body", extract_after_headers(message_col))
     step2 = step1.withColumn("_lf_thread", split_conversation("_lf_body"))
     step3 = step2.withColumn(
         out_col,

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from labelforge import spec
 from labelforge.functions.labels import validate_answer
 from labelforge.functions.text import annotate_prompt
+from labelforge.operators.partitioning import spread
 
 # A client answers one prompt: (row key, attempt number, prompt) -> text.
 # It raises on failure.
@@ -82,7 +83,7 @@ def annotate(df: DataFrame, key_col: str, text_col: str, client: AnswerClient =
     Returns the input columns plus ``attempts``: ARRAY<STRUCT<attempt_id,
     emotion, success, elapsed_time, raw_response, error>> in attempt order.
     """
-    prompts = df.withColumn("_lf_prompt", annotate_prompt(text_col, labels))
+    prompts = spread(df).withColumn("_lf_prompt", annotate_prompt(text_col, labels))
     out_schema = T.StructType(list(df.schema.fields)
                               + [T.StructField("_lf_raw", T.ArrayType(RAW_ATTEMPT))])
 
@@ -192,7 +193,7 @@ def translate(df: DataFrame, key_col: str, text_col: str,
                     out[name].append(v)
             yield pdf.assign(**out)
 
-    return df.mapInPandas(call, out_schema)
+    return spread(df).mapInPandas(call, out_schema)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelforge import spec
+from labelforge.operators.partitioning import spread
 
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 
@@ -56,7 +57,7 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", dim: i
                 make_encoder: Callable[[], Callable] | None = None) -> DataFrame:
     prefix = spec.prefix_for(prefix_name)
     factory = make_encoder or (lambda: hashing_encoder(dim, prefix, normalize))
-    return df.withColumn(out_col, embed_udf(factory, batch_size)(F.col(text_col)))
+    return spread(df).withColumn(out_col, embed_udf(factory, batch_size)(F.col(text_col)))
 
 
 def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, model_name: str,
