@@ -54,6 +54,9 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType, levels:
                    glob: str = "*.json", multiline: bool = True) -> DataFrame:
     """Scan every JSON file below ``root``; the folder names between ``root``
     and the file become the columns ``levels`` (S6/S7)."""
+    clash = [name for name in levels if name in schema.fieldNames()]
+    if clash:
+        raise ValueError(f"folder level names clash with file fields: {clash}")
     df = spark.read.schema(schema).option("multiLine", str(multiline).lower()) \
         .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
     path = F.input_file_name()
