@@ -7,34 +7,44 @@ two levels:
 
 1. a *bucket* column that is monotone in the order (a hash prefix when the
    order is a hash, a time bucket for timestamps, a key range for ids);
-2. a small per-(p, bucket) aggregate whose exclusive prefix over buckets is
-   computed with a window over that small table;
-3. a window over (p, bucket) for the in-bucket part, joined to the prefix.
-
-The join and the in-bucket window are keyed the same way, so the big side is
-shuffled once.  Results equal the plain window exactly.
+2. one shuffle of the rows by (p, bucket), written once to the shared
+   checkpoint folder (``checkpoint`` keeps the partitioning and cuts the
+   lineage, so a lost executor never re-runs the upstream plan);
+3. from that table, a window over (p, bucket) gives the in-bucket part, and
+   a map-side aggregate gives the bucket totals (one row per (p, bucket):
+   small); an exclusive prefix over buckets on that small table is joined
+   back on (p, bucket), which moves only the small side.
+
+The upstream plan runs once; results equal the plain window exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.session import ensure_checkpoint_dir
+
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
+def _materialized(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` and write to the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartition(*[F.col(k) for k in keys]).checkpoint(eager=True)
+
+
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Null-safe equi-join on ``keys``; the key columns are kept once."""
-    r = right
     renamed = {k: f"_lf_r_{k}" for k in keys}
+    r = right
     for k, v in renamed.items():
         r = r.withColumnRenamed(k, v)
-    cond = reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(r[renamed[k]]) for k in keys]) if keys else F.lit(True)
-    out = left.join(r, cond, "inner")
-    return out.drop(*renamed.values())
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[renamed[k]]) for k in keys])
+    return left.join(r, cond, "inner").drop(*renamed.values())
 
 
 def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
@@ -42,43 +52,60 @@ def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("int")
 
 
+def _with_bucket(df: DataFrame, bucket) -> tuple[DataFrame, str, bool]:
+    if isinstance(bucket, str):
+        return df, bucket, False
+    return df.withColumn("_lf_b", bucket), "_lf_b", True
+
+
 def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_cols: list,
-                        bucket: Column, out_col: str = "rank") -> DataFrame:
+                        bucket, out_col: str = "rank",
+                        with_offsets: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``row_number()`` (1-based) over ``partition_cols`` ordered by ``order_cols``.
 
-    ``bucket`` must be non-decreasing along ``order_cols`` inside a partition.
+    ``bucket`` (a column expression, or the name of an existing column) must
+    be non-decreasing along ``order_cols`` inside a partition.
+    ``with_offsets`` may add columns to the small per-(partition, bucket)
+    table (it sees ``_lf_n`` = rows in the bucket and ``_lf_total`` = rows
+    in the partition); they are joined to every row.
     """
-    b = df.withColumn("_lf_b", bucket)
-    keys = list(partition_cols) + ["_lf_b"]
+    b, bcol, own = _with_bucket(df, bucket)
+    keys = list(partition_cols) + [bcol]
+    b = _materialized(b, keys)
+    ranked = b.withColumn("_lf_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
     counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lf_n"))
-    before = Window.partitionBy(*partition_cols).orderBy("_lf_b").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_lf_n").over(before), F.lit(0)).alias("_lf_off"))
-    local = Window.partitionBy(*keys).orderBy(*order_cols)
-    ranked = b.withColumn("_lf_local", F.row_number().over(local))
-    out = _join_on(ranked, offsets, keys)
-    return out.withColumn(out_col, (F.col("_lf_off") + F.col("_lf_local")).cast("bigint")).drop(
-        "_lf_b", "_lf_off", "_lf_local")
+    before = Window.partitionBy(*partition_cols).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_lf_n",
+                            F.coalesce(F.sum("_lf_n").over(before), F.lit(0)).alias("_lf_off"),
+                            F.sum("_lf_n").over(Window.partitionBy(*partition_cols)).alias("_lf_total"))
+    if with_offsets is not None:
+        offsets = with_offsets(offsets)
+    out = _join_on(ranked, offsets.drop("_lf_n", "_lf_total"), keys)
+    out = out.withColumn(out_col, (F.col("_lf_off") + F.col("_lf_local")).cast("bigint")) \
+        .drop("_lf_off", "_lf_local")
+    return out.drop(bcol) if own else out
 
 
 def bucketed_prefix(df: DataFrame, partition_cols: list[str], order_cols: list,
-                    bucket: Column, value: Column, op: str, out_col: str,
+                    bucket, value: Column, op: str, out_col: str,
                     inclusive: bool = True) -> DataFrame:
     """Running ``op`` (min/max/sum) of ``value`` in order, per partition.
 
     ``inclusive=False`` gives the aggregate over strictly earlier rows (null
-    for the first row).  Nulls in ``value`` are ignored like in SQL.
+    for the first row).  Nulls in ``value`` are ignored like in SQL.  Pass
+    ``bucket`` as an existing column name to keep it (and the partitioning
+    by it) for a following scan.
     """
     agg = _AGG[op]
-    b = df.withColumn("_lf_b", bucket).withColumn("_lf_v", value)
-    keys = list(partition_cols) + ["_lf_b"]
+    b, bcol, own = _with_bucket(df, bucket)
+    keys = list(partition_cols) + [bcol]
+    b = _materialized(b.withColumn("_lf_v", value), keys)
+    upto = 0 if inclusive else -1
+    scanned = b.withColumn("_lf_local", agg("_lf_v").over(
+        Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)))
     per_bucket = b.groupBy(*keys).agg(agg("_lf_v").alias("_lf_bv"))
-    before = Window.partitionBy(*partition_cols).orderBy("_lf_b").rowsBetween(
-        Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*partition_cols).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, agg("_lf_bv").over(before).alias("_lf_carry"))
-    upto = 0 if inclusive else -1
-    local = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)
-    scanned = b.withColumn("_lf_local", agg("_lf_v").over(local))
     out = _join_on(scanned, carry, keys)
     if op == "sum":
         combined = F.when(F.col("_lf_carry").isNull() & F.col("_lf_local").isNull(), F.lit(None)) \
@@ -87,7 +114,8 @@ def bucketed_prefix(df: DataFrame, partition_cols: list[str], order_cols: list,
         combined = F.least(F.col("_lf_carry"), F.col("_lf_local"))
     else:
         combined = F.greatest(F.col("_lf_carry"), F.col("_lf_local"))
-    return out.withColumn(out_col, combined).drop("_lf_b", "_lf_v", "_lf_carry", "_lf_local")
+    out = out.withColumn(out_col, combined).drop("_lf_v", "_lf_carry", "_lf_local")
+    return out.drop(bcol) if own else out
 
 
 def range_bucket(df: DataFrame, key: str, n_buckets: int = 1 << 16) -> Column:

@@ -58,17 +58,19 @@ def balance_classes(df: DataFrame, class_col: str, key_col: str, seed: int = spe
     """Undersample every class to the size of the smallest class.
 
     Rows of a class are kept in seeded-hash order; classes outside ``classes``
-    (when given) are dropped first.
+    (when given) are dropped first.  Class sizes come from the small
+    per-(class, bucket) count table of the rank, so the input is read once.
     """
     if classes is not None:
         df = df.where(F.col(class_col).isin(*classes))
-    counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_lf_n"))
-    # The class table has one row per class; its minimum is a window over it.
-    quota = counts.select(class_col, F.min("_lf_n").over(Window.partitionBy()).alias("_lf_quota"))
     h = df.withColumn("_lf_h", seeded_hash(key_col, seed))
+
+    def quota(offsets: DataFrame) -> DataFrame:
+        return offsets.withColumn("_lf_quota", F.min("_lf_total").over(Window.partitionBy()))
+
     ranked = bucketed_row_number(h, [class_col], ["_lf_h", key_col], hash_bucket(F.col("_lf_h")),
-                                 "_lf_rank")
-    kept = ranked.join(F.broadcast(quota), class_col).where(F.col("_lf_rank") <= F.col("_lf_quota"))
+                                 "_lf_rank", with_offsets=quota)
+    kept = ranked.where(F.col("_lf_rank") <= F.col("_lf_quota"))
     return kept.drop("_lf_h", "_lf_rank", "_lf_quota")
 
 
@@ -98,14 +100,21 @@ def split_quotas(counts: DataFrame, stratum_col: str, val_size: float = spec.VAL
 
 def stratified_split(df: DataFrame, strata: list[str], key_col: str, val_size: float = spec.VAL_SIZE,
                      seed: int = spec.SEED, out_col: str = "split") -> DataFrame:
-    """Add ``stratum`` and ``split`` ('train' / 'val')."""
-    s = df.withColumn("stratum", stratum_key(*strata))
-    counts = s.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    quotas = split_quotas(counts, "stratum", val_size)
-    h = s.withColumn("_lf_h", seeded_hash(key_col, seed))
-    ranked = bucketed_row_number(h, ["stratum"], ["_lf_h", key_col], hash_bucket(F.col("_lf_h")), "_lf_rank")
-    out = ranked.join(F.broadcast(quotas.select("stratum", "n_train")), "stratum")
-    out = out.withColumn(out_col, F.when(F.col("_lf_rank") <= F.col("n_train"), "train").otherwise("val"))
+    """Add ``stratum`` and ``split`` ('train' / 'val').
+
+    Stratum sizes and quotas are computed on the small per-(stratum, bucket)
+    table of the rank, then joined to the rows with the rank offsets.
+    """
+    s = df.withColumn("stratum", stratum_key(*strata)).withColumn("_lf_h", seeded_hash(key_col, seed))
+
+    def quotas(offsets: DataFrame) -> DataFrame:
+        sizes = offsets.select("stratum", F.col("_lf_total").alias("n")).dropDuplicates(["stratum"])
+        q = split_quotas(sizes, "stratum", val_size).select("stratum", "n_train")
+        return offsets.join(q, "stratum")
+
+    ranked = bucketed_row_number(s, ["stratum"], ["_lf_h", key_col], hash_bucket(F.col("_lf_h")),
+                                 "_lf_rank", with_offsets=quotas)
+    out = ranked.withColumn(out_col, F.when(F.col("_lf_rank") <= F.col("n_train"), "train").otherwise("val"))
     return out.drop("_lf_h", "_lf_rank", "n_train")
 
 

@@ -36,16 +36,21 @@ def batch_weighted_metrics(batches: DataFrame, group_cols: list[str], loss_col:
 def no_improvement(series: DataFrame, run_col: str = "run_id", epoch_col: str = "epoch",
                    loss_col: str = "val_loss") -> DataFrame:
     """Add ``improved`` and ``no_improve``: epochs since the last strict
-    improvement of ``loss_col`` (0 on an improving epoch)."""
-    prev = bucketed_prefix(series, [run_col], [epoch_col], _bucket(epoch_col), F.col(loss_col),
+    improvement of ``loss_col`` (0 on an improving epoch).
+
+    Both running scans use the same (run, epoch bucket) column, so the
+    second one reuses the partitioning of the first.
+    """
+    s = series.withColumn("_lf_eb", _bucket(epoch_col))
+    prev = bucketed_prefix(s, [run_col], [epoch_col], "_lf_eb", F.col(loss_col),
                            "min", "_lf_prev_min", inclusive=False)
     improved = F.col(loss_col) < F.coalesce(F.col("_lf_prev_min"), F.lit(float("inf")))
     flagged = prev.withColumn("improved", improved)
-    last = bucketed_prefix(flagged, [run_col], [epoch_col], _bucket(epoch_col),
+    last = bucketed_prefix(flagged, [run_col], [epoch_col], "_lf_eb",
                            F.when(F.col("improved"), F.col(epoch_col)), "max", "_lf_last",
                            inclusive=True)
     return last.withColumn("no_improve", (F.col(epoch_col) - F.coalesce(F.col("_lf_last"), F.lit(-1)))
-                           .cast("bigint")).drop("_lf_prev_min", "_lf_last")
+                           .cast("bigint")).drop("_lf_prev_min", "_lf_last", "_lf_eb")
 
 
 def early_stop_epochs(flagged: DataFrame, patience: int = spec.PATIENCE, run_col: str = "run_id",
