@@ -236,8 +236,9 @@ def q_class_weights(spark, sf):
 # ---------------------------------------------------------------------------
 
 def annotated(spark, sf):
+    """Annotation results, written once before use (client calls are never repeated)."""
     d = docs(spark, sf).select(F.col("doc_id").alias("email_id"), "text")
-    return ann.annotate(d, "email_id", "text")
+    return ann.materialize(ann.annotate(d, "email_id", "text"))
 
 
 def q_annotate_attempts(spark, sf):

@@ -229,3 +229,28 @@ def test_comparison_rules(spark):
     assert t["m2"]["en - test acc"] is None       # run without training metrics skipped
     bad = rep.incomplete_runs(runs).collect()
     assert [(r["model_name"], r["reason"]) for r in bad] == [("m2", "missing training_metrics.json")]
+
+
+def test_mlp_forward_relu_then_linear(spark):
+    import numpy as np
+    from labelforge.operators import model as mdl
+    w1 = np.array([[1.0, -1.0], [0.5, 0.5]])
+    b1 = np.array([0.0, 0.0])
+    w2 = np.array([[1.0, 0.0, 2.0], [0.0, 1.0, -1.0]])
+    b2 = np.array([0.1, 0.2, 0.3])
+    udf = mdl.mlp_forward_udf([(w1, b1), (w2, b2)], batch_size=2)
+    df = spark.createDataFrame([([1.0, 2.0],), ([-3.0, 0.0],)], "x array<float>")
+    out = [r[0] for r in df.select(udf("x")).collect()]
+    for x, got in zip([[1.0, 2.0], [-3.0, 0.0]], out):
+        h = np.maximum(np.array(x) @ w1 + b1, 0)
+        want = h @ w2 + b2
+        assert np.allclose(got, want, atol=1e-5)
+
+
+def test_required_and_fallback_columns(spark):
+    import pytest
+    df = spark.createDataFrame([("a", 1.0)], "sentence string, joy double")
+    assert spec.resolve_column(df, ["text", "sentence"]) == "sentence"
+    assert spec.resolve_column(df, ["text"]) is None
+    with pytest.raises(ValueError):
+        spec.require_columns(df, ["content", "sentiment"])
