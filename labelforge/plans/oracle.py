@@ -132,7 +132,7 @@ def with_(*ctes: str) -> str:
 
 # -- mail cleaning ------------------------------------------------------------------
 
-def _clean_mail_sql() -> str:
+def _clean_mail_cte() -> str:
     from labelforge.functions.text import unicode_word
     m = "message"
     he = q("(?s)" + spec.HEADER_END_PATTERN)
@@ -155,11 +155,15 @@ def _clean_mail_sql() -> str:
         x = f"regexp_replace({x}, {q('(?s)' + p)}, '', 'g')"
     x = f"regexp_replace({x}, '\\n{{3,}}', {NL} || {NL}, 'g')"
     c3 = f"CASE WHEN c2 = '' THEN '' ELSE {strip(x)} END"
-    return (with_(RAW_MAIL) +
-            f"""SELECT doc_id, preprocessed_text FROM (
+    return f"""cleaned AS (SELECT doc_id, preprocessed_text FROM (
   SELECT doc_id, {c3} AS preprocessed_text FROM (
     SELECT doc_id, {c2} AS c2 FROM (SELECT doc_id, {c1} AS c1 FROM raw_mail)))
-WHERE preprocessed_text <> ''""")
+WHERE preprocessed_text <> '')"""
+
+
+def _clean_mail_sql() -> str:
+    return with_(RAW_MAIL, _clean_mail_cte()) + "SELECT doc_id, preprocessed_text FROM cleaned"
+
 
 
 def _footer_hits_sql() -> str:
@@ -172,10 +176,11 @@ GROUP BY p.pattern_id, p.pattern""")
 
 # -- annotation ---------------------------------------------------------------------
 
-ATT = f"""att0 AS (
-  SELECT d.doc_id AS email_id, CAST(r.range AS INTEGER) AS attempt_id,
-    CAST(('0x' || substr(md5(CAST(d.doc_id AS VARCHAR) || '#' || CAST(r.range AS VARCHAR)), 1, 7)) AS BIGINT) AS h
-  FROM documents d CROSS JOIN range(0, {spec.NUM_ATTEMPTS}) r),
+def att_ctes(src: str = "documents", key: str = "doc_id") -> str:
+    return f"""att0 AS (
+  SELECT d.{key} AS email_id, CAST(r.range AS INTEGER) AS attempt_id,
+    CAST(('0x' || substr(md5(CAST(d.{key} AS VARCHAR) || '#' || CAST(r.range AS VARCHAR)), 1, 7)) AS BIGINT) AS h
+  FROM {src} d CROSS JOIN range(0, {spec.NUM_ATTEMPTS}) r),
 att1 AS (
   SELECT email_id, attempt_id,
     CASE WHEN h % 10 <= 6 THEN '{{"emotion": "' || {LABEL_NAMES}[h % {len(TARGETS)} + 1] || '"}}'
@@ -194,6 +199,9 @@ att AS (
   FROM (SELECT *, coalesce(json_type(js) = 'OBJECT', FALSE) AS is_object
         FROM (SELECT *, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS js FROM att1)))"""
 
+
+ATT = att_ctes()
+
 VOTE = f"""tally AS (
   SELECT email_id, emotion, count(*) AS n, min(attempt_id) AS first_seen FROM att GROUP BY email_id, emotion),
 vote AS (
@@ -392,6 +400,35 @@ split AS (SELECT sr.*, CASE WHEN rk <= n_train THEN 'train' ELSE 'val' END AS sp
 URL_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+(/[^?#]*)?', 1)"
 URL_HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)"
 
+FUSED = f"""fused AS (
+  SELECT * FROM (
+    SELECT doc_id AS item_id, text, emotion, source FROM xw
+    UNION ALL
+    SELECT {10 ** 12} + conv_id * 1000 + turn, text,
+      {str_list(TARGETS + ['Love'])}[(conv_id + turn) % {len(TARGETS) + 1} + 1], 'cbet' FROM conversations)
+  WHERE emotion IN ({", ".join(q(t) for t in TARGETS)})),
+fh AS (SELECT *, md5(CAST(item_id AS VARCHAR) || ':{spec.SEED}') AS hh FROM fused),
+fc AS (SELECT emotion, count(*) AS n FROM fh GROUP BY emotion),
+bal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emotion ORDER BY hh, item_id) AS rn FROM fh)
+        WHERE rn <= (SELECT min(n) FROM fc)),
+en AS (SELECT item_id, text, emotion, source, row_number() OVER (ORDER BY hh, item_id) - 1 AS position FROM bal)"""
+
+POST_DATASET = with_(POSTS, CROSSWALKED, FUSED, _translated("en", "item_id", "text")) + """
+SELECT item_id, position, emotion, source, 'en' AS language, text AS content FROM tr
+UNION ALL SELECT item_id, position, emotion, source, 'de', translated_text FROM tr"""
+
+_ATTEMPT_COLS = ", ".join(f"emotion_attempt_{i + 1}" for i in range(spec.NUM_ATTEMPTS))
+MAIL_DATASET = with_(RAW_MAIL, _clean_mail_cte(), """firsts AS (
+  SELECT min(doc_id) AS doc_id, preprocessed_text FROM cleaned GROUP BY preprocessed_text),
+mails AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS email_id, preprocessed_text FROM firsts)""",
+                     att_ctes("mails", "email_id"), VOTE,
+                     "labelled AS (SELECT m.email_id, m.preprocessed_text, v.emotion, v.confidence, v.emotion_counts, "
+                     + ", ".join(f"w.emotion_attempt_{i + 1}" for i in range(spec.NUM_ATTEMPTS))
+                     + " FROM mails m JOIN vote v USING (email_id) JOIN wide w USING (email_id))",
+                     _translated("labelled", "email_id", "preprocessed_text")) + f"""
+SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'en' AS language, preprocessed_text AS content FROM tr
+UNION ALL SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'de', translated_text FROM tr"""
+
 ORACLE: dict[str, str] = {
     "quality_report": f"""WITH pr AS (
   SELECT CAST(l.quality AS INTEGER) AS true_label, CASE WHEN d.n_chars >= 1500 THEN 1 ELSE 0 END AS pred_label, 'x' AS language
@@ -537,6 +574,8 @@ FROM pages""",
     "safe_names": """SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_name,
   replace(url, ':', '_') AS model_path,
   'monitoring_events_' || regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') || '.json' AS file_name FROM pages""",
+    "post_dataset": POST_DATASET,
+    "mail_dataset": MAIL_DATASET,
     "config_parse": f"""WITH c AS (SELECT page_id, {URL_HOST} || ';' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END
     || ';' || {str_list(spec.PREFIX_NAMES)}[page_id % 4 + 1] AS line FROM pages)
 SELECT page_id, split_part(line, ';', 1) AS model_name, lower(split_part(line, ';', 2)) = 'true' AS normalize,

@@ -536,6 +536,16 @@ def q_config_parse(spark, sf):
                     F.get(parts, 2).alias("prefix_function"))
 
 
+def q_post_dataset(spark, sf):
+    from labelforge.plans.datasets import post_dataset
+    return post_dataset(spark, sf)
+
+
+def q_mail_dataset(spark, sf):
+    from labelforge.plans.datasets import mail_dataset
+    return mail_dataset(spark, sf)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_report": q_quality_report,
     "csv_roundtrip": q_csv_roundtrip,
@@ -596,4 +606,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_paths": q_result_paths,
     "safe_names": q_safe_names,
     "config_parse": q_config_parse,
+    "post_dataset": q_post_dataset,
+    "mail_dataset": q_mail_dataset,
 }
