@@ -546,6 +546,18 @@ def q_mail_dataset(spark, sf):
     return mail_dataset(spark, sf)
 
 
+EXPERIMENT_MAX_ROUNDS = 60
+
+
+def q_experiment(spark, sf):
+    """Train on the labelled mails, test on the labelled posts."""
+    from labelforge.plans.datasets import mail_dataset, post_dataset
+    from labelforge.plans.experiment import run_experiment
+    train = mail_dataset(spark, sf).withColumn("key", F.concat_ws("_", "email_id", "language"))
+    test = post_dataset(spark, sf)
+    return run_experiment(spark, train, test, "key", max_rounds=EXPERIMENT_MAX_ROUNDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_report": q_quality_report,
     "csv_roundtrip": q_csv_roundtrip,
@@ -608,4 +620,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_parse": q_config_parse,
     "post_dataset": q_post_dataset,
     "mail_dataset": q_mail_dataset,
+    "experiment": q_experiment,
 }
