@@ -23,6 +23,7 @@ from labelforge import spec
 from labelforge.functions import vectors
 
 MAX_MODEL_FLOATS = 10_000_000  # size bound for parameters shipped to tasks
+MAX_PLAN_LITERAL_FLOATS = 200_000  # size bound for parameters written into a plan
 
 
 def _weighted_metrics(pred: DataFrame, label_col: str, weights: DataFrame) -> tuple[float, float]:
@@ -37,12 +38,25 @@ def _weighted_metrics(pred: DataFrame, label_col: str, weights: DataFrame) -> tu
 
 def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: str, weights: DataFrame,
               num_classes: int, hidden: int = 128, iters_per_round: int = 5, max_rounds: int = 1000,
-              patience: int = spec.PATIENCE, seed: int = spec.SEED):
-    """Returns ``(best_model, metrics_rows)``; one metrics row per round."""
-    tr = train.select(array_to_vector(F.col(features_col)).alias("features"),
-                      F.col(label_col).cast("double").alias("label")).persist()
-    va = val.select(array_to_vector(F.col(features_col)).alias("features"),
-                    F.col(label_col).cast("double").alias("label")).persist()
+              patience: int = spec.PATIENCE, seed: int = spec.SEED, order_col: str | None = None):
+    """Returns ``(best_model, metrics_rows)``; one metrics row per round.
+
+    With ``order_col`` the rows are range-partitioned and sorted by it, so
+    the optimiser sees the same partitions in the same order on every run
+    (shuffle output order is otherwise arbitrary, and floating sums with it).
+    """
+    def prepared(df: DataFrame) -> DataFrame:
+        cols = [array_to_vector(F.col(features_col)).alias("features"),
+                F.col(label_col).cast("double").alias("label")]
+        if order_col is None:
+            return df.select(*cols).persist()
+        n = df.sparkSession.sparkContext.defaultParallelism
+        ordered = df.select(F.col(order_col).alias("_lf_o"), *cols).repartitionByRange(n, "_lf_o") \
+            .sortWithinPartitions("_lf_o")
+        return ordered.drop("_lf_o").persist()
+
+    tr = prepared(train)
+    va = prepared(val)
     dim = len(tr.first()["features"])
     layers = [dim, hidden, num_classes]
     best, best_loss, since, weights_vec, rows = None, float("inf"), 0, None, []
@@ -141,7 +155,7 @@ def centroid_predict(df: DataFrame, cents: DataFrame, features_col: str,
     k = cents.count()
     first = cents.select(F.size("centroid")).first()
     dim = first[0] if first else 0
-    if k * dim > MAX_MODEL_FLOATS:
+    if k * dim > MAX_PLAN_LITERAL_FLOATS:
         raise ValueError("centroid table too large to ship with the plan")
     matrix = sorted((int(r["label"]), list(r["centroid"])) for r in cents.collect())
     labels = F.array(*[F.lit(lbl) for lbl, _ in matrix])

@@ -38,7 +38,8 @@ def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_c
     va = embedded.where(F.col("split") == "val")
     weights = ev.class_weights(tr, "emotion_label", k)
     model, rounds = mdl.train_mlp(tr, va, "embedding", "emotion_label", weights, num_classes=k,
-                                  iters_per_round=iters_per_round, max_rounds=max_rounds, patience=patience)
+                                  iters_per_round=iters_per_round, max_rounds=max_rounds, patience=patience,
+                                  order_col=key_col)
     best = min(rounds, key=lambda r: (r[3], r[0]))
     te = emb.embed_texts(encoded(test), text_col, "embedding", dim, prefix_name, normalize)
     out = None

@@ -381,7 +381,7 @@ def q_train_classifier(spark, sf):
         w = ev.class_weights(s.where(F.col("split") == "train"), "y")
         _, rows = mdl.train_mlp(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"),
                                 "embedding", "y", w, num_classes=5, hidden=128,
-                                iters_per_round=5, max_rounds=40, patience=spec.PATIENCE)
+                                iters_per_round=5, max_rounds=40, patience=spec.PATIENCE, order_col="vec_id")
     finally:
         s.unpersist()
     return spark.createDataFrame(rows, mdl.METRICS_SCHEMA)
