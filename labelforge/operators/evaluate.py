@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from labelforge import spec
 from labelforge.functions.labels import decode_label
 from labelforge.functions.vectors import log_softmax_at
+from labelforge.session import ensure_checkpoint_dir
 
 
 def _classes(k: int):
@@ -20,9 +21,16 @@ def _classes(k: int):
 
 
 def confusion_counts(df: DataFrame, true_col: str, pred_col: str, slice_cols=()) -> DataFrame:
-    """Sparse confusion counts (one shuffle of a partially aggregated input)."""
-    return df.groupBy(*slice_cols, F.col(true_col).alias("true_label"),
-                      F.col(pred_col).alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+    """Sparse confusion counts: the only pass over the predictions.
+
+    One map-side combined aggregate; the result (slices x labels^2 rows) is
+    written to the checkpoint folder so every report derived from it reads
+    this small table instead of the predictions again.
+    """
+    counts = df.groupBy(*slice_cols, F.col(true_col).alias("true_label"),
+                        F.col(pred_col).alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    return counts.checkpoint(eager=True)
 
 
 def confusion_long(df: DataFrame, true_col: str, pred_col: str, labels=spec.TARGET_LABELS,
@@ -31,10 +39,13 @@ def confusion_long(df: DataFrame, true_col: str, pred_col: str, labels=spec.TARG
 
     Pairs with a label outside the taxonomy are ignored.
     """
+    return confusion_long_from_counts(confusion_counts(df, true_col, pred_col, slice_cols), labels, slice_cols)
+
+
+def confusion_long_from_counts(counts: DataFrame, labels=spec.TARGET_LABELS, slice_cols=()) -> DataFrame:
     k = len(labels)
-    counts = confusion_counts(df, true_col, pred_col, slice_cols)
     slices = counts.select(*slice_cols).distinct() if slice_cols else \
-        df.sparkSession.range(1).select()
+        counts.sparkSession.range(1).select()
     grid = slices.select(*slice_cols, F.explode(_classes(k)).alias("true_label")) \
         .select(*slice_cols, "true_label", F.explode(_classes(k)).alias("pred_label"))
     keys = list(slice_cols) + ["true_label", "pred_label"]
@@ -162,16 +173,26 @@ def class_weights(df: DataFrame, label_col: str, k: int = len(spec.TARGET_LABELS
 
 # -- A14: weighted cross-entropy ----------------------------------------------------
 
-def weighted_log_loss(df: DataFrame, logits_col: str, label_col: str, weights: DataFrame,
-                      slice_cols=()) -> DataFrame:
-    """``sum(w_y * -log softmax(logits)_y) / sum(w_y)`` per slice.
+def weighted_log_loss(df: DataFrame, logits_col: str, label_col: str, k: int = len(spec.TARGET_LABELS),
+                      alpha: float = spec.CLASS_WEIGHT_ALPHA, slice_cols=()) -> DataFrame:
+    """``sum(w_y * -log softmax(logits)_y) / sum(w_y)`` per slice, with the
+    tempered balanced class weights of the whole input.
 
-    ``weights`` has one row per class (``label, weight_tempered``), bounded by
-    the taxonomy, so it is broadcast.
+    Since w depends only on the class, the loss is
+    ``sum_y w_y * S_y / sum_y w_y * n_y`` with S_y, n_y the per-(slice, class)
+    sum of -log p_y and row count: one pass over the rows, the weights are
+    applied on the small per-class table.
     """
-    w = F.broadcast(weights.select("label", F.col("weight_tempered").alias("_lf_w")))
-    j = df.join(w, df[label_col] == w["label"], "inner")
     nll = -log_softmax_at(logits_col, F.col(label_col))
-    return j.groupBy(*slice_cols).agg(
-        (F.sum(F.col("_lf_w") * nll) / F.sum("_lf_w")).alias("weighted_loss"),
-        F.count(F.lit(1)).alias("n"))
+    per = df.groupBy(*slice_cols, F.col(label_col).alias("label")).agg(
+        F.sum(nll).alias("_lf_s"), F.count(F.lit(1)).alias("_lf_n"))
+    per = per.where(F.col("label").between(0, k - 1))
+    by_class = Window.partitionBy("label")
+    everything = Window.partitionBy()
+    n_c = F.sum("_lf_n").over(by_class)
+    total = F.sum("_lf_n").over(everything)
+    w = F.pow(total / (F.lit(float(k)) * n_c), F.lit(alpha))
+    weighted = per.withColumn("_lf_w", w)
+    return weighted.groupBy(*slice_cols).agg(
+        (F.sum(F.col("_lf_w") * F.col("_lf_s")) / F.sum(F.col("_lf_w") * F.col("_lf_n"))).alias("weighted_loss"),
+        F.sum("_lf_n").alias("n"))

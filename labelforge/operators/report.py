@@ -7,8 +7,9 @@ Two fact tables, one row per result file:
 * classification runs: ``model_name, dataset, embedding_dimension, epoch,
   has_training_metrics, has_evaluation, train_acc, val_acc, test_acc``.
 
-Both are reduced per model by hash aggregates with fixed pivot values (no
-extra pass to discover them), then full-outer-joined on the model name.
+Each is reduced per model by one hash aggregate with conditional columns
+(the pivot values are fixed, so no pass discovers them), then the two are
+full-outer-joined on the model name.
 """
 
 from __future__ import annotations
@@ -59,37 +60,36 @@ def incomplete_runs(runs: DataFrame) -> DataFrame:
 
 def comparison(perf: DataFrame, runs: DataFrame, cpu_devices: list[str]) -> DataFrame:
     """One row per model; performance wins for the dimension, classification
-    fills it only when the performance side has none."""
-    newest = F.struct("timestamp", "device")
-    per_device = perf.groupBy("model_name", "device").agg(
-        F.max_by("sentences_per_second", "timestamp").alias("speed"),
-        F.max_by("gpu_memory_allocated_mb", "timestamp").alias("mem"))
-    devices = ["gpu"] + list(cpu_devices)
-    speeds = per_device.groupBy("model_name").pivot("device", devices).agg(
-        F.first("speed").alias("speed"), F.first("mem").alias("mem"))
-    dims = perf.groupBy("model_name").agg(F.max_by("output_embedding_dim", newest).alias("perf_dim"))
-    p = speeds.join(dims, "model_name").select(
-        "model_name",
-        F.col("gpu_mem").alias(MEMORY),
-        F.col("perf_dim"),
-        F.col("gpu_speed").alias(GPU_SPEED),
-        *[F.col(f"{d}_speed").alias(f"Encoding Speed (Sentences/Sec) {d}") for d in cpu_devices],
+    fills it only when the performance side has none.
+
+    Each side is one aggregate per model: the newest file of a device is a
+    ``max_by`` whose ordering is null for other devices, the dataset-kind
+    columns are conditional aggregates (no pivot pass, no self-join).
+    """
+    ts = F.col("timestamp")
+
+    def newest(value: str, device: str):
+        return F.max_by(value, F.when(F.col("device") == device, ts))
+
+    p = perf.groupBy("model_name").agg(
+        newest("gpu_memory_allocated_mb", "gpu").alias(MEMORY),
+        newest("sentences_per_second", "gpu").alias(GPU_SPEED),
+        *[newest("sentences_per_second", d).alias(f"Encoding Speed (Sentences/Sec) {d}") for d in cpu_devices],
+        F.max_by("output_embedding_dim", F.struct("timestamp", "device")).alias("perf_dim"),
     )
 
-    checked = file_checks(runs)
-    with_files = checked.where(F.col("has_training_metrics") & F.col("has_evaluation"))
-    usable = with_files.where(F.col("epoch").isNotNull())
-    kinds = [k for k, _, _ in ACC_KINDS]
-    acc = usable.groupBy("model_name").pivot("dataset", kinds).agg(
-        F.first("train_acc").alias("train"), F.first("val_acc").alias("val"),
-        F.first("test_acc").alias("test"))
-    acc_models = with_files.groupBy("model_name").agg(F.max("embedding_dimension").alias("acc_dim"))
-    a = acc_models.join(acc, "model_name", "left")
-    renames = []
+    has_files = F.col("has_training_metrics") & F.col("has_evaluation")
+    usable = has_files & F.col("epoch").isNotNull()
+    cells = []
     for kind, stem, suffix in ACC_KINDS:
-        for metric, short in (("trainings", "train"), ("val", "val"), ("test", "test")):
-            renames.append(F.col(f"`{kind}_{short}`").alias(acc_column(stem, metric, suffix)))
-    a = a.select("model_name", "acc_dim", *renames)
+        for metric, src in (("trainings", "train_acc"), ("val", "val_acc"), ("test", "test_acc")):
+            cells.append(F.max(F.when(usable & (F.col("dataset") == kind), F.col(src)))
+                         .alias(acc_column(stem, metric, suffix)))
+    a = runs.groupBy("model_name").agg(
+        F.max(F.when(has_files, F.col("embedding_dimension"))).alias("acc_dim"),
+        F.max(has_files.cast("int")).alias("_lf_any"),
+        *cells,
+    ).where(F.col("_lf_any") == 1).drop("_lf_any")
 
     j = p.join(a, "model_name", "full_outer")
     out = j.withColumn(DIMENSION, F.coalesce(F.col("perf_dim"), F.col("acc_dim"))) \

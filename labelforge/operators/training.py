@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from labelforge import spec
 from labelforge.operators.ranking import bucketed_prefix
+from labelforge.session import materialize
 
 EPOCH_BUCKET = 1024
 
@@ -70,7 +71,9 @@ def truncate_at_stop(flagged: DataFrame, stops: DataFrame, run_col: str = "run_i
 
 def ran_epochs(series: DataFrame, patience: int = spec.PATIENCE, run_col: str = "run_id",
                epoch_col: str = "epoch", loss_col: str = "val_loss") -> DataFrame:
-    flagged = no_improvement(series, run_col, epoch_col, loss_col)
+    """Flagged epochs up to the early stop; the flagged series feeds both the
+    stop search and the cut, so it is written once."""
+    flagged = materialize(no_improvement(series, run_col, epoch_col, loss_col))
     stops = early_stop_epochs(flagged, patience, run_col, epoch_col)
     return truncate_at_stop(flagged, stops, run_col, epoch_col)
 

@@ -25,7 +25,7 @@ from labelforge.operators import model as mdl
 from labelforge.operators import report as rep
 from labelforge.operators import sampling as smp
 from labelforge.operators import training as trn
-from labelforge.session import scratch_path
+from labelforge.session import materialize, scratch_path
 from labelforge.sources import files as fio
 from labelforge.sources import views
 from labelforge.sources.tables import table
@@ -145,7 +145,7 @@ def q_stratified_split(spark, sf):
 
 
 def q_split_overlap(spark, sf):
-    s = split_frame(spark, sf)
+    s = materialize(split_frame(spark, sf))
     train = s.where(F.col("split") == "train")
     val = s.where(F.col("split") == "val")
     return smp.overlap(val, train, "text").select("doc_id", "lang")
@@ -307,9 +307,9 @@ def q_confusion_matrix(spark, sf):
 
 
 def _report(spark, sf):
-    p = sliced_predictions(spark, sf)
-    long = ev.confusion_long(p, "true_label", "pred_label", slice_cols=["slice"])
-    return p, long, ev.class_report(long, slice_cols=["slice"])
+    counts = ev.confusion_counts(sliced_predictions(spark, sf), "true_label", "pred_label", ["slice"])
+    long = ev.confusion_long_from_counts(counts, slice_cols=["slice"])
+    return counts, long, ev.class_report(long, slice_cols=["slice"])
 
 
 def q_class_report(spark, sf):
@@ -319,8 +319,7 @@ def q_class_report(spark, sf):
 
 
 def q_report_summary(spark, sf):
-    p, _, r = _report(spark, sf)
-    counts = ev.confusion_counts(p, "true_label", "pred_label", ["slice"])
+    counts, _, r = _report(spark, sf)
     s = ev.report_summary(r, counts, ["slice"])
     return s.select("slice", *[rnd(c).alias(c) for c in
                                ["accuracy", "macro_precision", "macro_recall", "macro_f1",
@@ -334,8 +333,7 @@ def q_metric_by_class(spark, sf):
 
 
 def q_report_json(spark, sf):
-    p, long, r = _report(spark, sf)
-    counts = ev.confusion_counts(p, "true_label", "pred_label", ["slice"])
+    counts, long, r = _report(spark, sf)
     s = ev.report_summary(r, counts, ["slice"])
     return ev.report_json(long, r, s, ["slice"])
 
@@ -350,8 +348,7 @@ def q_weighted_log_loss(spark, sf):
     e = table(spark, sf, "embeddings")
     p = e.select(vec.elements("embedding", 1, 5).alias("logits"), (F.col("label") % 5).alias("y"),
                  F.when(F.col("vec_id") % 2 == 0, "en").otherwise("de").alias("language"))
-    w = ev.class_weights(p, "y")
-    out = ev.weighted_log_loss(p, "logits", "y", w, ["language"])
+    out = ev.weighted_log_loss(p, "logits", "y", slice_cols=["language"])
     return out.select("language", rnd("weighted_loss").alias("weighted_loss"), "n")
 
 
@@ -371,8 +368,9 @@ def q_l2_normalize(spark, sf):
 # ---------------------------------------------------------------------------
 
 def embedding_split(spark, sf):
+    """Split once, written before its train and validation parts are read."""
     e = table(spark, sf, "embeddings")
-    return smp.stratified_split(e, ["label"], "vec_id")
+    return materialize(smp.stratified_split(e, ["label"], "vec_id"))
 
 
 def q_train_classifier(spark, sf):
@@ -394,9 +392,8 @@ def q_centroid_eval(spark, sf):
     cents = mdl.centroids(train, "embedding", "label")
     pred = mdl.centroid_predict(val, cents, "embedding")
     names = [str(i) for i in range(10)]
-    long = ev.confusion_long(pred, "label", "pred_label", names)
-    r = ev.class_report(long, names)
     counts = ev.confusion_counts(pred, "label", "pred_label")
+    r = ev.class_report(ev.confusion_long_from_counts(counts, names), names)
     return ev.report_summary(r, counts, k=len(names))
 
 
@@ -469,8 +466,8 @@ def q_run_summary(spark, sf):
 
 
 def q_epoch_lookup(spark, sf):
-    series = views.epochs(spark, sf)
-    summary = trn.run_summary(ran(spark, sf))
+    series = materialize(views.epochs(spark, sf))
+    summary = trn.run_summary(trn.ran_epochs(series))
     points = summary.select("run_id", F.explode(F.array(
         F.struct(F.lit("best").alias("point"), F.col("best_epoch").alias("epoch")),
         F.struct(F.lit("past_end").alias("point"), (F.col("best_epoch") + 100000).alias("epoch")),

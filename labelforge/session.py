@@ -55,3 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+
+    Used where one result feeds two branches of a plan, so the upstream work
+    runs once (and is not redone when an executor is lost).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,0 +1,29 @@
+"""Execute each query and summarise its final (post-AQE) physical plan."""
+
+import os
+import re
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from labelforge.plans.queries import QUERIES  # noqa: E402
+from labelforge.session import build_session  # noqa: E402
+
+
+def main():
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or [n for n in QUERIES if n not in ("train_classifier", "experiment")]
+    spark = build_session("local[8]", 8)
+    for name in names:
+        df = QUERIES[name](spark, sf)
+        qe = df._jdf.queryExecution()
+        df.write.format("noop").mode("overwrite").save()
+        p = qe.executedPlan().toString()
+        shuffles = len(re.findall(r"(?<!Reused)Exchange (hashpartitioning|SinglePartition|rangepartitioning|RoundRobin)", p))
+        print(f"{name:20s} scans={p.count('Scan parquet'):2d} ckpt={p.count('Scan ExistingRDD'):2d} "
+              f"shuffles={shuffles:2d} reused={p.count('ReusedExchange'):2d} bhj={p.count('BroadcastHashJoin'):2d} "
+              f"smj={p.count('SortMergeJoin'):2d} window={p.count('Window '):2d} python={p.count('MapInPandas') + p.count('ArrowEvalPython')}")
+
+
+if __name__ == "__main__":
+    main()
