@@ -99,8 +99,24 @@ def split_conversation(c) -> Column:
 
 # -- X3 / X4 -------------------------------------------------------------------
 
+# Literals every match of the quoted-header pattern contains (case-sensitive).
+_QUOTED_HEADER_LITERALS = ["<", "To:", "Subject:"]
+
+
 def remove_quoted_headers(c) -> Column:
-    return F.regexp_replace(col_(c), "(?s)" + unicode_word(spec.QUOTED_HEADER_PATTERN), "")
+    """Drop quoted ``name <addr> on date ... To: ... Subject: ...`` blocks.
+
+    The pattern opens with a repeated character class, so the regex engine
+    backtracks at every word; a substring test for the literals any match
+    must contain skips it for the (usual) texts that cannot match.
+    """
+    c = col_(c)
+    possible = None
+    for lit in _QUOTED_HEADER_LITERALS:
+        cond = F.instr(c, lit) > 0
+        possible = cond if possible is None else possible & cond
+    return F.when(possible, F.regexp_replace(c, "(?s)" + unicode_word(spec.QUOTED_HEADER_PATTERN), "")) \
+        .otherwise(c)
 
 
 def remove_footers(c) -> Column:

@@ -150,3 +150,11 @@ def test_annotate_system_prompt_lists_labels():
     for label in spec.TARGET_LABELS:
         assert f"* {label}" in p
     json.dumps(p)
+
+
+def test_quoted_header_removed(spark):
+    block = ('"Jane Doe" <jane.doe@x.com> on 01/02/2001 10:11:12 AM To: Bob\nCc: x\nSubject: Re: hi\n')
+    df = spark.createDataFrame([("keep " + block + "after",), ("no header here",)], "t string")
+    out = [r[0] for r in df.select(tx.remove_quoted_headers("t")).collect()]
+    # the name class has no space, so the match starts at the last name word
+    assert out == ["keep \"Jane after", "no header here"]
