@@ -62,7 +62,8 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", dim: i
 
 def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, model_name: str,
                       dim: int = 64, prefix_name: str = "none", normalize: bool = False,
-                      batch_size: int = 64, warmup_rows: int = 256) -> DataFrame:
+                      batch_size: int = 64, warmup_rows: int = 256,
+                      make_encoder: Callable[[], Callable] | None = None) -> DataFrame:
     """Warm up on ``warmup_rows`` texts, then time the encode of every text
     through a no-op sink.  One result row; an encoder failure is recorded
     in ``error`` instead of failing the job."""
@@ -72,7 +73,8 @@ def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, mode
               "inference_time_s": None, "sentences_per_second": None,
               "output_embedding_dim": None, "error": None}
     try:
-        embedded = embed_texts(texts.select(text_col), text_col, "e", dim, prefix_name, normalize, batch_size)
+        embedded = embed_texts(texts.select(text_col), text_col, "e", dim, prefix_name, normalize, batch_size,
+                               make_encoder)
         embedded.limit(warmup_rows).write.format("noop").mode("overwrite").save()
         n = texts.count()
         start = time.perf_counter()

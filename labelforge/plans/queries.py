@@ -429,6 +429,16 @@ def q_event_roundtrip(spark, sf):
                         "num_texts_processed", "seconds_per_text")
 
 
+def q_event_times(spark, sf):
+    """Start/end stamps in ISO format and the elapsed seconds between them."""
+    r = views.runs(spark, sf)
+    start = F.col("timestamp_start_iso")
+    end = start + F.make_dt_interval(secs=F.col("duration_seconds").cast("decimal(18,6)"))
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return r.select("event_id", F.date_format(start, iso).alias("start_iso"), F.date_format(end, iso).alias("end_iso"),
+                    (F.timestamp_diff("MICROSECOND", start, end) / 1e6).alias("elapsed_seconds"))
+
+
 def q_pc_compat(spark, sf):
     return evt.pc_compatibility(derived_events(spark, sf))
 
@@ -498,6 +508,24 @@ def q_markdown_rows(spark, sf):
     return rep.markdown_rows(comparison_table(spark, sf))
 
 
+PERF_TREE_LEVELS = ["device_folder", "timestamp_folder", "model_folder"]
+
+
+def q_result_tree(spark, sf):
+    """Performance records written as a folder tree (device / timestamp /
+    model, one JSON file per leaf) and scanned back with the levels parsed
+    from the paths."""
+    perf = views.perf(spark, sf)
+    root = scratch_path(spark, "perf_tree")
+    fio.write_json(perf.withColumnRenamed("device", "d").withColumnRenamed("timestamp", "t")
+                   .withColumn("m", tx.model_path_name("model_name")), root, partition_by=["d", "t", "m"])
+    back = fio.read_json_tree(spark, root, spec.PERFORMANCE_SCHEMA, PERF_TREE_LEVELS, glob="*.json",
+                              multiline=False, hive_style=True)
+    return back.select("model_name", F.col("device_folder").alias("device"),
+                       F.col("timestamp_folder").alias("timestamp"), "sentences_per_second",
+                       "output_embedding_dim")
+
+
 def q_result_paths(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+(/[^?#]*)?", 1)
@@ -615,6 +643,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_paths": q_result_paths,
     "safe_names": q_safe_names,
     "config_parse": q_config_parse,
+    "event_times": q_event_times,
+    "result_tree": q_result_tree,
     "post_dataset": q_post_dataset,
     "mail_dataset": q_mail_dataset,
     "experiment": q_experiment,

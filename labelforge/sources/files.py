@@ -51,9 +51,10 @@ def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType, levels: list[str],
-                   glob: str = "*.json", multiline: bool = True) -> DataFrame:
+                   glob: str = "*.json", multiline: bool = True, hive_style: bool = False) -> DataFrame:
     """Scan every JSON file below ``root``; the folder names between ``root``
-    and the file become the columns ``levels`` (S6/S7)."""
+    and the file become the columns ``levels`` (S6/S7).  With ``hive_style``
+    a ``name=value`` folder contributes its value."""
     clash = [name for name in levels if name in schema.fieldNames()]
     if clash:
         raise ValueError(f"folder level names clash with file fields: {clash}")
@@ -63,7 +64,11 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType, levels:
     root_norm = root.rstrip("/")
     rel = F.regexp_extract(path, r".*" + _escape(root_norm.split(":", 1)[-1]) + r"/(.*)$", 1)
     parts = F.split(rel, "/")
-    cols = [F.get(parts, i).alias(name) for i, name in enumerate(levels)]
+    def level(i: int):
+        v = F.get(parts, i)
+        return F.regexp_extract(v, r"^[^=]*=(.*)$", 1) if hive_style else v
+
+    cols = [level(i).alias(name) for i, name in enumerate(levels)]
     return df.select("*", *cols, F.element_at(parts, -1).alias("file_name"))
 
 

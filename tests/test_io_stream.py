@@ -136,3 +136,34 @@ def test_oracle_agreement_sample(spark):
         want = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
         assert sorted(cols) == sorted(ocols), name
         assert got == want, name
+
+
+def test_post_dataset_stages_are_reused(spark):
+    from labelforge.plans.datasets import post_dataset
+    stage_dir = tempfile.mkdtemp(prefix="lf-stages-")
+    calls = []
+
+    def client(key, text):
+        calls.append(key)
+        return "de:" + text
+
+    first = sorted(tuple(r) for r in post_dataset(spark, SF, stage_dir=stage_dir, client=client).collect())
+    n_calls = len(calls)
+    second = sorted(tuple(r) for r in post_dataset(spark, SF, stage_dir=stage_dir, client=client).collect())
+    assert first == second and len(first) > 0
+    assert len(calls) == n_calls  # the translated stage was read back, no new calls
+
+
+def test_throughput_records_encoder_failure(spark):
+    from labelforge.operators import embed as emb
+
+    def broken():
+        def encode(texts):
+            raise RuntimeError("device lost")
+        return encode
+
+    df = spark.createDataFrame([("a",), ("b",)], "text string")
+    row = emb.encode_throughput(spark, df, "text", "broken-model", warmup_rows=1, make_encoder=broken).first()
+    assert row["error"] and row["sentences_per_second"] is None
+    ok = emb.encode_throughput(spark, df, "text", "hashing", warmup_rows=1).first()
+    assert ok["error"] is None and ok["num_sentences_processed"] == 2 and ok["output_embedding_dim"] == 64
