@@ -7,9 +7,10 @@ two levels:
 
 1. a *bucket* column that is monotone in the order (a hash prefix when the
    order is a hash, a time bucket for timestamps, a key range for ids);
-2. one shuffle of the rows by (p, bucket), written once to the shared
-   checkpoint folder (``checkpoint`` keeps the partitioning and cuts the
-   lineage, so a lost executor never re-runs the upstream plan);
+2. one shuffle of the rows by (p, bucket), written once as a table bucketed
+   on (p, bucket) in the shared checkpoint folder (the bucketing is known
+   when it is read back, and the write cuts the lineage, so a lost executor
+   never re-runs the upstream plan);
 3. from that table, a window over (p, bucket) gives the in-bucket part, and
    a map-side aggregate gives the bucket totals (one row per (p, bucket):
    small); an exclusive prefix over buckets on that small table is joined
@@ -20,31 +21,53 @@ The upstream plan runs once; results equal the plain window exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.session import ensure_checkpoint_dir
+from labelforge.session import ensure_checkpoint_dir, scratch_path
 
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
 def _materialized(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition by ``keys`` and write to the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.repartition(*[F.col(k) for k in keys]).checkpoint(eager=True)
-
-
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Null-safe equi-join on ``keys``; the key columns are kept once."""
-    renamed = {k: f"_lf_r_{k}" for k in keys}
-    r = right
-    for k, v in renamed.items():
-        r = r.withColumnRenamed(k, v)
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[renamed[k]]) for k in keys])
-    return left.join(r, cond, "inner").drop(*renamed.values())
+    """Write ``df`` bucketed by ``keys`` to the shared checkpoint folder.
+
+    The bucketed table is read back with its hash partitioning known, so the
+    window, the bucket aggregate and the sort-merge join back on ``keys`` run
+    without another exchange (a plain ``checkpoint`` loses the partitioning
+    under adaptive execution).  Rows are first hash-partitioned the same way,
+    so each task writes exactly one bucket file.  The written table also cuts
+    the lineage: a lost executor never re-runs the upstream plan.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(k) for k in keys]
+    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
+        # No metastore writes from a library call: a reliable checkpoint
+        # (correct, but the partitioning is not kept under AQE).
+        ensure_checkpoint_dir(spark)
+        return df.repartition(n, *cols).checkpoint(eager=True)
+    name = f"lf_stage_{uuid.uuid4().hex[:16]}"
+    df.repartition(n, *cols).write.bucketBy(n, *keys).mode("overwrite") \
+        .option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def _group_key(df: DataFrame, partition_cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """A non-null surrogate for the partition columns.
+
+    ``to_json(struct(...))`` is injective and never null (a null field is
+    left out), so plain equality on it groups exactly like the window's
+    PARTITION BY, nulls included.  Plain equi-join keys keep the checkpoint's
+    hash partitioning usable by a sort-merge join: the big side is not
+    shuffled again (a null-safe join key would force that).
+    """
+    if not partition_cols:
+        return df, []
+    return df.withColumn("_lf_pk", F.to_json(F.struct(*[F.col(c) for c in partition_cols]))), ["_lf_pk"]
 
 
 def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
@@ -70,19 +93,20 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_cols: li
     in the partition); they are joined to every row.
     """
     b, bcol, own = _with_bucket(df, bucket)
-    keys = list(partition_cols) + [bcol]
+    b, pk = _group_key(b, list(partition_cols))
+    keys = pk + [bcol]
     b = _materialized(b, keys)
     ranked = b.withColumn("_lf_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
-    counts = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lf_n"))
-    before = Window.partitionBy(*partition_cols).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_lf_n",
+    counts = b.groupBy(*keys, *partition_cols).agg(F.count(F.lit(1)).alias("_lf_n"))
+    before = Window.partitionBy(*pk).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, *partition_cols, "_lf_n",
                             F.coalesce(F.sum("_lf_n").over(before), F.lit(0)).alias("_lf_off"),
-                            F.sum("_lf_n").over(Window.partitionBy(*partition_cols)).alias("_lf_total"))
+                            F.sum("_lf_n").over(Window.partitionBy(*pk)).alias("_lf_total"))
     if with_offsets is not None:
         offsets = with_offsets(offsets)
-    out = _join_on(ranked, offsets.drop("_lf_n", "_lf_total"), keys)
+    out = ranked.join(offsets.drop("_lf_n", "_lf_total", *partition_cols), keys, "inner")
     out = out.withColumn(out_col, (F.col("_lf_off") + F.col("_lf_local")).cast("bigint")) \
-        .drop("_lf_off", "_lf_local")
+        .drop("_lf_off", "_lf_local", *pk)
     return out.drop(bcol) if own else out
 
 
@@ -98,15 +122,16 @@ def bucketed_prefix(df: DataFrame, partition_cols: list[str], order_cols: list,
     """
     agg = _AGG[op]
     b, bcol, own = _with_bucket(df, bucket)
-    keys = list(partition_cols) + [bcol]
+    b, pk = _group_key(b, list(partition_cols))
+    keys = pk + [bcol]
     b = _materialized(b.withColumn("_lf_v", value), keys)
     upto = 0 if inclusive else -1
     scanned = b.withColumn("_lf_local", agg("_lf_v").over(
         Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)))
     per_bucket = b.groupBy(*keys).agg(agg("_lf_v").alias("_lf_bv"))
-    before = Window.partitionBy(*partition_cols).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*pk).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, agg("_lf_bv").over(before).alias("_lf_carry"))
-    out = _join_on(scanned, carry, keys)
+    out = scanned.join(carry, keys, "inner").drop(*pk)
     if op == "sum":
         combined = F.when(F.col("_lf_carry").isNull() & F.col("_lf_local").isNull(), F.lit(None)) \
             .otherwise(F.coalesce(F.col("_lf_carry"), F.lit(0)) + F.coalesce(F.col("_lf_local"), F.lit(0)))
