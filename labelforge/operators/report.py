@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge import spec
 from labelforge.functions.text import fixed_decimals
 
 MODEL = "Model Name"

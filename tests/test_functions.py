@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelforge import spec
 from labelforge.functions import labels as lab
