@@ -254,3 +254,14 @@ def test_required_and_fallback_columns(spark):
     assert spec.resolve_column(df, ["text"]) is None
     with pytest.raises(ValueError):
         spec.require_columns(df, ["content", "sentiment"])
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    # two thirds of the rows share one key; after staging by (key, bucket)
+    # they sit in many partitions instead of one
+    df = _skewed(spark, 6000).withColumn("h", F.md5(F.col("id").cast("string")))
+    staged, pk = rk._group_key(df.withColumn("_lf_b", rk.hash_bucket(F.col("h"))), ["g"])
+    staged = rk._materialized(staged, pk + ["_lf_b"])
+    hot = staged.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert hot == n
