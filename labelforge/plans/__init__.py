@@ -1,0 +1 @@
+"""Registered queries, their DuckDB oracle SQL and the composite pipelines."""

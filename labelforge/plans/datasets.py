@@ -60,7 +60,10 @@ def fused_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_dataset(spark: SparkSession, sf_dir: str, balance: bool = True, stage_dir: str | None = None,
-                 client: ann.TranslateClient = ann.stub_translate_client) -> DataFrame:
+                 client: ann.TranslateClient = ann.stub_translate_client,
+                 keep_failed: bool = True) -> DataFrame:
+    """Posts in both languages.  ``keep_failed=False`` drops rows whose
+    translation failed (by default they are kept with the placeholder text)."""
     def english() -> DataFrame:
         fused = fused_posts(spark, sf_dir)
         if balance:
@@ -74,13 +77,16 @@ def post_dataset(spark: SparkSession, sf_dir: str, balance: bool = True, stage_d
         return ann.translate(en, "item_id", "text", client)
 
     tr = _stage(spark, stage_dir, "posts_translated", translated, ["translated_text"])
+    if not keep_failed:
+        tr = tr.where(F.col("success"))
     return both_languages(tr, ["item_id", "position", "emotion", "source"], "text", "translated_text")
 
 
 def mail_dataset(spark: SparkSession, sf_dir: str, stage_dir: str | None = None,
                  client: ann.AnswerClient = ann.stub_answer_client,
                  translator: ann.TranslateClient = ann.stub_translate_client,
-                 attempts: int = spec.NUM_ATTEMPTS) -> DataFrame:
+                 attempts: int = spec.NUM_ATTEMPTS, keep_failed: bool = True) -> DataFrame:
+    """Mails in both languages with the vote columns (see module docstring)."""
     def cleaned() -> DataFrame:
         raw = views.raw_mail(spark, sf_dir)
         c = tx.drop_empty(tx.clean_mail(raw, "message", "preprocessed_text"), "preprocessed_text")
@@ -98,5 +104,7 @@ def mail_dataset(spark: SparkSession, sf_dir: str, stage_dir: str | None = None,
     voted = _stage(spark, stage_dir, "mail_labelled", labelled, ["language", "emotion"],
                    F.col("language") == "en")
     tr = ann.translate(voted, "email_id", "preprocessed_text", translator)
+    if not keep_failed:
+        tr = tr.where(F.col("success"))
     label_cols = ["emotion", "confidence", "emotion_counts"] + [f"emotion_attempt_{i + 1}" for i in range(attempts)]
     return both_languages(tr, ["email_id"] + label_cols, "preprocessed_text", "translated_text")

@@ -1,0 +1 @@
+"""Structured Streaming use of the row-wise operators."""

@@ -167,3 +167,12 @@ def test_throughput_records_encoder_failure(spark):
     assert row["error"] and row["sentences_per_second"] is None
     ok = emb.encode_throughput(spark, df, "text", "hashing", warmup_rows=1).first()
     assert ok["error"] is None and ok["num_sentences_processed"] == 2 and ok["output_embedding_dim"] == 64
+
+
+def test_post_dataset_can_drop_failed_translations(spark):
+    from labelforge.plans.datasets import post_dataset
+    kept = post_dataset(spark, SF)
+    dropped = post_dataset(spark, SF, keep_failed=False)
+    failed = kept.where(F.col("content") == spec.TRANSLATION_FAILED).count()
+    assert failed > 0
+    assert dropped.count() == kept.count() - 2 * failed
