@@ -74,7 +74,8 @@ def post_dataset(spark: SparkSession, sf_dir: str, balance: bool = True, stage_d
                 F.col("language") == "en")
 
     def translated() -> DataFrame:
-        return ann.translate(en, "item_id", "text", client)
+        t = ann.translate(en, "item_id", "text", client)
+        return t if stage_dir is not None else ann.materialize(t)  # calls happen once
 
     tr = _stage(spark, stage_dir, "posts_translated", translated, ["translated_text"])
     if not keep_failed:
@@ -103,7 +104,11 @@ def mail_dataset(spark: SparkSession, sf_dir: str, stage_dir: str | None = None,
 
     voted = _stage(spark, stage_dir, "mail_labelled", labelled, ["language", "emotion"],
                    F.col("language") == "en")
-    tr = ann.translate(voted, "email_id", "preprocessed_text", translator)
+    def translated() -> DataFrame:
+        t = ann.translate(voted, "email_id", "preprocessed_text", translator)
+        return t if stage_dir is not None else ann.materialize(t)  # calls happen once
+
+    tr = _stage(spark, stage_dir, "mail_translated", translated, ["translated_text"])
     if not keep_failed:
         tr = tr.where(F.col("success"))
     label_cols = ["emotion", "confidence", "emotion_counts"] + [f"emotion_attempt_{i + 1}" for i in range(attempts)]
