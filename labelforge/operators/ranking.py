@@ -70,8 +70,9 @@ def _group_key(df: DataFrame, partition_cols: list[str]) -> tuple[DataFrame, lis
     return df.withColumn("_lf_pk", F.to_json(F.struct(*[F.col(c) for c in partition_cols]))), ["_lf_pk"]
 
 
-def hash_bucket(hex_hash: Column, digits: int = 3) -> Column:
-    """Leading ``digits`` hex digits of a hex hash as an int (16**digits buckets)."""
+def hash_bucket(hex_hash: Column, digits: int = 4) -> Column:
+    """Leading ``digits`` hex digits of a hex hash as an int (16**digits buckets;
+    only non-empty buckets ever appear in the bucket tables)."""
     return F.conv(F.substring(hex_hash, 1, digits), 16, 10).cast("int")
 
 
@@ -153,3 +154,39 @@ def range_bucket(df: DataFrame, key: str, n_buckets: int = 1 << 16) -> Column:
         return F.lit(0)
     width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
     return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
+
+
+HOT_KEY_ROWS = 1 << 22  # rows per bucket aimed at when a key is split
+
+
+def hot_key_buckets(df: DataFrame, partition_cols: list[str], order_value: Column,
+                    target_rows: int = HOT_KEY_ROWS, out_col: str = "_lf_b") -> DataFrame:
+    """Add a bucket column for ``bucketed_row_number`` / ``bucketed_prefix``.
+
+    Keys with at most ``target_rows`` rows keep one bucket (0).  Hotter keys
+    are split into equal-width ranges of ``order_value`` (a number that grows
+    with the order), about ``target_rows`` rows each if the values are spread
+    evenly.  The hot-key table comes from one map-side combined aggregate and
+    has at most total_rows / target_rows rows, so it is collected and
+    broadcast with a proven bound.
+    """
+    spark = df.sparkSession
+    v = df.withColumn("_lf_ov", order_value.cast("double"))
+    keyed, pk = _group_key(v, list(partition_cols))
+    if not pk:
+        keyed = keyed.withColumn("_lf_pk", F.lit("{}"))
+    stats = keyed.groupBy("_lf_pk").agg(F.count(F.lit(1)).alias("n"), F.min("_lf_ov").alias("lo"),
+                                        F.max("_lf_ov").alias("hi")).where(F.col("n") > target_rows)
+    hot = stats.collect()
+    if not hot:
+        return keyed.withColumn(out_col, F.lit(0).cast("bigint")).drop("_lf_ov", "_lf_pk")
+    rows = []
+    for r in hot:
+        parts = -(-int(r["n"]) // target_rows)
+        width = (float(r["hi"]) - float(r["lo"])) / parts or 1.0
+        rows.append((r["_lf_pk"], float(r["lo"]), width))
+    table = spark.createDataFrame(rows, "_lf_pk string, _lf_lo double, _lf_w double")
+    j = keyed.join(F.broadcast(table), "_lf_pk", "left")
+    bucket = F.when(F.col("_lf_w").isNull(), F.lit(0)) \
+        .otherwise(F.floor((F.col("_lf_ov") - F.col("_lf_lo")) / F.col("_lf_w")) + 1).cast("bigint")
+    return j.withColumn(out_col, bucket).drop("_lf_ov", "_lf_pk", "_lf_lo", "_lf_w")

@@ -2,18 +2,19 @@
 
 An epoch series is a table ``(run_id, epoch, train_loss, train_acc,
 val_loss, val_acc, learning_rate)``.  Running minima and "last improvement"
-positions are bucketed prefix scans (see ``ranking``), so a run with a huge
-number of epochs is still spread over many tasks.  Per-run reductions are
+positions come from one staged pass bucketed by (run, epoch block) (see
+``ranking``), so a run with a huge number of epochs is still spread over
+many tasks.  Per-run reductions are
 ``min_by`` / ``max_by`` hash aggregates (map-side combined).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge import spec
-from labelforge.operators.ranking import bucketed_prefix
+from labelforge.operators import ranking as rk
 from labelforge.session import materialize
 
 EPOCH_BUCKET = 1024
@@ -39,19 +40,35 @@ def no_improvement(series: DataFrame, run_col: str = "run_id", epoch_col: str =
     """Add ``improved`` and ``no_improve``: epochs since the last strict
     improvement of ``loss_col`` (0 on an improving epoch).
 
-    Both running scans use the same (run, epoch bucket) column, so the
-    second one reuses the partitioning of the first.
+    One staged pass (rows bucketed by (run, epoch block)).  Per block, one
+    aggregate gives the block minimum and the first epoch reaching it; on
+    that small table, the minimum of earlier blocks and the last improving
+    epoch before the block follow from windows: a block improves only if its
+    minimum beats every earlier block, and then its last improvement is the
+    first epoch at that minimum.  Two windows inside the block finish the
+    row values.
     """
-    s = series.withColumn("_lf_eb", _bucket(epoch_col))
-    prev = bucketed_prefix(s, [run_col], [epoch_col], "_lf_eb", F.col(loss_col),
-                           "min", "_lf_prev_min", inclusive=False)
-    improved = F.col(loss_col) < F.coalesce(F.col("_lf_prev_min"), F.lit(float("inf")))
-    flagged = prev.withColumn("improved", improved)
-    last = bucketed_prefix(flagged, [run_col], [epoch_col], "_lf_eb",
-                           F.when(F.col("improved"), F.col(epoch_col)), "max", "_lf_last",
-                           inclusive=True)
-    return last.withColumn("no_improve", (F.col(epoch_col) - F.coalesce(F.col("_lf_last"), F.lit(-1)))
-                           .cast("bigint")).drop("_lf_prev_min", "_lf_last", "_lf_eb")
+    inf = F.lit(float("inf"))
+    loss, epoch = F.col(loss_col), F.col(epoch_col)
+    s, pk = rk._group_key(series.withColumn("_lf_eb", _bucket(epoch_col)), [run_col])
+    keys = pk + ["_lf_eb"]
+    staged = rk._materialized(s, keys)
+    per = staged.groupBy(*keys).agg(F.min(loss).alias("_lf_bmin"),
+                                    F.min_by(epoch, F.struct(loss, epoch)).alias("_lf_barg"))
+    before = Window.partitionBy(*pk).orderBy("_lf_eb").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_lf_cmin", F.min("_lf_bmin").over(before))
+    per = per.withColumn("_lf_blast", F.when(F.col("_lf_bmin") < F.coalesce(F.col("_lf_cmin"), inf),
+                                             F.col("_lf_barg")))
+    carry = per.select(*keys, "_lf_cmin", F.max("_lf_blast").over(before).alias("_lf_clast"))
+    rows = staged.join(carry, keys, "inner")
+    in_block = Window.partitionBy(*keys).orderBy(epoch_col)
+    rows = rows.withColumn("_lf_lmin", F.min(loss).over(in_block.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("improved", loss < F.coalesce(F.least(F.col("_lf_cmin"), F.col("_lf_lmin")), inf))
+    rows = rows.withColumn("_lf_llast", F.max(F.when(F.col("improved"), epoch)).over(
+        in_block.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.greatest(F.col("_lf_clast"), F.col("_lf_llast"))
+    out = rows.withColumn("no_improve", (epoch - F.coalesce(last, F.lit(-1))).cast("bigint"))
+    return out.drop("_lf_eb", "_lf_cmin", "_lf_clast", "_lf_lmin", "_lf_llast", *pk)
 
 
 def early_stop_epochs(flagged: DataFrame, patience: int = spec.PATIENCE, run_col: str = "run_id",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge import spec
 from labelforge.functions import vectors
-from labelforge.operators.ranking import bucketed_row_number
+from labelforge.operators.ranking import bucketed_row_number, hot_key_buckets
 from labelforge.sources.tables import table
 
 NL = "\n"
@@ -86,11 +86,13 @@ def _k(props: str = "props"):
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per user; one epoch per event in (ts, event_id) order."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
-    # hours since 1970-01-01, monotone in ts for both timestamp types
-    hour = (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 24 + F.hour("ts"))
-    ranked = bucketed_row_number(ev, ["user_id"], ["ts", "event_id"], hour, "_lf_rn")
+    # whole seconds since 1970-01-01: grows with ts for both timestamp types
+    seconds = (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 86400
+               + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
+    bucketed = hot_key_buckets(ev, ["user_id"], seconds)
+    ranked = bucketed_row_number(bucketed, ["user_id"], ["ts", "event_id"], "_lf_b", "_lf_rn")
     k = _k()
-    return ranked.select(
+    return ranked.drop("_lf_b").select(
         F.col("user_id").alias("run_id"),
         (F.col("_lf_rn") - 1).alias("epoch"),
         (F.col("value") / 2).alias("train_loss"),

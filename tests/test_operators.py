@@ -265,3 +265,14 @@ def test_hot_key_is_spread_over_tasks(spark):
     hot = staged.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert hot == n
+
+
+def test_hot_key_buckets_split_only_hot_keys(spark):
+    df = _skewed(spark, 6000)   # "hot" holds two thirds of the rows
+    b = rk.hot_key_buckets(df, ["g"], F.col("id"), target_rows=500)
+    hot_buckets = b.where(F.col("g") == "hot").select("_lf_b").distinct().count()
+    assert hot_buckets >= 8
+    assert b.where(F.col("g") != "hot").select("_lf_b").distinct().collect()[0][0] == 0
+    got = rk.bucketed_row_number(b, ["g"], ["id"], "_lf_b", "rn")
+    plain = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert got.join(plain, "id").where(F.col("rn") != F.col("rn2")).count() == 0
