@@ -199,6 +199,12 @@ def safe_name(c) -> Column:
     return F.regexp_replace(col_(c), r"[^\p{L}\p{N}_-]", "_")
 
 
+def event_file_name(context, stamp) -> Column:
+    """``monitoring_events_<safe context>_<yyyyMMdd_HHmmss>.json``."""
+    return F.concat(F.lit("monitoring_events_"), safe_name(context), F.lit("_"),
+                    F.date_format(col_(stamp), "yyyyMMdd_HHmmss"), F.lit(".json"))
+
+
 def model_path_name(c) -> Column:
     return F.translate(col_(c), ":", "_")
 

@@ -578,7 +578,10 @@ FROM pages""",
     "mail_dataset": MAIL_DATASET,
     "event_times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS start_iso,
   strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') AS end_iso,
-  CAST(round(value * 1000000) AS BIGINT) / 1e6 AS elapsed_seconds FROM events""",
+  CAST(round(value * 1000000) AS BIGINT) / 1e6 AS elapsed_seconds,
+  'monitoring_events_' || regexp_replace('user_' || CAST(user_id AS VARCHAR), '[^\p{L}\p{N}_-]', '_', 'g') || '_'
+    || strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y%m%d_%H%M%S') || '.json' AS file_name
+FROM events""",
     "result_tree": with_(PERF) + "SELECT model_name, device, timestamp, sentences_per_second, output_embedding_dim FROM perf",
     "config_parse": f"""WITH c AS (SELECT page_id, {URL_HOST} || ';' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END
     || ';' || {str_list(spec.PREFIX_NAMES)}[page_id % 4 + 1] AS line FROM pages)

@@ -435,7 +435,8 @@ def q_event_times(spark, sf):
     end = start + F.make_dt_interval(secs=F.col("duration_seconds").cast("decimal(18,6)"))
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     return r.select("event_id", F.date_format(start, iso).alias("start_iso"), F.date_format(end, iso).alias("end_iso"),
-                    (F.timestamp_diff("MICROSECOND", start, end) / 1e6).alias("elapsed_seconds"))
+                    (F.timestamp_diff("MICROSECOND", start, end) / 1e6).alias("elapsed_seconds"),
+                    tx.event_file_name("context_name", end).alias("file_name"))
 
 
 def q_pc_compat(spark, sf):

@@ -176,3 +176,12 @@ def test_post_dataset_can_drop_failed_translations(spark):
     failed = kept.where(F.col("content") == spec.TRANSLATION_FAILED).count()
     assert failed > 0
     assert dropped.count() == kept.count() - 2 * failed
+
+
+def test_latin1_csv(spark):
+    path = tempfile.mkdtemp(prefix="lf-latin1-")
+    with open(os.path.join(path, "posts.csv"), "w", encoding="latin-1") as f:
+        f.write('"text","joy"\n"Grüße aus Köln","0.5"\n')
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("joy", T.DoubleType())])
+    df = fio.read_csv(spark, path, schema, encoding="ISO-8859-1")
+    assert [tuple(r) for r in df.collect()] == [("Grüße aus Köln", 0.5)]
