@@ -146,6 +146,7 @@ def vote(annotated: DataFrame, key_col: str, attempts: int = spec.NUM_ATTEMPTS)
     top_n = F.array_max(F.transform(tally, lambda s: s["n"]))
     winner = F.get(F.filter(tally, lambda s: s["n"] == top_n), 0)["label"]
     counts_json = F.to_json(F.map_from_entries(F.array_sort(tally)))
+
     def attempt(i: int) -> Column:
         return F.get(F.filter("attempts", lambda a: a["attempt_id"] == i), 0)["emotion"]
 
