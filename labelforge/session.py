@@ -72,6 +72,35 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def scale_conf(input_bytes: int, shuffle_bytes: int | None = None, executor_cores: int = 4000,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for a given input volume (spill-aware).
+
+    * splits of ``target_partition_bytes`` (256 MB): ~400k tasks for 100 TB;
+    * shuffle partitions so that one reduce partition holds about that much
+      of the shuffled data (default: the whole input), at least 2x the cores;
+      the bucketed stage tables use the same count;
+    * AQE coalesces small partitions and splits skewed join partitions above
+      5x the median (and 1 GB);
+    * broadcasts only below 64 MB of measured size.
+    """
+    shuffle_bytes = shuffle_bytes or input_bytes
+    partitions = max(2 * executor_cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if unset."""
     sc = spark.sparkContext

@@ -276,3 +276,12 @@ def test_hot_key_buckets_split_only_hot_keys(spark):
     got = rk.bucketed_row_number(b, ["g"], ["id"], "_lf_b", "rn")
     plain = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert got.join(plain, "id").where(F.col("rn") != F.col("rn2")).count() == 0
+
+
+def test_scale_conf_sizes_partitions():
+    from labelforge.session import scale_conf
+    c = scale_conf(100 << 40, executor_cores=4000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600  # 100 TB / 256 MB
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    small = scale_conf(1 << 30, executor_cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
