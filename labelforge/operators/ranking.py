@@ -43,7 +43,7 @@ def _materialized(df: DataFrame, keys: list[str]) -> DataFrame:
     the lineage: a lost executor never re-runs the upstream plan.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = _bucket_count(df)
     cols = [F.col(k) for k in keys]
     if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
         # No metastore writes from a library call: a reliable checkpoint
@@ -56,6 +56,21 @@ def _materialized(df: DataFrame, keys: list[str]) -> DataFrame:
     return spark.table(name)
 
 
+BUCKET_BYTES = 64 << 20  # estimated bytes per stage bucket
+
+
+def _bucket_count(df: DataFrame) -> int:
+    """Buckets for a stage table: about 64 MB of the optimizer's size estimate
+    each, at most the session's shuffle partitions (which an unknown
+    estimate falls back to)."""
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no estimate available
+        return cap
+    return max(1, min(cap, -(-size // BUCKET_BYTES)))
+
+
 def _group_key(df: DataFrame, partition_cols: list[str]) -> tuple[DataFrame, list[str]]:
     """A non-null surrogate for the partition columns.
 

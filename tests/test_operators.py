@@ -261,7 +261,12 @@ def test_hot_key_is_spread_over_tasks(spark):
     # they sit in many partitions instead of one
     df = _skewed(spark, 6000).withColumn("h", F.md5(F.col("id").cast("string")))
     staged, pk = rk._group_key(df.withColumn("_lf_b", rk.hash_bucket(F.col("h"))), ["g"])
-    staged = rk._materialized(staged, pk + ["_lf_b"])
+    original = rk.BUCKET_BYTES
+    rk.BUCKET_BYTES = 1  # as many buckets as the session allows, as for a large input
+    try:
+        staged = rk._materialized(staged, pk + ["_lf_b"])
+    finally:
+        rk.BUCKET_BYTES = original
     hot = staged.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert hot == n
