@@ -91,7 +91,8 @@ def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
     full = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
     df = spark.read.schema(full).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    df = df.cache()
+    # Both results read real fields besides the corrupt-record column, so
+    # Spark can scan the files directly (no cache of the raw input).
     required = ["event_id", "event_type", "duration_seconds"]
     ok: Column = F.col("_corrupt_record").isNull()
     for c in required:
