@@ -290,3 +290,12 @@ def test_scale_conf_sizes_partitions():
     assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
     small = scale_conf(1 << 30, executor_cores=8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_drop_duplicate_columns(spark):
+    a = spark.createDataFrame([(1, "x")], "k long, v string")
+    b = spark.createDataFrame([(1, "y")], "k long, v string")
+    j = a.join(b, a["k"] == b["k"])
+    assert j.columns == ["k", "v", "k", "v"]
+    out = spec.drop_duplicate_columns(j)
+    assert out.columns == ["k", "v"] and tuple(out.first()) == (1, "x")
