@@ -185,3 +185,21 @@ def test_latin1_csv(spark):
     schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("joy", T.DoubleType())])
     df = fio.read_csv(spark, path, schema, encoding="ISO-8859-1")
     assert [tuple(r) for r in df.collect()] == [("Grüße aus Köln", 0.5)]
+
+
+PARTITION_INVARIANT = ["balance_classes", "shuffle_order", "stratified_split", "no_improve", "run_summary",
+                       "vote", "class_report", "dedup_first", "model_comparison", "post_dataset"]
+
+
+def test_same_answers_at_other_shuffle_partitions(spark):
+    import __spark_entry__ as e
+    qs = e.queries()
+    results = {}
+    for parts in ("1", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        for name in PARTITION_INVARIANT:
+            rows = qs[name](spark, SF).collect()
+            results.setdefault(name, []).append(sorted(repr(tuple(r)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for name, (a, b) in results.items():
+        assert a == b, name
