@@ -94,32 +94,40 @@ def report_summary(report: DataFrame, counts: DataFrame, slice_cols=(), k: int =
     """Accuracy, macro and support-weighted averages per slice.
 
     Accuracy is 0.0 when a true or predicted label lies outside the taxonomy
-    (the report then has no accuracy entry).
+    (the report then has no accuracy entry).  The per-class rows and the
+    confusion counts are stacked and reduced by one conditional aggregate
+    per slice (no join).
     """
-    sums = report.groupBy(*slice_cols).agg(
-        F.sum("tp").alias("_tp"), F.sum("support").alias("support"),
-        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
-        F.avg("f1").alias("macro_f1"),
-        F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("weighted_precision"),
-        F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("weighted_recall"),
-        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
-    )
     inside = F.col("true_label").between(0, k - 1) & F.col("pred_label").between(0, k - 1)
-    outside = counts.groupBy(*slice_cols).agg(
-        F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("_outside"))
-    j = sums.join(outside, list(slice_cols), "left") if slice_cols else _one_row_join(sums, outside)
-    acc = F.when(F.coalesce(F.col("_outside"), F.lit(0)) > 0, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.col("_tp").cast("double"), F.col("support")), F.lit(0.0)))
-    return j.select(*slice_cols, acc.alias("accuracy"), "macro_precision", "macro_recall", "macro_f1",
-                    F.coalesce("weighted_precision", F.lit(0.0)).alias("weighted_precision"),
-                    F.coalesce("weighted_recall", F.lit(0.0)).alias("weighted_recall"),
-                    F.coalesce("weighted_f1", F.lit(0.0)).alias("weighted_f1"),
-                    F.col("support").cast("bigint").alias("support"))
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two one-row aggregates by a constant key."""
-    return a.withColumn("_lf_one", F.lit(1)).join(b.withColumn("_lf_one", F.lit(1)), "_lf_one").drop("_lf_one")
+    per_class = report.select(*slice_cols, F.lit(True).alias("_lf_is_class"), "precision", "recall", "f1",
+                              F.col("support").cast("double").alias("_lf_sup"), "tp")
+    cells = counts.select(*slice_cols, F.lit(False).alias("_lf_is_class"),
+                          F.when(inside, 0).otherwise(F.col("n")).alias("_lf_outside"))
+    u = per_class.unionByName(cells, allowMissingColumns=True)
+    cls = F.col("_lf_is_class")
+
+    def of_classes(c):
+        return F.when(cls, c)
+
+    sup = F.sum(of_classes(F.col("_lf_sup")))
+
+    def weighted(c):
+        return F.coalesce(F.try_divide(F.sum(of_classes(F.col(c) * F.col("_lf_sup"))), sup), F.lit(0.0))
+
+    outside = F.coalesce(F.sum(F.col("_lf_outside")), F.lit(0))
+    tp = F.sum(of_classes(F.col("tp")))
+    acc = F.when(outside > 0, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(tp.cast("double"), sup), F.lit(0.0)))
+    return u.groupBy(*slice_cols).agg(
+        acc.alias("accuracy"),
+        F.avg(of_classes(F.col("precision"))).alias("macro_precision"),
+        F.avg(of_classes(F.col("recall"))).alias("macro_recall"),
+        F.avg(of_classes(F.col("f1"))).alias("macro_f1"),
+        weighted("precision").alias("weighted_precision"),
+        weighted("recall").alias("weighted_recall"),
+        weighted("f1").alias("weighted_f1"),
+        sup.cast("bigint").alias("support"),
+    )
 
 
 METRICS = [("precision", "precision"), ("recall", "recall"), ("f1-score", "f1")]
@@ -138,6 +146,11 @@ def metric_by_class(report: DataFrame, slice_cols=()) -> DataFrame:
 def report_json(long: DataFrame, report: DataFrame, summary: DataFrame, slice_cols=()) -> DataFrame:
     """The evaluation record as one JSON string per slice (confusion matrix as
     nested arrays in label order, per-class report as a map)."""
+    if not slice_cols:  # one record: a literal slice keeps the joins keyed
+        one = [F.lit("all").alias("_lf_slice")]
+        out = report_json(long.select("*", *one), report.select("*", *one), summary.select("*", *one),
+                          ["_lf_slice"])
+        return out.drop("_lf_slice")
     rows = long.groupBy(*slice_cols, "true_label").agg(
         F.array_sort(F.collect_list(F.struct("pred_label", "n"))).alias("r"))
     matrix = rows.groupBy(*slice_cols).agg(
@@ -148,8 +161,7 @@ def report_json(long: DataFrame, report: DataFrame, summary: DataFrame, slice_co
                                F.col("support").cast("double").alias("support")))))
         .alias("classification_report"))
     keys = list(slice_cols)
-    j = summary.join(matrix, keys).join(per_class, keys) if keys else \
-        _one_row_join(_one_row_join(summary, matrix), per_class)
+    j = summary.join(matrix, keys).join(per_class, keys)
     return j.select(*keys, F.to_json(F.struct(
         "accuracy", F.col("macro_f1").alias("macro_avg_f1"), F.col("weighted_f1").alias("weighted_avg_f1"),
         "confusion_matrix", "classification_report")).alias("evaluation_json"))

@@ -299,3 +299,15 @@ def test_drop_duplicate_columns(spark):
     assert j.columns == ["k", "v", "k", "v"]
     out = spec.drop_duplicate_columns(j)
     assert out.columns == ["k", "v"] and tuple(out.first()) == (1, "x")
+
+
+def test_report_json_single_record(spark):
+    import json
+    df = spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "t int, p int")
+    counts = ev.confusion_counts(df, "t", "p")
+    long = ev.confusion_long_from_counts(counts, ["a", "b"])
+    rep_ = ev.class_report(long, ["a", "b"])
+    rec = json.loads(ev.report_json(long, rep_, ev.report_summary(rep_, counts, k=2)).first()["evaluation_json"])
+    assert rec["confusion_matrix"] == [[1, 0], [1, 1]]
+    assert abs(rec["accuracy"] - 2 / 3) < 1e-12
+    assert set(rec["classification_report"]) == {"a", "b"}
