@@ -88,9 +88,12 @@ def split_quotas(counts: DataFrame, stratum_col: str, val_size: float = spec.VAL
     everything = Window.partitionBy()
     c = counts.withColumn("_lf_N", F.sum("n").over(everything))
     c = c.withColumn("_lf_ntrain", F.col("_lf_N") - F.ceil(F.lit(float(val_size)) * F.col("_lf_N")))
-    prod = F.col("n") * F.col("_lf_ntrain")
-    c = c.withColumn("_lf_floor", F.floor(prod / F.col("_lf_N")).cast("bigint")) \
-        .withColumn("_lf_rem", prod - F.col("_lf_floor") * F.col("_lf_N"))
+    # n * n_train overflows 64 bits beyond ~3e9 rows per side: exact decimals.
+    dec = "decimal(38,0)"
+    prod = F.col("n").cast(dec) * F.col("_lf_ntrain").cast(dec)
+    big_n = F.col("_lf_N").cast(dec)
+    c = c.withColumn("_lf_rem", (prod % big_n).cast(dec)) \
+        .withColumn("_lf_floor", ((prod - F.col("_lf_rem")) / big_n).cast("bigint"))
     c = c.withColumn("_lf_need", F.col("_lf_ntrain") - F.sum("_lf_floor").over(everything))
     order = Window.orderBy(F.desc("_lf_rem"), F.col(stratum_col))
     c = c.withColumn("_lf_pos", F.row_number().over(order))

@@ -311,3 +311,16 @@ def test_report_json_single_record(spark):
     assert rec["confusion_matrix"] == [[1, 0], [1, 1]]
     assert abs(rec["accuracy"] - 2 / 3) < 1e-12
     assert set(rec["classification_report"]) == {"a", "b"}
+
+
+def test_split_quotas_at_large_counts(spark):
+    # counts whose products overflow 64-bit integers
+    sizes = [60_000_000_000, 30_000_000_001, 9_999_999_999]
+    counts = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "stratum string, n long")
+    q = {r["stratum"]: r["n_train"] for r in smp.split_quotas(counts, "stratum", 0.3).collect()}
+    total = sum(sizes)
+    import math
+    n_train = total - math.ceil(0.3 * total)
+    assert sum(q.values()) == n_train
+    for i, n in enumerate(sizes):  # each stratum within one of its exact share
+        assert abs(q[f"s{i}"] - n * n_train / total) < 1.0
