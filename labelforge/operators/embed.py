@@ -60,6 +60,32 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", dim: i
     return spread(df).withColumn(out_col, embed_udf(factory, batch_size)(F.col(text_col)))
 
 
+def hashing_tf_embed(df: DataFrame, text_col: str, out_col: str = "embedding", dim: int = 64,
+                     prefix_name: str = "none", normalize: bool = True) -> DataFrame:
+    """JVM-only fallback encoder: word tokens -> hashed term counts -> L2.
+
+    Spark ML ``RegexTokenizer`` + ``HashingTF`` (+ ``Normalizer``), then
+    ``vector_to_array``; no Python worker is involved.  Use it when no
+    external model is plugged in; ``embed_texts`` is the path for real
+    encoders.
+    """
+    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    prefix = spec.prefix_for(prefix_name)
+    src = F.col(text_col) if prefix is None else F.concat(F.lit(prefix), F.col(text_col))
+    staged = df.withColumn("_lf_in", F.coalesce(src, F.lit("")))
+    tokens = RegexTokenizer(inputCol="_lf_in", outputCol="_lf_tok", pattern=r"\w+", gaps=False,
+                            toLowercase=True).transform(staged)
+    tf = HashingTF(inputCol="_lf_tok", outputCol="_lf_tf", numFeatures=dim).transform(tokens)
+    vec_col = "_lf_tf"
+    if normalize:
+        tf = Normalizer(inputCol="_lf_tf", outputCol="_lf_norm", p=2.0).transform(tf)
+        vec_col = "_lf_norm"
+    out = tf.withColumn(out_col, vector_to_array(vec_col, "float32"))
+    return out.drop("_lf_in", "_lf_tok", "_lf_tf", "_lf_norm")
+
+
 def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, model_name: str,
                       dim: int = 64, prefix_name: str = "none", normalize: bool = False,
                       batch_size: int = 64, warmup_rows: int = 256,

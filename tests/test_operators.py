@@ -324,3 +324,13 @@ def test_split_quotas_at_large_counts(spark):
     assert sum(q.values()) == n_train
     for i, n in enumerate(sizes):  # each stratum within one of its exact share
         assert abs(q[f"s{i}"] - n * n_train / total) < 1.0
+
+
+def test_hashing_tf_embed_is_jvm_and_normalised(spark):
+    from labelforge.operators import embed as emb
+    df = spark.createDataFrame([(1, "Hello hello world"), (2, ""), (3, None)], "k long, t string")
+    out = emb.hashing_tf_embed(df, "t", dim=16, prefix_name="query").orderBy("k").collect()
+    assert all(len(r["embedding"]) == 16 for r in out)
+    assert abs(sum(x * x for x in out[0]["embedding"]) - 1.0) < 1e-5
+    plan = emb.hashing_tf_embed(df, "t", dim=16)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
