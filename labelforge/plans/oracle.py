@@ -429,6 +429,32 @@ mails AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS email_id, preprocess
 SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'en' AS language, preprocessed_text AS content FROM tr
 UNION ALL SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'de', translated_text FROM tr"""
 
+CENTROID_EVAL = f"""WITH sd AS (SELECT vec_id AS doc_id, embedding, label, CAST(label AS VARCHAR) AS stratum FROM embeddings),
+sc AS (SELECT stratum, count(*) AS n FROM sd GROUP BY stratum),
+st AS (SELECT *, sum(n) OVER () AS big_n FROM sc),
+st2 AS (SELECT *, big_n - CAST(ceil(CAST({spec.VAL_SIZE} AS DOUBLE) * big_n) AS BIGINT) AS ntrain FROM st),
+st3 AS (SELECT *, (CAST(n AS HUGEINT) * ntrain) // big_n AS fl, (CAST(n AS HUGEINT) * ntrain) % big_n AS rem FROM st2),
+st4 AS (SELECT *, ntrain - sum(fl) OVER () AS need, row_number() OVER (ORDER BY rem DESC, stratum) AS pos FROM st3),
+quota AS (SELECT stratum, fl + CASE WHEN pos <= need THEN 1 ELSE 0 END AS n_train FROM st4),
+sr AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{spec.SEED}'), doc_id) AS rk
+       FROM sd),
+split AS (SELECT sr.*, CASE WHEN rk <= n_train THEN 'train' ELSE 'val' END AS split FROM sr JOIN quota USING (stratum)),
+cells AS (SELECT doc_id, label, split, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM split),
+cent AS (SELECT label AS c, p, avg(CAST(x AS DOUBLE)) AS v FROM cells WHERE split = 'train' GROUP BY label, p),
+cnorm AS (SELECT c, sqrt(sum(v * v)) AS cn FROM cent GROUP BY c),
+vnorm AS (SELECT doc_id, greatest(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 1e-12) AS vn
+          FROM cells WHERE split = 'val' GROUP BY doc_id),
+dots AS (SELECT e.doc_id, e.label, k.c, sum(CAST(e.x AS DOUBLE) * k.v) AS dot
+         FROM cells e JOIN cent k ON k.p = e.p WHERE e.split = 'val' GROUP BY e.doc_id, e.label, k.c),
+scored AS (SELECT d.doc_id, d.label, d.c, d.dot / (v.vn * n.cn) AS cos
+           FROM dots d JOIN vnorm v USING (doc_id) JOIN cnorm n USING (c)),
+pred AS (SELECT doc_id, CAST(label AS INTEGER) AS true_label, CAST(c AS INTEGER) AS pred_label, 'x' AS language
+         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, c) AS r FROM scored) WHERE r = 1),
+{_report_ctes('pred', 10, str_list([str(i) for i in range(10)]))}
+SELECT {", ".join(f"{r9(c)} AS {c}" for c in ["accuracy", "macro_precision", "macro_recall", "macro_f1",
+                                               "weighted_precision", "weighted_recall", "weighted_f1"])}, support
+FROM summ WHERE slice = 'all'"""
+
 ORACLE: dict[str, str] = {
     "quality_report": f"""WITH pr AS (
   SELECT CAST(l.quality AS INTEGER) AS true_label, CASE WHEN d.n_chars >= 1500 THEN 1 ELSE 0 END AS pred_label, 'x' AS language
@@ -574,6 +600,9 @@ FROM pages""",
     "safe_names": """SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_name,
   replace(url, ':', '_') AS model_path,
   'monitoring_events_' || regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') || '.json' AS file_name FROM pages""",
+    # every text gets the "query: " prefix, so it has a token: a 64-dim unit vector
+    "embed_texts": "SELECT doc_id, CAST(64 AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM documents",
+    "centroid_eval": CENTROID_EVAL,
     "post_dataset": POST_DATASET,
     "mail_dataset": MAIL_DATASET,
     "event_times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS start_iso,

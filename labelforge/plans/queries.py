@@ -393,7 +393,10 @@ def q_centroid_eval(spark, sf):
     names = [str(i) for i in range(10)]
     counts = ev.confusion_counts(pred, "label", "pred_label")
     r = ev.class_report(ev.confusion_long_from_counts(counts, names), names)
-    return ev.report_summary(r, counts, k=len(names))
+    s = ev.report_summary(r, counts, k=len(names))
+    return s.select(*[rnd(c).alias(c) for c in ["accuracy", "macro_precision", "macro_recall", "macro_f1",
+                                                 "weighted_precision", "weighted_recall", "weighted_f1"]],
+                    "support")
 
 
 def q_embed_texts(spark, sf):
