@@ -106,7 +106,8 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_cols: li
     be non-decreasing along ``order_cols`` inside a partition.
     ``with_offsets`` may add columns to the small per-(partition, bucket)
     table (it sees ``_lf_n`` = rows in the bucket and ``_lf_total`` = rows
-    in the partition); they are joined to every row.
+    in the partition); they are joined to every row.  The input is staged
+    eagerly, so select only the columns needed downstream before calling.
     """
     b, bcol, own = _with_bucket(df, bucket)
     b, pk = _group_key(b, list(partition_cols))

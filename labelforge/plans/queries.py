@@ -133,8 +133,14 @@ def q_shuffle_order(spark, sf):
     return smp.shuffle_rank(docs(spark, sf).select("doc_id"), "doc_id")
 
 
-def split_frame(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text", "lang")
+def split_frame(spark, sf, with_text: bool = False):
+    """Labelled documents split 70/30 on quality x language.
+
+    The split stages its input eagerly, so only the columns the caller needs
+    are selected before it (a written stage cannot be pruned afterwards).
+    """
+    cols = ["doc_id", "lang"] + (["text"] if with_text else [])
+    d = docs(spark, sf).select(*cols)
     lbl = table(spark, sf, "labels").select("doc_id", "quality")
     return smp.stratified_split(d.join(lbl, "doc_id"), ["quality", "lang"], "doc_id")
 
@@ -144,7 +150,7 @@ def q_stratified_split(spark, sf):
 
 
 def q_split_overlap(spark, sf):
-    s = materialize(split_frame(spark, sf))
+    s = materialize(split_frame(spark, sf, with_text=True))
     train = s.where(F.col("split") == "train")
     val = s.where(F.col("split") == "val")
     return smp.overlap(val, train, "text").select("doc_id", "lang")
