@@ -62,13 +62,16 @@ BUCKET_BYTES = 64 << 20  # estimated bytes per stage bucket
 def _bucket_count(df: DataFrame) -> int:
     """Buckets for a stage table: about 64 MB of the optimizer's size estimate
     each, at most the session's shuffle partitions (which an unknown
-    estimate falls back to)."""
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate falls back to), and at least min(cores, 64) so that a small
+    stage still keeps every core busy."""
+    spark = df.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = max(1, min(cap, spark.sparkContext.defaultParallelism, 64))
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no estimate available
         return cap
-    return max(1, min(cap, -(-size // BUCKET_BYTES)))
+    return max(floor, min(cap, -(-size // BUCKET_BYTES)))
 
 
 def _group_key(df: DataFrame, partition_cols: list[str]) -> tuple[DataFrame, list[str]]:
