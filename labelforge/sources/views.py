@@ -85,13 +85,14 @@ def _k(props: str = "props"):
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per user; one epoch per event in (ts, event_id) order."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
+    # parse k once, before staging: the stage then holds a number, not the JSON text
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", _k().alias("k"))
     # whole seconds since 1970-01-01: grows with ts for both timestamp types
     seconds = (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 86400
                + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
     bucketed = hot_key_buckets(ev, ["user_id"], seconds)
     ranked = bucketed_row_number(bucketed, ["user_id"], ["ts", "event_id"], "_lf_b", "_lf_rn")
-    k = _k()
+    k = F.col("k")
     return ranked.drop("_lf_b").select(
         F.col("user_id").alias("run_id"),
         (F.col("_lf_rn") - 1).alias("epoch"),
