@@ -5,25 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import decontaminate, mixing, secrets, url_filter
+from labelforge.llm import (
+    decontaminate,
+    html_text,
+    language,
+    mixing,
+    quality_model,
+    quality_rules,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from labelforge.sources.tables import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and boosted trees over every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the character language-model ratio, over every page url."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, *toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curriculum mix of all documents, sorted by first reading."""
     return mixing.mixed_documents(mixing.curriculum(table(spark, sf_dir, "documents")))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subword embedding score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, *quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, weak ones linked within scopes."""
     return secrets.secret_digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,5 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op3_url_filter, op5_curriculum_mix, op8_secret_scan, op10_decontaminate)}
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_url_filter, op4_toxicity, op5_curriculum_mix, op6_quality_model, op7_language,
+    op8_secret_scan, op9_html_text, op10_decontaminate)}
 LLM_ORACLE: dict[str, str] = {}
