@@ -10,6 +10,7 @@ from labelforge.llm import (
     html_text,
     language,
     mixing,
+    near_duplicates,
     quality_model,
     quality_rules,
     secrets,
@@ -25,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies over all documents."""
+    return near_duplicates.groups(table(spark, sf_dir, "documents")).drop("cls")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, then the character language-model ratio, over every page url."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
@@ -71,6 +77,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_url_filter, op4_toxicity, op5_curriculum_mix, op6_quality_model, op7_language,
+    op1_quality_rules, op2_near_duplicates, op3_url_filter, op4_toxicity, op5_curriculum_mix, op6_quality_model, op7_language,
     op8_secret_scan, op9_html_text, op10_decontaminate)}
 LLM_ORACLE: dict[str, str] = {}
