@@ -28,6 +28,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def maybe_broadcast(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast while the counted rows times ``row_bytes`` stay within
+    ``most``; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new to ``df``."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` words (null text: 0), as bigint."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE_WORD)).cast("bigint")

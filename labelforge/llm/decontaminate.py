@@ -68,36 +68,38 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, prefix: DataFrame, small: bool) -> DataFrame:
-    """(rid, doc_id, n_words, at, len, items): the occurrences of windows, and
+    """(rid, doc_id, tie, n_words, at, len, items): the occurrences of windows, and
     one row per document with null ``at`` that carries its number of words."""
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", raw_words(F.col("text")).alias("words"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("tie"),
+                        raw_words(F.col("text")).alias("words"))
     begin = F.col("pos") - F.col("offset")
     fits = (begin >= 0) & (begin + F.size("win") <= F.size("words"))
     # Compared as joined strings (words hold no blank), so that the scan stays one compiled stage.
     there = F.translate(F.array_join(F.slice("words", begin + 1, F.size("win")), " "), _UPPER, _LOWER)
     same = there == F.array_join("win", " ")
-    out = ["rid", "doc_id", F.size("words").cast("bigint").alias("n_words"),
+    out = ["rid", "doc_id", "tie", F.size("words").cast("bigint").alias("n_words"),
            F.when(F.col("win").isNotNull(), begin).alias("at"), F.size("win").alias("len"), "items"]
     if small:
         # An empty token after the last word meets the empty prefix: every document keeps one row.
         mark = docs.sparkSession.range(1).select(
             F.lit("").alias("token"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("win"),
             F.lit(None).cast("array<string>").alias("items"))
-        tokens = texts.select("rid", "doc_id", "words",
+        tokens = texts.select("rid", "doc_id", "tie", "words",
                               F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "w"))
         found = tokens.join(F.broadcast(prefix.union(mark)), F.lower("w") == F.col("token"))
         return found.where(F.col("win").isNull() | (fits & same)).select(*out)
     tokens = texts.select("rid", F.posexplode("words").alias("pos", "w")).select("rid", "pos", F.lower("w").alias("token"))
     found = tokens.join(prefix, "token").where(begin >= 0).join(texts, "rid").where(fits & same).select(*out)
     return found.unionByName(texts.select(
-        "rid", "doc_id", F.size("words").cast("bigint").alias("n_words"), F.lit(None).cast("int").alias("at"),
+        "rid", "doc_id", "tie", F.size("words").cast("bigint").alias("n_words"), F.lit(None).cast("int").alias("at"),
         F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items (sorted), spans
-    (merged word ranges ``start, end`` covered by windows) and contaminated."""
+    (merged word ranges ``start, end`` covered by windows), contaminated and tie
+    (hash of the text)."""
     windows = item_windows(items.select("item_id", "text"), window).cache()
     measured = windows.agg(F.sum(F.length(F.concat_ws(" ", "win")) + F.length(F.concat_ws(" ", "items")) + 64)).first()[0]
     small = (measured or 0) <= broadcast_bytes
@@ -115,8 +117,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     spans = F.array_sort(F.collect_list(F.when(F.col("new") > 0, F.struct(
         F.greatest("at", "reach").alias("start"), end.alias("end")))))
     per = found.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+        F.first("doc_id").alias("doc_id"), F.first("tie").alias("tie"), F.max("n_words").alias("n_words"),
         F.coalesce(F.sum("new"), F.lit(0)).cast("bigint").alias("n_hit"),
         item_list.alias("items"), spans.alias("spans"))
     return per.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans",
-                      (F.col("n_hit") > 0).alias("contaminated"))
+                      (F.col("n_hit") > 0).alias("contaminated"), "tie")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import mix64, slices, stage
+from labelforge.llm.common import maybe_broadcast, mix64, slices, stage
 from labelforge.llm.graph import components
 
 SHINGLE = 5
@@ -44,7 +44,6 @@ HASHES, BITS, BAND = 128, 4, 4
 LONGS = HASHES * BITS // 64
 #: Estimates below this are let go: the threshold less four standard errors.
 LEAST_ESTIMATE = 0.59
-BROADCAST_BYTES = 32 << 20
 PIECE = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,9 +163,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFra
     one document of each."""
     chosen = stage(classes.join(wanted.select("cls").distinct(), "cls").select(
         "cls", F.col("doc_id").alias("rep"), F.col("tie").alias("rep_tie")), "chosen")
-    small = chosen.count() * 48 <= BROADCAST_BYTES
     texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    texts = texts.join(F.broadcast(chosen) if small else chosen,
+    texts = texts.join(maybe_broadcast(chosen, 48),
                        F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tie") == F.col("rep_tie")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +227,8 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable
-    over links), kept (the document that names its group), cls."""
+    over links), kept (the document that names its group), cls and tie
+    (hash of the text)."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs), "signatures")
     classes = stage(rows.where("cls is not null").dropDuplicates(["cls"]), "classes")
@@ -239,7 +238,7 @@ def groups(docs: DataFrame) -> DataFrame:
     least = stage(least, "least")
     named = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.select("cls", "component").join(named, "component").select("cls", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
+    out = rows.select("doc_id", "tie", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls")
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "cls", "tie")

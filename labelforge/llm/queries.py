@@ -28,7 +28,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies over all documents."""
-    return near_duplicates.groups(table(spark, sf_dir, "documents")).drop("cls")
+    return near_duplicates.groups(table(spark, sf_dir, "documents")).drop("cls", "tie")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
