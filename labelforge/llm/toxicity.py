@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from labelforge.llm.common import fold, fold_column, labelled_sample, logistic, slices, stage
 
 #: Most labelled documents, words taken for positive ones and other words that the fit reads.
-MAX_TRAIN_ROWS = 8_000
+MAX_TRAIN_ROWS = 5_000
 MAX_CANDIDATES = 2_000
 MAX_POSITIVE = 300
 MAX_NEGATIVE = 1_600
-MINING_ROUNDS = 3
+MINING_ROUNDS = 2
 LANDMARKS = 240
 HELD_OUT_OF, HELD_OUT = 3, 1
 PREDICT_AT = 0.7
@@ -114,19 +114,28 @@ def norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.bincount(row, sums * sums, len(keys)), 1e-12))
 
 
-def explicit(words: list[str]) -> np.ndarray:
-    """Normalised kernel map of each word (dense, for the few words of a fit)."""
-    out = np.zeros((len(words), _CODES ** 3), np.float32)
+def subsequence_keys(words: list[str]) -> np.ndarray:
+    """Distinct subsequence keys of the words, sorted."""
+    return np.unique(np.concatenate([np.unique(keys) for _, keys, _ in word_map(words)]))
+
+
+def explicit(words: list[str], known: np.ndarray) -> np.ndarray:
+    """Normalised kernel map of each word on the ``known`` subsequences."""
+    out = np.zeros((len(words), len(known)), np.float32)
     for at, keys, weight in word_map(words):
-        size = norms(keys, weight)
-        np.add.at(out, (np.repeat(at, keys.shape[1]), keys.ravel()), (weight[None, :] / size[:, None]).ravel())
+        share = weight[None, :] / norms(keys, weight)[:, None]
+        column = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[column] == keys
+        np.add.at(out, (np.broadcast_to(at[:, None], keys.shape)[hit], column[hit]), share[hit])
     return out
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """Normalised kernel of every word of ``a`` with every word of ``b``."""
-    right = explicit(b).T
-    return np.concatenate([explicit(a[i:i + 64]) @ right for i in range(0, len(a), 64)]) if a else np.zeros((0, len(b)))
+    """Normalised kernel of every word of ``a`` with every word of ``b`` (only
+    subsequences of ``b`` count)."""
+    known = subsequence_keys(b)
+    right = explicit(b, known).T
+    return np.concatenate([explicit(a[i:i + 256], known) @ right for i in range(0, len(a), 256)])
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> np.ndarray:
@@ -300,7 +309,9 @@ def fit_words(positive: dict[str, float], negative: list[str], landmarks: int =
     y = np.append(np.ones(len(pos)), -np.ones(len(negative)))
     evidence = np.sqrt(np.array(list(positive.values())))
     machine = fit_svm(x, y, np.append(evidence / evidence.sum(), np.full(len(negative), 1 / len(negative))))
-    return ToxicModel((half @ machine[:-1]) @ explicit(marks), float(machine[-1]))
+    known, weight = subsequence_keys(marks), np.zeros(_CODES ** 3)
+    weight[known] = (half @ machine[:-1]) @ explicit(marks, known)
+    return ToxicModel(weight, float(machine[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, out_of: int = HELD_OUT_OF,
