@@ -79,4 +79,44 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_near_duplicates, op3_url_filter, op4_toxicity, op5_curriculum_mix, op6_quality_model, op7_language,
     op8_secret_scan, op9_html_text, op10_decontaminate)}
-LLM_ORACLE: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The others hold a learned model or Spark's own hashes; tests/llm has plain versions.
+LLM_ORACLE: dict[str, str] = {
+    "op2_near_duplicates": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = d.doc_id""",
+    "op10_decontaminate": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, list_slice(w, k, k + 9) AS win
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS p FROM d),
+spots AS (SELECT doc_id, p, l, list_slice(w, p, p + l - 1) AS g FROM p, (SELECT DISTINCT len(win) AS l FROM win)),
+hits AS (SELECT doc_id, p, l, item FROM spots JOIN win ON g = win.win),
+words AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(generate_series(p, p + l - 1)) AS q FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS it FROM hits GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(len(it), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(it, ','), '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
