@@ -63,6 +63,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def gathered(df: DataFrame, key: str, *lists: str) -> tuple[pa.Table, list[list[np.ndarray]]]:
+    """A bounded result on the driver, in order of ``key``: the Arrow table and,
+    for each list column, its rows as views of one array."""
+    table = df.toArrow().combine_chunks().sort_by(key).combine_chunks()
+    out = []
+    for name in lists:
+        column = table[name].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+        if not len(column):
+            out.append([])
+            continue
+        values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+        out.append([values[a:b] for a, b in zip(ends[:-1], ends[1:])])
+    return table, out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective) on an array of unsigned longs."""
     x = x ^ (x >> np.uint64(31))

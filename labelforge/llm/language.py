@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import fold, fold_column, slices
+from labelforge.llm.common import fold, fold_column, gathered, slices
 
 #: Most documents that the fit reads.
 MAX_TRAIN_ROWS = 3_000
@@ -147,15 +147,15 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, out_of: int = HELD_OU
                  pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32())),
                  pa.array([r[3].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
                 ["doc_id", "lang", "ids", "counts"])
-    rows = (sample.mapInArrow(run, "doc_id string, lang string, ids array<int>, counts array<float>")
-            .toPandas().sort_values(["doc_id", "lang"], kind="stable"))
-    if not len(rows):
+    rows, (ids, counts) = gathered(
+        sample.mapInArrow(run, "doc_id string, lang string, ids array<int>, counts array<float>"), "doc_id", "ids", "counts")
+    if not rows.num_rows:
         return None
-    names = sorted(rows["lang"].unique())
+    langs = rows["lang"].to_pylist()
+    names = sorted(set(langs))
     model = LanguageModel(names, np.log((1 + n) / (1 + have)) + 1, np.zeros((ROWS, len(names))), np.zeros(len(names)))
-    x = [(np.asarray(i, np.int64), model.features(np.asarray(i, np.int64), np.asarray(c, float)))
-         for i, c in zip(rows["ids"], rows["counts"])]
-    y = np.array([names.index(v) for v in rows["lang"]])
+    x = [(i, model.features(i, c)) for i, c in zip(ids, counts)]
+    y = np.array([names.index(v) for v in langs])
     check = np.arange(len(y)) % 7 == 3  # kept from the fit, for the temperature
     model.weights, model.bias = fit_ftrl([v for v, c in zip(x, check) if not c], y[~check], len(names))
     logits = np.array([v @ model.weights[i] + model.bias for (i, v), c in zip(x, check) if c]).reshape(-1, len(names))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import fold, fold_column, labelled_sample, slices
+from labelforge.llm.common import fold, fold_column, gathered, labelled_sample, slices
 
 #: Most labelled documents that the fit reads.
 MAX_TRAIN_ROWS = 2_000
@@ -165,12 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
                  pa.array([b[0].astype(np.int32) for b in bags], pa.list_(pa.int32())),
                  pa.array([b[1].astype(np.float32) for b in bags], pa.list_(pa.float32()))],
                 ["doc_id", "label", "ids", "weights"])
-    rows = (sample.select("doc_id", "label", "text")
-            .mapInArrow(run, "doc_id string, label int, ids array<int>, weights array<float>")
-            .toPandas().sort_values("doc_id", kind="stable"))
-    y = rows["label"].to_numpy(float)
-    # As they came (4-byte numbers): the driver holds each list once.
-    return fit(list(zip(rows["ids"], rows["weights"])), y), float(y.mean()) if len(y) else 0.5
+    rows, (ids, weights) = gathered(
+        sample.select("doc_id", "label", "text").mapInArrow(
+            run, "doc_id string, label int, ids array<int>, weights array<float>"), "doc_id", "ids", "weights")
+    y = rows["label"].to_numpy().astype(float)
+    return fit(list(zip(ids, weights)), y), float(y.mean()) if len(y) else 0.5
 
 
 def score(docs: DataFrame, model: Embedding | None, share: float = 0.5, at: float = PREDICT_AT,
