@@ -61,11 +61,17 @@ def confusion_matrix(long: DataFrame, labels=spec.TARGET_LABELS, slice_cols=())
         .agg(F.first("n"))
 
 
-def class_report(long: DataFrame, labels=spec.TARGET_LABELS, slice_cols=()) -> DataFrame:
+def class_report(long: DataFrame, labels=spec.TARGET_LABELS, slice_cols=(), counts: DataFrame | None = None) -> DataFrame:
     """Precision, recall, F1 and support per class; 0 when a denominator is 0.
 
+    With ``counts`` (all pairs, labels outside the taxonomy included) the margins
+    are taken over all rows, and ``long`` only says which classes there are.
+
     F1 = 2*tp / (support + predicted), which equals 2PR/(P+R).
     """
+    pairs = [*slice_cols, "true_label", "pred_label"]
+    if counts is not None:
+        long = long.select(*pairs, F.lit(0).cast("bigint").alias("n")).unionByName(counts.select(*pairs, "n"))
     cells = long.select(*slice_cols, F.explode(F.array(
         F.struct(F.col("true_label").alias("label"), F.col("n").alias("support"),
                  F.lit(0).cast("bigint").alias("predicted"),
@@ -74,7 +80,7 @@ def class_report(long: DataFrame, labels=spec.TARGET_LABELS, slice_cols=()) -> D
         F.struct(F.col("pred_label").alias("label"), F.lit(0).cast("bigint").alias("support"),
                  F.col("n").alias("predicted"), F.lit(0).cast("bigint").alias("tp")),
     )).alias("c")).select(*slice_cols, "c.*")
-    per = cells.groupBy(*slice_cols, "label").agg(
+    per = cells.where(F.col("label").between(0, len(labels) - 1)).groupBy(*slice_cols, "label").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
         F.sum("tp").alias("tp"))
     zero = F.lit(0.0)

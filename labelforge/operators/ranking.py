@@ -5,73 +5,59 @@ into one task; a hot group (say a third of all rows) then runs on a single
 core and may spill for hours.  The helpers here compute the same numbers from
 two levels:
 
-1. a *bucket* column that is monotone in the order (a hash prefix when the
-   order is a hash, a time bucket for timestamps, a key range for ids);
-2. one shuffle of the rows by (p, bucket), written once as a table bucketed
-   on (p, bucket) in the shared checkpoint folder (the bucketing is known
-   when it is read back, and the write cuts the lineage, so a lost executor
-   never re-runs the upstream plan);
-3. from that table, a window over (p, bucket) gives the in-bucket part, and
+1. a *bucket* column that is monotone in the order: a hash prefix when the
+   order is a hash, a block of epochs, or the range partition of the full
+   order key (``ordered_buckets``).  Rows without an order value share bucket
+   -1 and come first, like nulls in an ascending order;
+2. the rows with their bucket, written once below the shared checkpoint folder
+   (this cuts the lineage, so a lost executor never re-runs the upstream plan);
+3. from that stage, a window over (p, bucket) gives the in-bucket part, and
    a map-side aggregate gives the bucket totals (one row per (p, bucket):
    small); an exclusive prefix over buckets on that small table is joined
-   back on (p, bucket), which moves only the small side.
+   back on (p, bucket), the key by which the window has already dealt the rows.
 
-The upstream plan runs once; results equal the plain window exactly.
+The plan is the same at every size and for every catalog.  The upstream plan
+runs once; results equal the plain window exactly.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.session import ensure_checkpoint_dir, scratch_path
+from labelforge.session import scratch_path
 
 _AGG = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
-def _materialized(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Write ``df`` bucketed by ``keys`` to the shared checkpoint folder.
+def _materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+RANGE_BYTES = 64 << 20  # bytes of a stage per range partition
+
+
+def ordered_buckets(df: DataFrame, partition_cols: list[str], order_cols: list[str],
+                    out_col: str = "_lf_b", range_bytes: int | None = None) -> DataFrame:
+    """Add a bucket that grows with ``order_cols`` within ``partition_cols``.
 
-    The bucketed table is read back with its hash partitioning known, so the
-    window, the bucket aggregate and the sort-merge join back on ``keys`` run
-    without another exchange (a plain ``checkpoint`` loses the partitioning
-    under adaptive execution).  Rows are first hash-partitioned the same way,
-    so each task writes exactly one bucket file.  The written table also cuts
-    the lineage: a lost executor never re-runs the upstream plan.
+    The staged rows are range-partitioned by both, so buckets hold about equally
+    many rows however the values are spread: an outlier, a burst in one second
+    or a key with most of the rows is cut like any other stretch.  Only rows
+    that agree in every order column cannot be told apart.  Bounds are sampled
+    from the stage, so the upstream plan runs once.
     """
+    staged = _materialized(df)
     spark = df.sparkSession
-    n = _bucket_count(df)
-    cols = [F.col(k) for k in keys]
-    if spark.conf.get("spark.sql.catalogImplementation", "in-memory") != "in-memory":
-        # No metastore writes from a library call: a reliable checkpoint
-        # (correct, but the partitioning is not kept under AQE).
-        ensure_checkpoint_dir(spark)
-        return df.repartition(n, *cols).checkpoint(eager=True)
-    name = f"lf_stage_{uuid.uuid4().hex[:16]}"
-    df.repartition(n, *cols).write.bucketBy(n, *keys).mode("overwrite") \
-        .option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
-
-
-BUCKET_BYTES = 64 << 20  # estimated bytes per stage bucket
-
-
-def _bucket_count(df: DataFrame) -> int:
-    """Buckets for a stage table: about 64 MB of the optimizer's size estimate
-    each, at most the session's shuffle partitions (which an unknown
-    estimate falls back to), and at least min(cores, 64) so that a small
-    stage still keeps every core busy."""
-    spark = df.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = max(1, min(cap, spark.sparkContext.defaultParallelism, 64))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no estimate available
-        return cap
-    return max(floor, min(cap, -(-size // BUCKET_BYTES)))
+    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(spark.sparkContext.defaultParallelism, -(-size // (range_bytes or RANGE_BYTES)))
+    return staged.repartitionByRange(n, *partition_cols, *order_cols).withColumn(out_col, F.spark_partition_id())
 
 
 def _group_key(df: DataFrame, partition_cols: list[str]) -> tuple[DataFrame, list[str]]:
@@ -95,9 +81,10 @@ def hash_bucket(hex_hash: Column, digits: int = 4) -> Column:
 
 
 def _with_bucket(df: DataFrame, bucket) -> tuple[DataFrame, str, bool]:
+    # Rows without an order value keep a bucket of their own, before the others.
     if isinstance(bucket, str):
-        return df, bucket, False
-    return df.withColumn("_lf_b", bucket), "_lf_b", True
+        return df.withColumn(bucket, F.coalesce(F.col(bucket), F.lit(-1))), bucket, False
+    return df.withColumn("_lf_b", F.coalesce(bucket, F.lit(-1))), "_lf_b", True
 
 
 def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_cols: list,
@@ -115,7 +102,7 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_cols: li
     b, bcol, own = _with_bucket(df, bucket)
     b, pk = _group_key(b, list(partition_cols))
     keys = pk + [bcol]
-    b = _materialized(b, keys)
+    b = _materialized(b)
     ranked = b.withColumn("_lf_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_cols)))
     counts = b.groupBy(*keys, *partition_cols).agg(F.count(F.lit(1)).alias("_lf_n"))
     before = Window.partitionBy(*pk).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +131,7 @@ def bucketed_prefix(df: DataFrame, partition_cols: list[str], order_cols: list,
     b, bcol, own = _with_bucket(df, bucket)
     b, pk = _group_key(b, list(partition_cols))
     keys = pk + [bcol]
-    b = _materialized(b.withColumn("_lf_v", value), keys)
+    b = _materialized(b.withColumn("_lf_v", value))
     upto = 0 if inclusive else -1
     scanned = b.withColumn("_lf_local", agg("_lf_v").over(
         Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upto)))
@@ -161,51 +148,3 @@ def bucketed_prefix(df: DataFrame, partition_cols: list[str], order_cols: list,
         combined = F.greatest(F.col("_lf_carry"), F.col("_lf_local"))
     out = out.withColumn(out_col, combined).drop("_lf_v", "_lf_carry", "_lf_local")
     return out.drop(bcol) if own else out
-
-
-def range_bucket(df: DataFrame, key: str, n_buckets: int = 1 << 16) -> Column:
-    """Bucket of a numeric key by equal-width ranges between its min and max.
-
-    Needs one small aggregate (two numbers) to fix the range.
-    """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return F.lit(0)
-    width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
-    return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
-
-
-HOT_KEY_ROWS = 1 << 22  # rows per bucket aimed at when a key is split
-
-
-def hot_key_buckets(df: DataFrame, partition_cols: list[str], order_value: Column,
-                    target_rows: int = HOT_KEY_ROWS, out_col: str = "_lf_b") -> DataFrame:
-    """Add a bucket column for ``bucketed_row_number`` / ``bucketed_prefix``.
-
-    Keys with at most ``target_rows`` rows keep one bucket (0).  Hotter keys
-    are split into equal-width ranges of ``order_value`` (a number that grows
-    with the order), about ``target_rows`` rows each if the values are spread
-    evenly.  The hot-key table comes from one map-side combined aggregate and
-    has at most total_rows / target_rows rows, so it is collected and
-    broadcast with a proven bound.
-    """
-    spark = df.sparkSession
-    v = df.withColumn("_lf_ov", order_value.cast("double"))
-    keyed, pk = _group_key(v, list(partition_cols))
-    if not pk:
-        keyed = keyed.withColumn("_lf_pk", F.lit("{}"))
-    stats = keyed.groupBy("_lf_pk").agg(F.count(F.lit(1)).alias("n"), F.min("_lf_ov").alias("lo"),
-                                        F.max("_lf_ov").alias("hi")).where(F.col("n") > target_rows)
-    hot = stats.collect()
-    if not hot:
-        return keyed.withColumn(out_col, F.lit(0).cast("bigint")).drop("_lf_ov", "_lf_pk")
-    rows = []
-    for r in hot:
-        parts = -(-int(r["n"]) // target_rows)
-        width = (float(r["hi"]) - float(r["lo"])) / parts or 1.0
-        rows.append((r["_lf_pk"], float(r["lo"]), width))
-    table = spark.createDataFrame(rows, "_lf_pk string, _lf_lo double, _lf_w double")
-    j = keyed.join(F.broadcast(table), "_lf_pk", "left")
-    bucket = F.when(F.col("_lf_w").isNull(), F.lit(0)) \
-        .otherwise(F.floor((F.col("_lf_ov") - F.col("_lf_lo")) / F.col("_lf_w")) + 1).cast("bigint")
-    return j.withColumn(out_col, bucket).drop("_lf_ov", "_lf_pk", "_lf_lo", "_lf_w")

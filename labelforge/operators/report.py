@@ -68,7 +68,8 @@ def comparison(perf: DataFrame, runs: DataFrame, cpu_devices: list[str]) -> Data
     ts = F.col("timestamp")
 
     def newest(value: str, device: str):
-        return F.max_by(value, F.when(F.col("device") == device, ts))
+        mine = F.lower("device").contains("gpu") if device == "gpu" else F.col("device") == device
+        return F.max_by(value, F.when(mine, ts))
 
     p = perf.groupBy("model_name").agg(
         newest("gpu_memory_allocated_mb", "gpu").alias(MEMORY),

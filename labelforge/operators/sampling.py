@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge import spec
-from labelforge.operators.ranking import (bucketed_row_number, hash_bucket,
-                                          range_bucket)
+from labelforge.operators.ranking import bucketed_row_number, hash_bucket, ordered_buckets
 
 
 def seeded_hash(key, seed: int = spec.SEED) -> Column:
@@ -29,9 +28,8 @@ def head_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
 
 def row_ids(df: DataFrame, order_col: str, out_col: str = "row_id", start: int = 0) -> DataFrame:
     """Running number from ``start`` in ``order_col`` order, without one global task."""
-    bucket = range_bucket(df, order_col)
-    ranked = bucketed_row_number(df, [], [order_col], bucket, "_lf_rank")
-    return ranked.withColumn(out_col, F.col("_lf_rank") - 1 + F.lit(start)).drop("_lf_rank")
+    ranked = bucketed_row_number(ordered_buckets(df, [], [order_col]), [], [order_col], "_lf_b", "_lf_rank")
+    return ranked.withColumn(out_col, F.col("_lf_rank") - 1 + F.lit(start)).drop("_lf_rank", "_lf_b")
 
 
 def shuffle_rank(df: DataFrame, key_col: str, seed: int = spec.SEED,
@@ -66,7 +64,8 @@ def balance_classes(df: DataFrame, class_col: str, key_col: str, seed: int = spe
     h = df.withColumn("_lf_h", seeded_hash(key_col, seed))
 
     def quota(offsets: DataFrame) -> DataFrame:
-        return offsets.withColumn("_lf_quota", F.min("_lf_total").over(Window.partitionBy()))
+        # One row: the size of the smallest class.
+        return offsets.join(F.broadcast(offsets.agg(F.min("_lf_total").alias("_lf_quota"))))
 
     ranked = bucketed_row_number(h, [class_col], ["_lf_h", key_col], hash_bucket(F.col("_lf_h")),
                                  "_lf_rank", with_offsets=quota)
@@ -78,12 +77,14 @@ def stratum_key(*cols) -> Column:
     return F.concat_ws("_", *[F.col(c).cast("string") for c in cols])
 
 
-def split_quotas(counts: DataFrame, stratum_col: str, val_size: float = spec.VAL_SIZE) -> DataFrame:
+def split_quotas(counts: DataFrame, stratum_col: str, val_size: float = spec.VAL_SIZE,
+                 order_col: str | None = None) -> DataFrame:
     """Training rows per stratum for a stratified split.
 
     n_val = ceil(val_size * N); training rows n_train = N - n_val are shared
     out in proportion to the stratum sizes by largest remainder (ties: the
-    smaller stratum key first).  ``counts`` has one row per stratum (``n``).
+    smaller ``order_col``, then stratum key first).  ``counts`` has one row per
+    stratum (``n``).
     """
     everything = Window.partitionBy()
     c = counts.withColumn("_lf_N", F.sum("n").over(everything))
@@ -95,7 +96,7 @@ def split_quotas(counts: DataFrame, stratum_col: str, val_size: float = spec.VAL
     c = c.withColumn("_lf_rem", (prod % big_n).cast(dec)) \
         .withColumn("_lf_floor", ((prod - F.col("_lf_rem")) / big_n).cast("bigint"))
     c = c.withColumn("_lf_need", F.col("_lf_ntrain") - F.sum("_lf_floor").over(everything))
-    order = Window.orderBy(F.desc("_lf_rem"), F.col(stratum_col))
+    order = Window.orderBy(F.desc("_lf_rem"), F.col(order_col or stratum_col), F.col(stratum_col))
     c = c.withColumn("_lf_pos", F.row_number().over(order))
     train = F.col("_lf_floor") + F.when(F.col("_lf_pos") <= F.col("_lf_need"), 1).otherwise(0)
     return c.select(stratum_col, "n", train.cast("bigint").alias("n_train"))
@@ -108,15 +109,17 @@ def stratified_split(df: DataFrame, strata: list[str], key_col: str, val_size: f
     Stratum sizes and quotas are computed on the small per-(stratum, bucket)
     table of the rank, then joined to the rows with the rank offsets.
     """
-    s = df.withColumn("stratum", stratum_key(*strata)).withColumn("_lf_h", seeded_hash(key_col, seed))
+    s = df.withColumn("_lf_h", seeded_hash(key_col, seed))
 
     def quotas(offsets: DataFrame) -> DataFrame:
-        sizes = offsets.select("stratum", F.col("_lf_total").alias("n")).dropDuplicates(["stratum"])
-        q = split_quotas(sizes, "stratum", val_size).select("stratum", "n_train")
-        return offsets.join(q, "stratum")
-
-    ranked = bucketed_row_number(s, ["stratum"], ["_lf_h", key_col], hash_bucket(F.col("_lf_h")),
-                                 "_lf_rank", with_offsets=quotas)
+        # Strata are told apart by their columns; the joined text only orders and labels them.
+        sizes = offsets.groupBy("_lf_pk", *strata).agg(F.max("_lf_total").alias("n")) \
+            .withColumn("_lf_text", stratum_key(*strata))
+        q = split_quotas(sizes, "_lf_pk", val_size, "_lf_text").select("_lf_pk", "n_train")
+        return offsets.join(q, "_lf_pk")
+
+    ranked = bucketed_row_number(s, list(strata), ["_lf_h", key_col], hash_bucket(F.col("_lf_h")),
+                                 "_lf_rank", with_offsets=quotas).withColumn("stratum", stratum_key(*strata))
     out = ranked.withColumn(out_col, F.when(F.col("_lf_rank") <= F.col("n_train"), "train").otherwise("val"))
     return out.drop("_lf_h", "_lf_rank", "n_train")
 

@@ -21,7 +21,8 @@ EPOCH_BUCKET = 1024
 
 
 def _bucket(epoch_col: str = "epoch"):
-    return F.floor(F.col(epoch_col) / EPOCH_BUCKET).cast("bigint")
+    # A null epoch has a block of its own, before the others.
+    return F.coalesce(F.floor(F.col(epoch_col) / EPOCH_BUCKET).cast("bigint"), F.lit(-1))
 
 
 def batch_weighted_metrics(batches: DataFrame, group_cols: list[str], loss_col: str,
@@ -40,7 +41,7 @@ def no_improvement(series: DataFrame, run_col: str = "run_id", epoch_col: str =
     """Add ``improved`` and ``no_improve``: epochs since the last strict
     improvement of ``loss_col`` (0 on an improving epoch).
 
-    One staged pass (rows bucketed by (run, epoch block)).  Per block, one
+    One staged pass (rows dealt by (run, epoch block)).  Per block, one
     aggregate gives the block minimum and the first epoch reaching it; on
     that small table, the minimum of earlier blocks and the last improving
     epoch before the block follow from windows: a block improves only if its
@@ -52,7 +53,7 @@ def no_improvement(series: DataFrame, run_col: str = "run_id", epoch_col: str =
     loss, epoch = F.col(loss_col), F.col(epoch_col)
     s, pk = rk._group_key(series.withColumn("_lf_eb", _bucket(epoch_col)), [run_col])
     keys = pk + ["_lf_eb"]
-    staged = rk._materialized(s, keys)
+    staged = rk._materialized(s)
     per = staged.groupBy(*keys).agg(F.min(loss).alias("_lf_bmin"),
                                     F.min_by(epoch, F.struct(loss, epoch)).alias("_lf_barg"))
     before = Window.partitionBy(*pk).orderBy("_lf_eb").rowsBetween(Window.unboundedPreceding, -1)

@@ -113,7 +113,7 @@ PERF = f"""perf AS (
   SELECT source AS model_name, {_lang_case(views.DEVICE_BY_LANG)} AS device, lang AS timestamp,
     avg(n_chars) AS sentences_per_second, count(*) AS output_embedding_dim,
     CASE WHEN {_lang_case(views.DEVICE_BY_LANG)} = 'gpu' THEN CAST(max(n_chars) AS DOUBLE) / 10.0 END AS gpu_memory_allocated_mb
-  FROM documents WHERE source <> 'src0' GROUP BY source, lang)"""
+  FROM documents GROUP BY source, lang)"""
 
 ACC = f"""acc AS (
   SELECT source AS model_name, {_lang_case(views.DATASET_BY_LANG)} AS dataset,
@@ -123,7 +123,7 @@ ACC = f"""acc AS (
     avg(CASE WHEN d.n_chars > 1000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS train_acc,
     avg(l.toxic) AS val_acc, avg(l.quality) AS test_acc
   FROM documents d LEFT JOIN labels l USING (doc_id)
-  WHERE source <> 'src1' GROUP BY source, lang)"""
+  GROUP BY source, lang)"""
 
 
 def with_(*ctes: str) -> str:

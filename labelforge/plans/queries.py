@@ -139,8 +139,7 @@ def split_frame(spark, sf, with_text: bool = False):
     The split stages its input eagerly, so only the columns the caller needs
     are selected before it (a written stage cannot be pruned afterwards).
     """
-    cols = ["doc_id", "lang"] + (["text"] if with_text else [])
-    d = docs(spark, sf).select(*cols)
+    d = docs(spark, sf).select("doc_id", "lang", *([F.sha2("text", 256).alias("text_hash")] if with_text else []))
     lbl = table(spark, sf, "labels").select("doc_id", "quality")
     return smp.stratified_split(d.join(lbl, "doc_id"), ["quality", "lang"], "doc_id")
 
@@ -150,10 +149,10 @@ def q_stratified_split(spark, sf):
 
 
 def q_split_overlap(spark, sf):
-    s = materialize(split_frame(spark, sf, with_text=True))
+    s = materialize(split_frame(spark, sf, with_text=True))  # the text's 32-byte hash
     train = s.where(F.col("split") == "train")
     val = s.where(F.col("split") == "val")
-    return smp.overlap(val, train, "text").select("doc_id", "lang")
+    return smp.overlap(val, train, "text_hash").select("doc_id", "lang")
 
 
 PREFIX_BY_LANG = {"en": "query", "de": "passage", "fr": "e5_large_instruct", "es": "none"}
@@ -240,30 +239,32 @@ def q_class_weights(spark, sf):
 # Annotation, vote, translation
 # ---------------------------------------------------------------------------
 
-def annotated(spark, sf):
-    """Annotation results, written once before use (client calls are never repeated)."""
+def annotated(spark, sf, keep_text: bool = False):
+    """Annotation results, written once before use (client calls are never
+    repeated), without the text unless it is asked for."""
     d = docs(spark, sf).select(F.col("doc_id").alias("email_id"), "text")
-    return ann.materialize(ann.annotate(d, "email_id", "text"))
+    a = ann.annotate(d, "email_id", "text")
+    return ann.materialize(a if keep_text else a.drop("text"))
 
 
 def q_annotate_attempts(spark, sf):
-    a = ann.attempts_long(annotated(spark, sf).drop("text"), "email_id")
+    a = ann.attempts_long(annotated(spark, sf), "email_id")
     return a.select("email_id", "attempt_id", "emotion", "success", "elapsed_time", "raw_response", "error")
 
 
 def q_annotate_validate(spark, sf):
-    a = ann.attempts_long(annotated(spark, sf).drop("text"), "email_id")
+    a = ann.attempts_long(annotated(spark, sf), "email_id")
     return a.groupBy("emotion", "success", F.col("error").isNotNull().alias("has_error")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_vote(spark, sf):
-    v = ann.vote(annotated(spark, sf).drop("text"), "email_id")
+    v = ann.vote(annotated(spark, sf), "email_id")
     return v.select("email_id", "emotion", "confidence", "emotion_counts")
 
 
 def q_vote_wide(spark, sf):
-    v = ann.vote(annotated(spark, sf).drop("text"), "email_id")
+    v = ann.vote(annotated(spark, sf), "email_id")
     return v.select("email_id", *[f"emotion_attempt_{i + 1}" for i in range(spec.NUM_ATTEMPTS)])
 
 
@@ -272,7 +273,7 @@ def q_annotate_prompt(spark, sf):
 
 
 def q_prefix_columns(spark, sf):
-    v = ann.vote(annotated(spark, sf), "email_id")
+    v = ann.vote(annotated(spark, sf, keep_text=True), "email_id")
     classified = v.withColumnRenamed("text", "content").withColumn("language", F.lit("en"))
     label_cols = [c for c in classified.columns if c.startswith("emotion") or c == "confidence"]
     return classified.select("email_id", "content", "language", *label_cols)
@@ -314,7 +315,7 @@ def q_confusion_matrix(spark, sf):
 def _report(spark, sf):
     counts = ev.confusion_counts(sliced_predictions(spark, sf), "true_label", "pred_label", ["slice"])
     long = ev.confusion_long_from_counts(counts, slice_cols=["slice"])
-    return counts, long, ev.class_report(long, slice_cols=["slice"])
+    return counts, long, ev.class_report(long, slice_cols=["slice"], counts=counts)
 
 
 def q_class_report(spark, sf):

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": "\\", "quote": '"'}
+# White space at the edges of a value is part of it; an empty value reads as null.
+CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": "\\", "quote": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", skip_empty: bool = False) -> bool:

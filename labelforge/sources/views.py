@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelforge import spec
 from labelforge.functions import vectors
-from labelforge.operators.ranking import bucketed_row_number, hot_key_buckets
+from labelforge.operators.ranking import bucketed_row_number, ordered_buckets
 from labelforge.sources.tables import table
 
 NL = "\n"
@@ -87,10 +87,7 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One training run per user; one epoch per event in (ts, event_id) order."""
     # parse k once, before staging: the stage then holds a number, not the JSON text
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", _k().alias("k"))
-    # whole seconds since 1970-01-01: grows with ts for both timestamp types
-    seconds = (F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("bigint") * 86400
-               + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts"))
-    bucketed = hot_key_buckets(ev, ["user_id"], seconds)
+    bucketed = ordered_buckets(ev, ["user_id"], ["ts", "event_id"])
     ranked = bucketed_row_number(bucketed, ["user_id"], ["ts", "event_id"], "_lf_b", "_lf_rn")
     k = F.col("k")
     return ranked.drop("_lf_b").select(
@@ -135,8 +132,8 @@ def _case(c, mapping: dict, default=None):
 
 
 def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Performance records: one per (source as model, lang as device/timestamp); no src0."""
-    d = table(spark, sf_dir, "documents").where(F.col("source") != "src0")
+    """Performance records: one per (source as model, lang as device/timestamp)."""
+    d = table(spark, sf_dir, "documents")
     g = d.groupBy("source", "lang").agg(
         F.avg("n_chars").alias("sentences_per_second"),
         F.count(F.lit(1)).alias("output_embedding_dim"),
@@ -154,14 +151,13 @@ def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classification runs: one per (source as model, lang as dataset kind); no src1.
+    """Classification runs: one per (source as model, lang as dataset kind).
 
     Which result files exist is derived from the counts: training metrics are
     missing when the document count is a multiple of 3, the evaluation when no
     document is labelled, the best epoch when the labelled count is 1.
     """
-    d = table(spark, sf_dir, "documents").where(F.col("source") != "src1") \
-        .select("doc_id", "source", "lang", "n_chars")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     j = d.join(lab, "doc_id", "left")
     g = j.groupBy("source", "lang").agg(

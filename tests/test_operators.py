@@ -33,7 +33,7 @@ def test_bucketed_row_number_equals_plain(spark):
 
 def test_bucketed_row_number_global(spark):
     df = _skewed(spark)
-    got = rk.bucketed_row_number(df, [], ["id"], rk.range_bucket(df, "id", 17), "rn")
+    got = rk.bucketed_row_number(rk.ordered_buckets(df, [], ["id"], range_bytes=1000), [], ["id"], "_lf_b", "rn")
     assert sorted(r["rn"] for r in got.collect()) == list(range(1, df.count() + 1))
     assert got.where(F.col("rn") != F.col("id") + 1).count() == 0
 
@@ -256,33 +256,66 @@ def test_required_and_fallback_columns(spark):
         spec.require_columns(df, ["content", "sentiment"])
 
 
-def test_hot_key_is_spread_over_tasks(spark):
-    # two thirds of the rows share one key; after staging by (key, bucket)
-    # they sit in many partitions instead of one
-    df = _skewed(spark, 6000).withColumn("h", F.md5(F.col("id").cast("string")))
-    staged, pk = rk._group_key(df.withColumn("_lf_b", rk.hash_bucket(F.col("h"))), ["g"])
-    original = rk.BUCKET_BYTES
-    rk.BUCKET_BYTES = 1  # as many buckets as the session allows, as for a large input
-    try:
-        staged = rk._materialized(staged, pk + ["_lf_b"])
-    finally:
-        rk.BUCKET_BYTES = original
-    hot = staged.where(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert hot == n
-
-
-def test_hot_key_buckets_split_only_hot_keys(spark):
-    df = _skewed(spark, 6000)   # "hot" holds two thirds of the rows
-    b = rk.hot_key_buckets(df, ["g"], F.col("id"), target_rows=500)
-    hot_buckets = b.where(F.col("g") == "hot").select("_lf_b").distinct().count()
-    assert hot_buckets >= 8
-    assert b.where(F.col("g") != "hot").select("_lf_b").distinct().collect()[0][0] == 0
-    got = rk.bucketed_row_number(b, ["g"], ["id"], "_lf_b", "rn")
-    plain = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+def test_ordered_buckets_cut_any_spread(spark):
+    # two thirds of the rows share one key, one value is an early outlier, a
+    # burst shares one second, and some rows have no order value at all
+    df = _skewed(spark, 6000).withColumn("t", F.when(F.col("id") == 5, -10 ** 9).when(F.col("id") % 50 == 0, None)
+                                         .when(F.col("id") > 3000, 77).otherwise(F.col("id")))
+    b = rk.ordered_buckets(df, ["g"], ["t", "id"], range_bytes=2000)
+    sizes = [r["count"] for r in b.where(F.col("g") == "hot").groupBy("_lf_b").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 3000
+    got = rk.bucketed_row_number(b, ["g"], ["t", "id"], "_lf_b", "rn")
+    plain = df.withColumn("rn2", F.row_number().over(Window.partitionBy("g").orderBy("t", "id")))
+    assert got.count() == df.count()
     assert got.join(plain, "id").where(F.col("rn") != F.col("rn2")).count() == 0
 
 
+def test_rows_without_a_key_stay(spark):
+    rows = [(None, "a", 1), (1, "a", 1), (2, "b", None), (3, "b", 2)]
+    df = spark.createDataFrame(rows, "id long, g string, h int")
+    assert smp.row_ids(df, "id").count() == 4
+    assert smp.shuffle_rank(df, "id").count() == 4
+    assert smp.stratified_split(df, ["g", "h"], "id").count() == 4
+    assert smp.balance_classes(df, "g", "id").count() == 4
+    series = spark.createDataFrame([(1, None, 2.0), (1, 0, 1.0), (1, 1, 3.0)], "run_id long, epoch long, val_loss double")
+    assert trn.no_improvement(series).count() == 3
+
+
+def test_strata_with_the_same_text_stay_apart(spark):
+    rows = [(i, "a_b", "c") for i in range(10)] + [(i, "a", "b_c") for i in range(10, 20)] + [(20, "a", None), (21, "a", "x")]
+    out = smp.stratified_split(spark.createDataFrame(rows, "id long, x string, y string"), ["x", "y"], "id")
+    n = {(r.x, r.y): r.n for r in out.where("split = 'train'").groupBy("x", "y").agg(F.count("*").alias("n")).collect()}
+    assert n[("a_b", "c")] == n[("a", "b_c")] == 7
+
+
+def test_report_counts_pairs_outside_the_taxonomy(spark):
+    pairs = spark.createDataFrame([(0, 0), (0, 7), (1, 1), (7, 1)], "true_label int, pred_label int")
+    counts = ev.confusion_counts(pairs, "true_label", "pred_label")
+    rep = {r.label: r for r in ev.class_report(ev.confusion_long_from_counts(counts), counts=counts).collect()}
+    assert (rep[0].precision, rep[0].recall, rep[0].support) == (1.0, 0.5, 2)
+    assert (rep[1].precision, rep[1].recall, rep[1].support) == (0.5, 1.0, 1)
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    from labelforge.sources import files
+    df = spark.createDataFrame([(1, "  lead"), (2, "trail \t"), (3, "a\n b ")], "k int, text string")
+    files.write_csv(df, str(tmp_path / "c"))
+    back = files.read_csv(spark, str(tmp_path / "c"), df.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from labelforge.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
 def test_scale_conf_sizes_partitions():
     from labelforge.session import scale_conf
     c = scale_conf(100 << 40, executor_cores=4000)
