@@ -211,14 +211,37 @@ def model_path_name(c) -> Column:
 
 # -- number formatting ----------------------------------------------------------
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fixed_decimals(c, digits: int) -> Column:
-    """Format a double with ``digits`` decimals, rounding half away from zero
-    on the binary value scaled by 10**digits (same arithmetic in every engine)."""
+    """Format a double with ``digits`` decimals: its exact binary value rounded
+    half to even, the sign kept (``-0.00``), ``nan`` and ``inf`` by name.
+
+    The fraction times 10**digits is taken as a product plus that product's
+    rounding error, which is exact when the fraction is split into two parts of
+    at most 26 bits; so no tie is made or missed.  From 2**63 the whole part
+    has the digits of the shortest decimal; beyond 38 digits: null.
+    """
     c = col_(c).cast("double")
-    scale = 10 ** digits
-    q = F.floor(F.abs(c) * F.lit(float(scale)) + F.lit(0.5)).cast("bigint")
-    sign = F.when((c < 0) & (q > 0), F.lit("-")).otherwise(F.lit(""))
-    whole = F.floor(q / F.lit(scale)).cast("bigint")
-    frac = F.lpad((q % F.lit(scale)).cast("string"), digits, "0")
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(sign, whole.cast("string"), F.lit("."), frac))
+    x = F.abs(c)
+    scale = float(10 ** digits)
+
+    def rounded(fraction: Column) -> Column:
+        shifted = fraction * F.lit(2.0 ** 27 + 1)
+        high = shifted - (shifted - fraction)
+        return _let(fraction * scale, lambda p: _let(
+            (p - F.floor(p).cast("double") - 0.5) + ((high * scale - p) + (fraction - high) * scale),
+            lambda over: F.floor(p) + F.when((over > 0) | ((over == 0) & (F.floor(p) % 2 == 1)), 1).otherwise(0)))
+
+    def joined(q: Column) -> Column:
+        whole = F.when(x < 2.0 ** 63, (F.floor(x) + F.floor(q / scale)).cast("string")) \
+            .otherwise(x.try_cast("decimal(38,0)").cast("string"))
+        return F.concat(whole, F.lit("."), F.lpad((q % int(scale)).cast("string"), digits, "0"))
+
+    fraction = F.when(x < 2.0 ** 53, x - F.floor(x).cast("double")).otherwise(F.lit(0.0))
+    number = F.when(x == float("inf"), "inf").otherwise(_let(_let(fraction, rounded), joined))
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    return F.when(F.isnan(c), "nan").when(c.isNotNull(), F.concat(sign, number))

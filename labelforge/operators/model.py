@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,15 +24,14 @@ from labelforge import spec
 from labelforge.functions import vectors
 
 MAX_MODEL_FLOATS = 10_000_000  # size bound for parameters shipped to tasks
-MAX_PLAN_LITERAL_FLOATS = 200_000  # size bound for parameters written into a plan
 
 
 def _weighted_metrics(pred: DataFrame, label_col: str, weights: DataFrame) -> tuple[float, float]:
     w = F.broadcast(weights.select(F.col("label").alias("_lf_l"), F.col("weight_tempered").alias("_lf_w")))
-    j = pred.join(w, pred[label_col] == w["_lf_l"])
+    j = pred.join(w, pred[label_col] == w["_lf_l"], "left")  # a class without a weight counts in the accuracy only
     p_true = F.get(vector_to_array("probability"), F.col(label_col).cast("int"))
     nll = -F.log(F.greatest(p_true, F.lit(1e-15)))
-    row = j.agg((F.sum(F.col("_lf_w") * nll) / F.sum("_lf_w")).alias("loss"),
+    row = j.agg(F.coalesce(F.try_divide(F.sum(F.col("_lf_w") * nll), F.sum("_lf_w")), F.lit(0.0)).alias("loss"),
                 F.avg((F.col("prediction") == F.col(label_col)).cast("double")).alias("acc")).first()
     return float(row["loss"]), float(row["acc"])
 
@@ -50,7 +50,7 @@ def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: st
                 F.col(label_col).cast("double").alias("label")]
         if order_col is None:
             return df.select(*cols).persist()
-        n = df.sparkSession.sparkContext.defaultParallelism
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # grows with the data
         ordered = df.select(F.col(order_col).alias("_lf_o"), *cols).repartitionByRange(n, "_lf_o") \
             .sortWithinPartitions("_lf_o")
         return ordered.drop("_lf_o").persist()
@@ -127,37 +127,36 @@ def mlp_forward_udf(weights: list[tuple[np.ndarray, np.ndarray]], batch_size: in
 # -- M8: evaluation from stored embeddings (nearest centroid) -----------------------
 
 def centroids(train: DataFrame, features_col: str, label_col: str) -> DataFrame:
-    """Mean vector per class: ``posexplode`` + ``avg`` per (class, position)."""
-    cells = train.select(F.col(label_col).alias("label"), F.posexplode(features_col).alias("pos", "x"))
-    per = cells.groupBy("label", "pos").agg(F.avg("x").alias("x"))
-    return per.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")) \
-        .select("label", F.transform("v", lambda s: s["x"]).alias("centroid"))
+    """Mean vector per class: one map-side combined aggregate over the vectors.
+    Rows without a vector or a label don't count."""
+    rows = train.where(F.col(features_col).isNotNull() & F.col(label_col).isNotNull())
+    mean = Summarizer.mean(array_to_vector(F.transform(features_col, lambda x: x.cast("double"))))
+    return rows.groupBy(F.col(label_col).cast("int").alias("label")).agg(vector_to_array(mean).alias("centroid"))
 
 
-def centroid_scores(features: Column, matrix: list[tuple[int, list[float]]]) -> Column:
-    """Cosine similarity to every centroid as an array (JVM expressions only)."""
-    def cos(c):
-        lit = F.array(*[F.lit(float(x)) for x in c])
-        norm_c = float(np.linalg.norm(c)) or 1.0
-        dot = F.aggregate(F.zip_with(features, lit, lambda a, b: a.cast("double") * b), F.lit(0.0),
-                          lambda acc, x: acc + x)
-        return dot / (F.greatest(vectors.l2_norm(features), F.lit(1e-12)) * F.lit(norm_c))
-    return F.array(*[cos(c) for _, c in matrix])
+def _centroid_table(cents: DataFrame) -> Column:
+    """The classes in order with their unit vectors, as a scalar subquery: k x
+    dim numbers of model state that reach the tasks without a join."""
+    row = F.struct("label", vectors.l2_normalize("centroid").alias("unit"))
+    return cents.agg(F.array_sort(F.collect_list(row)).alias("classes")).scalar()
+
+
+def centroid_scores(df: DataFrame, cents: DataFrame, features_col: str, out_col: str = "scores") -> DataFrame:
+    """Add the cosine similarity to every centroid, in order of the labels."""
+    features = F.col(features_col)
+    norm = F.greatest(vectors.l2_norm(features), F.lit(1e-12))
+
+    def cosine(c: Column) -> Column:
+        products = F.zip_with(features, c["unit"], lambda a, b: a.cast("double") * b)
+        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / norm
+
+    return df.withColumn("_lf_classes", _centroid_table(cents)) \
+        .withColumn(out_col, F.transform("_lf_classes", cosine)).drop("_lf_classes")
 
 
 def centroid_predict(df: DataFrame, cents: DataFrame, features_col: str,
                      out_col: str = "pred_label") -> DataFrame:
-    """Predict the class of the most similar centroid (first on ties).
-
-    The centroid table is k x dim; its size is checked before it becomes a
-    literal of the plan (it is model state, not data).
-    """
-    k = cents.count()
-    first = cents.select(F.size("centroid")).first()
-    dim = first[0] if first else 0
-    if k * dim > MAX_PLAN_LITERAL_FLOATS:
-        raise ValueError("centroid table too large to ship with the plan")
-    matrix = sorted((int(r["label"]), list(r["centroid"])) for r in cents.collect())
-    labels = F.array(*[F.lit(lbl) for lbl, _ in matrix])
-    scores = centroid_scores(F.col(features_col), matrix)
-    return df.withColumn(out_col, F.get(labels, vectors.argmax(scores)))
+    """Predict the class of the most similar centroid (first on ties)."""
+    scored = centroid_scores(df, cents, features_col, "_lf_scores").withColumn("_lf_classes", _centroid_table(cents))
+    labels = F.transform("_lf_classes", lambda c: c["label"])
+    return scored.withColumn(out_col, F.get(labels, vectors.argmax("_lf_scores"))).drop("_lf_scores", "_lf_classes")

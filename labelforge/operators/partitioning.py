@@ -12,10 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def source_splits(df: DataFrame) -> int:
+    """Splits of the largest source, from file sizes and partition counts; runs
+    no job and no shuffle stage."""
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    most = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName() == "LogicalRDD" or "ExistingRDD" in leaf.nodeName():
+            most = max(most, leaf.rdd().getNumPartitions())
+        else:
+            most = max(most, int(leaf.stats().sizeInBytes()) // split)
+    return most
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.isStreaming:  # micro-batches keep the source's partitioning
         return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+    return df if source_splits(df) >= target else df.repartition(target)

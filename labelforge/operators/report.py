@@ -5,7 +5,8 @@ Two fact tables, one row per result file:
 * performance: ``model_name, device, timestamp, sentences_per_second,
   output_embedding_dim, gpu_memory_allocated_mb``;
 * classification runs: ``model_name, dataset, embedding_dimension, epoch,
-  has_training_metrics, has_evaluation, train_acc, val_acc, test_acc``.
+  has_model_info, has_training_metrics, has_evaluation, train_acc, val_acc,
+  test_acc`` (``read_runs`` builds it from three files per model).
 
 Each is reduced per model by one hash aggregate with conditional columns
 (the pivot values are fixed, so no pass discovers them), then the two are
@@ -14,10 +15,12 @@ full-outer-joined on the model name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.functions.text import fixed_decimals
+from labelforge import spec
+from labelforge.functions.text import fixed_decimals, model_path_name
+from labelforge.sources.files import read_json_tree, write_json
 
 MODEL = "Model Name"
 ACC_KINDS = [("balanced-de", "de", ""), ("balanced-en", "en", ""), ("balanced", "de/en", ""),
@@ -42,11 +45,58 @@ def comparison_columns(cpu_devices: list[str]) -> list[str]:
     return main
 
 
+def write_runs(runs: DataFrame, root: str) -> None:
+    """Result files of the runs, three trees of ``dataset / model`` folders: the
+    model's record, its training series and its evaluation, each only for runs
+    that have it.  The training series passes through the run's own values at the
+    best epoch."""
+    runs = runs.withColumns({"d": F.col("dataset"), "m": model_path_name("model_name")})
+    write_json(runs.where("has_model_info").select(
+        "d", "m", F.col("model_name").alias("embedding_model_name"), "embedding_dimension", "epoch"),
+        f"{root}/model_info", ["d", "m"])
+    last = F.coalesce("epoch", F.lit(0))
+
+    def series(value: str):
+        return F.transform(F.sequence(F.lit(0), last + 2), lambda i: F.col(value) * ((i + 1) / (last + 1))).alias(value)
+
+    write_json(runs.where("has_training_metrics").select("d", "m", series("train_acc"), series("val_acc")),
+               f"{root}/training_metrics", ["d", "m"])
+    write_json(runs.where("has_evaluation").select("d", "m", F.col("test_acc").alias("accuracy")),
+               f"{root}/evaluation_results", ["d", "m"])
+
+
+def read_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The runs below ``root``: the three files of a (dataset, model) folder are
+    joined, the accuracies looked up at the model's best epoch (null out of range)."""
+    def tree(kind: str, schema, flag: str) -> DataFrame:
+        files = read_json_tree(spark, f"{root}/{kind}", schema, ["dataset", "folder"], multiline=False, hive_style=True)
+        return files.drop("file_name").withColumn(flag, F.lit(True))
+
+    keys = ["dataset", "folder"]
+    info = tree("model_info", spec.MODEL_INFO_SCHEMA, "has_model_info") \
+        .select(*keys, "embedding_model_name", "embedding_dimension", "epoch", "has_model_info")
+    series = tree("training_metrics", spec.TRAINING_METRICS_SCHEMA, "has_training_metrics") \
+        .select(*keys, "train_acc", "val_acc", "has_training_metrics")
+    tests = tree("evaluation_results", spec.EVALUATION_SCHEMA, "has_evaluation") \
+        .select(*keys, F.col("accuracy").alias("test_acc"), "has_evaluation")
+    j = info.join(series, keys, "full_outer").join(tests, keys, "full_outer")
+    at = F.col("epoch").cast("int")
+    flags = ["has_model_info", "has_training_metrics", "has_evaluation"]
+    return j.select(F.coalesce("embedding_model_name", "folder").alias("model_name"), "dataset", "embedding_dimension",
+                    "epoch", *[F.coalesce(f, F.lit(False)).alias(f) for f in flags],
+                    F.get("train_acc", at).alias("train_acc"), F.get("val_acc", at).alias("val_acc"), "test_acc")
+
+
+def _has_info(runs: DataFrame):
+    return F.col("has_model_info") if "has_model_info" in runs.columns else F.lit(True)
+
+
 def file_checks(runs: DataFrame) -> DataFrame:
     """Add ``reason`` for a run that cannot be used (null when complete)."""
     return runs.withColumn(
         "reason",
-        F.when(~F.col("has_training_metrics"), F.lit("missing training_metrics.json"))
+        F.when(~_has_info(runs), F.lit("missing model_info.json"))
+        .when(~F.col("has_training_metrics"), F.lit("missing training_metrics.json"))
         .when(~F.col("has_evaluation"), F.lit("missing evaluation_results.json"))
         .when(F.col("epoch").isNull(), F.lit("missing epoch")),
     )
@@ -78,7 +128,7 @@ def comparison(perf: DataFrame, runs: DataFrame, cpu_devices: list[str]) -> Data
         F.max_by("output_embedding_dim", F.struct("timestamp", "device")).alias("perf_dim"),
     )
 
-    has_files = F.col("has_training_metrics") & F.col("has_evaluation")
+    has_files = _has_info(runs) & F.col("has_training_metrics") & F.col("has_evaluation")
     usable = has_files & F.col("epoch").isNotNull()
     cells = []
     for kind, stem, suffix in ACC_KINDS:

@@ -30,11 +30,7 @@ def str_list(xs) -> str:
 
 
 def fixed(x: str, d: int) -> str:
-    scale = 10 ** d
-    qv = f"CAST(floor(abs({x}) * CAST({scale} AS DOUBLE) + 0.5) AS BIGINT)"
-    return (f"(CASE WHEN {x} IS NULL THEN NULL ELSE "
-            f"(CASE WHEN {x} < 0 AND {qv} > 0 THEN '-' ELSE '' END) || CAST({qv} // {scale} AS VARCHAR)"
-            f" || '.' || lpad(CAST({qv} % {scale} AS VARCHAR), {d}, '0') END)")
+    return f"(CASE WHEN {x} IS NOT NULL THEN printf('%.{d}f', {x}) END)"
 
 
 TARGETS = spec.TARGET_LABELS
@@ -73,11 +69,21 @@ CROSSWALKED = f"""xw AS (
   SELECT doc_id, text, lang, sentiment, {CROSSWALK_CASE} AS emotion, 'crowdflower' AS source
   FROM posts WHERE ({CROSSWALK_CASE}) IS NOT NULL)"""
 
-PREDICTIONS = """predictions AS (
-  SELECT vec_id, label % 5 AS true_label,
-    CAST(list_position(list_slice(embedding, 1, 5), list_max(list_slice(embedding, 1, 5))) - 1 AS INTEGER) AS pred_label,
+CLASSES = len(views.VECTOR_LABELS)
+CLASS_NAMES = str_list(views.VECTOR_LABELS)
+SCORES = """cells AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),
+cent AS (SELECT label AS c, p, avg(CAST(x AS DOUBLE)) AS v FROM cells GROUP BY label, p),
+cnorm AS (SELECT c, sqrt(sum(v * v)) AS cn FROM cent GROUP BY c),
+vnorm AS (SELECT vec_id, greatest(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 1e-12) AS vn FROM cells GROUP BY vec_id),
+dots AS (SELECT e.vec_id, e.label, k.c, sum(CAST(e.x AS DOUBLE) * k.v) AS dot
+         FROM cells e JOIN cent k ON k.p = e.p GROUP BY e.vec_id, e.label, k.c),
+scores AS (SELECT d.vec_id, d.label, d.c, d.dot / (v.vn * n.cn) AS cos
+           FROM dots d JOIN vnorm v USING (vec_id) JOIN cnorm n USING (c))"""
+PREDICTIONS = SCORES + """,
+predictions AS (
+  SELECT vec_id, CAST(label AS INTEGER) AS true_label, CAST(c AS INTEGER) AS pred_label,
     CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'de' END AS language
-  FROM embeddings)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, c) AS r FROM scores) WHERE r = 1)"""
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 EPOCHS = f"""epochs AS (
@@ -119,7 +125,7 @@ ACC = f"""acc AS (
   SELECT source AS model_name, {_lang_case(views.DATASET_BY_LANG)} AS dataset,
     CAST(64 AS BIGINT) AS embedding_dimension,
     CASE WHEN count(l.quality) <> 1 THEN count(l.quality) % 7 END AS epoch,
-    count(*) % 3 <> 0 AS has_training_metrics, count(l.quality) > 0 AS has_evaluation,
+    count(*) % 5 <> 0 AS has_model_info, count(*) % 3 <> 0 AS has_training_metrics, count(l.quality) > 0 AS has_evaluation,
     avg(CASE WHEN d.n_chars > 1000 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END) AS train_acc,
     avg(l.toxic) AS val_acc, avg(l.quality) AS test_acc
   FROM documents d LEFT JOIN labels l USING (doc_id)
@@ -316,7 +322,7 @@ p AS (
     FROM pd GROUP BY model_name) s
   JOIN (SELECT model_name, arg_max_null(output_embedding_dim, timestamp || '|' || device) AS perf_dim
         FROM perf GROUP BY model_name) d USING (model_name)),
-files AS (SELECT * FROM acc WHERE has_training_metrics AND has_evaluation),
+files AS (SELECT * FROM acc WHERE has_model_info AND has_training_metrics AND has_evaluation),
 a AS (
   SELECT m.model_name, m.acc_dim, x.* EXCLUDE (model_name) FROM
     (SELECT model_name, max(embedding_dimension) AS acc_dim FROM files GROUP BY model_name) m
@@ -349,10 +355,12 @@ def _markdown_query() -> str:
 
 def _incomplete_query() -> str:
     return with_(ACC) + """SELECT model_name, dataset,
-  CASE WHEN NOT has_training_metrics THEN 'missing training_metrics.json'
+  CASE WHEN NOT has_model_info THEN 'missing model_info.json'
+       WHEN NOT has_training_metrics THEN 'missing training_metrics.json'
        WHEN NOT has_evaluation THEN 'missing evaluation_results.json'
        WHEN epoch IS NULL THEN 'missing epoch' END AS reason
-FROM acc WHERE NOT has_training_metrics OR NOT has_evaluation OR epoch IS NULL"""
+FROM acc WHERE NOT has_model_info AND (has_training_metrics OR has_evaluation)
+  OR has_model_info AND (NOT has_training_metrics OR NOT has_evaluation OR epoch IS NULL)"""
 
 
 # -- hardware notes ------------------------------------------------------------------------
@@ -502,16 +510,16 @@ FROM (SELECT doc_id, upper(substr(sentiment, 1, 1)) || lower(substr(sentiment, 2
 WHERE emotion IN ({", ".join(q(t) for t in TARGETS)})""",
     "dominant_label": """WITH s AS (
   SELECT vec_id, """ + ", ".join(
-        f"CASE WHEN isnan(CAST(embedding[{i + 1}] AS DOUBLE)) OR embedding[{i + 1}] IS NULL THEN 0.0 "
-        f"ELSE greatest(CAST(0.0 AS DOUBLE), CAST(embedding[{i + 1}] AS DOUBLE)) END AS {c}"
+        "greatest(CAST(0.0 AS DOUBLE), list_sum(list_filter(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), "
+        f"lambda x, i: (i - 1) % {len(spec.SCORE_COLUMNS)} = {i}))) AS {c}"
         for i, c in enumerate(spec.SCORE_COLUMNS)) + """ FROM embeddings),
 t AS (SELECT vec_id, anger AS "Anger", greatest(joy, love, thankfulness) AS "Joy", sadness AS "Sadness", fear AS "Fear" FROM s),
 m AS (SELECT *, greatest("Anger", "Joy", "Sadness", "Fear") AS top FROM t)
 SELECT vec_id, CASE WHEN top <= 0 THEN 'Neutral' WHEN "Anger" = top THEN 'Anger' WHEN "Fear" = top THEN 'Fear'
   WHEN "Joy" = top THEN 'Joy' WHEN "Sadness" = top THEN 'Sadness' END AS emotion FROM m""",
-    "class_weights": f"""WITH c AS (SELECT label % 5 AS label, count(*) AS n_c FROM embeddings GROUP BY 1),
-j AS (SELECT CAST(k.range AS INTEGER) AS label, c.n_c FROM range({len(TARGETS)}) k LEFT JOIN c ON c.label = k.range),
-w AS (SELECT *, CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({len(TARGETS)} AS DOUBLE) * n_c) AS w FROM j)
+    "class_weights": f"""WITH c AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY 1),
+j AS (SELECT CAST(k.range AS INTEGER) AS label, c.n_c FROM range({CLASSES}) k LEFT JOIN c ON c.label = k.range),
+w AS (SELECT *, CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({CLASSES} AS DOUBLE) * n_c) AS w FROM j)
 SELECT label, coalesce(n_c, 0) AS n_c, {r9('w')} AS weight, {r9(f'pow(w, {spec.CLASS_WEIGHT_ALPHA})')} AS weight_tempered FROM w""",
     "annotate_attempts": with_(ATT) + "SELECT email_id, attempt_id, emotion, success, elapsed_time, raw_response, error FROM att",
     "annotate_validate": with_(ATT) + """SELECT emotion, success, error IS NOT NULL AS has_error, count(*) AS n
@@ -530,36 +538,34 @@ SELECT doc_id, 'en' AS language, text AS content, emotion, source FROM tr
 UNION ALL SELECT doc_id, 'de', translated_text, emotion, source FROM tr""",
     "confusion_long": with_(PREDICTIONS) + f""", counts AS (SELECT true_label, pred_label, count(*) AS n FROM predictions GROUP BY ALL)
 SELECT CAST(t.range AS INTEGER) AS true_label, CAST(u.range AS INTEGER) AS pred_label,
-  {LABEL_NAMES}[t.range + 1] AS true_name, {LABEL_NAMES}[u.range + 1] AS pred_name, coalesce(c.n, 0) AS n
-FROM range({len(TARGETS)}) t CROSS JOIN range({len(TARGETS)}) u
+  {CLASS_NAMES}[t.range + 1] AS true_name, {CLASS_NAMES}[u.range + 1] AS pred_name, coalesce(c.n, 0) AS n
+FROM range({CLASSES}) t CROSS JOIN range({CLASSES}) u
 LEFT JOIN counts c ON c.true_label = t.range AND c.pred_label = u.range""",
     "confusion_matrix": with_(PREDICTIONS) + f""", counts AS (SELECT true_label, pred_label, count(*) AS n FROM predictions GROUP BY ALL)
-SELECT CAST(t.range AS INTEGER) AS true_label, {LABEL_NAMES}[t.range + 1] AS true_name, """ + ", ".join(
-        f"coalesce(max(CASE WHEN c.pred_label = {i} THEN c.n END), 0) AS \"{n}\"" for i, n in enumerate(TARGETS)) + f"""
-FROM range({len(TARGETS)}) t LEFT JOIN counts c ON c.true_label = t.range GROUP BY t.range""",
-    "class_report": with_(PREDICTIONS) + ", " + _report_ctes("predictions", len(TARGETS), LABEL_NAMES)
+SELECT CAST(t.range AS INTEGER) AS true_label, {CLASS_NAMES}[t.range + 1] AS true_name, """ + ", ".join(
+        f"coalesce(max(CASE WHEN c.pred_label = {i} THEN c.n END), 0) AS \"{n}\"" for i, n in enumerate(views.VECTOR_LABELS)) + f"""
+FROM range({CLASSES}) t LEFT JOIN counts c ON c.true_label = t.range GROUP BY t.range""",
+    "class_report": with_(PREDICTIONS) + ", " + _report_ctes("predictions", CLASSES, CLASS_NAMES)
     + f"\nSELECT slice, label, class_name, {r9('precision')} AS precision, {r9('recall')} AS recall, {r9('f1')} AS f1, support FROM rep",
-    "report_summary": with_(PREDICTIONS) + ", " + _report_ctes("predictions", len(TARGETS), LABEL_NAMES)
+    "report_summary": with_(PREDICTIONS) + ", " + _report_ctes("predictions", CLASSES, CLASS_NAMES)
     + "\nSELECT slice, " + ", ".join(f"{r9(c)} AS {c}" for c in [
         "accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall",
         "weighted_f1"]) + ", support FROM summ",
-    "metric_by_class": with_(PREDICTIONS) + ", " + _report_ctes("predictions", len(TARGETS), LABEL_NAMES) + """,
+    "metric_by_class": with_(PREDICTIONS) + ", " + _report_ctes("predictions", CLASSES, CLASS_NAMES) + """,
 mm AS (SELECT slice, 'precision' AS metric, label, class_name, precision AS value FROM rep
        UNION ALL SELECT slice, 'recall', label, class_name, recall FROM rep
        UNION ALL SELECT slice, 'f1-score', label, class_name, f1 FROM rep)
 SELECT slice, metric, label, class_name, round(value, 9) AS value FROM
   (SELECT *, max(value) OVER (PARTITION BY slice, metric) AS mx FROM mm) WHERE mx >= 1e-6""",
-    "argmax_predict": """SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax_all,
-  CAST(list_position(list_slice(embedding, 1, 5), list_max(list_slice(embedding, 1, 5))) - 1 AS INTEGER) AS argmax_head
-FROM embeddings""",
-    "weighted_log_loss": f"""WITH p AS (
-  SELECT [{", ".join(f"CAST(embedding[{i}] AS DOUBLE)" for i in range(1, 6))}] AS logits, label % 5 AS y,
-    CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'de' END AS language FROM embeddings),
-c AS (SELECT y, count(*) AS n_c FROM p GROUP BY y),
-w AS (SELECT y, pow(CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({len(TARGETS)} AS DOUBLE) * n_c), {spec.CLASS_WEIGHT_ALPHA}) AS w FROM c),
-l AS (SELECT p.language, w.w, list_max(p.logits) AS m, p.logits, p.y FROM p JOIN w USING (y)),
-nll AS (SELECT language, w, (m + ln(list_sum(list_transform(logits, lambda x: exp(x - m))))) - logits[y + 1] AS nll FROM l)
-SELECT language, {r9('sum(w * nll) / sum(w)')} AS weighted_loss, count(*) AS n FROM nll GROUP BY language""",
+    "argmax_predict": with_(PREDICTIONS) + """SELECT vec_id,
+  CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax_all, pred_label
+FROM embeddings JOIN predictions USING (vec_id)""",
+    "weighted_log_loss": with_(SCORES) + f""", lse AS (
+  SELECT vec_id, label AS y, ln(sum(exp(cos))) - max(CASE WHEN c = label THEN cos END) AS nll FROM scores GROUP BY vec_id, label),
+c AS (SELECT y, count(*) AS n_c FROM lse GROUP BY y),
+w AS (SELECT y, pow(CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({CLASSES} AS DOUBLE) * n_c), {spec.CLASS_WEIGHT_ALPHA}) AS w FROM c)
+SELECT CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'de' END AS language, {r9('sum(w * nll) / sum(w)')} AS weighted_loss,
+  count(*) AS n FROM lse JOIN w USING (y) GROUP BY 1""",
     "l2_normalize": """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
   sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings),
 u AS (SELECT vec_id, norm, list_transform(v, lambda x: x / greatest(norm, 1e-12)) AS unit FROM n)
@@ -608,7 +614,7 @@ FROM pages""",
     "event_times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS start_iso,
   strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') AS end_iso,
   CAST(round(value * 1000000) AS BIGINT) / 1e6 AS elapsed_seconds,
-  'monitoring_events_' || regexp_replace('user_' || CAST(user_id AS VARCHAR), '[^\p{L}\p{N}_-]', '_', 'g') || '_'
+  'monitoring_events_' || regexp_replace('user_' || CAST(user_id AS VARCHAR), '[^\\p{L}\\p{N}_-]', '_', 'g') || '_'
     || strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y%m%d_%H%M%S') || '.json' AS file_name
 FROM events""",
     "result_tree": with_(PERF) + "SELECT model_name, device, timestamp, sentences_per_second, output_embedding_dim FROM perf",

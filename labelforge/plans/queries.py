@@ -230,8 +230,8 @@ def q_dominant_label(spark, sf):
 
 
 def q_class_weights(spark, sf):
-    p = views.predictions(spark, sf)
-    w = ev.class_weights(p, "true_label")
+    p = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("true_label"))
+    w = ev.class_weights(p, "true_label", len(views.VECTOR_LABELS))
     return w.select("label", "n_c", rnd("weight").alias("weight"), rnd("weight_tempered").alias("weight_tempered"))
 
 
@@ -304,18 +304,18 @@ def sliced_predictions(spark, sf):
 
 
 def q_confusion_long(spark, sf):
-    return ev.confusion_long(views.predictions(spark, sf), "true_label", "pred_label")
+    return ev.confusion_long(views.predictions(spark, sf), "true_label", "pred_label", views.VECTOR_LABELS)
 
 
 def q_confusion_matrix(spark, sf):
-    long = ev.confusion_long(views.predictions(spark, sf), "true_label", "pred_label")
-    return ev.confusion_matrix(long)
+    long = ev.confusion_long(views.predictions(spark, sf), "true_label", "pred_label", views.VECTOR_LABELS)
+    return ev.confusion_matrix(long, views.VECTOR_LABELS)
 
 
 def _report(spark, sf):
     counts = ev.confusion_counts(sliced_predictions(spark, sf), "true_label", "pred_label", ["slice"])
-    long = ev.confusion_long_from_counts(counts, slice_cols=["slice"])
-    return counts, long, ev.class_report(long, slice_cols=["slice"], counts=counts)
+    long = ev.confusion_long_from_counts(counts, views.VECTOR_LABELS, ["slice"])
+    return counts, long, ev.class_report(long, views.VECTOR_LABELS, ["slice"], counts=counts)
 
 
 def q_class_report(spark, sf):
@@ -326,7 +326,7 @@ def q_class_report(spark, sf):
 
 def q_report_summary(spark, sf):
     counts, _, r = _report(spark, sf)
-    s = ev.report_summary(r, counts, ["slice"])
+    s = ev.report_summary(r, counts, ["slice"], len(views.VECTOR_LABELS))
     return s.select("slice", *[rnd(c).alias(c) for c in
                                ["accuracy", "macro_precision", "macro_recall", "macro_f1",
                                 "weighted_precision", "weighted_recall", "weighted_f1"]], "support")
@@ -340,21 +340,22 @@ def q_metric_by_class(spark, sf):
 
 def q_report_json(spark, sf):
     counts, long, r = _report(spark, sf)
-    s = ev.report_summary(r, counts, ["slice"])
+    s = ev.report_summary(r, counts, ["slice"], len(views.VECTOR_LABELS))
     return ev.report_json(long, r, s, ["slice"])
 
 
 def q_argmax_predict(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.select("vec_id", vec.argmax("embedding").alias("argmax_all"),
-                    vec.argmax(F.slice("embedding", 1, 5)).alias("argmax_head"))
+    p = mdl.centroid_predict(e, mdl.centroids(e, "embedding", "label"), "embedding")
+    return p.select("vec_id", vec.argmax("embedding").alias("argmax_all"), "pred_label")
 
 
 def q_weighted_log_loss(spark, sf):
     e = table(spark, sf, "embeddings")
-    p = e.select(vec.elements("embedding", 1, 5).alias("logits"), (F.col("label") % 5).alias("y"),
-                 F.when(F.col("vec_id") % 2 == 0, "en").otherwise("de").alias("language"))
-    out = ev.weighted_log_loss(p, "logits", "y", slice_cols=["language"])
+    scored = mdl.centroid_scores(e, mdl.centroids(e, "embedding", "label"), "embedding", "logits")
+    p = scored.select("logits", F.col("label").alias("y"),
+                      F.when(F.col("vec_id") % 2 == 0, "en").otherwise("de").alias("language"))
+    out = ev.weighted_log_loss(p, "logits", "y", len(views.VECTOR_LABELS), slice_cols=["language"])
     return out.select("language", rnd("weighted_loss").alias("weighted_loss"), "n")
 
 
@@ -380,12 +381,13 @@ def embedding_split(spark, sf):
 
 
 def q_train_classifier(spark, sf):
-    s = embedding_split(spark, sf).withColumn("y", F.col("label") % 5).persist()
+    k = len(views.VECTOR_LABELS)
+    s = embedding_split(spark, sf).withColumn("y", F.col("label").cast("int")).persist()
     try:
-        w = ev.class_weights(s.where(F.col("split") == "train"), "y")
+        w = ev.class_weights(s.where(F.col("split") == "train"), "y", k)
         _, rows = mdl.train_mlp(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"),
-                                "embedding", "y", w, num_classes=5, hidden=128,
-                                iters_per_round=5, max_rounds=40, patience=spec.PATIENCE, order_col="vec_id")
+                                "embedding", "y", w, num_classes=k, hidden=128,
+                                iters_per_round=5, patience=spec.PATIENCE, order_col="vec_id")
     finally:
         s.unpersist()
     return spark.createDataFrame(rows, mdl.METRICS_SCHEMA)
@@ -397,7 +399,7 @@ def q_centroid_eval(spark, sf):
     val = s.where(F.col("split") == "val")
     cents = mdl.centroids(train, "embedding", "label")
     pred = mdl.centroid_predict(val, cents, "embedding")
-    names = [str(i) for i in range(10)]
+    names = views.VECTOR_LABELS
     counts = ev.confusion_counts(pred, "label", "pred_label")
     r = ev.class_report(ev.confusion_long_from_counts(counts, names), names)
     s = ev.report_summary(r, counts, k=len(names))
@@ -499,8 +501,15 @@ def q_epoch_lookup(spark, sf):
 # Comparison report, names, configuration
 # ---------------------------------------------------------------------------
 
+def stored_runs(spark, sf):
+    """The runs written as result files and read back from them."""
+    root = scratch_path(spark, "result_files")
+    rep.write_runs(materialize(views.acc_runs(spark, sf)), root)
+    return rep.read_runs(spark, root)
+
+
 def comparison_table(spark, sf):
-    return rep.comparison(views.perf(spark, sf), views.acc_runs(spark, sf), views.CPU_DEVICES)
+    return rep.comparison(views.perf(spark, sf), stored_runs(spark, sf), views.CPU_DEVICES)
 
 
 def q_model_comparison(spark, sf):
@@ -511,7 +520,7 @@ def q_model_comparison(spark, sf):
 
 
 def q_incomplete_models(spark, sf):
-    return rep.incomplete_runs(views.acc_runs(spark, sf))
+    return rep.incomplete_runs(stored_runs(spark, sf))
 
 
 def q_markdown_rows(spark, sf):
@@ -581,16 +590,13 @@ def q_mail_dataset(spark, sf):
     return mail_dataset(spark, sf)
 
 
-EXPERIMENT_MAX_ROUNDS = 60
-
-
 def q_experiment(spark, sf):
     """Train on the labelled mails, test on the labelled posts."""
     from labelforge.plans.datasets import mail_dataset, post_dataset
     from labelforge.plans.experiment import run_experiment
     train = mail_dataset(spark, sf).withColumn("key", F.concat_ws("_", "email_id", "language"))
     test = post_dataset(spark, sf)
-    return run_experiment(spark, train, test, "key", max_rounds=EXPERIMENT_MAX_ROUNDS)
+    return run_experiment(spark, train, test, "key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

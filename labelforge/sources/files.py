@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from labelforge import spec
+
 # White space at the edges of a value is part of it; an empty value reads as null.
 CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": "\\", "quote": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -83,26 +85,29 @@ def _escape(s: str) -> str:
 
 def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
                      event_type: str | None = "inference_run",
-                     multiline: bool = True) -> tuple[DataFrame, DataFrame]:
+                     multiline: bool = True, required=spec.EVENT_REQUIRED) -> tuple[DataFrame, DataFrame]:
     """Event files holding a top-level JSON array (S8), or JSON lines with
     ``multiline=False``.
 
-    Returns ``(valid, rejected)``: rows failing the schema (corrupt records
-    or a missing required field) are set aside instead of failing the load.
+    Returns ``(valid, rejected)``.  Every field is read as text and checked by
+    name, so the verdict on a row does not depend on the columns a caller reads:
+    broken JSON, a missing ``required`` field and a value that its type can't
+    hold set a row aside.  Rejected rows keep their text.
     """
-    full = T.StructType(list(schema.fields) + [T.StructField("_corrupt_record", T.StringType())])
-    df = spark.read.schema(full).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE") \
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                       + [T.StructField("_corrupt_record", T.StringType())])
+    df = spark.read.schema(raw).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    # Both results read real fields besides the corrupt-record column, so
-    # Spark can scan the files directly (no cache of the raw input).
-    required = ["event_id", "event_type", "duration_seconds"]
-    ok: Column = F.col("_corrupt_record").isNull()
-    for c in required:
-        ok = ok & F.col(c).isNotNull()
-    valid = df.where(ok).drop("_corrupt_record")
+    bad: Column = F.col("_corrupt_record").isNotNull()
+    for f in schema.fields:
+        text = F.col(f.name)
+        bad = bad | (text.isNotNull() & text.try_cast(f.dataType).isNull())
+        if f.name in required:
+            bad = bad | text.isNull()
+    valid = df.where(~bad).select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
     if event_type is not None:
         valid = valid.where(F.col("event_type") == event_type)
-    return valid, df.where(~ok)
+    return valid, df.where(bad)
 
 
 def write_markdown(table: DataFrame, rows: DataFrame, header: str, path: str) -> None:

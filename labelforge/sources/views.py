@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge import spec
-from labelforge.functions import vectors
+from labelforge.operators import model as mdl
 from labelforge.operators.ranking import bucketed_row_number, ordered_buckets
 from labelforge.sources.tables import table
 
@@ -61,20 +61,30 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score-column posts: embedding elements 1..6 as the six score columns."""
+    """Score-column posts: score i sums the embedding elements at the positions
+    that leave the remainder i."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    cols = [F.get(F.col("embedding"), i).cast("double").alias(name)
-            for i, name in enumerate(spec.SCORE_COLUMNS)]
+    n = len(spec.SCORE_COLUMNS)
+
+    def score(i: int):
+        mine = F.filter("embedding", lambda x, at: at % n == i)
+        return F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+    cols = [score(i).alias(name) for i, name in enumerate(spec.SCORE_COLUMNS)]
     return e.select("vec_id", *cols)
 
 
+#: Names of the ten classes of the embeddings.
+VECTOR_LABELS = [str(i) for i in range(10)]
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """true = label % 5, pred = argmax of elements 1..5, language by vec_id parity."""
+    """true = label, pred = class of the most similar class mean, language by vec_id parity."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(
+    return mdl.centroid_predict(e, mdl.centroids(e, "embedding", "label"), "embedding").select(
         "vec_id",
-        (F.col("label") % 5).cast("int").alias("true_label"),
-        vectors.argmax(F.slice("embedding", 1, 5)).alias("pred_label"),
+        F.col("label").cast("int").alias("true_label"),
+        "pred_label",
         F.when(F.col("vec_id") % 2 == 0, "en").otherwise("de").alias("language"),
     )
 
@@ -111,6 +121,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("context_name"),
         F.when(F.col("event_type") == "error", "model_load").otherwise("inference_run").alias("event_type"),
         F.col("ts").alias("timestamp_start_iso"),
+        (F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))).alias("timestamp_end_iso"),
         F.col("value").alias("duration_seconds"),
         k.alias("num_texts_processed"),
         (k * 100).alias("total_chars_processed"),
@@ -154,8 +165,9 @@ def acc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classification runs: one per (source as model, lang as dataset kind).
 
     Which result files exist is derived from the counts: training metrics are
-    missing when the document count is a multiple of 3, the evaluation when no
-    document is labelled, the best epoch when the labelled count is 1.
+    missing when the document count is a multiple of 3, the model's own record
+    when it is a multiple of 5, the evaluation when no document is labelled, the
+    best epoch when the labelled count is 1.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -172,6 +184,7 @@ def acc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         _case(F.col("lang"), DATASET_BY_LANG).alias("dataset"),
         F.lit(64).cast("bigint").alias("embedding_dimension"),
         F.when(F.col("n_labelled") != 1, F.col("n_labelled") % 7).cast("bigint").alias("epoch"),
+        (F.col("n_docs") % 5 != 0).alias("has_model_info"),
         (F.col("n_docs") % 3 != 0).alias("has_training_metrics"),
         (F.col("n_labelled") > 0).alias("has_evaluation"),
         "train_acc", "val_acc", "test_acc",

@@ -133,6 +133,19 @@ def test_fixed_decimals(spark):
     assert out == ["1.00", "0.12", "-2.50", None, "1024.00"]
 
 
+def test_fixed_decimals_equal_python_formatting(spark):
+    import random
+    rng = random.Random(7)
+    values = [1.115, 2.675, 0.125, 0.375, 0.5, 0.995, 0.9999999, -0.001, -0.0, 1e17, 2.0 ** 52 + 0.5, 2.0 ** 62,
+              4503599627370495.5, 1e-300, 5e-324, float("nan"), float("inf"), float("-inf")]
+    values += [rng.randrange(10 ** 7) / 8 * 10 ** rng.randrange(-6, 3) for _ in range(500)]
+    values += [rng.uniform(-1e4, 1e4) for _ in range(500)] + [k / 1000 for k in range(-300, 300)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (2, 4):
+        out = [r[0] for r in df.select(tx.fixed_decimals("x", digits)).collect()]
+        assert out == [f"{v:.{digits}f}" for v in values]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0, 4.0],)], "v array<double>")
     r = df.select(vec.argmax("v"), vec.l2_norm("v"), vec.l2_normalize("v"), vec.log_sum_exp("v")).first()

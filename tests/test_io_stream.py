@@ -64,10 +64,11 @@ def test_json_tree_levels(spark):
 
 def test_event_list_file(spark):
     d = tempfile.mkdtemp(prefix="lf-ev-")
+    times = {"timestamp_start_iso": "2025-05-11T10:00:00", "timestamp_end_iso": "2025-05-11T10:00:02"}
     events = [
-        {"event_id": "a", "context_name": "c", "event_type": "model_load", "duration_seconds": 1.0},
+        {"event_id": "a", "context_name": "c", "event_type": "model_load", "duration_seconds": 1.0, **times},
         {"event_id": "b", "context_name": "c", "event_type": "inference_run", "duration_seconds": 2.0,
-         "num_texts_processed": 4, "seconds_per_text": 0.5},
+         "num_texts_processed": 4, "seconds_per_text": 0.5, **times},
         {"event_id": "c", "context_name": "c", "event_type": "inference_run"},
     ]
     with open(os.path.join(d, "monitoring_events_c.json"), "w") as f:
@@ -77,6 +78,38 @@ def test_event_list_file(spark):
     assert rejected.count() == 1
 
 
+def test_event_list_verdict_does_not_depend_on_columns(spark):
+    d = tempfile.mkdtemp(prefix="lf-ev-")
+    good = {"event_id": "a", "context_name": "c", "event_type": "inference_run", "duration_seconds": 1.0,
+            "timestamp_start_iso": "2025-05-11T10:00:00", "timestamp_end_iso": "2025-05-11T10:00:02"}
+    bad = [{**good, "num_texts_processed": "many"}, {**good, "timestamp_end_iso": "soon"}]
+    bad += [{k: v for k, v in good.items() if k != name} for name in spec.EVENT_REQUIRED]
+    with open(os.path.join(d, "e.json"), "w") as f:
+        f.write("\n".join(json.dumps(x) for x in [good, *bad]) + "\n{broken\n")
+    valid, rejected = fio.read_event_lists(spark, d, spec.EVENT_SCHEMA, event_type=None, multiline=False)
+    assert valid.count() == len(valid.collect()) == len(valid.select("event_id").collect()) == 1
+    assert rejected.count() == len(rejected.collect()) == len(bad) + 1
+
+
+def test_runs_from_result_files(spark):
+    rows = [("m:a", "balanced", 64, 1, True, True, True, 0.5, 0.25, 0.75),
+            ("m:b", "balanced", 64, None, True, True, True, 0.5, 0.25, 0.75),
+            ("m:c", "balanced", 64, 0, False, True, True, 0.5, 0.25, 0.75),
+            ("m:d", "balanced", 64, 0, True, False, False, 0.5, 0.25, 0.75)]
+    runs = spark.createDataFrame(rows, "model_name string, dataset string, embedding_dimension long, epoch long, "
+                                 "has_model_info boolean, has_training_metrics boolean, has_evaluation boolean, "
+                                 "train_acc double, val_acc double, test_acc double")
+    root = tempfile.mkdtemp(prefix="lf-runs-")
+    rep.write_runs(runs, root)
+    back = rep.read_runs(spark, root)
+    got = {r["model_name"]: r for r in back.collect()}
+    assert sorted(got) == ["m:a", "m:b", "m:d", "m_c"]  # without its record a model has its folder's name
+    assert (got["m:a"]["train_acc"], got["m:a"]["val_acc"], got["m:a"]["test_acc"]) == (0.5, 0.25, 0.75)
+    assert got["m:b"]["train_acc"] is None
+    assert {r["model_name"]: r["reason"] for r in rep.incomplete_runs(back).collect()} == {
+        "m:b": "missing epoch", "m_c": "missing model_info.json", "m:d": "missing training_metrics.json"}
+
+
 def test_markdown_sink(spark):
     t = spark.createDataFrame([("m1", 1.5, 384)], f"`{rep.MODEL}` string, x double, y long")
     rows = rep.markdown_rows(t)
