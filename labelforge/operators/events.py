@@ -23,6 +23,15 @@ def text_volume(df: DataFrame, text_col: str, group_cols=()) -> DataFrame:
     )
 
 
+def event_basics(events: DataFrame) -> DataFrame:
+    """Add ``duration_seconds`` (end minus start, to the microsecond) and
+    ``ram_usage_delta_mb`` (end minus start, null unless both are known)."""
+    elapsed = F.timestamp_diff("MICROSECOND", F.col("timestamp_start_iso"), F.col("timestamp_end_iso")) / 1e6
+    return events.withColumns({
+        "duration_seconds": elapsed,
+        "ram_usage_delta_mb": F.col("ram_usage_end_mb") - F.col("ram_usage_start_mb")})
+
+
 def event_metrics(events: DataFrame) -> DataFrame:
     """Add the derived inference-event fields.
 

@@ -1,7 +1,7 @@
 """Composite dataset pipelines (D1-D8) built from the operators.
 
 ``post_dataset``: single-label posts (crosswalked) and conversation turns are
-fused, restricted to the targets, balanced, placed in a seeded shuffle order,
+labelled by their largest score are fused, restricted to the targets, balanced, placed in a seeded shuffle order,
 translated and emitted once per language.
 
 ``mail_dataset``: raw mails are cleaned, empty and duplicate texts dropped,
@@ -26,11 +26,9 @@ from labelforge.operators import annotate as ann
 from labelforge.operators import sampling as smp
 from labelforge.sources import files as fio
 from labelforge.sources import views
-from labelforge.sources.tables import table
 
 # Conversation turns get ids above every document id.
 CONVERSATION_ID_BASE = 10 ** 12
-CONVERSATION_LABELS = spec.TARGET_LABELS + ["Love"]
 
 
 def _stage(spark, stage_dir, name, build, required, predicate=None) -> DataFrame:
@@ -50,11 +48,8 @@ def fused_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = views.posts(spark, sf_dir).withColumn("emotion", lab.crosswalk("sentiment")) \
         .dropna(subset=["emotion"]) \
         .select(F.col("doc_id").alias("item_id"), "text", "emotion", F.lit("crowdflower").alias("source"))
-    c = table(spark, sf_dir, "conversations")
-    names = F.array(*[F.lit(x) for x in CONVERSATION_LABELS])
-    b = c.select(
-        (F.lit(CONVERSATION_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text",
-        F.get(names, ((F.col("conv_id") + F.col("turn")) % len(CONVERSATION_LABELS)).cast("int")).alias("emotion"),
+    b = lab.dominant_label(views.scored_turns(spark, sf_dir), "emotion").select(
+        (F.lit(CONVERSATION_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text", "emotion",
         F.lit("cbet").alias("source"))
     return a.unionByName(b, allowMissingColumns=True).where(F.col("emotion").isin(*spec.TARGET_LABELS))
 

@@ -79,6 +79,18 @@ dots AS (SELECT e.vec_id, e.label, k.c, sum(CAST(e.x AS DOUBLE) * k.v) AS dot
          FROM cells e JOIN cent k ON k.p = e.p GROUP BY e.vec_id, e.label, k.c),
 scores AS (SELECT d.vec_id, d.label, d.c, d.dot / (v.vn * n.cn) AS cos
            FROM dots d JOIN vnorm v USING (vec_id) JOIN cnorm n USING (c))"""
+def _top_label(source: str, name: str, keys: str) -> str:
+    """CTE ``name``: the target with the largest of six clamped scores."""
+    return f"""{name}_t AS (SELECT {keys}, anger AS "Anger", greatest(joy, love, thankfulness) AS "Joy", sadness AS "Sadness", fear AS "Fear" FROM {source}),
+{name} AS (SELECT {keys}, CASE WHEN top <= 0 THEN 'Neutral' WHEN "Anger" = top THEN 'Anger' WHEN "Fear" = top THEN 'Fear'
+  WHEN "Joy" = top THEN 'Joy' WHEN "Sadness" = top THEN 'Sadness' END AS emotion
+  FROM (SELECT *, greatest("Anger", "Joy", "Sadness", "Fear") AS top FROM {name}_t))"""
+
+
+TURNS = "turn_scores AS (SELECT conv_id, turn, text, " + ", ".join(
+    f"greatest(CAST(0.0 AS DOUBLE), CAST((conv_id * {i + 3} + turn * {i + 1} + coalesce(length(text), 0) * {2 * i + 1}) % 11 - 4 AS DOUBLE)) AS {c}"
+    for i, c in enumerate(spec.SCORE_COLUMNS)) + " FROM conversations),\n" + _top_label("turn_scores", "turns", "conv_id, turn, text")
+
 PREDICTIONS = SCORES + """,
 predictions AS (
   SELECT vec_id, CAST(label AS INTEGER) AS true_label, CAST(c AS INTEGER) AS pred_label,
@@ -97,8 +109,8 @@ EPOCHS = f"""epochs AS (
 RUNS = f"""runs AS (
   SELECT event_id, 'user_' || CAST(user_id AS VARCHAR) AS context_name,
     CASE WHEN event_type = 'error' THEN 'model_load' ELSE 'inference_run' END AS event_type,
-    value AS duration_seconds, {K} AS num_texts_processed, {K} * 100 AS total_chars_processed,
-    CASE WHEN event_id % 17 = 0 THEN NULL ELSE value * 10 END AS ram_usage_delta_mb
+    CAST(round(value * 1000000) AS BIGINT) / 1e6 AS duration_seconds, {K} AS num_texts_processed, {K} * 100 AS total_chars_processed,
+    CASE WHEN event_id % 17 = 0 THEN NULL ELSE value * 13 - value * 3 END AS ram_usage_delta_mb
   FROM events),
 derived AS (
   SELECT *,
@@ -412,8 +424,7 @@ FUSED = f"""fused AS (
   SELECT * FROM (
     SELECT doc_id AS item_id, text, emotion, source FROM xw
     UNION ALL
-    SELECT {10 ** 12} + conv_id * 1000 + turn, text,
-      {str_list(TARGETS + ['Love'])}[(conv_id + turn) % {len(TARGETS) + 1} + 1], 'cbet' FROM conversations)
+    SELECT {10 ** 12} + conv_id * 1000 + turn, text, emotion, 'cbet' FROM turns)
   WHERE emotion IN ({", ".join(q(t) for t in TARGETS)})),
 fh AS (SELECT *, md5(CAST(item_id AS VARCHAR) || ':{spec.SEED}') AS hh FROM fused),
 fc AS (SELECT emotion, count(*) AS n FROM fh GROUP BY emotion),
@@ -421,7 +432,7 @@ bal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emotion ORDER B
         WHERE rn <= (SELECT min(n) FROM fc)),
 en AS (SELECT item_id, text, emotion, source, row_number() OVER (ORDER BY hh, item_id) - 1 AS position FROM bal)"""
 
-POST_DATASET = with_(POSTS, CROSSWALKED, FUSED, _translated("en", "item_id", "text")) + """
+POST_DATASET = with_(POSTS, CROSSWALKED, TURNS, FUSED, _translated("en", "item_id", "text")) + """
 SELECT item_id, position, emotion, source, 'en' AS language, text AS content FROM tr
 UNION ALL SELECT item_id, position, emotion, source, 'de', translated_text FROM tr"""
 
@@ -502,21 +513,17 @@ WHERE rn <= (SELECT min(n) FROM c)""",
     "label_encode": with_(POSTS) + f"""SELECT doc_id, label_name,
   CASE label_name {" ".join(f"WHEN {q(n)} THEN {i}" for i, n in enumerate(TARGETS))} END AS emotion_label
 FROM (SELECT doc_id, upper(substr(sentiment, 1, 1)) || lower(substr(sentiment, 2)) AS label_name FROM posts)""",
-    "fuse_sources": with_(POSTS, CROSSWALKED) + f"""SELECT * FROM (
+    "fuse_sources": with_(POSTS, CROSSWALKED, TURNS) + f"""SELECT * FROM (
   SELECT 'd' || CAST(doc_id AS VARCHAR) AS item_key, text, emotion, source FROM xw
   UNION ALL
-  SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text,
-    {str_list(TARGETS + ['Love'])}[(conv_id + turn) % {len(TARGETS) + 1} + 1], 'cbet' FROM conversations)
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text, emotion, 'cbet' FROM turns)
 WHERE emotion IN ({", ".join(q(t) for t in TARGETS)})""",
     "dominant_label": """WITH s AS (
   SELECT vec_id, """ + ", ".join(
         "greatest(CAST(0.0 AS DOUBLE), list_sum(list_filter(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), "
         f"lambda x, i: (i - 1) % {len(spec.SCORE_COLUMNS)} = {i}))) AS {c}"
         for i, c in enumerate(spec.SCORE_COLUMNS)) + """ FROM embeddings),
-t AS (SELECT vec_id, anger AS "Anger", greatest(joy, love, thankfulness) AS "Joy", sadness AS "Sadness", fear AS "Fear" FROM s),
-m AS (SELECT *, greatest("Anger", "Joy", "Sadness", "Fear") AS top FROM t)
-SELECT vec_id, CASE WHEN top <= 0 THEN 'Neutral' WHEN "Anger" = top THEN 'Anger' WHEN "Fear" = top THEN 'Fear'
-  WHEN "Joy" = top THEN 'Joy' WHEN "Sadness" = top THEN 'Sadness' END AS emotion FROM m""",
+""" + _top_label("s", "m", "vec_id") + " SELECT vec_id, emotion FROM m",
     "class_weights": f"""WITH c AS (SELECT label, count(*) AS n_c FROM embeddings GROUP BY 1),
 j AS (SELECT CAST(k.range AS INTEGER) AS label, c.n_c FROM range({CLASSES}) k LEFT JOIN c ON c.label = k.range),
 w AS (SELECT *, CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({CLASSES} AS DOUBLE) * n_c) AS w FROM j)

@@ -207,19 +207,12 @@ def q_label_encode(spark, sf):
     return p.withColumn("emotion_label", lab.encode_label("label_name"))
 
 
-CONVERSATION_LABELS = spec.TARGET_LABELS + ["Love"]
-
-
 def q_fuse_sources(spark, sf):
     a = crosswalked(spark, sf).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_key"), "text", "emotion", "source")
-    c = table(spark, sf, "conversations")
-    names = F.array(*[F.lit(x) for x in CONVERSATION_LABELS])
-    b = c.select(
+    b = lab.dominant_label(views.scored_turns(spark, sf), "emotion").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
-        .alias("item_key"), "text",
-        F.get(names, ((F.col("conv_id") + F.col("turn")) % len(CONVERSATION_LABELS)).cast("int")).alias("emotion"),
-        F.lit("cbet").alias("source"))
+        .alias("item_key"), "text", "emotion", F.lit("cbet").alias("source"))
     fused = a.unionByName(b, allowMissingColumns=True)
     return fused.where(F.col("emotion").isin(*spec.TARGET_LABELS))
 
@@ -423,7 +416,7 @@ def q_encode_throughput(spark, sf):
 # ---------------------------------------------------------------------------
 
 def derived_events(spark, sf):
-    return evt.event_metrics(views.runs(spark, sf))
+    return evt.event_metrics(evt.event_basics(views.runs(spark, sf)))
 
 
 def q_event_metrics(spark, sf):
@@ -442,12 +435,11 @@ def q_event_roundtrip(spark, sf):
 
 def q_event_times(spark, sf):
     """Start/end stamps in ISO format and the elapsed seconds between them."""
-    r = views.runs(spark, sf)
-    start = F.col("timestamp_start_iso")
-    end = start + F.make_dt_interval(secs=F.col("duration_seconds").cast("decimal(18,6)"))
+    r = evt.event_basics(views.runs(spark, sf))
+    start, end = F.col("timestamp_start_iso"), F.col("timestamp_end_iso")
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     return r.select("event_id", F.date_format(start, iso).alias("start_iso"), F.date_format(end, iso).alias("end_iso"),
-                    (F.timestamp_diff("MICROSECOND", start, end) / 1e6).alias("elapsed_seconds"),
+                    F.col("duration_seconds").alias("elapsed_seconds"),
                     tx.event_file_name("context_name", end).alias("file_name"))
 
 

@@ -60,6 +60,16 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("sentiment", F.when(i >= len(POST_VOCABULARY), F.upper(word)).otherwise(word))
 
 
+def scored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns with six score columns between -4 and 6, made from the
+    turn's place and length."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    return c.select("*", *[
+        ((F.col("conv_id") * (i + 3) + F.col("turn") * (i + 1) + size * (2 * i + 1)) % 11 - 4).cast("double").alias(name)
+        for i, name in enumerate(spec.SCORE_COLUMNS)])
+
+
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score-column posts: score i sums the embedding elements at the positions
     that leave the remainder i."""
@@ -122,11 +132,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "model_load").otherwise("inference_run").alias("event_type"),
         F.col("ts").alias("timestamp_start_iso"),
         (F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))).alias("timestamp_end_iso"),
-        F.col("value").alias("duration_seconds"),
         k.alias("num_texts_processed"),
         (k * 100).alias("total_chars_processed"),
-        F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("value") * 10).alias("ram_usage_delta_mb"),
+        (F.col("value") * 3).alias("ram_usage_start_mb"),
+        F.when(F.col("event_id") % 17 != 0, F.col("value") * 13).alias("ram_usage_end_mb"),
     )
 
 
