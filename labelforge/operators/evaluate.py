@@ -100,7 +100,7 @@ def report_summary(report: DataFrame, counts: DataFrame, slice_cols=(), k: int =
     """Accuracy, macro and support-weighted averages per slice.
 
     Accuracy is 0.0 when a true or predicted label lies outside the taxonomy
-    (the report then has no accuracy entry).  The per-class rows and the
+    (the report then has no accuracy entry); ``outside`` counts such rows.  The per-class rows and the
     confusion counts are stacked and reduced by one conditional aggregate
     per slice (no join).
     """
@@ -133,6 +133,7 @@ def report_summary(report: DataFrame, counts: DataFrame, slice_cols=(), k: int =
         weighted("recall").alias("weighted_recall"),
         weighted("f1").alias("weighted_f1"),
         sup.cast("bigint").alias("support"),
+        outside.cast("bigint").alias("outside"),
     )
 
 
@@ -150,8 +151,10 @@ def metric_by_class(report: DataFrame, slice_cols=()) -> DataFrame:
 
 
 def report_json(long: DataFrame, report: DataFrame, summary: DataFrame, slice_cols=()) -> DataFrame:
-    """The evaluation record as one JSON string per slice (confusion matrix as
-    nested arrays in label order, per-class report as a map)."""
+    """The evaluation record as one JSON string per slice: the confusion matrix as
+    nested arrays in label order, the report with an entry per class, then
+    ``accuracy`` (only when every label is in the taxonomy), ``macro avg`` and
+    ``weighted avg``."""
     if not slice_cols:  # one record: a literal slice keeps the joins keyed
         one = [F.lit("all").alias("_lf_slice")]
         out = report_json(long.select("*", *one), report.select("*", *one), summary.select("*", *one),
@@ -162,15 +165,28 @@ def report_json(long: DataFrame, report: DataFrame, summary: DataFrame, slice_co
     matrix = rows.groupBy(*slice_cols).agg(
         F.array_sort(F.collect_list(F.struct("true_label", F.transform("r", lambda x: x["n"]).alias("row"))))
         .alias("m")).select(*slice_cols, F.transform("m", lambda x: x["row"]).alias("confusion_matrix"))
-    per_class = report.groupBy(*slice_cols).agg(F.map_from_entries(F.collect_list(F.struct(
-        "class_name", F.struct(F.col("precision"), F.col("recall"), F.col("f1").alias("f1-score"),
-                               F.col("support").cast("double").alias("support")))))
-        .alias("classification_report"))
+    entry = F.struct("precision", "recall", F.col("f1").alias("f1-score"), F.col("support").cast("double").alias("support"))
+    in_order = F.array_sort(F.collect_list(F.struct("label", "class_name", entry.alias("entry"))))
+    per_class = report.groupBy(*slice_cols).agg(F.map_from_entries(F.transform(
+        in_order, lambda c: F.struct(c["class_name"], c["entry"]))).alias("classes"))
     keys = list(slice_cols)
     j = summary.join(matrix, keys).join(per_class, keys)
-    return j.select(*keys, F.to_json(F.struct(
-        "accuracy", F.col("macro_f1").alias("macro_avg_f1"), F.col("weighted_f1").alias("weighted_avg_f1"),
-        "confusion_matrix", "classification_report")).alias("evaluation_json"))
+
+    def average(kind: str):
+        return F.struct(F.struct(*[F.col(f"{kind}_{c}").alias(name) for name, c in METRICS],
+                                 F.col("support").cast("double").alias("support")).alias(f"{kind} avg"))
+
+    def inner(value):  # a JSON object without its braces
+        text = F.to_json(value)
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    total = F.when(F.col("outside") == 0, inner(F.struct("accuracy")))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", inner(F.col("classes")), total, inner(average("macro")),
+                                             inner(average("weighted"))), F.lit("}"))
+    head = inner(F.struct("accuracy", F.col("macro_f1").alias("macro_avg_f1"),
+                          F.col("weighted_f1").alias("weighted_avg_f1"), "confusion_matrix"))
+    return j.select(*keys, F.concat(F.lit("{"), head, F.lit(',"classification_report":'), whole, F.lit("}"))
+                    .alias("evaluation_json"))
 
 
 # -- A9: class weights --------------------------------------------------------------

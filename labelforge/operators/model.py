@@ -13,7 +13,7 @@ weights, so the class weights enter the loss used for model selection
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -91,6 +91,14 @@ METRICS_SCHEMA = T.StructType([
 ])
 
 
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    return MultilayerPerceptronClassificationModel.load(path)
+
+
 def predict(model, df: DataFrame, features_col: str, out_col: str = "pred_label") -> DataFrame:
     """Batch prediction with a trained model (index of the largest output)."""
     x = df.withColumn("features", array_to_vector(F.col(features_col)))

@@ -65,6 +65,27 @@ def write_runs(runs: DataFrame, root: str) -> None:
                f"{root}/evaluation_results", ["d", "m"])
 
 
+def write_training(spark: SparkSession, root: str, dataset: str, name: str, dim: int, classes: int,
+                   rounds: list[tuple], best: tuple) -> None:
+    """The model's record and its series (one entry per round) as result files of
+    one run; ``rounds`` are the rows of ``model.train_mlp``, ``best`` one of them."""
+    place = {"d": F.lit(dataset), "m": F.translate(F.lit(name), ":", "_")}
+    info = {"embedding_model_name": name, "embedding_dimension": dim, "classifier_class": "mlp", "num_classes": classes,
+            "epoch": best[0], "val_loss": best[3], "val_acc": best[4], "learning_rate": None}
+    row = [tuple(info[f.name] for f in spec.MODEL_INFO_SCHEMA.fields)]
+    write_json(spark.createDataFrame(row, spec.MODEL_INFO_SCHEMA).withColumns(place), f"{root}/model_info", ["d", "m"])
+    series = [tuple([r[i] for r in rounds] for i in (1, 2, 3, 4)) + (None,)]
+    write_json(spark.createDataFrame(series, spec.TRAINING_METRICS_SCHEMA).withColumns(place),
+               f"{root}/training_metrics", ["d", "m"])
+
+
+def write_evaluation(summary: DataFrame, root: str, dataset: str, name: str) -> None:
+    """The averages of one evaluated run as its result file."""
+    write_json(summary.select("accuracy", F.col("macro_f1").alias("macro_avg_f1"),
+                              F.col("weighted_f1").alias("weighted_avg_f1"), F.lit(dataset).alias("d"),
+                              F.translate(F.lit(name), ":", "_").alias("m")), f"{root}/evaluation_results", ["d", "m"])
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """The runs below ``root``: the three files of a (dataset, model) folder are
     joined, the accuracies looked up at the model's best epoch (null out of range)."""

@@ -3,7 +3,8 @@
 train texts -> label encoding (unknown labels rejected) -> stratified
 70/30 split on label x language -> batch embedding (written once, read for
 training and for the final evaluation) -> class weights -> MLP training in
-rounds with early stopping -> evaluation on validation and test sets.
+rounds with early stopping -> best model saved and loaded -> evaluation on
+validation and test sets -> result files.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from labelforge.functions.labels import encode_label
 from labelforge.operators import embed as emb
 from labelforge.operators import evaluate as ev
 from labelforge.operators import model as mdl
+from labelforge.operators import report as rep
 from labelforge.operators import sampling as smp
+from labelforge.session import scratch_path
 
 SUMMARY_COLS = ["accuracy", "macro_f1", "weighted_f1", "support"]
 
@@ -24,7 +27,15 @@ SUMMARY_COLS = ["accuracy", "macro_f1", "weighted_f1", "support"]
 def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_col: str,
                    text_col: str = "content", label_col: str = "emotion", prefix_name: str = "none",
                    normalize: bool = True, dim: int = 64, patience: int = spec.PATIENCE,
-                   max_rounds: int = 1000, iters_per_round: int = 10) -> DataFrame:
+                   max_rounds: int = 1000, iters_per_round: int = 10, result_dir: str | None = None,
+                   name: str = "hashing", dataset: str = "balanced") -> DataFrame:
+    """Summary rows of the validation and the test set.
+
+    The best model is saved below ``result_dir`` (a scratch folder if unset) and
+    loaded back for the evaluation; its record, the training series and the
+    test evaluation are written there as result files (``report.read_runs``).
+    """
+    root = result_dir or scratch_path(spark, "experiment")
     labels = spec.TARGET_LABELS
     k = len(labels)
 
@@ -41,15 +52,20 @@ def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_c
                                   iters_per_round=iters_per_round, max_rounds=max_rounds, patience=patience,
                                   order_col=key_col)
     best = min(rounds, key=lambda r: (r[3], r[0]))
+    mdl.save_model(model, f"{root}/model")
+    model = mdl.load_model(f"{root}/model")
+    rep.write_training(spark, root, dataset, name, dim, k, rounds, best)
     te = emb.embed_texts(encoded(test), text_col, "embedding", dim, prefix_name, normalize)
     out = None
-    for name, part in (("val", va), ("test", te)):
+    for part_name, part in (("val", va), ("test", te)):
         pred = mdl.predict(model, part, "embedding")
-        long = ev.confusion_long(pred, "emotion_label", "pred_label", labels)
-        report = ev.class_report(long, labels)
-        summary = ev.report_summary(report, ev.confusion_counts(pred, "emotion_label", "pred_label"), k=k)
-        row = summary.select(F.lit(name).alias("dataset"), "accuracy", "macro_f1", "weighted_f1", "support")
+        counts = ev.confusion_counts(pred, "emotion_label", "pred_label")
+        report = ev.class_report(ev.confusion_long_from_counts(counts, labels), labels, counts=counts)
+        summary = ev.report_summary(report, counts, k=k)
+        row = summary.select(F.lit(part_name).alias("dataset"), "accuracy", "macro_f1", "weighted_f1", "support")
         out = row if out is None else out.unionByName(row)
+    out = out.checkpoint(eager=True)
+    rep.write_evaluation(out.where(F.col("dataset") == "test"), root, dataset, name)
     return out.withColumn("best_epoch", F.lit(best[0]).cast("bigint")) \
         .withColumn("epochs_ran", F.lit(len(rounds)).cast("bigint")) \
         .withColumn("best_val_loss", F.lit(float(best[3])))

@@ -564,6 +564,11 @@ mm AS (SELECT slice, 'precision' AS metric, label, class_name, precision AS valu
        UNION ALL SELECT slice, 'f1-score', label, class_name, f1 FROM rep)
 SELECT slice, metric, label, class_name, round(value, 9) AS value FROM
   (SELECT *, max(value) OVER (PARTITION BY slice, metric) AS mx FROM mm) WHERE mx >= 1e-6""",
+    "report_json_fields": with_(PREDICTIONS) + ", " + _report_ctes("predictions", CLASSES, CLASS_NAMES)
+    + "\nSELECT s.slice, round(s.accuracy, 9) AS accuracy, round(s.accuracy, 9) AS report_accuracy, "
+    + ", ".join(f"round(s.{k}_{m}, 9) AS {k}_{m}" for k in ("macro", "weighted") for m in ("precision", "recall", "f1"))
+    + ", " + ", ".join(f"round(max(CASE WHEN r.class_name = '{c}' THEN r.recall END), 9) AS recall_{c}" for c in views.VECTOR_LABELS)
+    + ", s.support, CAST(sum(r.tp) AS BIGINT) AS n_right FROM summ s JOIN rep r USING (slice) GROUP BY ALL",
     "argmax_predict": with_(PREDICTIONS) + """SELECT vec_id,
   CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax_all, pred_label
 FROM embeddings JOIN predictions USING (vec_id)""",

@@ -337,6 +337,24 @@ def q_report_json(spark, sf):
     return ev.report_json(long, r, s, ["slice"])
 
 
+def q_report_json_fields(spark, sf):
+    """The evaluation records read back by name."""
+    j = q_report_json(spark, sf)
+
+    def number(path: str):
+        return F.get_json_object("evaluation_json", path).cast("double")
+
+    rows = F.from_json(F.get_json_object("evaluation_json", "$.confusion_matrix"), "array<array<bigint>>")
+    right = F.aggregate(F.transform(rows, lambda r, i: F.get(r, i)), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    report = "$.classification_report"
+    return j.select(
+        "slice", rnd(number("$.accuracy")).alias("accuracy"), rnd(number(f"{report}.accuracy")).alias("report_accuracy"),
+        *[rnd(number(f"{report}['{kind} avg']['{name}']")).alias(f"{kind}_{c}")
+          for kind in ("macro", "weighted") for name, c in ev.METRICS],
+        *[rnd(number(f"{report}['{label}'].recall")).alias(f"recall_{label}") for label in views.VECTOR_LABELS],
+        number(f"{report}['weighted avg'].support").cast("bigint").alias("support"), right.alias("n_right"))
+
+
 def q_argmax_predict(spark, sf):
     e = table(spark, sf, "embeddings")
     p = mdl.centroid_predict(e, mdl.centroids(e, "embedding", "label"), "embedding")
@@ -629,6 +647,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_summary": q_report_summary,
     "metric_by_class": q_metric_by_class,
     "report_json": q_report_json,
+    "report_json_fields": q_report_json_fields,
     "argmax_predict": q_argmax_predict,
     "weighted_log_loss": q_weighted_log_loss,
     "l2_normalize": q_l2_normalize,

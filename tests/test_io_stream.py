@@ -110,6 +110,26 @@ def test_runs_from_result_files(spark):
         "m:b": "missing epoch", "m_c": "missing model_info.json", "m:d": "missing training_metrics.json"}
 
 
+def test_experiment_leaves_a_model_and_result_files(spark):
+    from labelforge.functions.labels import encode_label
+    from labelforge.operators import embed as emb
+    from labelforge.operators import model as mdl
+    from labelforge.plans.experiment import run_experiment
+    rows = [(f"k{i}", f"word{i % 5} same{i % 5} text{i}", spec.TARGET_LABELS[i % 5], "en" if i % 2 else "de")
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "key string, content string, emotion string, language string")
+    root = tempfile.mkdtemp(prefix="lf-exp-")
+    out = run_experiment(spark, df, df, "key", max_rounds=3, result_dir=root, name="m:x")
+    got = {r["dataset"]: r for r in out.collect()}
+    run = rep.read_runs(spark, root).first()
+    assert run["model_name"] == "m:x" and run["has_model_info"] and run["has_training_metrics"] and run["has_evaluation"]
+    assert run["epoch"] == got["test"]["best_epoch"] and run["test_acc"] == got["test"]["accuracy"]
+    embedded = emb.embed_texts(df, "content", "e", 64, "none", True).withColumn("y", encode_label("emotion"))
+    model = mdl.load_model(root + "/model")
+    right = mdl.predict(model, embedded, "e").where(F.col("pred_label") == F.col("y")).count()
+    assert right / len(rows) == got["test"]["accuracy"] > 0.5
+
+
 def test_markdown_sink(spark):
     t = spark.createDataFrame([("m1", 1.5, 384)], f"`{rep.MODEL}` string, x double, y long")
     rows = rep.markdown_rows(t)
