@@ -343,7 +343,15 @@ def test_report_json_single_record(spark):
     rec = json.loads(ev.report_json(long, rep_, ev.report_summary(rep_, counts, k=2)).first()["evaluation_json"])
     assert rec["confusion_matrix"] == [[1, 0], [1, 1]]
     assert abs(rec["accuracy"] - 2 / 3) < 1e-12
-    assert set(rec["classification_report"]) == {"a", "b"}
+    got = rec["classification_report"]
+    assert list(got) == ["a", "b", "accuracy", "macro avg", "weighted avg"]
+    assert got["b"] == {"precision": 1.0, "recall": 0.5, "f1-score": 2 / 3, "support": 2.0}
+    assert got["accuracy"] == rec["accuracy"] and got["macro avg"]["recall"] == 0.75
+    assert got["weighted avg"]["support"] == 3.0
+    outside = ev.confusion_counts(df.unionByName(spark.createDataFrame([(0, 7)], "t int, p int")), "t", "p")
+    report = ev.class_report(ev.confusion_long_from_counts(outside, ["a", "b"]), ["a", "b"], counts=outside)
+    rec = json.loads(ev.report_json(long, report, ev.report_summary(report, outside, k=2)).first()["evaluation_json"])
+    assert rec["accuracy"] == 0.0 and "accuracy" not in rec["classification_report"]
 
 
 def test_split_quotas_at_large_counts(spark):
