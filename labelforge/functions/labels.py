@@ -39,7 +39,7 @@ def decode_label(c, labels=spec.TARGET_LABELS) -> Column:
 
 def crosswalk(c, mapping=spec.POST_CROSSWALK, targets=spec.TARGET_LABELS) -> Column:
     """Many-to-one map on the lower-cased source label; unmapped -> null."""
-    reverse = spec.reverse_crosswalk(mapping, targets)
+    reverse = spec.target_of_source(mapping, targets)
     return F.try_element_at(_literal_map(reverse), F.lower(col_(c)))
 
 

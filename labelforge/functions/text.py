@@ -182,13 +182,7 @@ def prefix_by_name(c, name_col) -> Column:
 
 
 def annotate_prompt(c, labels=spec.TARGET_LABELS) -> Column:
-    head, tail = spec.ANNOTATE_USER_PROMPT.split("{text}")
-    head = head.replace("{labels}", ", ".join(labels))
-    return F.concat(F.lit(head), col_(c), F.lit(tail))
-
-
-def translate_prompt(c) -> Column:
-    head, tail = spec.TRANSLATE_USER_PROMPT.split("{text}")
+    head, tail = spec.annotate_user_prompt(labels).split("{text}")
     return F.concat(F.lit(head), col_(c), F.lit(tail))
 
 

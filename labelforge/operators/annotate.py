@@ -23,14 +23,17 @@ from pyspark.sql import types as T
 
 from labelforge import spec
 from labelforge.functions.labels import validate_answer
-from labelforge.functions.text import annotate_prompt
 from labelforge.operators.partitioning import spread
 
-# A client answers one prompt: (row key, attempt number, prompt) -> text.
-# It raises on failure.
-AnswerClient = Callable[[object, int, str], str]
-# A translation client: (row key, text) -> translated text; raises on failure.
-TranslateClient = Callable[[object, str], str]
+# A client answers one prompt: (row key, attempt number, system prompt, prompt)
+# -> text.  It raises on failure.
+AnswerClient = Callable[[object, int, str, str], str]
+# A translation client: (row key, text, system prompt, prompt with the text) ->
+# translated text; raises on failure.
+TranslateClient = Callable[[object, str, str, str], str]
+# System prompt and prompt of a translation.
+MAIL_PROMPTS = (spec.TRANSLATE_MAIL_SYSTEM_PROMPT, spec.TRANSLATE_MAIL_USER_PROMPT)
+POST_PROMPTS = (spec.TRANSLATE_POST_SYSTEM_PROMPT, spec.TRANSLATE_POST_USER_PROMPT)
 
 
 # -- stand-in clients (offline, deterministic) -------------------------------------
@@ -40,7 +43,7 @@ def stub_hash(key, attempt: int) -> int:
     return int(digest[:7], 16)
 
 
-def stub_answer_client(key, attempt: int, prompt: str, labels=spec.TARGET_LABELS) -> str:
+def stub_answer_client(key, attempt: int, system: str, prompt: str, labels=spec.TARGET_LABELS) -> str:
     """Hash bucket of (key, attempt): 0-6 a valid answer, 7 an unknown label,
     8 JSON without the key, 9 not JSON."""
     h = stub_hash(key, attempt)
@@ -58,7 +61,7 @@ class StubTranslationError(RuntimeError):
     pass
 
 
-def stub_translate_client(key, text: str) -> str:
+def stub_translate_client(key, text: str, system: str, prompt: str) -> str:
     """``de:`` + text; fails for keys divisible by 13."""
     if int(key) % 13 == 0:
         raise StubTranslationError("translation service unavailable")
@@ -78,24 +81,27 @@ RAW_ATTEMPT = T.StructType([
 def annotate(df: DataFrame, key_col: str, text_col: str, client: AnswerClient = stub_answer_client,
              attempts: int = spec.NUM_ATTEMPTS, labels=spec.TARGET_LABELS,
              timed: bool = False) -> DataFrame:
-    """Call ``client`` ``attempts`` times per row.
+    """Call ``client`` ``attempts`` times per row; the prompt is put together in
+    the task, so the text is sent there once.
 
     Returns the input columns plus ``attempts``: ARRAY<STRUCT<attempt_id,
     emotion, success, elapsed_time, raw_response, error>> in attempt order.
     """
-    prompts = spread(df).withColumn("_lf_prompt", annotate_prompt(text_col, labels))
+    system = spec.annotate_system_prompt(labels)
+    user = spec.annotate_user_prompt(labels)
     out_schema = T.StructType(list(df.schema.fields)
                               + [T.StructField("_lf_raw", T.ArrayType(RAW_ATTEMPT))])
 
     def call(batches):
         for pdf in batches:
             rows = []
-            for key, prompt in zip(pdf[key_col], pdf["_lf_prompt"]):
+            for key, text in zip(pdf[key_col], pdf[text_col]):
+                prompt = user.replace("{text}", text if isinstance(text, str) else "")
                 per_row = []
                 for a in range(attempts):
                     start = time.perf_counter()
                     try:
-                        answer = client(key, a, prompt)
+                        answer = client(key, a, system, prompt)
                         answer = answer.strip() if isinstance(answer, str) else answer
                         err = None
                     except Exception as exc:  # a failed call is data, not a task failure
@@ -104,9 +110,9 @@ def annotate(df: DataFrame, key_col: str, text_col: str, client: AnswerClient =
                     per_row.append({"attempt_id": a, "raw_response": answer,
                                     "elapsed_time": float(elapsed), "call_error": err})
                 rows.append(per_row)
-            yield pdf.drop(columns=["_lf_prompt"]).assign(_lf_raw=rows)
+            yield pdf.assign(_lf_raw=rows)
 
-    raw = prompts.mapInPandas(call, out_schema)
+    raw = spread(df).mapInPandas(call, out_schema)
 
     def checked(a: Column) -> Column:
         v = validate_answer(a["raw_response"], labels)
@@ -164,7 +170,8 @@ def vote(annotated: DataFrame, key_col: str, attempts: int = spec.NUM_ATTEMPTS)
 # -- M2: translation ---------------------------------------------------------------
 
 def translate(df: DataFrame, key_col: str, text_col: str,
-              client: TranslateClient = stub_translate_client, timed: bool = False) -> DataFrame:
+              client: TranslateClient = stub_translate_client, timed: bool = False,
+              prompts: tuple[str, str] = MAIL_PROMPTS) -> DataFrame:
     """Add ``translated_text, success, elapsed_time, raw_response, error``.
 
     Input columns pass through unchanged (no join back).  Blank or null text
@@ -174,6 +181,7 @@ def translate(df: DataFrame, key_col: str, text_col: str,
     added = [f for f in spec.TRANSLATION_FIELDS.fields if f.name not in df.columns]
     out_schema = T.StructType(list(df.schema.fields) + added)
     names = [f.name for f in added]
+    system, user = prompts
 
     def call(batches):
         for pdf in batches:
@@ -184,7 +192,7 @@ def translate(df: DataFrame, key_col: str, text_col: str,
                 else:
                     start = time.perf_counter()
                     try:
-                        answer = client(key, text)
+                        answer = client(key, text, system, user.replace("{text}", text))
                         elapsed = time.perf_counter() - start if timed else 0.0
                         vals = (answer.strip(), True, float(elapsed), answer, None)
                     except Exception as exc:

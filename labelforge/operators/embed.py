@@ -9,10 +9,12 @@ sentence encoders are not installed in this environment).
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
-import zlib
+from collections import Counter
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -26,9 +28,15 @@ from labelforge.operators.partitioning import spread
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 
 
+@lru_cache(1 << 16)
+def _token_hash(token: str) -> int:
+    """The first 32 bits of the token's md5."""
+    return int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+
+
 def hashing_encoder(dim: int = 64, prefix: str | None = None, normalize: bool = True):
     """Factory for the offline encoder: token counts hashed into ``dim``
-    signed buckets (crc32), optional prefix, optional L2 normalisation."""
+    signed buckets (md5), optional prefix, optional L2 normalisation."""
 
     def encode(texts: np.ndarray) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
@@ -36,9 +44,9 @@ def hashing_encoder(dim: int = 64, prefix: str | None = None, normalize: bool =
             if text is None:
                 continue
             s = text if prefix is None else prefix + text
-            for tok in _TOKEN.findall(s.lower()):
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[row, h % dim] += 1.0 if (h >> 31) & 1 == 0 else -1.0
+            for tok, n in Counter(_TOKEN.findall(s.lower())).items():
+                h = _token_hash(tok)
+                out[row, h % dim] += n if h >> 31 == 0 else -n
         if normalize:
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             out = out / np.maximum(norms, 1e-12)

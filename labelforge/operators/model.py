@@ -6,8 +6,10 @@ Training uses Spark ML's ``MultilayerPerceptronClassifier`` (layers
 decides improvement, and training stops after ``patience`` rounds without
 one.  The round loop is the only driver-side iteration; every round is a
 distributed fit plus two aggregate passes.  Spark's MLP has no sample
-weights, so the class weights enter the loss used for model selection
-(A14), not the optimiser.
+weights, so the class weights enter the fit as copies of rows: a row whose
+class has ``r`` times the smallest weight is fitted floor(r) times and, for
+the rest of ``r``, once more with that chance (by a hash of its key, alike
+on every run).  Losses are taken on the rows themselves, with the weights.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,19 @@ def _weighted_metrics(pred: DataFrame, label_col: str, weights: DataFrame) -> tu
     return float(row["loss"]), float(row["acc"])
 
 
+def _copies(df: DataFrame, label_col: str, weights: DataFrame, key: Column) -> DataFrame:
+    """Every row as often as its class weight asks for, numbered in ``_lf_copy``
+    from 0; rows of a class without a weight stay once."""
+    least = F.min("weight_tempered").over(Window.partitionBy())  # one row per class
+    ratio = weights.where("weight_tempered > 0").select(
+        F.col("label").alias("_lf_l"), (F.col("weight_tempered") / least).alias("_lf_r"))
+    chance = F.pmod(F.xxhash64(key, F.lit("copy")), F.lit(1 << 20)) / float(1 << 20)
+    r = F.coalesce("_lf_r", F.lit(1.0))
+    n = F.floor(r).cast("int") + (chance < r - F.floor(r)).cast("int")
+    return df.join(F.broadcast(ratio), df[label_col] == F.col("_lf_l"), "left") \
+        .withColumn("_lf_copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("_lf_l", "_lf_r")
+
+
 def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: str, weights: DataFrame,
               num_classes: int, hidden: int = 128, iters_per_round: int = 5, max_rounds: int = 1000,
               patience: int = spec.PATIENCE, seed: int = spec.SEED, order_col: str | None = None):
@@ -45,17 +60,18 @@ def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: st
     the optimiser sees the same partitions in the same order on every run
     (shuffle output order is otherwise arbitrary, and floating sums with it).
     """
-    def prepared(df: DataFrame) -> DataFrame:
+    def prepared(df: DataFrame, *extra: str) -> DataFrame:
         cols = [array_to_vector(F.col(features_col)).alias("features"),
-                F.col(label_col).cast("double").alias("label")]
+                F.col(label_col).cast("double").alias("label"), *extra]
         if order_col is None:
             return df.select(*cols).persist()
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # grows with the data
         ordered = df.select(F.col(order_col).alias("_lf_o"), *cols).repartitionByRange(n, "_lf_o") \
-            .sortWithinPartitions("_lf_o")
+            .sortWithinPartitions("_lf_o", *extra)
         return ordered.drop("_lf_o").persist()
 
-    tr = prepared(train)
+    fitted = prepared(_copies(train, label_col, weights, F.col(order_col or features_col)), "_lf_copy")
+    tr = fitted.where("_lf_copy = 0")
     va = prepared(val)
     dim = len(tr.first()["features"])
     layers = [dim, hidden, num_classes]
@@ -66,7 +82,7 @@ def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: st
                                                  blockSize=128)
             if weights_vec is not None:
                 mlp.setInitialWeights(weights_vec)
-            model = mlp.fit(tr)
+            model = mlp.fit(fitted)
             weights_vec = model.weights
             tl, ta = _weighted_metrics(model.transform(tr), "label", weights)
             vl, vacc = _weighted_metrics(model.transform(va), "label", weights)
@@ -79,7 +95,7 @@ def train_mlp(train: DataFrame, val: DataFrame, features_col: str, label_col: st
                 if since >= patience:
                     break
     finally:
-        tr.unpersist()
+        fitted.unpersist()
         va.unpersist()
     return best, rows
 

@@ -69,7 +69,7 @@ def post_dataset(spark: SparkSession, sf_dir: str, balance: bool = True, stage_d
                 F.col("language") == "en")
 
     def translated() -> DataFrame:
-        t = ann.translate(en, "item_id", "text", client)
+        t = ann.translate(en, "item_id", "text", client, prompts=ann.POST_PROMPTS)
         return t if stage_dir is not None else ann.materialize(t)  # calls happen once
 
     tr = _stage(spark, stage_dir, "posts_translated", translated, ["translated_text"])

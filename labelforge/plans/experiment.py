@@ -5,10 +5,15 @@ train texts -> label encoding (unknown labels rejected) -> stratified
 training and for the final evaluation) -> class weights -> MLP training in
 rounds with early stopping -> best model saved and loaded -> evaluation on
 validation and test sets -> result files.
+
+``run_matrix`` (M10) makes one run per configuration line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +74,27 @@ def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_c
     return out.withColumn("best_epoch", F.lit(best[0]).cast("bigint")) \
         .withColumn("epochs_ran", F.lit(len(rounds)).cast("bigint")) \
         .withColumn("best_val_loss", F.lit(float(best[3])))
+
+
+def run_matrix(lines: Sequence[str], run: Callable[[str, bool, str], DataFrame]) -> DataFrame:
+    """One run per line ``name;normalize;prefix``; the rows of all runs, each with
+    its configuration.  Blank lines are skipped."""
+    def one(line: str) -> DataFrame:
+        name, normalize, prefix = (part.strip() for part in line.split(";"))
+        flag = normalize.lower() == "true"
+        return run(name, flag, prefix).withColumns({
+            "model_name": F.lit(name), "normalize": F.lit(flag), "prefix_function": F.lit(prefix)})
+    return reduce(DataFrame.unionByName, [one(line) for line in lines if line.strip()])
+
+
+def centroid_run(split: DataFrame, text_col: str, label_col: str, labels: Sequence[str], normalize: bool,
+                 prefix_name: str, dim: int = 64) -> DataFrame:
+    """Embed the texts of a split set, fit class means on its train part and
+    evaluate the rest; the vectors are written once and read by both."""
+    embedded = emb.embed_texts(split, text_col, "embedding", dim, prefix_name, normalize).drop(text_col) \
+        .checkpoint(eager=True)
+    cents = mdl.centroids(embedded.where("split = 'train'"), "embedding", label_col)
+    pred = mdl.centroid_predict(embedded.where("split = 'val'"), cents, "embedding")
+    counts = ev.confusion_counts(pred, label_col, "pred_label")
+    report = ev.class_report(ev.confusion_long_from_counts(counts, labels), labels, counts=counts)
+    return ev.report_summary(report, counts, k=len(labels)).select(*SUMMARY_COLS)

@@ -62,7 +62,7 @@ POSTS = f"""posts AS (
          ELSE {POST_VOCAB}[i % {len(views.POST_VOCABULARY)} + 1] END AS sentiment
   FROM (SELECT *, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS i FROM documents))"""
 
-_REVERSE = spec.reverse_crosswalk()
+_REVERSE = spec.target_of_source()
 CROSSWALK_CASE = "CASE lower(sentiment) " + " ".join(
     f"WHEN {q(k)} THEN {q(v)}" for k, v in _REVERSE.items()) + " END"
 CROSSWALKED = f"""xw AS (
@@ -448,8 +448,8 @@ mails AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS email_id, preprocess
 SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'en' AS language, preprocessed_text AS content FROM tr
 UNION ALL SELECT email_id, emotion, confidence, emotion_counts, {_ATTEMPT_COLS}, 'de', translated_text FROM tr"""
 
-CENTROID_EVAL = f"""WITH sd AS (SELECT vec_id AS doc_id, embedding, label, CAST(label AS VARCHAR) AS stratum FROM embeddings),
-sc AS (SELECT stratum, count(*) AS n FROM sd GROUP BY stratum),
+# sd (doc_id, stratum, ...) -> split (the same columns and split).
+SPLIT_OF_SD = f"""sc AS (SELECT stratum, count(*) AS n FROM sd GROUP BY stratum),
 st AS (SELECT *, sum(n) OVER () AS big_n FROM sc),
 st2 AS (SELECT *, big_n - CAST(ceil(CAST({spec.VAL_SIZE} AS DOUBLE) * big_n) AS BIGINT) AS ntrain FROM st),
 st3 AS (SELECT *, (CAST(n AS HUGEINT) * ntrain) // big_n AS fl, (CAST(n AS HUGEINT) * ntrain) % big_n AS rem FROM st2),
@@ -458,7 +458,10 @@ quota AS (SELECT stratum, fl + CASE WHEN pos <= need THEN 1 ELSE 0 END AS n_trai
 sr AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{spec.SEED}'), doc_id) AS rk
        FROM sd),
 split AS (SELECT sr.*, CASE WHEN rk <= n_train THEN 'train' ELSE 'val' END AS split FROM sr JOIN quota USING (stratum)),
-cells AS (SELECT doc_id, label, split, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM split),
+"""
+
+CENTROID_EVAL = f"""WITH sd AS (SELECT vec_id AS doc_id, embedding, label, CAST(label AS VARCHAR) AS stratum FROM embeddings),
+{SPLIT_OF_SD}cells AS (SELECT doc_id, label, split, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM split),
 cent AS (SELECT label AS c, p, avg(CAST(x AS DOUBLE)) AS v FROM cells WHERE split = 'train' GROUP BY label, p),
 cnorm AS (SELECT c, sqrt(sum(v * v)) AS cn FROM cent GROUP BY c),
 vnorm AS (SELECT doc_id, greatest(sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 1e-12) AS vn
@@ -474,6 +477,42 @@ SELECT {", ".join(f"{r9(c)} AS {c}" for c in ["accuracy", "macro_precision", "ma
                                                "weighted_precision", "weighted_recall", "weighted_f1"])}, support
 FROM summ WHERE slice = 'all'"""
 
+# Signed token counts by the first 32 bits of the token's md5.
+def _bucket_ctes(source: str, prefix: str | None) -> str:
+    text = "coalesce(text, '')" if prefix is None else f"{q(prefix)} || text"
+    return f"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM {source}),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(tok), 1, 8) AS BIGINT) AS h FROM tok),
+bucket AS (SELECT doc_id, h % 64 AS p, CAST(sum(CASE WHEN h < 2147483648 THEN 1 ELSE -1 END) AS DOUBLE) AS v FROM h GROUP BY ALL)"""
+
+
+EMBED_TEXTS = f"""WITH {_bucket_ctes('documents', spec.PREFIX_QUERY)},
+cell AS (SELECT doc_id, p, coalesce(v, 0.0) AS v FROM (SELECT doc_id, unnest(range(64)) AS p FROM documents)
+         LEFT JOIN bucket USING (doc_id, p))
+SELECT doc_id, CAST(count(*) AS INTEGER) AS dim, round(sqrt(sum(v * v)), 9) AS norm, max(CASE WHEN p = 0 THEN v END) AS first,
+  sum(v * (p + 1)) AS placed_sum, CAST(arg_max(p, v * 100 - p) AS INTEGER) AS largest FROM cell GROUP BY doc_id"""
+
+
+def _matrix_run(line: str) -> str:
+    name, normalize, prefix = line.split(";")
+    length = "greatest(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 1e-12)" if normalize == "true" else "1.0"
+    return f"""SELECT * FROM (WITH sd AS (SELECT doc_id, text, CAST(quality AS INTEGER) AS label, CAST(quality AS VARCHAR) AS stratum
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+{SPLIT_OF_SD}{_bucket_ctes('split', spec.prefix_for(prefix))},
+cells AS (SELECT b.doc_id, label, split, p, v / {length} AS x FROM bucket b JOIN split USING (doc_id)),
+cent AS (SELECT c.label AS c, p, sum(x) / any_value(n) AS v FROM cells c
+         JOIN (SELECT label, count(*) AS n FROM split WHERE split = 'train' GROUP BY 1) t USING (label)
+         WHERE split = 'train' GROUP BY c.label, p),
+cnorm AS (SELECT c, sqrt(sum(v * v)) AS cn FROM cent GROUP BY c),
+dots AS (SELECT doc_id, c, sum(x * v) AS dot FROM cells JOIN cent USING (p) WHERE split = 'val' GROUP BY ALL),
+scored AS (SELECT s.doc_id, s.label, k.c, coalesce(dot, 0.0) / cn AS cos FROM split s CROSS JOIN cnorm k
+           LEFT JOIN dots d ON d.doc_id = s.doc_id AND d.c = k.c WHERE split = 'val'),
+pred AS (SELECT label AS true_label, c AS pred_label, 'x' AS language
+         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cos DESC, c) AS r FROM scored) WHERE r = 1),
+{_report_ctes('pred', 2, str_list(['low', 'high']))}
+SELECT {q(name)} AS model_name, {normalize} AS normalize, {q(prefix)} AS prefix_function, {r9('accuracy')} AS accuracy,
+  {r9('macro_f1')} AS macro_f1, {r9('weighted_f1')} AS weighted_f1, support FROM summ WHERE slice = 'all')"""
+
+
 ORACLE: dict[str, str] = {
     "quality_report": f"""WITH pr AS (
   SELECT CAST(l.quality AS INTEGER) AS true_label, CASE WHEN d.n_chars >= 1500 THEN 1 ELSE 0 END AS pred_label, 'x' AS language
@@ -618,8 +657,8 @@ FROM pages""",
     "safe_names": """SELECT page_id, regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') AS safe_name,
   replace(url, ':', '_') AS model_path,
   'monitoring_events_' || regexp_replace(url, '[^\\p{L}\\p{N}_-]', '_', 'g') || '.json' AS file_name FROM pages""",
-    # every text gets the "query: " prefix, so it has a token: a 64-dim unit vector
-    "embed_texts": "SELECT doc_id, CAST(64 AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM documents",
+    "embed_texts": EMBED_TEXTS,
+    "run_matrix": "\nUNION ALL ".join(_matrix_run(line) for line in spec.RUN_CONFIGS),
     "centroid_eval": CENTROID_EVAL,
     "post_dataset": POST_DATASET,
     "mail_dataset": MAIL_DATASET,

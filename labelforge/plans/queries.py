@@ -420,9 +420,25 @@ def q_centroid_eval(spark, sf):
 
 
 def q_embed_texts(spark, sf):
+    """Token counts per bucket: every component enters the two checksums."""
     d = docs(spark, sf).select("doc_id", "text")
-    e = emb.embed_texts(d, "text", "embedding", dim=64, prefix_name="query", normalize=True)
-    return e.select("doc_id", F.size("embedding").alias("dim"), rnd(vec.l2_norm("embedding"), 4).alias("norm"))
+    e = emb.embed_texts(d, "text", "embedding", dim=64, prefix_name="query", normalize=False)
+    placed = F.zip_with("embedding", F.sequence(F.lit(1), F.size("embedding")), lambda x, i: x.cast("double") * i)
+    return e.select("doc_id", F.size("embedding").alias("dim"), rnd(vec.l2_norm("embedding")).alias("norm"),
+                    F.get("embedding", F.lit(0)).cast("double").alias("first"),
+                    F.aggregate(placed, F.lit(0.0), lambda acc, x: acc + x).alias("placed_sum"),
+                    vec.argmax("embedding").alias("largest"))
+
+
+def q_run_matrix(spark, sf):
+    """One run per configuration: quality of the labelled documents by class means."""
+    from labelforge.plans.experiment import centroid_run, run_matrix
+    known = table(spark, sf, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
+    split = materialize(smp.stratified_split(docs(spark, sf).select("doc_id", "text").join(known, "doc_id"), ["label"], "doc_id"))
+    out = run_matrix(spec.RUN_CONFIGS, lambda name, normalize, prefix: centroid_run(
+        split, "text", "label", ["low", "high"], normalize, prefix))
+    return out.select("model_name", "normalize", "prefix_function",
+                      *[rnd(c).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1")], "support")
 
 
 def q_encode_throughput(spark, sf):
@@ -654,6 +670,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "train_classifier": q_train_classifier,
     "centroid_eval": q_centroid_eval,
     "embed_texts": q_embed_texts,
+    "run_matrix": q_run_matrix,
     "encode_throughput": q_encode_throughput,
     "event_metrics": q_event_metrics,
     "event_roundtrip": q_event_roundtrip,

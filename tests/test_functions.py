@@ -18,7 +18,13 @@ def test_crosswalk_edges(spark):
 def test_crosswalk_guard():
     import pytest
     with pytest.raises(ValueError):
-        spec.reverse_crosswalk({"Surprise": ["surprise"]}, spec.TARGET_LABELS)
+        spec.target_of_source({"Surprise": ["surprise"]}, spec.TARGET_LABELS)
+
+
+def test_crosswalk_source_under_two_targets():
+    import pytest
+    with pytest.raises(ValueError):
+        spec.target_of_source({"Joy": ["fun"], "Fear": ["Fun"]}, spec.TARGET_LABELS)
 
 
 def _scores(spark, rows, schema=None):

@@ -196,7 +196,7 @@ def test_post_dataset_stages_are_reused(spark):
     stage_dir = tempfile.mkdtemp(prefix="lf-stages-")
     calls = []
 
-    def client(key, text):
+    def client(key, text, system, prompt):
         calls.append(key)
         return "de:" + text
 

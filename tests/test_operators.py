@@ -100,7 +100,7 @@ def test_dedup_first_keeps_smallest_key(spark):
 def test_vote_golden(spark):
     seq = ["Joy", "Anger", "Anger", "Joy", "Fear"]
 
-    def client(key, attempt, prompt):
+    def client(key, attempt, system, prompt):
         return '{"emotion": "%s"}' % seq[attempt]
 
     df = spark.createDataFrame([(1, "hello")], "email_id long, text string")
@@ -112,7 +112,7 @@ def test_vote_golden(spark):
 
 
 def test_annotate_failed_call_is_data(spark):
-    def client(key, attempt, prompt):
+    def client(key, attempt, system, prompt):
         if attempt == 0:
             raise RuntimeError("quota")
         return '{"emotion": "Fear"}'
@@ -125,6 +125,49 @@ def test_annotate_failed_call_is_data(spark):
     assert (rows[1]["emotion"], rows[1]["success"]) == ("Fear", True)
 
 
+def test_prompts_reach_the_clients(spark):
+    df = spark.createDataFrame([(1, "hello {text}")], "k long, t string")
+    a = ann.annotate(df, "k", "t", lambda key, attempt, system, prompt: system + "|" + prompt, attempts=1)
+    answer = a.select(F.col("attempts")[0]["error"].alias("e")).first()["e"]
+    assert answer == "answer is not valid JSON"
+
+    def echo(key, text, system, prompt):
+        return f"{system}|{prompt}"
+    for system, user in (ann.MAIL_PROMPTS, ann.POST_PROMPTS):
+        got = ann.translate(df, "k", "t", echo, prompts=(system, user)).first()["raw_response"]
+        assert got == system + "|" + user.replace("{text}", "hello {text}")
+
+    def answering(key, attempt, system, prompt):
+        ok = "expert emotion analyst" in system and "* Joy" in system and prompt.endswith("Email:\nhello {text}\n\n")
+        return '{"emotion": "Joy"}' if ok else "wrong"
+    assert ann.annotate(df, "k", "t", answering, attempts=1).first()["attempts"][0]["emotion"] == "Joy"
+
+
+def test_class_weights_enter_the_fit(spark):
+    from labelforge.operators import model as mdl
+    rows = [(i, 0) for i in range(900)] + [(900 + i, 1) for i in range(100)] + [(1000, 2), (1001, None)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    w = spark.createDataFrame([(0, 0.8), (1, 2.2), (3, None)], "label int, weight_tempered double")
+    out = mdl._copies(df, "y", w, F.col("k"))
+    n = {r["y"]: r["n"] for r in out.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n[0] == 900 and n[2] == 1 and n[None] == 1
+    assert 260 <= n[1] <= 290  # 2.75 times
+    assert out.where("_lf_copy = 0").count() == len(rows)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mdl._copies(df.repartition(7), "y", w, F.col("k")).collect()))
+
+
+def test_run_matrix_makes_one_run_per_line(spark):
+    from labelforge.plans.experiment import run_matrix
+    seen = []
+
+    def run(name, normalize, prefix):
+        seen.append((name, normalize, prefix))
+        return spark.createDataFrame([(len(seen),)], "n int")
+    rows = run_matrix(["a;True;none", "", " b ; false ; query "], run).orderBy("n").collect()
+    assert seen == [("a", True, "none"), ("b", False, "query")]
+    assert [(r["model_name"], r["normalize"], r["prefix_function"]) for r in rows] == seen
+
+
 def test_translate_statuses(spark):
     df = spark.createDataFrame([(1, None), (2, "   "), (13, "fails"), (3, " hi ")], "k long, t string")
     out = {r["k"]: r for r in ann.translate(df, "k", "t").collect()}
