@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from labelforge import spec
+from labelforge.functions.text import event_file_name
 
 # White space at the edges of a value is part of it; an empty value reads as null.
 CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": "\\", "quote": '"',
@@ -110,6 +111,21 @@ def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
     return valid, df.where(bad)
 
 
+def write_events(events: DataFrame, root: str) -> bool:
+    """Event sink (K6): below ``root`` the events of each context lie in a folder
+    ``file=monitoring_events_<context>_<stamp>.json``, the stamp being the end of
+    the context's last event; without events nothing is written.  A folder may
+    hold several part files, so a hot context is not one task's work."""
+    if events.isEmpty():
+        return False
+    last = events.groupBy("context_name").agg(F.max("timestamp_end_iso").alias("_lf_last"))
+    last = last.select(F.col("context_name").alias("_lf_context"), event_file_name(
+        F.coalesce("context_name", F.lit("none")), F.coalesce("_lf_last", F.lit(0).cast("timestamp"))).alias("file"))
+    named = events.join(last, F.col("context_name").eqNullSafe(F.col("_lf_context"))).drop("_lf_context")
+    write_json(named, root, ["file"])
+    return True
+
+
 def write_markdown(table: DataFrame, rows: DataFrame, header: str, path: str) -> None:
     """Markdown sink (K9): a header line plus one line per row, one file."""
     spark = table.sparkSession

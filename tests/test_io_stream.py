@@ -256,3 +256,20 @@ def test_same_answers_at_other_shuffle_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     for name, (a, b) in results.items():
         assert a == b, name
+
+
+def test_event_sink_names_a_file_per_context(spark, tmp_path):
+    from datetime import datetime
+    at = [datetime(2024, 5, 1, 10, 0, s) for s in range(4)]
+    rows = [("1", "a b/c", "inference_run", at[0], at[1], 1.0), ("2", "a b/c", "inference_run", at[1], at[3], 2.0),
+            ("3", "z", "inference_run", at[0], at[2], 2.0), ("4", None, "inference_run", at[0], None, None)]
+    events = spark.createDataFrame(rows, "event_id string, context_name string, event_type string, "
+                                         "timestamp_start_iso timestamp, timestamp_end_iso timestamp, duration_seconds double")
+    root = str(tmp_path / "events")
+    assert not fio.write_events(events.where("false"), root) and not os.path.exists(root)
+    assert fio.write_events(events, root)
+    folders = sorted(x for x in os.listdir(root) if x.startswith("file="))
+    assert folders[0] == "file=monitoring_events_a_b_c_20240501_100003.json"
+    assert [x.rsplit("_", 2)[0] for x in folders] == [f"file=monitoring_events_{c}" for c in ("a_b_c", "none", "z")]
+    valid, rejected = fio.read_event_lists(spark, root, spec.EVENT_SCHEMA, multiline=False)
+    assert sorted(r["event_id"] for r in valid.collect()) == ["1", "2", "3"] and rejected.count() == 1
