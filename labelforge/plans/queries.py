@@ -434,7 +434,9 @@ def q_run_matrix(spark, sf):
     """One run per configuration: quality of the labelled documents by class means."""
     from labelforge.plans.experiment import centroid_run, run_matrix
     known = table(spark, sf, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
-    split = materialize(smp.stratified_split(docs(spark, sf).select("doc_id", "text").join(known, "doc_id"), ["label"], "doc_id"))
+    d = docs(spark, sf).select("doc_id", "text")
+    parts = smp.stratified_split(d.select("doc_id").join(known, "doc_id"), ["label"], "doc_id")  # ids only
+    split = materialize(d.join(parts.select("doc_id", "label", "split"), "doc_id"))
     out = run_matrix(spec.RUN_CONFIGS, lambda name, normalize, prefix: centroid_run(
         split, "text", "label", ["low", "high"], normalize, prefix))
     return out.select("model_name", "normalize", "prefix_function",
