@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -67,41 +68,74 @@ class Node:
     tag: str
     named: bool = False
     children: list = field(default_factory=list)  # of Node and str
+    size: int = 0  # characters of text
+    holds: bool = False  # an article or main
+    hash: int = 0  # signed 64-bit hash of the tags and texts
+
+
+def measure(root: Node) -> Node:
+    """Fill size, holds and hash of every node, children first.  Trees are as deep as
+    a page has unclosed tags, so they are walked with stacks of their own."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if not isinstance(c, str))
+    for node in reversed(order):
+        parts = ["<" + node.tag]
+        for c in node.children:
+            if isinstance(c, str):
+                node.size += len(c.strip())
+                parts.append(_SPACE.sub(" ", entities.unescape(c)).strip())
+            else:
+                node.size += c.size
+                node.holds |= c.holds or c.tag in ("article", "main")
+                parts.append(f"\x01{c.hash}")
+        digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        node.hash = int.from_bytes(digest, "little", signed=True)
+    return root
 
 
 def parse(source: str) -> Node:
     """The element tree of a page."""
     root = Node("html")
     open_: list[Node] = [root]
+    count: Counter = Counter()  # open tags by name, so none is looked for in vain
     at = 0
+
+    def close_from(i: int) -> None:
+        count.subtract(n.tag for n in open_[i:])
+        del open_[i:]
+
     while True:
         m = _TOKEN.search(source, at)
         end = m.start() if m else len(source)
         if end > at:
             open_[-1].children.append(source[at:end])
         if not m:
-            return root
+            return measure(root)
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if count[tag] else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    close_from(i)
                     break
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in open_):
+            if tag == "body" and not count[tag]:
                 node = Node(tag)
                 open_[-1].children.append(node)
                 open_.append(node)
+                count[tag] += 1
             continue
         if tag in _CLOSES_P or tag in _ENDS:
             ends = _ENDS.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(count[e] for e in ends) else ():
                 if open_[i].tag in ends:
-                    del open_[i:]
+                    close_from(i)
                     break
                 if open_[i].tag in _CONTAINER or open_[i].tag in ("article", "main", "body"):
                     break
@@ -116,6 +150,7 @@ def parse(source: str) -> Node:
             at = stop.end() if stop else len(source)
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             open_.append(node)
+            count[tag] += 1
 
 
 def dropped(node: Node) -> bool:
@@ -123,70 +158,49 @@ def dropped(node: Node) -> bool:
     return node.tag in _DROP or (node.named and node.tag not in ("body", "article", "main", "html"))
 
 
-def _words(node: Node, out: list[str]) -> None:
-    out.append("<" + node.tag)
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(_SPACE.sub(" ", entities.unescape(c)).strip())
-        else:
-            _words(c, out)
-
-
-def subtree_hash(node: Node) -> int:
-    """Signed 64-bit hash of the tags and texts of a subtree."""
-    parts: list[str] = []
-    _words(node, parts)
-    digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
-
-
-def _size(node: Node) -> int:
-    return sum(len(c.strip()) if isinstance(c, str) else _size(c) for c in node.children)
-
-
-def _holds(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in ("article", "main") or _holds(c)) for c in node.children)
-
-
 def candidates(root: Node) -> list[tuple[Node, bool, Node]]:
     """Containers that may be template, in page order, each with whether it would
     otherwise stay in the main text, and the article or page that it stands in.
 
     A container with most of the text around it is content, however often it recurs."""
     found: list[tuple[Node, bool, Node]] = []
-    alone = not _holds(root)
-
-    def walk(node: Node, decided: bool, around: Node | None) -> None:
-        for c in node.children:
-            if isinstance(c, str) or c.tag in ("p", "head"):
+    alone = not root.holds
+    todo: list[tuple[Node, bool, Node | None]] = [(root, False, None)]
+    while todo:
+        c, out, around = todo.pop()
+        if c is not root:
+            if c.tag in ("p", "head"):
                 continue
-            out = decided or dropped(c)
-            if c.tag in _CONTAINER and not _holds(c):
+            out = out or dropped(c)
+            if c.tag in _CONTAINER and not c.holds:
                 scope = around or root
                 stays = not out and (alone or around is not None)
-                if not stays or 2 * _size(c) <= _size(scope):
+                if not stays or 2 * c.size <= scope.size:
                     found.append((c, stays, scope))
-            walk(c, out, c if c.tag in ("article", "main") and not out else around)
-    walk(root, False, None)
+            if c.tag in ("article", "main") and not out:
+                around = c
+        todo.extend((n, out, around) for n in reversed(c.children) if not isinstance(n, str))
     return found
 
 
-def _find(node: Node, tag: str, out: list[Node], gone: set[int]) -> None:
-    for c in node.children:
-        if isinstance(c, str) or dropped(c) or id(c) in gone:
-            continue
-        if c.tag == tag:
-            out.append(c)
-        else:
-            _find(c, tag, out, gone)
+def _find(root: Node, tag: str, gone: set[int]) -> list[Node]:
+    """The outermost nodes of a tag that are neither dropped nor gone, in page order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        for c in reversed(node.children):
+            if not isinstance(c, str) and not dropped(c) and id(c) not in gone:
+                todo.append(c)
+        while todo and todo[-1].tag == tag:
+            out.append(todo.pop())
+    return out
 
 
 def main_text(root: Node, template: set[int]) -> str:
     """Lines of the main text; ``template`` holds hashes of deleted subtrees."""
-    gone = {id(n) for n, stays, _ in candidates(root) if stays and subtree_hash(n) in template} if template else set()
+    gone = {id(n) for n, stays, _ in candidates(root) if stays and n.hash in template} if template else set()
     for tag in ("article", "main", "body"):
-        parts: list[Node] = []
-        _find(root, tag, parts, gone)
+        parts = _find(root, tag, gone)
         if parts:
             break
     else:
@@ -200,20 +214,19 @@ def main_text(root: Node, template: set[int]) -> str:
         if text:
             lines.append(text)
 
-    def walk(node: Node) -> None:
-        block = node.tag in _BLOCK
-        if block:
-            close()
-        for c in node.children:
-            if isinstance(c, str):
-                line.append(c)
-            elif not dropped(c) and id(c) not in gone:
-                walk(c)
-        if block:
-            close()
-
     for part in parts:
-        walk(part)
+        todo: list = [part]  # nodes, texts and None where a block ends
+        while todo:
+            c = todo.pop()
+            if c is None:
+                close()
+            elif isinstance(c, str):
+                line.append(c)
+            elif c is part or not (dropped(c) or id(c) in gone):
+                if c.tag in _BLOCK:
+                    close()
+                    todo.append(None)
+                todo.extend(reversed(c.children))
         close()
     return "\n".join(lines)
 
@@ -237,13 +250,8 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 if not host:
                     continue
                 root = parse(source or "")
-                whole = subtree_hash(root)
-                rows.append((page, host, None, whole, False))
-                scopes = {id(root): whole}
-                for node, stays, scope in candidates(root):
-                    if id(scope) not in scopes:
-                        scopes[id(scope)] = subtree_hash(scope)
-                    rows.append((page, host, subtree_hash(node), scopes[id(scope)], stays))
+                rows.append((page, host, None, root.hash, False))
+                rows.extend((page, host, node.hash, scope.hash, stays) for node, stays, scope in candidates(root))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in
                  enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))],

@@ -332,6 +332,14 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["span", "div", "font"])
+def test_html_deep_page(spark, tag):
+    deep = "<body><p>Start</p>" + f"<{tag}>" * 10_000 + "deep text" + "</b></i><br>" * 10_000
+    pages = spark.createDataFrame([(1, "http://a.com/1", deep), (2, "http://a.com/2", PAGE)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[1] == "Start\ndeep text" and got[2].startswith("Head <1>")
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
