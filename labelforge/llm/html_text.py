@@ -1,15 +1,21 @@
 """HTML extraction with site template removal.
 
-A page is cut into a tree of elements.  Every container element without the
-article in it is hashed (tags and text), and the hashes are counted per host in Spark:
-a subtree that recurs on many pages of its host is template and is deleted.
+A page is cut into a tree of elements.  Every block element without the article
+in it is hashed (tags and text), and the hashes are counted per host in Spark: a
+subtree that recurs in enough different articles of its host is template and is
+deleted from all pages.  Enough is a fixed number where the subtree usually stands
+at one place of the page; a container is also template wherever it stands, from
+a share of the pages or a larger fixed number on.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments that are named as such go on every page, so a host with a single
 page is cleaned too.  What is left of the article (``article`` or ``main`` if
 there is one, else the body) gives the text: one line per block.
 
-Paragraphs and headings are never counted, so a passage that many pages quote
-stays, and copies of one article count as one page.
+A paragraph, heading, list item or cell needs twice the articles and the same place,
+so a passage that many pages quote here and there stays; one that many
+hosts have (a licence line) is not a site's template.  Short blocks (``Yes``)
+need the share as well.  Copies of one article count as one; for paragraphs and
+the like, so do near copies, which share their longest run of text.
 
 Edge cases: null html is empty and gives an empty text; a null url's host is
 empty, and pages without a host share no template; unclosed and stray tags are
@@ -22,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,9 +39,15 @@ from pyspark.sql import functions as F
 
 from labelforge.llm.common import slices, stage
 
-#: A subtree is template from so many pages of its host on, and from this share of them.
+#: A subtree at one place of the page is template from so many articles of its host on (text blocks: twice as many).
 MIN_PAGES = 4
+#: A container at any place is template from this share of the host's pages on, or from so many articles.
 MIN_SHARE = 0.02
+MANY_PAGES = 100
+#: A text block on more hosts than a site's names (plain, www, m) is a passage that sites share.
+MOST_HOSTS = 3
+#: Shorter texts recur by chance.
+SHORT = 20
 BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -60,6 +73,8 @@ _NAMED = re.compile(
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
          "th": {"td", "th"}, "option": {"option"}}
 _CONTAINER = frozenset("nav header footer aside div section ul ol dl form table figure menu center blockquote".split())
+#: Elements of their own text that are counted too; span and a only outside of others.
+_TEXT = (_BLOCK | {"span", "a"}) - _CONTAINER - {"html", "body", "main", "article", "br", "hr"}
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
 
 
@@ -71,10 +86,16 @@ class Node:
     size: int = 0  # characters of text
     holds: bool = False  # an article or main
     hash: int = 0  # signed 64-bit hash of the tags and texts
+    longest: str = ""  # run of text that is not dropped
+
+
+def hash64(text: str) -> int:
+    digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
 
 
 def measure(root: Node) -> Node:
-    """Fill size, holds and hash of every node, children first.  Trees are as deep as
+    """Fill size, holds, hash and longest of every node, children first.  Trees are as deep as
     a page has unclosed tags, so they are walked with stacks of their own."""
     order, todo = [], [root]
     while todo:
@@ -87,12 +108,14 @@ def measure(root: Node) -> Node:
             if isinstance(c, str):
                 node.size += len(c.strip())
                 parts.append(_SPACE.sub(" ", entities.unescape(c)).strip())
+                node.longest = max(node.longest, parts[-1], key=len)
             else:
                 node.size += c.size
                 node.holds |= c.holds or c.tag in ("article", "main")
                 parts.append(f"\x01{c.hash}")
-        digest = hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        node.hash = int.from_bytes(digest, "little", signed=True)
+                if not dropped(c):
+                    node.longest = max(node.longest, c.longest, key=len)
+        node.hash = hash64("\x00".join(parts))
     return root
 
 
@@ -158,28 +181,53 @@ def dropped(node: Node) -> bool:
     return node.tag in _DROP or (node.named and node.tag not in ("body", "article", "main", "html"))
 
 
-def candidates(root: Node) -> list[tuple[Node, bool, Node]]:
-    """Containers that may be template, in page order, each with whether it would
-    otherwise stay in the main text, and the article or page that it stands in.
-
-    A container with most of the text around it is content, however often it recurs."""
-    found: list[tuple[Node, bool, Node]] = []
+@dataclass
+class Candidate:
+    node: Node
+    stays: bool  # would otherwise stay in the main text
+    scope: Node  # the article or page that it stands in
+    first: int  # place of the page, counted from the start and from the end
+    last: int
+
+    @property
+    def small(self) -> bool:
+        """Not most of the text around it.  Where it is, it may be content, and the
+        page says nothing on it."""
+        return not self.stays or 2 * self.node.size <= self.scope.size
+
+    @property
+    def container(self) -> bool:
+        return self.node.tag in _CONTAINER
+
+    @property
+    def article(self) -> int:
+        """Hash by which different articles are told apart."""
+        return self.scope.hash if self.container else hash64(self.scope.longest)
+
+
+def candidates(root: Node) -> list[Candidate]:
+    """Blocks that may be template, in page order."""
+    found: list[Candidate] = []
     alone = not root.holds
-    todo: list[tuple[Node, bool, Node | None]] = [(root, False, None)]
+    todo: list[tuple] = [(root, False, None, False, 0, 0)]
     while todo:
-        c, out, around = todo.pop()
+        c, out, around, inline, first, last = todo.pop()
         if c is not root:
-            if c.tag in ("p", "head"):
+            if c.tag == "head" or not c.size:
                 continue
             out = out or dropped(c)
-            if c.tag in _CONTAINER and not c.holds:
-                scope = around or root
-                stays = not out and (alone or around is not None)
-                if not stays or 2 * c.size <= scope.size:
-                    found.append((c, stays, scope))
+            if not c.holds and (c.tag in _CONTAINER or (c.tag in _TEXT and not (inline and c.tag in ("span", "a")))):
+                found.append(Candidate(c, not out and (alone or around is not None), around or root, first, last))
             if c.tag in ("article", "main") and not out:
                 around = c
-        todo.extend((n, out, around) for n in reversed(c.children) if not isinstance(n, str))
+            inline = c.tag in _TEXT
+            if c.tag in ("article", "main", "body"):
+                first = last = 0
+        inner = [n for n in c.children if not isinstance(n, str) and n.size]
+        for i in range(len(inner) - 1, -1, -1):
+            n = inner[i]
+            todo.append((n, out, around, inline, zlib.crc32(f"{n.tag}{i}".encode(), first),
+                         zlib.crc32(f"{n.tag}{len(inner) - i}".encode(), last)))
     return found
 
 
@@ -198,7 +246,7 @@ def _find(root: Node, tag: str, gone: set[int]) -> list[Node]:
 
 def main_text(root: Node, template: set[int]) -> str:
     """Lines of the main text; ``template`` holds hashes of deleted subtrees."""
-    gone = {id(n) for n, stays, _ in candidates(root) if stays and n.hash in template} if template else set()
+    gone = {id(c.node) for c in candidates(root) if c.stays and c.node.hash in template} if template else set()
     for tag in ("article", "main", "body"):
         parts = _find(root, tag, gone)
         if parts:
@@ -236,8 +284,13 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+_SUBTREE = [("page", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("scope", pa.int64()), ("stays", pa.bool_()),
+            ("small", pa.bool_()), ("container", pa.bool_()), ("short", pa.bool_()), ("first", pa.int64()), ("last", pa.int64())]
+
+
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(page, host, hash, scope, stays) of the candidate subtrees of every page.
+    """(page, host, hash, scope, stays, small, container, short, first, last) of the
+    candidate subtrees of every page.
 
     ``page`` identifies url and html, ``scope`` is a hash of the article or page
     that the subtree stands in, so copies of one article count once.  One row
@@ -250,26 +303,41 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 if not host:
                     continue
                 root = parse(source or "")
-                rows.append((page, host, None, root.hash, False))
-                rows.extend((page, host, node.hash, scope.hash, stays) for node, stays, scope in candidates(root))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in
-                 enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))],
-                ["page", "host", "hash", "scope", "stays"])
+                rows.append((page, host, None, root.hash, False, True, False, False, 0, 0))
+                rows.extend((page, host, c.node.hash, c.article, c.stays, c.small, c.container, c.node.size < SHORT,
+                             c.first, c.last) for c in candidates(root))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_SUBTREE)],
+                                             [name for name, _ in _SUBTREE])
     return pages.select(F.xxhash64("url", "html").alias("page"), "url", "html").mapInArrow(
-        run, "page long, host string, hash long, scope long, stays boolean")
+        run, "page long, host string, hash long, scope long, stays boolean, small boolean, container boolean, "
+             "short boolean, first long, last long")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash, pages) of the subtrees that recur on many pages of a host.
-
-    Counts are combined before the shuffle and keyed by (host, subtree), so a
-    host with a third of all pages is spread over its subtrees."""
-    counts = subtrees.select("host", "hash", "scope").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    """(host, hash, pages) of the subtrees that recur in enough articles of a host.
+
+    An article counts where the subtree is not most of its text.  Counts are
+    combined before the shuffle and keyed by (host, subtree, place), so a host
+    with a third of all pages is spread over its subtrees."""
+    known = [F.max(c).alias(c) for c in ("container", "short")]
+    once = subtrees.where("small").groupBy("host", "hash", "scope").agg(F.min("first").alias("first"), F.max("last").alias("last"), *known)
+    places = F.explode(F.array(F.struct(F.lit(True).alias("start"), F.col("first").alias("at")),
+                               F.struct(F.lit(False).alias("start"), F.col("last").alias("at")))).alias("place")
+    counts = (once.select("host", "hash", "container", "short", places).groupBy("host", "hash", "place")
+              .agg(F.count(F.lit(1)).alias("n"), *known).groupBy("host", "hash")
+              .agg(F.sum(F.when(F.col("place.start"), F.col("n"))).alias("n"), F.max("n").alias("there"), *known))
     counts = stage(counts.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtree-counts")
     sizes = counts.where(F.col("hash").isNull()).select(F.col("host").alias("site"), F.col("n").alias("all_pages"))
+    texts = counts.where(F.col("hash").isNotNull() & ~F.col("container") & (F.col("n") >= 2 * min_pages)).select("hash").distinct()
+    spread = (subtrees.select("host", "hash").distinct().join(texts, "hash", "left_semi")
+              .groupBy("hash").agg(F.count(F.lit(1)).alias("hosts")))
+    share = F.col("n") >= F.col("all_pages") * F.lit(min_share)
+    need = F.when(F.col("container"), F.lit(min_pages)).otherwise(F.lit(2 * min_pages))
+    own = F.col("container") | (F.col("hosts") <= MOST_HOSTS)
+    placed = own & (F.col("there") >= need) & (2 * F.col("there") >= F.col("n")) & (~F.col("short") | share)
+    anywhere = F.col("container") & (share | (~F.col("short") & (F.col("n") >= MANY_PAGES)))
     return (counts.where(F.col("hash").isNotNull()).join(sizes, F.col("host") == F.col("site"))
-            .where(F.col("n") >= F.col("all_pages") * F.lit(min_share)).select("host", "hash", F.col("n").alias("pages")))
+            .join(spread, "hash", "left").where(placed | anywhere).select("host", "hash", F.col("n").alias("pages")))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,

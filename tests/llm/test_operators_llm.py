@@ -332,6 +332,34 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def html_page(i, n=4, extra="", before="", quote=None):
+    """A page whose paragraphs nobody else has; ``quote`` stands at a place of its own."""
+    rows = [f"<p>{sentence(1000 * i + j, 12)} number {i} {j}</p>" for j in range(n)]
+    if quote:
+        rows[i % n:i % n] = [quote]
+    return f"<html><body>{before}<div id='text{i}'>{''.join(rows)}</div>{extra}</body></html>"
+
+
+def test_html_template_counts(spark):
+    notice = "<div>Reading this site means taking part in our survey of readers</div>"
+    say = "<p>Write to the editors if a letter of this story is wrong</p>"
+    quote = "<p>To be or not to be, that is the question of the day</p>"
+    menu = "<div>" + "".join(f"<a href='/{w}'>All stories on {w}</a> " for w in WORDS) + "</div>"
+    rows = [(i, html_page(i, 30, notice if i < 6 else "", quote=quote)) for i in range(60)]
+    rows += [(i, html_page(i)) for i in range(60, 600)]  # the notice is on 1 % of a.com
+    rows += [(i, html_page(i, 8, before=menu, extra=say)) for i in range(1000, 1012)]  # b.com
+    rows += [(i, html_page(i, 1, before=menu, extra=say)) for i in range(1012, 1014)]  # the menu is most of the page
+    pages = spark.createDataFrame([(i, f"http://{'a' if i < 1000 else 'b'}.com/{i}", h) for i, h in rows],
+                                  "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for i, _ in rows:
+        n = 30 if i < 60 else 4 if i < 1000 else 8 if i < 1012 else 1
+        want = [f"{sentence(1000 * i + j, 12)} number {i} {j}" for j in range(n)]
+        if i < 60:
+            want[i % n:i % n] = [re.sub("<.*?>", "", quote)]  # a passage that pages quote here and there stays
+        assert got[i].split("\n") == want, i
+
+
 @pytest.mark.parametrize("tag", ["span", "div", "font"])
 def test_html_deep_page(spark, tag):
     deep = "<body><p>Start</p>" + f"<{tag}>" * 10_000 + "deep text" + "</b></i><br>" * 10_000
