@@ -8,8 +8,10 @@ at one place of the page; a container is also template wherever it stands, from
 a share of the pages or a larger fixed number on.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments that are named as such go on every page, so a host with a single
-page is cleaned too.  What is left of the article (``article`` or ``main`` if
-there is one, else the body) gives the text: one line per block.
+page is cleaned too; a name that also fits main text (``share-prices``) only halves
+the articles that the count must show.  What is left of the articles, of ``main`` or
+of the body gives the text, one line per block: the narrowest of them that has at
+least half of the next one's text outside of links.
 
 A paragraph, heading, list item or cell needs twice the articles and the same place,
 so a passage that many pages quote here and there stays; one that many
@@ -65,14 +67,25 @@ _DROP = frozenset("head nav header footer aside form script style noscript templ
                   "input label title menu object canvas audio video dialog fieldset".split())
 #: Names (classes, ids, roles) of parts that are never main text, as whole words of the name.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|header|masthead|topbar|footer|sidebar|side|rail|widgets?|"
-    r"ads?|adverts?|advertisement|advert|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|notice|alert|popup|modal|"
-    r"newsletter|subscribe|signup|login|search(?:box)?|form|share|sharing|social|related|recommend(?:ed|ations)?|"
-    r"comments?|replies|respond|disqus|toolbar|pagination|pager|complementary|contentinfo|skip)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|topbar|footer|sidebar|"
+    r"ads?|adverts?|advertisement|advert|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|popup|modal|"
+    r"newsletter|subscribe|signup|login|searchbox|disqus|toolbar|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Words that main text is named by too.
+_HINT = re.compile(
+    r"(?:^|[\s_-])(?:header|side|rail|widgets?|notice|alert|search|form|share|sharing|social|related|"
+    r"recommend(?:ed|ations)?|comments?|replies|respond|skip)(?:$|[\s_-])", re.I)
+#: Whole names with such words that say what the part is (reader comments differ by page, so no count shows them).
+_PLAIN = re.compile(
+    r"(?:^|\s)(?:comments?|replies|respond|header|widgets?|(?:site|page|main|global|top)[_-]header|skip[_-](?:links?|to[\w-]*)|"
+    r"(?:side|left|right)[_-](?:bar|rail|column|panel)|(?:share|sharing|social|search|related|recommended|comments?|widgets?)"
+    r"(?:[_-](?:share|sharing|social|search|bar|box|buttons?|links?|icons?|form|list|area|section|wrapper|container|wrap|panel|"
+    r"posts?|articles?|items?|stories|thread|media|widgets?))+)(?:$|\s)", re.I)
+#: Headings and cells are not deleted by their name alone, and by a plain name no text block.
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 tr td th caption".split())
 #: A new start tag ends these open elements of the same kind.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
          "th": {"td", "th"}, "option": {"option"}}
-_CONTAINER = frozenset("nav header footer aside div section ul ol dl form table figure menu center blockquote".split())
+_CONTAINER = frozenset("nav header footer aside article div section ul ol dl form table figure menu center blockquote".split())
 #: Elements of their own text that are counted too; span and a only outside of others.
 _TEXT = (_BLOCK | {"span", "a"}) - _CONTAINER - {"html", "body", "main", "article", "br", "hr"}
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
@@ -81,12 +94,13 @@ _CLOSES_P = _BLOCK - {"br", "html", "body"}
 @dataclass
 class Node:
     tag: str
-    named: bool = False
+    named: bool = False  # as something else than main text
+    hint: bool = False  # by a word that main text is named by too
     children: list = field(default_factory=list)  # of Node and str
     size: int = 0  # characters of text
-    holds: bool = False  # an article or main
     hash: int = 0  # signed 64-bit hash of the tags and texts
     longest: str = ""  # run of text that is not dropped
+    prose: int = 0  # characters neither dropped nor in links
 
 
 def hash64(text: str) -> int:
@@ -95,7 +109,7 @@ def hash64(text: str) -> int:
 
 
 def measure(root: Node) -> Node:
-    """Fill size, holds, hash and longest of every node, children first.  Trees are as deep as
+    """Fill size, hash, longest and prose of every node, children first.  Trees are as deep as
     a page has unclosed tags, so they are walked with stacks of their own."""
     order, todo = [], [root]
     while todo:
@@ -109,12 +123,13 @@ def measure(root: Node) -> Node:
                 node.size += len(c.strip())
                 parts.append(_SPACE.sub(" ", entities.unescape(c)).strip())
                 node.longest = max(node.longest, parts[-1], key=len)
+                node.prose += len(parts[-1]) if node.tag != "a" else 0
             else:
                 node.size += c.size
-                node.holds |= c.holds or c.tag in ("article", "main")
                 parts.append(f"\x01{c.hash}")
                 if not dropped(c):
                     node.longest = max(node.longest, c.longest, key=len)
+                    node.prose += c.prose if node.tag != "a" else 0
         node.hash = hash64("\x00".join(parts))
     return root
 
@@ -160,12 +175,17 @@ def parse(source: str) -> Node:
                 if open_[i].tag in ends:
                     close_from(i)
                     break
-                if open_[i].tag in _CONTAINER or open_[i].tag in ("article", "main", "body"):
+                if open_[i].tag in _CONTAINER or open_[i].tag in ("main", "body"):
                     break
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])} if "=" in m[3] else {}
         names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
         hidden = "hidden" in m[3].lower().split() or attrs.get("aria-hidden") == "true"
-        node = Node(tag, hidden or bool(names.strip() and _NAMED.search(names)))
+        node = Node(tag, hidden)
+        if names.strip():
+            sure = _NAMED.search(names) and tag not in _HEADS
+            plain = tag in _CONTAINER and (_PLAIN.search(names) or attrs.get("role") == "search")
+            node.named |= bool(sure or plain)
+            node.hint = not node.named and bool(_NAMED.search(names) or _HINT.search(names))
         open_[-1].children.append(node)
         if tag in _RAW:
             stop = _RAW[tag].search(source, at)
@@ -181,6 +201,44 @@ def dropped(node: Node) -> bool:
     return node.tag in _DROP or (node.named and node.tag not in ("body", "article", "main", "html"))
 
 
+def _find(root: Node, tag: str) -> list[Node]:
+    """The outermost nodes of a tag that are not dropped, in page order."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        for c in reversed(node.children):
+            if not isinstance(c, str) and not dropped(c):
+                todo.append(c)
+        while todo and todo[-1].tag == tag:
+            out.append(todo.pop())
+    return out
+
+
+def main_parts(root: Node) -> list[Node]:
+    """The articles, ``main`` or the body: the narrowest with at least half of the
+    text outside of links of the next, so a teaser doesn't stand for the page."""
+    best: list[Node] = []
+    for wider in (_find(root, "article"), _find(root, "main"), _find(root, "body") or [root]):
+        if wider and (not best or 2 * sum(n.prose for n in best) < sum(n.prose for n in wider)):
+            best = wider
+    return best
+
+
+def holders(root: Node, parts: dict[int, Node]) -> set[int]:
+    """Ids of the nodes around the parts."""
+    holds: set[int] = set()
+    open_, todo = [], [(root, 0)]
+    while todo:
+        node, depth = todo.pop()
+        del open_[depth:]
+        if id(node) in parts:
+            holds.update(open_)
+            continue
+        open_.append(id(node))
+        todo.extend((c, depth + 1) for c in node.children if not isinstance(c, str))
+    return holds
+
+
 @dataclass
 class Candidate:
     node: Node
@@ -208,20 +266,22 @@ class Candidate:
 def candidates(root: Node) -> list[Candidate]:
     """Blocks that may be template, in page order."""
     found: list[Candidate] = []
-    alone = not root.holds
-    todo: list[tuple] = [(root, False, None, False, 0, 0)]
+    parts = {id(n): n for n in main_parts(root)}
+    holds = holders(root, parts)
+    top = root if all(n.tag in ("body", "html") for n in parts.values()) else None
+    todo: list[tuple] = [(root, False, top, False, 0, 0)]
     while todo:
         c, out, around, inline, first, last = todo.pop()
         if c is not root:
             if c.tag == "head" or not c.size:
                 continue
             out = out or dropped(c)
-            if not c.holds and (c.tag in _CONTAINER or (c.tag in _TEXT and not (inline and c.tag in ("span", "a")))):
-                found.append(Candidate(c, not out and (alone or around is not None), around or root, first, last))
-            if c.tag in ("article", "main") and not out:
+            if id(c) not in holds and id(c) not in parts and (c.tag in _CONTAINER or (c.tag in _TEXT and not (inline and c.tag in ("span", "a")))):
+                found.append(Candidate(c, not out and around is not None, around or root, first, last))
+            if id(c) in parts and not top:
                 around = c
             inline = c.tag in _TEXT
-            if c.tag in ("article", "main", "body"):
+            if id(c) in parts or c.tag == "body":
                 first = last = 0
         inner = [n for n in c.children if not isinstance(n, str) and n.size]
         for i in range(len(inner) - 1, -1, -1):
@@ -231,28 +291,10 @@ def candidates(root: Node) -> list[Candidate]:
     return found
 
 
-def _find(root: Node, tag: str, gone: set[int]) -> list[Node]:
-    """The outermost nodes of a tag that are neither dropped nor gone, in page order."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        for c in reversed(node.children):
-            if not isinstance(c, str) and not dropped(c) and id(c) not in gone:
-                todo.append(c)
-        while todo and todo[-1].tag == tag:
-            out.append(todo.pop())
-    return out
-
-
 def main_text(root: Node, template: set[int]) -> str:
     """Lines of the main text; ``template`` holds hashes of deleted subtrees."""
     gone = {id(c.node) for c in candidates(root) if c.stays and c.node.hash in template} if template else set()
-    for tag in ("article", "main", "body"):
-        parts = _find(root, tag, gone)
-        if parts:
-            break
-    else:
-        parts = [root]
+    parts = main_parts(root)
     lines: list[str] = []
     line: list[str] = []
 
@@ -285,11 +327,11 @@ def host_of(url: str | None) -> str:
 
 
 _SUBTREE = [("page", pa.int64()), ("host", pa.string()), ("hash", pa.int64()), ("scope", pa.int64()), ("stays", pa.bool_()),
-            ("small", pa.bool_()), ("container", pa.bool_()), ("short", pa.bool_()), ("first", pa.int64()), ("last", pa.int64())]
+            ("small", pa.bool_()), ("container", pa.bool_()), ("short", pa.bool_()), ("hint", pa.bool_()), ("first", pa.int64()), ("last", pa.int64())]
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(page, host, hash, scope, stays, small, container, short, first, last) of the
+    """(page, host, hash, scope, stays, small, container, short, hint, first, last) of the
     candidate subtrees of every page.
 
     ``page`` identifies url and html, ``scope`` is a hash of the article or page
@@ -303,14 +345,14 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 if not host:
                     continue
                 root = parse(source or "")
-                rows.append((page, host, None, root.hash, False, True, False, False, 0, 0))
+                rows.append((page, host, None, root.hash, False, True, False, False, False, 0, 0))
                 rows.extend((page, host, c.node.hash, c.article, c.stays, c.small, c.container, c.node.size < SHORT,
-                             c.first, c.last) for c in candidates(root))
+                             c.node.hint or c.node.named, c.first, c.last) for c in candidates(root))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_SUBTREE)],
                                              [name for name, _ in _SUBTREE])
     return pages.select(F.xxhash64("url", "html").alias("page"), "url", "html").mapInArrow(
         run, "page long, host string, hash long, scope long, stays boolean, small boolean, container boolean, "
-             "short boolean, first long, last long")
+             "short boolean, hint boolean, first long, last long")
 
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -319,23 +361,24 @@ def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     An article counts where the subtree is not most of its text.  Counts are
     combined before the shuffle and keyed by (host, subtree, place), so a host
     with a third of all pages is spread over its subtrees."""
-    known = [F.max(c).alias(c) for c in ("container", "short")]
+    known = [F.max(c).alias(c) for c in ("container", "short", "hint")]
     once = subtrees.where("small").groupBy("host", "hash", "scope").agg(F.min("first").alias("first"), F.max("last").alias("last"), *known)
     places = F.explode(F.array(F.struct(F.lit(True).alias("start"), F.col("first").alias("at")),
                                F.struct(F.lit(False).alias("start"), F.col("last").alias("at")))).alias("place")
-    counts = (once.select("host", "hash", "container", "short", places).groupBy("host", "hash", "place")
+    counts = (once.select("host", "hash", "container", "short", "hint", places).groupBy("host", "hash", "place")
               .agg(F.count(F.lit(1)).alias("n"), *known).groupBy("host", "hash")
               .agg(F.sum(F.when(F.col("place.start"), F.col("n"))).alias("n"), F.max("n").alias("there"), *known))
-    counts = stage(counts.where(F.col("hash").isNull() | (F.col("n") >= min_pages)), "subtree-counts")
+    counts = stage(counts.where(F.col("hash").isNull() | (2 * F.col("n") >= min_pages)), "subtree-counts")
     sizes = counts.where(F.col("hash").isNull()).select(F.col("host").alias("site"), F.col("n").alias("all_pages"))
-    texts = counts.where(F.col("hash").isNotNull() & ~F.col("container") & (F.col("n") >= 2 * min_pages)).select("hash").distinct()
+    texts = counts.where(F.col("hash").isNotNull() & ~F.col("container") & (F.col("n") >= min_pages)).select("hash").distinct()
     spread = (subtrees.select("host", "hash").distinct().join(texts, "hash", "left_semi")
               .groupBy("hash").agg(F.count(F.lit(1)).alias("hosts")))
     share = F.col("n") >= F.col("all_pages") * F.lit(min_share)
-    need = F.when(F.col("container"), F.lit(min_pages)).otherwise(F.lit(2 * min_pages))
+    least = F.lit(float(min_pages)) * F.when(F.col("hint"), 0.5).otherwise(1.0)
+    need = least * F.when(F.col("container"), 1.0).otherwise(2.0)
     own = F.col("container") | (F.col("hosts") <= MOST_HOSTS)
     placed = own & (F.col("there") >= need) & (2 * F.col("there") >= F.col("n")) & (~F.col("short") | share)
-    anywhere = F.col("container") & (share | (~F.col("short") & (F.col("n") >= MANY_PAGES)))
+    anywhere = F.col("container") & (F.col("n") >= least) & (share | (~F.col("short") & (F.col("n") >= MANY_PAGES)))
     return (counts.where(F.col("hash").isNotNull()).join(sizes, F.col("host") == F.col("site"))
             .join(spread, "hash", "left").where(placed | anywhere).select("host", "hash", F.col("n").alias("pages")))
 

@@ -360,6 +360,26 @@ def test_html_template_counts(spark):
         assert got[i].split("\n") == want, i
 
 
+def test_html_main_by_share_and_names(spark):
+    text = f"<p>{sentence(1, 30)}</p><p>{sentence(2, 30)}</p>"
+    teaser = "<article class='card'><p>A short teaser</p></article>"
+    names = "<section id='side-effects'><p>Tired</p></section><h2 id='share-prices'>Prices</h2>" \
+            "<table><tr class='alert'><td>Red</td></tr></table><p class='notice'>Mind <span class='search'>this</span></p>"
+    share = "<div class='share'>Tell all your friends about this story now</div>"
+    rows = [(1, "http://a.com/1", f"<body><main>{text}{teaser}</main></body>"),
+            (2, "http://b.com/1", f"<body><div>{text}</div>{teaser}</body>"),
+            (3, "http://c.com/1", f"<body><article>{text}{names}<div class='share-buttons'>Share</div></article></body>"),
+            (4, "http://d.com/1", f"<body>{share}{text}</body>")]
+    rows += [(i, f"http://e.com/{i}", f"<body>{share}<p>{sentence(i, 40)}</p></body>") for i in (5, 6)]
+    got = {r.page_id: r.text.split("\n") for r in
+           html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = [sentence(1, 30), sentence(2, 30)]
+    assert got[1] == got[2] == [*whole, "A short teaser"]
+    assert got[3] == [*whole, "Tired", "Prices", "Red", "Mind this"]
+    assert got[4] == ["Tell all your friends about this story now", *whole]  # once on its host: no template
+    assert (got[5], got[6]) == ([sentence(5, 40)], [sentence(6, 40)])
+
+
 @pytest.mark.parametrize("tag", ["span", "div", "font"])
 def test_html_deep_page(spark, tag):
     deep = "<body><p>Start</p>" + f"<{tag}>" * 10_000 + "deep text" + "</b></i><br>" * 10_000
