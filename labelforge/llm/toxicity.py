@@ -9,8 +9,9 @@ spelled-out insults.  The explicit map of the kernel is small (subsequences
 within one word), so ``landmarks -> kernel -> decision`` folds into one weight
 per subsequence: the decision for a word is a sparse sum.
 
-Texts are labelled, words are not.  Words that stand in toxic training texts far
-more often than in others are candidates; the positive examples are those that
+Texts are labelled, words are not.  Words that stand in toxic texts far more often
+than in others, counted over all labelled texts outside the held-out fold, are
+candidates; the positive examples are those that
 explain the toxic texts, chosen one after the other by the texts not explained
 yet, so words that merely share a text with an insult (or copies of it) drop
 out.  Negative examples are other words, and in a few rounds those of them that
@@ -33,17 +34,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import fold, fold_column, labelled_sample, logistic, slices, stage
+from labelforge.llm.common import fold, fold_column, logistic, slices, stage
 
-#: Most labelled documents, words taken for positive ones and other words that the fit reads.
-MAX_TRAIN_ROWS = 5_000
+#: Most labelled documents, words taken for positive ones and other words that the fit reads, and
+#: toxic texts that speak for a word where there are more of them than documents in the fit.
+MAX_TRAIN_ROWS = 8_000
 MAX_CANDIDATES = 2_000
+MAX_HOLDERS = 8
 MAX_POSITIVE = 300
 MAX_NEGATIVE = 1_600
-MINING_ROUNDS = 2
+MINING_ROUNDS = 3
 LANDMARKS = 240
 HELD_OUT_OF, HELD_OUT = 3, 1
 PREDICT_AT = 0.7
@@ -240,13 +243,14 @@ def text_features(texts: DataFrame, model: ToxicModel, key: str) -> DataFrame:
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, features array<double>")
 
 
-def fit_link(features: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Logistic of the text features by Newton's method."""
+def fit_link(features: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1e-2) -> tuple[float, ...]:
+    """Logistic of the weighted text features by Newton's method."""
     x = link_inputs(features)
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = logistic(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)),
+                               x.T @ (weight * (y - p)) - ridge * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
@@ -267,6 +271,16 @@ def holders(sample: DataFrame, words: list[str]) -> DataFrame:
     return sample.where("label = 1").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, word string")
 
 
+def speaking(held: DataFrame, max_docs: int, most: int = MAX_HOLDERS) -> DataFrame:
+    """All of ``held`` while its texts are at most ``max_docs``; beyond that the texts
+    that are among the first ``most`` by hash of some word, so every word keeps texts."""
+    if held.select("doc_id").distinct().count() <= max_docs:
+        return held
+    order = Window.partitionBy("word").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id").distinct()
+    return held.join(first, "doc_id", "left_semi")
+
+
 def explain(words: list[str], odds: np.ndarray, doc: np.ndarray, word: np.ndarray, most: int) -> dict[str, float]:
     """Words that explain the texts, with the texts' weight that each took.  The
     next word is the one with the largest weight of its texts times its odds; the
@@ -314,32 +328,51 @@ def fit_words(positive: dict[str, float], negative: list[str], landmarks: int =
     return ToxicModel(weight, float(machine[-1]))
 
 
+def stratified(marked: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` labelled ids by the smallest hash; toxic ones are up to half."""
+    def first(label: int, most: int) -> DataFrame:
+        return marked.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    n0 = marked.where("label = 0").count()
+    n1 = min(marked.where("label = 1").count(), max(max_rows // 2, max_rows - n0))
+    return first(1, n1).union(first(0, max_rows - n1))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, out_of: int = HELD_OUT_OF,
           held_out: int = HELD_OUT) -> tuple[ToxicModel | None, float]:
-    """The model and the share of toxic labels, from at most ``max_rows`` labelled
-    documents outside the held-out fold."""
-    sample = stage(labelled_sample(docs, labels, "toxic", fold_column(F.col("doc_id"), out_of) != held_out, max_rows)
-                   .select("doc_id", "label", "text"), "toxic-sample")
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """The model and the share of toxic labels outside the held-out fold.  Words are
+    counted over all labelled documents there; the machine and the logistic are
+    fitted on at most ``max_rows`` of them, stratified by label and weighted back."""
+    keep = fold_column(F.col("doc_id"), out_of) != held_out
+    marked = stage(labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
+                   .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
+                   .groupBy("doc_id").agg(F.max("label").alias("label")), "toxic-labels")
+    labelled = stage(docs.select("doc_id", "text").where(keep).join(marked, "doc_id")
+                     .select("doc_id", "label", "text"), "toxic-labelled")
+    sample = stage(labelled.join(stratified(marked, max_rows).select("doc_id"), "doc_id", "left_semi"), "toxic-sample")
+
+    def by_label(rows: DataFrame) -> dict:
+        return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = by_label(labelled)
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     share = n1 / max(n1 + n0, 1)
     if not n1 or not n0:
         return None, share
-    words = stage(word_counts(sample), "toxic-words")
+    words = stage(word_counts(labelled), "toxic-words")
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("other") + 0.5) / (n0 + 1.0))
     words = words.where(F.length("word") <= PIECE).withColumn("odds", odds)
     # How sure the odds are grows with the count.
     surely = F.col("odds") * F.sqrt(F.col("toxic").cast("double"))
     seeds = (words.where((F.col("toxic") >= 2) & (F.col("odds") > 2)).orderBy(surely.desc(), "word")
              .limit(MAX_CANDIDATES).toPandas())
-    common = words.where(F.col("odds") < 1)
+    fitted = word_counts(sample).where("other > 0").select("word")
+    common = stage(words.where(F.col("odds") < 1).join(fitted, "word", "left_semi"), "toxic-common")
     negative = common.orderBy(F.col("other").desc(), "word").limit(MAX_NEGATIVE // 2).select("word") \
         .union(common.orderBy(F.xxhash64("word"), "word").limit(MAX_NEGATIVE // 2).select("word")).distinct().toPandas()
     negative = sorted(negative["word"])
     if not len(seeds) or not negative:
         return None, share
     names = list(seeds["word"])
-    held = holders(sample, names).toPandas()
+    held = speaking(stage(holders(labelled, names), "toxic-holders"), max_rows).toPandas()
     doc = np.unique(held["doc_id"].astype(str), return_inverse=True)[1]
     place = {w: i for i, w in enumerate(names)}
     positive = explain(names, seeds["odds"].to_numpy(), doc, held["word"].map(place).to_numpy(int), MAX_POSITIVE)
@@ -347,12 +380,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ou
         return None, share
     model = fit_words(positive, negative)
     for _ in range(MINING_ROUNDS):
-        hard = rated(common.where("other > 0"), model, MAX_NEGATIVE // 4)
+        hard = rated(common, model, MAX_NEGATIVE // 4)
         negative = sorted(set(negative) | set(hard))
         model = fit_words(positive, negative)
     got = text_features(sample.select(F.struct("doc_id", "label").alias("k"), "text"), model, "k") \
         .select("k.doc_id", "k.label", "features").toPandas().sort_values("doc_id", kind="stable")
-    model.link = fit_link(np.array(got["features"].tolist()), got["label"].to_numpy(float))
+    label = got["label"].to_numpy(int)
+    drawn = np.bincount(label, minlength=2)
+    weight = np.array([n0, n1]) / np.maximum(drawn, 1)
+    model.link = fit_link(np.array(got["features"].tolist()), label.astype(float), (weight * len(label) / (n0 + n1))[label])
     return model, share
 
 

@@ -454,6 +454,19 @@ def test_toxicity(spark, odd, labels):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_counts_all_labelled(spark):
+    """An insult that stands in toxic texts outside of the bounded fit is learned."""
+    rows = [(i, sentence(i, 20) + (" blockhead" if i % 40 == 0 else " scoundrel" if i % 2 == 0 else ""), int(i % 2 == 0))
+            for i in range(1, 2001)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model, _ = toxicity.train(docs, labels, max_rows=20)
+    assert (model.decisions(["blockhead", "scoundrel"]) > 0).all() and (model.decisions(WORDS) < 0).all()
+    sizes = {r.label: r["count"] for r in toxicity.stratified(
+        labels.select("doc_id", F.expr("int(doc_id % 100 = 0)").alias("label")), 30).groupBy("label").count().collect()}
+    assert sizes == {1: 15, 0: 15}
+
+
 def test_string_kernel():
     """The folded sums equal the kernel by its definition, gaps included."""
     def slow(s, t):
