@@ -63,6 +63,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def slices_by_size(batches: Iterator[pa.RecordBatch], column: str, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most ``rows`` rows whose ``column`` holds
+    about ``most`` bytes (a single row may hold more)."""
+    for batch in batches:
+        sizes = [0 if v.as_buffer() is None else v.as_buffer().size for v in batch[column]]
+        at = held = 0
+        for i, size in enumerate(sizes):
+            if i > at and (held + size > most or i - at >= rows):
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += size
+        if batch.num_rows > at:
+            yield batch.slice(at)
+
+
 def gathered(df: DataFrame, key: str, *lists: str) -> tuple[pa.Table, list[list[np.ndarray]]]:
     """A bounded result on the driver, in order of ``key``: the Arrow table and,
     for each list column, its rows as views of one array."""
@@ -79,6 +94,20 @@ def gathered(df: DataFrame, key: str, *lists: str) -> tuple[pa.Table, list[list[
     return table, out
 
 
+def word_runs(blob: bytes, delimiters: bytes) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """The words of UTF-8 text between single-byte ASCII delimiters, and where each
+    starts and ends."""
+    table = np.ones(256, bool)
+    table[list(delimiters)] = False
+    data = np.frombuffer(blob, np.uint8)
+    inside = table[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    return words, starts, ends
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective) on an array of unsigned longs."""
     x = x ^ (x >> np.uint64(31))
