@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.llm import (
+    collocations,
     decontaminate,
     html_text,
     language,
     mixing,
     near_duplicates,
+    packing,
     quality_model,
     quality_rules,
     secrets,
     toxicity,
     url_filter,
+    whitening,
 )
 from labelforge.sources.tables import table
 
@@ -76,9 +79,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two to four words that belong together, per lang."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first eight whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 ids, along a Hilbert curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_near_duplicates, op3_url_filter, op4_toxicity, op5_curriculum_mix, op6_quality_model, op7_language,
-    op8_secret_scan, op9_html_text, op10_decontaminate)}
+    op8_secret_scan, op9_html_text, op10_decontaminate, op11_collocations, op12_whitening, op13_packing)}
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The others hold a learned model or Spark's own hashes; tests/llm has plain versions.
@@ -119,4 +137,33 @@ items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS it FROM hits GROUP BY
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(len(it), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(it, ','), '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spots AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM spots, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+total AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS p, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(p, 1, cut), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(p, cut + 1, len(p)), ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, f, array_to_string(list_slice(string_split(phrase, ' '), i, i + m - 1), ' ') AS phrase
+  FROM f, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m) WHERE k > m AND i + m - 1 <= k),
+around AS (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY 1, 2),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM worst w LEFT JOIN around s ON s.lang = w.lang AND s.phrase = w.phrase
+  WHERE s.most IS NULL OR 100 * s.most < 80 * w.a)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
