@@ -6,8 +6,8 @@ curve share words.  Documents are range-sorted by the key and laid end to end;
 the line is cut every ``length`` ids, so neighbours on the curve share sequences
 and only the last sequence holds padding.
 
-A text is tokenized once, by its distinct white-space-separated parts (the
-tokenizer drops white space and looks at no part's neighbours).  The ids travel as
+A text is tokenized once, by its distinct parts: the tokenizer drops white space and
+joins no letters, digits and punctuation.  The ids travel as
 bytes through one range shuffle; the place of a document on the line is its place
 within its range partition plus the sizes of the partitions before it, one small
 row a partition.
@@ -20,7 +20,9 @@ empty table gives no rows; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import slices_by_size, stage, word_runs
+from labelforge.llm.common import slices_by_size, stage
 
 LENGTH = 4096
 END = 2
 BUCKETS, DIMS, BITS = 256, 3, 20   # hashed words, dimensions of the curve, bits of each
-CACHE = 1 << 18                    # parts of texts whose ids a worker keeps
+CACHE = 1 << 19                    # parts of texts whose ids a worker keeps
 RANGE_BYTES = 64 << 20             # staged bytes a range partition
 PAD = 0
 SLICE_BYTES = 8 << 20             # texts or ids a task works on at once
@@ -48,27 +50,110 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _classes() -> np.ndarray:
+    """Class of a byte where it says for certain what its character is: 1 letter,
+    2 digit, 3 punctuation, 0 anything else (the apostrophe begins an ending)."""
+    out = np.zeros(256, np.int8)
+    out[list(range(65, 91)) + list(range(97, 123))] = 1
+    out[48:58] = 2
+    out[[c for c in range(33, 127) if not out[c] and c != 39]] = 3
+    return out
+
+
+CLASSES = _classes()
+
+
+def parts(blob: bytes, specials: list[bytes]) -> tuple[pa.StringArray, np.ndarray]:
+    """The pieces of a text that the tokenizer looks at one by one, and where each
+    starts: cut at white space, around digits and between letters and punctuation.
+
+    No cut is made beside a character that is not ASCII or a Latin-1 letter, as it
+    may join its neighbours, nor inside a special token."""
+    data = np.frombuffer(blob, np.uint8)
+    kind = CLASSES[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]   # the signs of times and division
+    kind[lead] = kind[lead + 1] = 1
+    inside = np.ones(len(data), bool)
+    for c in b" \n\t\r":
+        inside &= data != c
+    cut = np.zeros(len(data) + 1, bool)
+    both = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+    cut[1:-1] = both
+    for special in specials:
+        at = blob.find(special)
+        while at >= 0:
+            cut[at + 1:at + len(special)] = False
+            at = blob.find(special, at + 1)
+    edge = np.diff(inside, prepend=False, append=False)
+    starts = np.flatnonzero((edge | cut)[:-1] & inside)
+    lengths = np.add.reduceat(inside, starts) if len(starts) else np.zeros(0, np.int64)
+    ends = np.append(0, np.cumsum(lengths, dtype=np.int64)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside])), starts
+
+
+#: Letters of which a part is known to be one word of the tokenizer's pattern.
+LATIN = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
+_LETTERS = re.compile(f"[A-Za-z{LATIN}]+")
+
+
 class Encoder:
-    """Ids of texts, by way of their distinct parts."""
+    """Ids of the parts of texts: part i has ``size[i]`` ids from ``begin[i]`` on in
+    ``flat``; part 0 is the end id.
 
-    def __init__(self, path: str):
+    Parts of letters alone go to the tokenizer's model as lower-case byte letters
+    (what its normalizer and pattern make of them), all others through the whole
+    tokenizer."""
+
+    def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, parts: list[str]) -> list[np.ndarray]:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, parts
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[part] = np.array(found.ids, np.uint32)
-        return [self.known[p] for p in parts]
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.wide = max(self.tokenizer.get_vocab_size(), end + 1) > 1 << 16
+        bytewise = self.tokenizer.pre_tokenizer[1]
+        self.letters = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in LATIN}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size = np.array([self.end], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.hashes = np.zeros(1, np.int64)
+
+    def encode(self, new: list[str]) -> list[list[int]]:
+        """Ids of every part."""
+        whole = [_LETTERS.fullmatch(p) is not None for p in new]
+        words = "\n".join(itertools.compress(new, whole)).lower().translate(self.letters).split("\n")
+        model = self.tokenizer.model
+        plain = ([t.id for t in model.tokenize(w)] for w in words)
+        rest = [p for p, one in zip(new, whole) if not one]
+        others = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
+        return [next(plain) if one else next(others).ids for one in whole]
+
+    def numbers(self, distinct: list[str]) -> np.ndarray:
+        """Numbers of the parts; new ones are tokenized."""
+        if len(self.known) > CACHE:
+            self.forget()
+        number = np.fromiter(map(self.known.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        at = np.flatnonzero(number < 0)
+        if len(at):
+            new = [distinct[i] for i in at]
+            found = self.encode(new)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            number[at] = len(self.size) + np.arange(len(at))
+            self.known.update(zip(new, number[at].tolist()))
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, sizes.sum()))
+            self.size = np.append(self.size, sizes)
+            lower = "\n".join(new).lower().encode().split(b"\n")   # no part holds a line end
+            self.hashes = np.append(self.hashes, np.fromiter(map(zlib.crc32, lower), np.int64, len(new)))
+        return number
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, end: int) -> Encoder:
+    return Encoder(path, end)
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -98,10 +183,10 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(doc: np.ndarray, word: np.ndarray, hashes: np.ndarray, docs: int) -> np.ndarray:
-    """Hilbert keys of documents from (document, word) pairs and the words' hashes."""
-    bucket, sign = hashes % BUCKETS, 1.0 - 2.0 * ((hashes >> 16) & 1)
-    grid = np.bincount(doc * BUCKETS + bucket[word], weights=sign[word], minlength=docs * BUCKETS).reshape(docs, BUCKETS)
+def curve_keys(doc: np.ndarray, hashes: np.ndarray, docs: int) -> np.ndarray:
+    """Hilbert keys of documents from the document and the hash of every word."""
+    grid = np.bincount(doc * BUCKETS + hashes % BUCKETS, weights=1.0 - 2.0 * ((hashes >> 16) & 1),
+                       minlength=docs * BUCKETS).reshape(docs, BUCKETS)
     grid = np.sign(grid) * np.sqrt(np.abs(grid))
     grid /= np.maximum(np.linalg.norm(grid, axis=1, keepdims=True), 1e-12)
     axes = np.random.default_rng(7).standard_normal((BUCKETS, DIMS))
@@ -109,39 +194,36 @@ def curve_keys(doc: np.ndarray, word: np.ndarray, hashes: np.ndarray, docs: int)
     return hilbert_key(np.minimum(place * (1 << BITS), (1 << BITS) - 1).astype(np.int64), BITS)
 
 
-def tokenize(texts: list[str], encoder: Encoder, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(texts: list[str], encoder: Encoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(all ids in order, ids of each text with its end id, curve keys)."""
     raw = [t.encode() for t in texts]
     first = np.cumsum([0] + [len(r) + 1 for r in raw])
-    words, starts, _ = word_runs(b"\n".join(raw), b" \n\t\r")
-    doc = np.searchsorted(first, starts, side="right") - 1
+    words, starts = parts(b"\n".join(raw), encoder.specials)
+    ends = np.searchsorted(starts, first[1:])          # words before the end of each text
     coded = words.dictionary_encode()
-    parts, word = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    found = encoder.ids(parts)
-    flat = np.concatenate([*found, np.zeros(0, np.uint32)])
-    sizes = np.array([len(f) for f in found], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    each = sizes[word]
-    total = int(each.sum())
-    within = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
-    ids = np.full(total + len(texts), end, np.uint32)
-    ids[np.arange(total) + np.repeat(doc, each)] = flat[np.repeat(begin[word], each) + within]
-    counts = np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64) + 1
-    hashes = np.array([zlib.crc32(p.lower().encode()) for p in parts], np.int64)
-    return ids, counts, curve_keys(doc, word, hashes, len(texts))
+    word = encoder.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    every = np.insert(word, ends, 0)
+    each = encoder.size[every]
+    upto = np.cumsum(each)
+    ids = encoder.flat[np.arange(upto[-1]) + np.repeat(encoder.begin[every] - (upto - each), each)]
+    counts = np.diff(upto[ends + np.arange(len(texts))], prepend=0)
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    return ids, counts, curve_keys(doc, encoder.hashes[word], len(texts))
 
 
 def curve_documents(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """(doc_id, key, tokens, ids) of every document; the ids as 4-byte little-endian
-    integers, of which Parquet's and the shuffle's compression remove the zeros."""
+    """(doc_id, key, tokens, ids) of every document; the ids as little-endian
+    integers of 2 bytes where the vocabulary has no more, else 4."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for batch in slices_by_size(batches, "text", 256, SLICE_BYTES):
-            ids, counts, keys = tokenize(batch["text"].to_pylist(), encoder, end)
-            ends = np.append(0, np.cumsum(counts) * 4).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))])
+        encoder = _encoder(path, end)
+        kind = "<u4" if encoder.wide else "<u2"
+        for batch in slices_by_size(batches, "text", 1024, SLICE_BYTES):
+            ids, counts, keys = tokenize(batch["text"].to_pylist(), encoder)
+            ids = ids.astype(kind)
+            ends = np.append(0, np.cumsum(counts) * ids.itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys), pa.array(counts), packed],
                                              ["doc_id", "key", "tokens", "ids"])
 
@@ -193,14 +275,15 @@ def pieces(lined: DataFrame, length: int = LENGTH, with_ids: bool = True) -> Dat
             low = np.maximum(sequence * length, at[row])
             high = np.minimum((sequence + 1) * length, (at + tokens)[row])
             start = low - at[row]
-            held = [memoryview(batch["ids"][int(r)].as_buffer())[4 * s:4 * (s + n)]
-                    for r, s, n in zip(row, start, high - low)]
+            docs = [np.frombuffer(v.as_buffer(), "<u2" if v.as_buffer().size == 2 * t else "<u4").astype("<u4")
+                    for v, t in zip(batch["ids"], tokens)]
+            held = [docs[r][s:s + n] for r, s, n in zip(row, start, high - low)]
             columns = [batch["doc_id"].take(pa.array(row)), pa.array(start), pa.array(high - low),
                        pa.array([zlib.crc32(h) for h in held], pa.int64()), pa.array(tokens[row]), pa.array(sequence),
                        pa.array(low - sequence * length)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(h, "<u4").astype(np.int32) for h in held], pa.list_(pa.int32())))
+                columns.append(pa.array([h.astype(np.int32) for h in held], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
