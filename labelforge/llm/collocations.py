@@ -6,11 +6,11 @@ merged stripe gives three things at once: the prefix's extensions (entries), its
 total (the sum of all entries, the end of a piece being one) and the largest
 extension, which decides subsumption.
 
-Stripes are counted in three scans: the empty prefix (words), prefixes of one
-word, prefixes of two and three words.  A phrase can only be frequent if its
-words and its pairs are, so a scan skips what a bitmap of the frequent phrases of
-the scan before rules out.  The bitmap's size is bounded by ``MAX_BITS``; false
-hits cost work, never a row: all decisions are taken on merged exact counts.
+Stripes are counted in four scans: the empty prefix (words), then prefixes of one,
+two and three words.  A phrase can only be frequent if all its parts are, so a scan
+skips what a bitmap of the frequent phrases of the scan before rules out.  The
+bitmap's size is bounded by ``MAX_BITS``; false hits cost work, never a row: all
+decisions are taken on merged exact counts.
 
 A frequent prefix is dealt in several shards by a hash of the next word, as many
 as its own count asks for, so that no merge holds more than about 1/4096 of the
@@ -23,6 +23,7 @@ gives no rows; columns other than text and lang are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,7 +41,7 @@ HELD_BYTES = 24 << 20   # text a task holds before it counts the largest lang
 MAX_BITS = 1 << 28      # of a bitmap: 32 MB
 SHARD_LEAST = 1 << 16   # occurrences of a prefix before it is cut into shards
 SHARD_SHARE = 4096      # ... or this part of all words, at most so many hot prefixes
-SALTS = 16
+SALTS = 64
 
 #: A-Z lower-cased, the ends of a piece as \n, the spaces between words as \x20.
 _TEXT = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09",
@@ -70,13 +71,14 @@ class Chunk:
 
 
 def phrase_hash(lang: str, words: list[str]) -> int:
-    """Hash of a phrase of one or two words, the same in every task."""
-    first = [zlib.crc32(f"{lang} {w}".encode()) for w in words]
-    return first[0] if len(first) == 1 else int(pair_hash(np.array(first[:1], np.uint64), np.array(first[1:], np.uint64))[0])
+    """Hash of a phrase, the same in every task."""
+    each = [np.array([zlib.crc32(f"{lang} {w}".encode())], np.uint64) for w in words]
+    return int(functools.reduce(pair_hash, each)[0])
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64((a << np.uint64(32)) | b)
+    """Hash of a phrase from that of all but its last word and the last word's."""
+    return mix64((a << np.uint64(32)) ^ mix64(a) ^ b)
 
 
 class Bitmap:
@@ -135,7 +137,7 @@ def _stripes(chunk: Chunk, prefixes: pa.Array, run: np.ndarray, after: np.ndarra
     shards = np.ones(len(prefixes), np.int64)
     if hot:
         names = prefixes.to_pylist()
-        shards[:] = [hot.get((chunk.lang, " ".join(name.split(" ")[:2])), 1) for name in names]
+        shards[:] = [hot.get((chunk.lang, name), 1) for name in names]
     shard = (chunk.hashes[follow] % shards[prefix].astype(np.uint64)).astype(np.int64)
     order = np.lexsort((shard, prefix))
     prefix, shard, follow, counts = prefix[order], shard[order], follow[order], counts[order]
@@ -164,28 +166,41 @@ def _after_one(chunk: Chunk, words: Bitmap, hot: dict) -> Iterator[pa.RecordBatc
     yield _stripes(chunk, chunk.words, chunk.codes[ok], after[ok], hot)
 
 
-def _after_more(chunk: Chunk, pairs: Bitmap, hot: dict) -> Iterator[pa.RecordBatch]:
-    """Stripes of prefixes of two and of three words."""
-    codes, hashes = chunk.codes, chunk.hashes[chunk.codes]
-    pair = chunk.follows()
-    at = np.flatnonzero(pair)
-    pair[at] = pairs.holds(pair_hash(hashes[at], hashes[at + 1]))
-    at, size = np.flatnonzero(pair), chunk.size
-    if not len(at):
-        return
-    longer = np.append(pair, [False, False])
-    padded = np.append(codes, [size, size, size])
-    keys, run = np.unique(codes[at] * size + codes[at + 1], return_inverse=True)
-    names = pc.binary_join_element_wise(chunk.words.take(pa.array(keys // size)),
-                                        chunk.words.take(pa.array(keys % size)), " ")
-    yield _stripes(chunk, names, run, np.where(longer[at + 1], padded[at + 2], size), hot)
-    keep = longer[at + 1]
-    at, run = at[keep], run[keep]
-    if not len(at):
-        return
-    keys, run = np.unique(run * size + codes[at + 2], return_inverse=True)
-    names = pc.binary_join_element_wise(names.take(pa.array(keys // size)), chunk.words.take(pa.array(keys % size)), " ")
-    yield _stripes(chunk, names, run, np.where(longer[at + 2], padded[at + 3], size), hot)
+def _joined(chunk: Chunk, at: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
+    """The phrases of ``size`` words that start at ``at``: (distinct, which of them)."""
+    names, run = chunk.words, chunk.codes[at]
+    for k in range(1, size):
+        keys, run = np.unique(run * chunk.size + chunk.codes[at + k], return_inverse=True)
+        names = pc.binary_join_element_wise(names.take(pa.array(keys // chunk.size)),
+                                            chunk.words.take(pa.array(keys % chunk.size)), " ")
+    return names, run
+
+
+def _known(chunk: Chunk, known: Bitmap, size: int) -> np.ndarray:
+    """Whether ``known`` holds the phrase of ``size`` words that starts at a word;
+    two places are appended that never do."""
+    follows, out = chunk.follows(), np.zeros(len(chunk.codes) + 2, bool)
+    inside = np.ones(len(chunk.codes), bool)
+    for k in range(size - 1):
+        inside[:len(inside) - k] &= follows[k:]
+        inside[len(inside) - k:] = False
+    at = np.flatnonzero(inside)
+    hashes = chunk.hashes[chunk.codes]
+    key = hashes[at]
+    for k in range(1, size):
+        key = pair_hash(key, hashes[at + k])
+    out[at] = known.holds(key)
+    return out
+
+
+def _after_phrase(chunk: Chunk, known: Bitmap, size: int, hot: dict) -> Iterator[pa.RecordBatch]:
+    """Stripes of prefixes of ``size`` words."""
+    known = _known(chunk, known, size)
+    at = np.flatnonzero(known)
+    if len(at):
+        names, run = _joined(chunk, at, size)
+        codes = np.append(chunk.codes, np.full(size + 1, chunk.size))
+        yield _stripes(chunk, names, run, np.where(known[at + 1], codes[at + size], chunk.size), hot)
 
 
 def count_stripes(docs: DataFrame, count: Callable[[Chunk], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -215,18 +230,22 @@ def merge_stripes(stripes: DataFrame, least: int) -> DataFrame:
     return merged.groupBy(*keys, known.alias("next")).agg(F.sum("n").alias("n"))
 
 
+def _share(everything: int) -> int:
+    return max(SHARD_LEAST, everything // SHARD_SHARE)
+
+
 def _hot(frequent: DataFrame, everything: int) -> dict[tuple[str, str], int]:
     """Shards of the prefixes that need more than one: at most ``SHARD_SHARE`` of
     them a prefix length, as each has more than that part of all words."""
-    share = max(SHARD_LEAST, everything // SHARD_SHARE)
+    share = _share(everything)
     rows = frequent.where(F.col("n") > share).select("lang", "phrase", "n").collect()
     return {(r.lang, r.phrase): -(-r.n // share) for r in rows}
 
 
-def phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Exact counts of what occurs ``least`` times or more: (totals of the prefixes
     of one to three words, extended phrases of two to four words with their prefix
-    and last word, words per lang)."""
+    and last word, words per lang, occurrences that make a phrase hot)."""
     spark = docs.sparkSession
     level = count_stripes(docs, _words)
     level = level.select("lang", F.explode(F.arrays_zip("next", "n")).alias("e")).select("lang", "e.next", "e.n")
@@ -239,37 +258,46 @@ def phrases(docs: DataFrame, least: int = 30) -> tuple[DataFrame, DataFrame, Dat
     frequent = words.where("phrase is not null")
     known = spark.sparkContext.broadcast((bitmap(frequent, sums[1]), _hot(frequent, everything)))
     pairs = stage(merge_stripes(count_stripes(docs, lambda c: _after_one(c, *known.value)), least), "stripes")
-    frequent = pairs.where("next is not null").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n")
-    more = spark.sparkContext.broadcast((bitmap(frequent, frequent.count()), _hot(frequent, everything)))
-    longer = stage(merge_stripes(count_stripes(docs, lambda c: _after_more(c, *more.value)), least), "stripes")
-    stripes = pairs.unionByName(longer)
+    longer, stripes = pairs, pairs
+    for size in (2, 3):
+        frequent = (longer.where("next is not null")
+                    .select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), "n"))
+        more = spark.sparkContext.broadcast((bitmap(frequent, frequent.count()), size, _hot(frequent, everything)))
+        longer = stage(merge_stripes(count_stripes(docs, lambda c, more=more: _after_phrase(c, *more.value)), least), "stripes")
+        stripes = stripes.unionByName(longer)
     totals = (stripes.groupBy("lang", "prefix").agg(F.sum("n").alias("f"), F.max(F.when(F.col("next").isNotNull(), F.col("n")))
                                                    .alias("most"))
               .where(F.col("f") >= least))
     extended = (stripes.where("next is not null")
                 .select("lang", "prefix", "next", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a")))
-    return totals, extended, per_lang
+    return totals, extended, per_lang, _share(everything)
 
 
 def _words_of(phrase: str, first, size) -> F.Column:
     return F.array_join(F.slice(F.split(phrase, " "), first, size), " ")
 
 
-def weakest_cuts(extended: DataFrame, totals: DataFrame) -> DataFrame:
-    """(lang, phrase, a, l, r, score) of the lowest-scoring cut of every phrase.
+def _look_up(cuts: DataFrame, totals: DataFrame, hot: DataFrame, part: str, out: str) -> DataFrame:
+    """Add the count of ``part``.
 
-    A frequent word is the part of very many phrases, so the parts are looked up
-    under ``SALTS`` salts, each part's count being there once a salt."""
-    parts = (totals.select("lang", F.col("prefix").alias("part"), "f")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    The few parts in ``hot`` stand in very many phrases: their counts are broadcast,
+    and their rows are dealt by a salt in the join that finds the other counts."""
+    hot = F.broadcast(hot.select("lang", F.col("prefix").alias(part), F.col("f").alias("hot_f")))
+    cold = totals.select("lang", F.col("prefix").alias(part), F.lit(0).alias("salt"), "f")
+    salt = F.when(F.col("hot_f").isNull(), 0).otherwise(F.pmod(F.xxhash64("phrase"), F.lit(SALTS)) + 1).cast("int")
+    found = cuts.join(hot, ["lang", part], "left").withColumn("salt", salt).join(cold, ["lang", part, "salt"], "left")
+    return found.withColumn(out, F.coalesce("hot_f", "f")).drop("hot_f", "salt", "f")
+
+
+def weakest_cuts(extended: DataFrame, totals: DataFrame, share: int = SHARD_LEAST) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the lowest-scoring cut of every phrase.
+    At most 3 * ``SHARD_SHARE`` parts occur more than ``share`` times."""
     length = F.size(F.split("phrase", " "))
     cuts = (extended.withColumn("k", F.explode(F.sequence(F.lit(1), length - 1)))
-            .withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
             .withColumn("head", _words_of("phrase", F.lit(1), F.col("k")))
             .withColumn("tail", _words_of("phrase", F.col("k") + 1, length)))
-    heads = parts.select("lang", "salt", F.col("part").alias("head"), F.col("f").alias("l"))
-    tails = parts.select("lang", "salt", F.col("part").alias("tail"), F.col("f").alias("r"))
-    cuts = cuts.join(heads, ["lang", "salt", "head"]).join(tails, ["lang", "salt", "tail"])
+    hot = totals.where(F.col("f") > share)
+    cuts = _look_up(_look_up(cuts, totals, hot, "head", "l"), totals, hot, "tail", "r")
     score = F.expr("cast(a as decimal(20,0)) * 2000000BD div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     best = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
     return (cuts.groupBy("lang", "phrase", "a").agg(best)
@@ -292,8 +320,8 @@ def collocations(docs: DataFrame, least: int = 30, subsume_pct: int = 80, top: i
     phrase, a, l, r, n, score.
 
     The best of every lang are taken in two steps, first within 64 hash buckets."""
-    totals, extended, per_lang = phrases(docs, least)
-    scored = weakest_cuts(extended.drop("prefix", "next"), totals)
+    totals, extended, per_lang, share = phrases(docs, least)
+    scored = weakest_cuts(extended.drop("prefix", "next"), totals, share)
     around = subsumed_by(extended, totals)
     kept = (scored.join(around, ["lang", "phrase"], "left")
             .where(F.col("most").isNull() | (100 * F.col("most") < subsume_pct * F.col("a"))))
