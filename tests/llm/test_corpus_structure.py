@@ -70,12 +70,14 @@ def test_collocations_table_in_shards_and_small_chunks(spark, monkeypatch):
     want = plain_collocations([(r.text, r.lang) for r in docs.select("text", "lang").collect()], 6, 50)
     assert mined(docs.repartition(3), least=6, top=50) == want
     monkeypatch.setattr(collocations, "SHARD_LEAST", 64)
+    monkeypatch.setattr(collocations, "SALTS", 3)
     monkeypatch.setattr(collocations, "MAX_BITS", 64)
     assert mined(docs, least=6, top=50) == want
 
 
 def test_collocations_hot_prefix_is_cut(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SHARD_LEAST", 4)
+    """More shards for a frequent prefix; the others keep one."""
     frequent = spark.createDataFrame([("en", "the", 41), ("en", "rare", 4)], "lang string, phrase string, n long")
     assert collocations._hot(frequent, 45) == {("en", "the"): 11}
 
@@ -165,6 +167,19 @@ def test_hilbert_curve_visits_neighbours():
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+LETTERS = st.sampled_from("abzAZéÉßÿŁжΣς中ﬁ\u0301\u0338=<>'\"#.,;1230²½_×÷ \n\t\r\x00\x1c\u00a0\u2028…”😀İſ")
+
+
+@given(st.lists(st.text(LETTERS, max_size=25) | st.sampled_from(["it's we've o'clock l'arbre '", "a<|endoftext|>b##"]), max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_parts_give_the_tokenizers_ids(texts):
+    encoder = packing._encoder(packing.vocabulary(), 2)
+    if texts:
+        ids, counts, _ = packing.tokenize(texts, encoder)
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert [list(x) for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def check_packed(docs, rows, length=4096):
     """Every id of every document lies in one piece and every sequence is full."""
     from tokenizers import Tokenizer
