@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from labelforge import spec
 from labelforge.functions.labels import decode_label
-from labelforge.functions.vectors import log_softmax_at
+from labelforge.functions.vectors import argmax, log_softmax_at
+from labelforge.operators.sampling import shuffle_rank
 from labelforge.session import ensure_checkpoint_dir
 
 
@@ -205,6 +206,32 @@ def class_weights(df: DataFrame, label_col: str, k: int = len(spec.TARGET_LABELS
         w.alias("weight"), F.pow(w, F.lit(alpha)).alias("weight_tempered"))
 
 
+# -- A14 in A13: the loss by batches ---------------------------------------------------
+
+def batched_log_loss(df: DataFrame, logits_col: str, label_col: str, key_col: str, batch_rows: int = spec.BATCH_ROWS,
+                     k: int = len(spec.TARGET_LABELS), alpha: float = spec.CLASS_WEIGHT_ALPHA,
+                     seed: int = spec.SEED) -> DataFrame:
+    """Loss and accuracy as an epoch over batches gives them: the rows in seeded
+    order are cut every ``batch_rows``, a batch's loss is its class-weighted mean
+    and the epoch's loss the mean over batches weighted by their rows.
+
+    One row: loss, acc, n, batches.  Rows without a label or outside 0..k-1 don't
+    count.  Two aggregates: by batch (map-side combined), then over batches."""
+    rows = df.where(F.col(label_col).between(0, k - 1)).select(
+        key_col, F.col(label_col).cast("int").alias("label"), (-log_softmax_at(logits_col, F.col(label_col))).alias("nll"),
+        (argmax(logits_col) == F.col(label_col)).cast("long").alias("right"))
+    ranked = shuffle_rank(rows, key_col, seed, "_lf_place")
+    w = F.broadcast(class_weights(rows, "label", k, alpha).select("label", F.col("weight_tempered").alias("w")))
+    weighted = ranked.join(w, "label")   # one row a class
+    per = weighted.groupBy(F.floor(F.col("_lf_place") / batch_rows).alias("batch")).agg(
+        F.try_divide(F.sum(F.col("w") * F.col("nll")), F.sum("w")).alias("loss"),
+        F.count(F.lit(1)).alias("n"), F.sum("right").alias("right"))
+    n = F.sum("n")
+    return per.agg(F.try_divide(F.sum(F.col("loss") * F.col("n")), n).alias("loss"),
+                   F.try_divide(F.sum("right").cast("double"), n).alias("acc"),
+                   F.coalesce(n, F.lit(0)).alias("n"), F.count(F.lit(1)).alias("batches"))
+
+
 # -- A14: weighted cross-entropy ----------------------------------------------------
 
 def weighted_log_loss(df: DataFrame, logits_col: str, label_col: str, k: int = len(spec.TARGET_LABELS),

@@ -1,6 +1,9 @@
-"""Classifier training and inference on embeddings.
+"""Classifiers on embeddings: Spark ML training, stored models, class means.
 
-Training uses Spark ML's ``MultilayerPerceptronClassifier`` (layers
+``network`` trains with exact class weights and keeps its model as a table, which
+``save_model``, ``load_model`` and ``predict`` work on.
+
+``train_mlp`` uses Spark ML's ``MultilayerPerceptronClassifier`` (layers
 ``[dim, hidden, k]``), run in rounds that continue from the previous weights
 (``initialWeights``); after every round the class-weighted validation loss
 decides improvement, and training stops after ``patience`` rounds without
@@ -15,15 +18,16 @@ on every run).  Losses are taken on the rows themselves, with the weights.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelforge import spec
 from labelforge.functions import vectors
+from labelforge.operators import network
 
 MAX_MODEL_FLOATS = 10_000_000  # size bound for parameters shipped to tasks
 
@@ -104,22 +108,23 @@ METRICS_SCHEMA = T.StructType([
     T.StructField("epoch", T.LongType()), T.StructField("train_loss", T.DoubleType()),
     T.StructField("train_acc", T.DoubleType()), T.StructField("val_loss", T.DoubleType()),
     T.StructField("val_acc", T.DoubleType()), T.StructField("improved", T.BooleanType()),
+    T.StructField("learning_rate", T.DoubleType()),
 ])
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(weights: network.Weights, path: str) -> None:
+    network.save_network(SparkSession.active(), weights, path)
 
 
-def load_model(path: str):
-    return MultilayerPerceptronClassificationModel.load(path)
+def load_model(path: str) -> DataFrame:
+    return network.load_network(SparkSession.active(), path)
 
 
-def predict(model, df: DataFrame, features_col: str, out_col: str = "pred_label") -> DataFrame:
-    """Batch prediction with a trained model (index of the largest output)."""
-    x = df.withColumn("features", array_to_vector(F.col(features_col)))
-    return model.transform(x).withColumn(out_col, F.col("prediction").cast("int")) \
-        .drop("features", "rawPrediction", "probability", "prediction")
+def predict(model: DataFrame, df: DataFrame, features_col: str, out_col: str = "pred_label",
+            max_shipped: int = network.MAX_SHIPPED) -> DataFrame:
+    """Batch prediction with a stored model (index of the largest output)."""
+    scored = network.apply_network(df, model, features_col, "_lf_logits", max_shipped)
+    return scored.withColumn(out_col, vectors.argmax("_lf_logits")).drop("_lf_logits")
 
 
 # -- X16: forward pass with given weights ------------------------------------------

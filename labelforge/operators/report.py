@@ -68,13 +68,13 @@ def write_runs(runs: DataFrame, root: str) -> None:
 def write_training(spark: SparkSession, root: str, dataset: str, name: str, dim: int, classes: int,
                    rounds: list[tuple], best: tuple) -> None:
     """The model's record and its series (one entry per round) as result files of
-    one run; ``rounds`` are the rows of ``model.train_mlp``, ``best`` one of them."""
+    one run; ``rounds`` are the rows of ``network.train_network``, ``best`` one of them."""
     place = {"d": F.lit(dataset), "m": F.translate(F.lit(name), ":", "_")}
     info = {"embedding_model_name": name, "embedding_dimension": dim, "classifier_class": "mlp", "num_classes": classes,
-            "epoch": best[0], "val_loss": best[3], "val_acc": best[4], "learning_rate": None}
+            "epoch": best[0], "val_loss": best[3], "val_acc": best[4], "learning_rate": best[6]}
     row = [tuple(info[f.name] for f in spec.MODEL_INFO_SCHEMA.fields)]
     write_json(spark.createDataFrame(row, spec.MODEL_INFO_SCHEMA).withColumns(place), f"{root}/model_info", ["d", "m"])
-    series = [tuple([r[i] for r in rounds] for i in (1, 2, 3, 4)) + (None,)]
+    series = [tuple([r[i] for r in rounds] for i in (1, 2, 3, 4, 6))]
     write_json(spark.createDataFrame(series, spec.TRAINING_METRICS_SCHEMA).withColumns(place),
                f"{root}/training_metrics", ["d", "m"])
 
@@ -128,6 +128,14 @@ def incomplete_runs(runs: DataFrame) -> DataFrame:
     return checked.where(F.col("reason").isNotNull()).select("model_name", "dataset", "reason")
 
 
+def cpu_devices(perf: DataFrame) -> list[str]:
+    """The CPU device folders that occur, sorted: every device with ``cpu`` in its
+    name that isn't a GPU's (one row per device reaches the driver)."""
+    name = F.lower("device")
+    found = perf.where(name.contains("cpu") & ~name.contains("gpu")).select("device").distinct()
+    return sorted(r["device"] for r in found.collect())
+
+
 def comparison(perf: DataFrame, runs: DataFrame, cpu_devices: list[str]) -> DataFrame:
     """One row per model; performance wins for the dimension, classification
     fills it only when the performance side has none.

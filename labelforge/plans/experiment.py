@@ -2,7 +2,7 @@
 
 train texts -> label encoding (unknown labels rejected) -> stratified
 70/30 split on label x language -> batch embedding (written once, read for
-training and for the final evaluation) -> class weights -> MLP training in
+training and for the final evaluation) -> class weights -> weighted training in
 rounds with early stopping -> best model saved and loaded -> evaluation on
 validation and test sets -> result files.
 
@@ -22,6 +22,7 @@ from labelforge.functions.labels import encode_label
 from labelforge.operators import embed as emb
 from labelforge.operators import evaluate as ev
 from labelforge.operators import model as mdl
+from labelforge.operators import network
 from labelforge.operators import report as rep
 from labelforge.operators import sampling as smp
 from labelforge.session import scratch_path
@@ -32,7 +33,8 @@ SUMMARY_COLS = ["accuracy", "macro_f1", "weighted_f1", "support"]
 def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_col: str,
                    text_col: str = "content", label_col: str = "emotion", prefix_name: str = "none",
                    normalize: bool = True, dim: int = 64, patience: int = spec.PATIENCE,
-                   max_rounds: int = 1000, iters_per_round: int = 10, result_dir: str | None = None,
+                   max_rounds: int = 1000, iters_per_round: int = 10, learning_rate: float = 0.01,
+                   batch_rows: int = 4096, result_dir: str | None = None,
                    name: str = "hashing", dataset: str = "balanced") -> DataFrame:
     """Summary rows of the validation and the test set.
 
@@ -53,9 +55,9 @@ def run_experiment(spark: SparkSession, train: DataFrame, test: DataFrame, key_c
     tr = embedded.where(F.col("split") == "train")
     va = embedded.where(F.col("split") == "val")
     weights = ev.class_weights(tr, "emotion_label", k)
-    model, rounds = mdl.train_mlp(tr, va, "embedding", "emotion_label", weights, num_classes=k,
-                                  iters_per_round=iters_per_round, max_rounds=max_rounds, patience=patience,
-                                  order_col=key_col)
+    model, rounds = network.train_network(tr, va, "embedding", "emotion_label", weights, k, key_col,
+                                          learning_rate=learning_rate, batch_rows=batch_rows, max_rounds=max_rounds,
+                                          epochs_per_round=iters_per_round, patience=patience)
     best = min(rounds, key=lambda r: (r[3], r[0]))
     mdl.save_model(model, f"{root}/model")
     model = mdl.load_model(f"{root}/model")
