@@ -617,6 +617,33 @@ c AS (SELECT y, count(*) AS n_c FROM lse GROUP BY y),
 w AS (SELECT y, pow(CAST(sum(n_c) OVER () AS DOUBLE) / (CAST({CLASSES} AS DOUBLE) * n_c), {spec.CLASS_WEIGHT_ALPHA}) AS w FROM c)
 SELECT CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'de' END AS language, {r9('sum(w * nll) / sum(w)')} AS weighted_loss,
   count(*) AS n FROM lse JOIN w USING (y) GROUP BY 1""",
+    "mlp_forward": """WITH h0 AS (
+  SELECT vec_id, c.range AS c, (c.range % 3 - 1) / 4.0::DOUBLE
+    + list_sum(list_transform(embedding, lambda x, p: CAST(x AS DOUBLE) * ((((p - 1) * 7 + c.range * 13) % 11 - 5) / 10.0::DOUBLE))) AS y
+  FROM embeddings, range(8) c),
+h AS (SELECT vec_id, list(greatest(y, 0.0) ORDER BY c) AS h FROM h0 GROUP BY vec_id),
+o AS (
+  SELECT vec_id, c.range AS c, round((c.range % 3 - 1) / 4.0::DOUBLE
+    + list_sum(list_transform(h, lambda x, p: x * ((((p - 1) * 7 + c.range * 13 + 5) % 11 - 5) / 10.0::DOUBLE))), 9) AS y
+  FROM h, range(10) c),
+l AS (SELECT vec_id, list(y ORDER BY c) AS l FROM o GROUP BY vec_id)
+SELECT vec_id, """ + ", ".join(f"l[{i + 1}] AS logit_{i}" for i in range(10)) + """,
+  CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred_label FROM l""",
+    "batched_loss": f"""WITH e AS (
+  SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS l,
+    (row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':{spec.SEED}'), vec_id) - 1) // {spec.BATCH_ROWS} AS batch
+  FROM embeddings WHERE label BETWEEN 0 AND {CLASSES - 1}),
+s AS (SELECT *, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[label + 1] AS nll,
+        CAST(list_position(l, list_max(l)) - 1 = label AS INTEGER) AS good,
+        pow(CAST(count(*) OVER () AS DOUBLE) / ({CLASSES} * count(*) OVER (PARTITION BY label)), {spec.CLASS_WEIGHT_ALPHA}) AS w FROM e),
+b AS (SELECT batch, sum(w * nll) / sum(w) AS loss, count(*) AS n, sum(good) AS good FROM s GROUP BY batch)
+SELECT {r9('sum(loss * n) / sum(n)')} AS loss, {r9('CAST(sum(good) AS DOUBLE) / sum(n)')} AS acc,
+  CAST(sum(n) AS BIGINT) AS n, count(*) AS batches FROM b""",
+    "csv_mixed_encoding": "SELECT doc_id, md5(text) AS text_md5, lang, source, CAST(length(text) AS INTEGER) AS chars FROM documents",
+    "event_arrays": with_(RUNS) + """SELECT event_id, context_name, duration_seconds, num_texts_processed, seconds_per_text
+FROM derived WHERE event_type = 'inference_run' AND event_id IS NOT NULL AND duration_seconds IS NOT NULL AND event_id % 50 <> 0""",
+    "event_sink": with_(RUNS) + "SELECT event_id, context_name, event_type FROM derived",
+    "leaf_records": with_(PERF) + "SELECT model_name, device, count(*) AS records, count(*) AS leaves, CAST(sum(output_embedding_dim) AS BIGINT) AS dimensions FROM perf GROUP BY 1, 2",
     "l2_normalize": """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v,
   sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings),
 u AS (SELECT vec_id, norm, list_transform(v, lambda x: x / greatest(norm, 1e-12)) AS unit FROM n)

@@ -21,6 +21,7 @@ from labelforge.operators import embed as emb
 from labelforge.operators import evaluate as ev
 from labelforge.operators import events as evt
 from labelforge.operators import model as mdl
+from labelforge.operators import network as net
 from labelforge.operators import report as rep
 from labelforge.operators import sampling as smp
 from labelforge.operators import training as trn
@@ -79,6 +80,19 @@ def q_csv_roundtrip(spark, sf):
 HEAD_N = 100
 
 
+def q_csv_mixed_encoding(spark, sf):
+    """Texts of Latin-1 characters in Latin-1 files, the others in UTF-8 files, all in
+    one folder; every file is read in the encoding that it has."""
+    d = docs(spark, sf)
+    latin = F.coalesce(F.col("text").rlike("^[\\x{0}-\\x{FF}]*$"), F.lit(False))
+    path = scratch_path(spark, "csv_mixed")
+    for narrow, encoding in ((True, "ISO-8859-1"), (False, "UTF-8")):
+        part = d.where(latin if narrow else ~latin)
+        part.write.mode("append").options(**fio.CSV_OPTIONS).option("encoding", encoding).csv(path)
+    back = fio.read_csv_folder(spark, path, d.schema)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", F.length("text").alias("chars"))
+
+
 def q_head_n(spark, sf):
     return smp.head_n(docs(spark, sf).select("doc_id", "lang", "n_chars"), HEAD_N, "doc_id")
 
@@ -393,17 +407,44 @@ def embedding_split(spark, sf):
 
 def q_train_classifier(spark, sf):
     k = len(views.VECTOR_LABELS)
-    s = embedding_split(spark, sf).withColumn("y", F.col("label").cast("int")).persist()
-    try:
-        w = ev.class_weights(s.where(F.col("split") == "train"), "y", k)
-        _, rows = mdl.train_mlp(s.where(F.col("split") == "train"), s.where(F.col("split") == "val"),
-                                "embedding", "y", w, num_classes=k, hidden=128,
-                                iters_per_round=5, patience=spec.PATIENCE, order_col="vec_id")
-    finally:
-        s.unpersist()
+    s = embedding_split(spark, sf).withColumn("y", F.col("label").cast("int"))
+    train, val = s.where(F.col("split") == "train"), s.where(F.col("split") == "val")
+    w = ev.class_weights(train, "y", k)
+    _, rows = net.train_network(train, val, "embedding", "y", w, k, "vec_id", learning_rate=0.01, epochs_per_round=5,
+                                patience=spec.PATIENCE)
     return spark.createDataFrame(rows, mdl.METRICS_SCHEMA)
 
 
+def fixed_network(spark):
+    """A network 64 -> 8 -> 10 whose weights are a rule of their places."""
+    def layer(i: int, inputs: int, width: int):
+        block = min(inputs, 16)
+        cell = lambda r, c: ((r * 7 + c * 13 + i * 5) % 11 - 5) / F.lit(10.0)
+        blocks = spark.range(inputs // block).select(F.lit(i).alias("layer"), F.col("id").cast("int").alias("block"),
+                                                     (F.col("id") * block).cast("int").alias("first"))
+        at = F.sequence(F.lit(0), F.lit(block * width - 1))
+        weights = F.transform(at, lambda p: cell(F.col("first") + F.floor(p / width).cast("int"), p % width))
+        bias = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: (c % 3 - 1) / F.lit(4.0))
+        return blocks.select("*", F.lit(width).alias("width"), weights.alias("weights"),
+                             F.when(F.col("block") == 0, bias).alias("bias"))
+    return layer(0, 64, 8).unionByName(layer(1, 8, 10))
+
+
+def q_mlp_forward(spark, sf):
+    """Forward pass with given weights, the matrices joined in blocks."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    out = net.apply_network(e, fixed_network(spark), "embedding", "logits", max_shipped=0)
+    return out.select("vec_id", *[rnd(F.get("logits", i)).alias(f"logit_{i}") for i in range(10)],
+                      vec.argmax(F.transform("logits", lambda x: rnd(x))).alias("pred_label"))
+
+
+def q_batched_loss(spark, sf):
+    """Loss over seeded batches of the first ten vector entries taken as logits."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", vec.elements("embedding", 1, 10).alias("logits"))
+    out = ev.batched_log_loss(e, "logits", "label", "vec_id", k=len(views.VECTOR_LABELS))
+    return out.select(rnd("loss").alias("loss"), rnd("acc").alias("acc"), "n", "batches")
+
+
 def q_centroid_eval(spark, sf):
     s = embedding_split(spark, sf)
     train = s.where(F.col("split") == "train")
@@ -469,6 +510,33 @@ def q_event_roundtrip(spark, sf):
                         "num_texts_processed", "seconds_per_text")
 
 
+def q_event_arrays(spark, sf):
+    """Event files with one array each, at most 500 events; every 50th event holds a
+    count that isn't a number and is set aside alone."""
+    e = derived_events(spark, sf).withColumn("event_id", F.col("event_id").cast("string"))
+    broken = F.col("event_id").cast("bigint") % 50 == 0
+    text = F.struct(*[F.when(broken, F.lit("many")).otherwise(F.col(c).cast("string")).alias(c)
+                      if c == "num_texts_processed" else c for c in e.columns])
+    block = F.floor(F.col("event_id").cast("bigint") / 500)
+    arrays = e.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(text)).alias("value"))
+    path = scratch_path(spark, "event_arrays")
+    arrays.write.partitionBy("block").option("lineSep", "\n").text(path)
+    valid, _ = fio.read_event_arrays(spark, path, spec.EVENT_SCHEMA, glob="*.txt")
+    return valid.select(F.col("event_id").cast("bigint").alias("event_id"), "context_name", "duration_seconds",
+                        "num_texts_processed", "seconds_per_text")
+
+
+def q_event_sink(spark, sf):
+    """Events written in a folder a context, those of even contexts once more: a rerun
+    replaces its own contexts only."""
+    e = derived_events(spark, sf).withColumn("event_id", F.col("event_id").cast("string"))
+    path = scratch_path(spark, "event_sink")
+    fio.write_events(e, path)
+    fio.write_events(e.where(F.crc32(F.col("context_name").cast("binary")) % 2 == 0), path)
+    valid, _ = fio.read_event_lists(spark, path, spec.EVENT_SCHEMA, event_type=None, multiline=False)
+    return valid.select(F.col("event_id").cast("bigint").alias("event_id"), "context_name", "event_type")
+
+
 def q_event_times(spark, sf):
     """Start/end stamps in ISO format and the elapsed seconds between them."""
     r = evt.event_basics(views.runs(spark, sf))
@@ -537,7 +605,8 @@ def stored_runs(spark, sf):
 
 
 def comparison_table(spark, sf):
-    return rep.comparison(views.perf(spark, sf), stored_runs(spark, sf), views.CPU_DEVICES)
+    perf = views.perf(spark, sf)
+    return rep.comparison(perf, stored_runs(spark, sf), rep.cpu_devices(perf))
 
 
 def q_model_comparison(spark, sf):
@@ -573,6 +642,25 @@ def q_result_tree(spark, sf):
                        "output_embedding_dim")
 
 
+def q_leaf_records(spark, sf):
+    """A result tree whose leaves hold two files each, the second with the dimension's
+    sign changed: a leaf gives one record, that of its first file by name."""
+    perf = views.perf(spark, sf).withColumnRenamed("device", "d").withColumnRenamed("timestamp", "t") \
+        .withColumn("m", tx.model_path_name("model_name"))
+    root = scratch_path(spark, "perf_leaves")
+    levels = ["d", "t", "m"]
+    first = perf.select(*levels, F.to_json(F.struct("model_name", "sentences_per_second", "output_embedding_dim")).alias("value"))
+    second = perf.select(*levels, F.to_json(F.struct("model_name", (-F.col("output_embedding_dim")).alias("output_embedding_dim")))
+                         .alias("value"))
+    first.write.partitionBy(*levels).option("compression", "none").text(root)
+    second.write.mode("append").partitionBy(*levels).option("compression", "gzip").text(root)
+    back = fio.read_json_tree(spark, root, spec.PERFORMANCE_SCHEMA, PERF_TREE_LEVELS, glob="*.txt*", multiline=False,
+                              hive_style=True, one_per_leaf=True)
+    return back.groupBy("model_name", F.col("device_folder").alias("device")).agg(
+        F.count(F.lit(1)).alias("records"), F.countDistinct("timestamp_folder").alias("leaves"),
+        F.sum(F.abs("output_embedding_dim")).alias("dimensions"))
+
+
 def q_result_paths(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     path = F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+(/[^?#]*)?", 1)
@@ -670,6 +758,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "weighted_log_loss": q_weighted_log_loss,
     "l2_normalize": q_l2_normalize,
     "train_classifier": q_train_classifier,
+    "mlp_forward": q_mlp_forward,
+    "batched_loss": q_batched_loss,
+    "csv_mixed_encoding": q_csv_mixed_encoding,
+    "event_arrays": q_event_arrays,
+    "event_sink": q_event_sink,
+    "leaf_records": q_leaf_records,
     "centroid_eval": q_centroid_eval,
     "embed_texts": q_embed_texts,
     "run_matrix": q_run_matrix,

@@ -35,16 +35,50 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
              drop_malformed: bool = True) -> DataFrame | None:
     """Tolerant CSV scan (S1-S4): header, quoted multi-line fields, bad lines
     dropped; ``None`` when the path is missing or holds no rows."""
-    reader = spark.read.options(**CSV_OPTIONS).option("multiLine", "true") \
+    try:
+        df = _csv_reader(spark, schema, encoding, drop_malformed).csv(path)
+        return None if df.isEmpty() else df
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str, drop_malformed: bool = True):
+    return spark.read.options(**CSV_OPTIONS).option("multiLine", "true") \
         .option("encoding", encoding).option("mode", "DROPMALFORMED" if drop_malformed else "PERMISSIVE") \
         .schema(schema)
+
+
+def file_encodings(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(file, encoding) of every file below ``path``: UTF-8 when all its lines are
+    valid UTF-8, else Latin-1.
+
+    Files are read as lines of bytes, so a large file is split among tasks and
+    no file is held whole; a line end never lies inside a character.  An empty
+    file has no row."""
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", "true").text(path)
+    valid = lines.select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok")) \
+        .groupBy("file").agg(F.bool_and("ok").alias("ok"))
+    return valid.select("file", F.when(F.col("ok"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"))
+
+
+def read_csv_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.csv") -> DataFrame | None:
+    """Tolerant CSV scan of a folder whose files are each UTF-8 or Latin-1 (S2-S4):
+    one reader per encoding over the files that have it, united.  ``None`` when the
+    path is missing or holds no rows.  Only file names reach the driver."""
     try:
-        df = reader.csv(path)
-        if df.isEmpty():
-            return None
-        return df
-    except AnalysisException:
+        found = file_encodings(spark, path, glob).groupBy("encoding").agg(F.collect_list("file").alias("files")).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    out = None
+    for encoding, files in sorted(found):
+        part = _csv_reader(spark, schema, encoding).csv(sorted(files))
+        out = part if out is None else out.unionByName(part)
+    return None if out is None or out.isEmpty() else out
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None,
@@ -56,16 +90,21 @@ def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType, levels: list[str],
-                   glob: str = "*.json", multiline: bool = True, hive_style: bool = False) -> DataFrame:
+                   glob: str = "*.json", multiline: bool = True, hive_style: bool = False,
+                   one_per_leaf: bool = False) -> DataFrame:
     """Scan every JSON file below ``root``; the folder names between ``root``
     and the file become the columns ``levels`` (S6/S7).  With ``hive_style``
-    a ``name=value`` folder contributes its value."""
+    a ``name=value`` folder contributes its value.  With ``one_per_leaf`` a folder
+    gives the records of its first file by name only."""
     clash = [name for name in levels if name in schema.fieldNames()]
     if clash:
         raise ValueError(f"folder level names clash with file fields: {clash}")
     df = spark.read.schema(schema).option("multiLine", str(multiline).lower()) \
         .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(root)
-    path = F.input_file_name()
+    df = df.select("*", F.col("_metadata.file_path").alias("_lf_file"))
+    if one_per_leaf:
+        df = df.join(leaf_files(spark, root, glob), "_lf_file", "left_semi")
+    path = F.col("_lf_file")
     root_norm = root.rstrip("/")
     rel = F.regexp_extract(path, r".*" + _escape(root_norm.split(":", 1)[-1]) + r"/(.*)$", 1)
     parts = F.split(rel, "/")
@@ -74,7 +113,16 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType, levels:
         return F.regexp_extract(v, r"^[^=]*=(.*)$", 1) if hive_style else v
 
     cols = [level(i).alias(name) for i, name in enumerate(levels)]
-    return df.select("*", *cols, F.element_at(parts, -1).alias("file_name"))
+    return df.select("*", *cols, F.element_at(parts, -1).alias("file_name")).drop("_lf_file")
+
+
+def leaf_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """The first file by name of every folder below ``root`` (column ``_lf_file``),
+    from the listing alone: no content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob) \
+        .load(root).select(F.col("_metadata.file_path").alias("_lf_file"))
+    folder = F.regexp_extract("_lf_file", r"^(.*)/[^/]*$", 1)
+    return listed.groupBy(folder.alias("folder")).agg(F.min("_lf_file").alias("_lf_file")).select("_lf_file")
 
 
 def _escape(s: str) -> str:
@@ -99,7 +147,12 @@ def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
                        + [T.StructField("_corrupt_record", T.StringType())])
     df = spark.read.schema(raw).option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE") \
         .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    bad: Column = F.col("_corrupt_record").isNotNull()
+    return _checked(df, F.col("_corrupt_record").isNotNull(), schema, event_type, required)
+
+
+def _checked(df: DataFrame, bad: Column, schema: T.StructType, event_type: str | None,
+             required) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) rows of fields read as text."""
     for f in schema.fields:
         text = F.col(f.name)
         bad = bad | (text.isNotNull() & text.try_cast(f.dataType).isNull())
@@ -111,18 +164,38 @@ def read_event_lists(spark: SparkSession, path: str, schema: T.StructType,
     return valid, df.where(bad)
 
 
+def read_event_arrays(spark: SparkSession, path: str, schema: T.StructType, event_type: str | None = "inference_run",
+                      required=spec.EVENT_REQUIRED, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Event files that each hold one top-level JSON array (S8), parsed as VARIANT and
+    exploded: an element that lacks a ``required`` field, holds a value that its type
+    can't or isn't an object is set aside alone, a file that isn't JSON as a whole.
+
+    Returns ``(valid, rejected)``; the rejected rows keep their text in
+    ``_corrupt_record``."""
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True)
+    parsed = files.select("value", F.try_parse_json("value").alias("v"))
+    is_array = F.coalesce(F.schema_of_variant("v").startswith("ARRAY"), F.lit(False))
+    items = parsed.where(is_array).select(F.explode(F.expr("cast(v as array<variant>)")).alias("e"))
+    fields = [F.try_variant_get("e", f"$.{f.name}", "string").alias(f.name) for f in schema.fields]
+    rows = items.select(*fields, F.to_json("e").alias("_corrupt_record"))
+    whole = parsed.where(~is_array).select(*[F.lit(None).cast("string").alias(f.name) for f in schema.fields],
+                                           F.col("value").alias("_corrupt_record"))
+    return _checked(rows.unionByName(whole), F.lit(False), schema, event_type, required)
+
+
 def write_events(events: DataFrame, root: str) -> bool:
     """Event sink (K6): below ``root`` the events of each context lie in a folder
     ``file=monitoring_events_<context>_<stamp>.json``, the stamp being the end of
     the context's last event; without events nothing is written.  A folder may
-    hold several part files, so a hot context is not one task's work."""
+    hold several part files, so a hot context is not one task's work.  A rerun
+    replaces the folders that it names and leaves the others."""
     if events.isEmpty():
         return False
     last = events.groupBy("context_name").agg(F.max("timestamp_end_iso").alias("_lf_last"))
     last = last.select(F.col("context_name").alias("_lf_context"), event_file_name(
         F.coalesce("context_name", F.lit("none")), F.coalesce("_lf_last", F.lit(0).cast("timestamp"))).alias("file"))
     named = events.join(last, F.col("context_name").eqNullSafe(F.col("_lf_context"))).drop("_lf_context")
-    write_json(named, root, ["file"])
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").json(root)
     return True
 
 
@@ -149,7 +222,8 @@ def ensure_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                 check = check & F.max(predicate.cast("int")).eqNullSafe(F.lit(1))
             if saved.agg(check.alias("ok")).first()["ok"]:
                 return saved
-    except AnalysisException:
-        pass
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -141,7 +141,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DEVICE_BY_LANG = {"en": "gpu", "fr": "gpu", "de": "cpu-m1-pro", "es": "cpu-intel"}
 DATASET_BY_LANG = {"de": "balanced-de", "en": "balanced-en", "fr": "balanced", "es": "unbalanced"}
-CPU_DEVICES = ["cpu-m1-pro", "cpu-intel"]
+#: The CPU devices among them, sorted like the columns of the comparison.
+CPU_DEVICES = sorted(d for d in DEVICE_BY_LANG.values() if d.startswith("cpu"))
 
 
 def _case(c, mapping: dict, default=None):
