@@ -124,7 +124,8 @@ def logistic(x):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled documents (doc_id, text, label), by the
-    smallest hash of the id: a bounded sample that reruns agree on.
+    smallest hash of the id, one row an id: a bounded sample that reruns agree on.
+    The drawn ids are broadcast, ``max_rows`` of them at most.
 
     ``max_rows`` bounds what a model fit reads; scoring reads every row.
     """
@@ -132,4 +133,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
               .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
               .groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    return docs.select("doc_id", "text").where(keep).join(marked, "doc_id")
+    rows = docs.select("doc_id", "text").where(keep).join(F.broadcast(marked), "doc_id")
+    return one_per_id(rows)
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """One row of (doc_id, text, label) per id, the smallest text: an id that stands
+    in the table many times counts once in a bounded sample."""
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def in_filter(rows: DataFrame, ids: DataFrame, key: str, slots: int = 1 << 20) -> DataFrame:
+    """The rows whose ``key`` may be in ``ids``: at most ``slots`` hash slots are
+    broadcast, whatever the number of ids; rows of other ids that share a slot stay."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+    held = ids.select(slot.alias("_slot")).distinct()
+    return rows.withColumn("_slot", slot).join(F.broadcast(held), "_slot", "left_semi").drop("_slot")

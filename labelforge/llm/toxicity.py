@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.llm.common import fold, fold_column, logistic, slices, stage
+from labelforge.llm.common import fold, fold_column, in_filter, logistic, one_per_id, slices, stage
 
 #: Most labelled documents, words taken for positive ones and other words that the fit reads, and
 #: toxic texts that speak for a word where there are more of them than documents in the fit.
@@ -46,7 +46,7 @@ MAX_CANDIDATES = 2_000
 MAX_HOLDERS = 8
 MAX_POSITIVE = 300
 MAX_NEGATIVE = 1_600
-MINING_ROUNDS = 3
+MINING_ROUNDS = 2
 LANDMARKS = 240
 HELD_OUT_OF, HELD_OUT = 3, 1
 PREDICT_AT = 0.7
@@ -346,9 +346,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ou
     marked = stage(labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
                    .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & keep)
                    .groupBy("doc_id").agg(F.max("label").alias("label")), "toxic-labels")
-    labelled = stage(docs.select("doc_id", "text").where(keep).join(marked, "doc_id")
-                     .select("doc_id", "label", "text"), "toxic-labelled")
-    sample = stage(labelled.join(stratified(marked, max_rows).select("doc_id"), "doc_id", "left_semi"), "toxic-sample")
+    # The join is a shuffle at every size, of the labelled texts alone.
+    texts = in_filter(docs.select("doc_id", "text").where(keep), marked, "doc_id")
+    labelled = stage(texts.join(marked.hint("merge"), "doc_id").select("doc_id", "label", "text"), "toxic-labelled")
+    drawn = F.broadcast(stratified(marked, max_rows).select("doc_id"))   # ``max_rows`` ids at most
+    sample = stage(one_per_id(labelled.join(drawn, "doc_id", "left_semi")).select("doc_id", "label", "text"), "toxic-sample")
 
     def by_label(rows: DataFrame) -> dict:
         return {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -372,7 +374,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ou
     if not len(seeds) or not negative:
         return None, share
     names = list(seeds["word"])
-    held = speaking(stage(holders(labelled, names), "toxic-holders"), max_rows).toPandas()
+    held = speaking(stage(holders(labelled, names).distinct(), "toxic-holders"), max_rows).toPandas()
     doc = np.unique(held["doc_id"].astype(str), return_inverse=True)[1]
     place = {w: i for i, w in enumerate(names)}
     positive = explain(names, seeds["odds"].to_numpy(), doc, held["word"].map(place).to_numpy(int), MAX_POSITIVE)
@@ -387,7 +389,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ou
         .select("k.doc_id", "k.label", "features").toPandas().sort_values("doc_id", kind="stable")
     label = got["label"].to_numpy(int)
     drawn = np.bincount(label, minlength=2)
-    weight = np.array([n0, n1]) / np.maximum(drawn, 1)
+    # Back to the share of all labels, then tempered: the rare side weighs by the root of the ratio.
+    weight = np.array([n0, n1]) / np.maximum(drawn, 1) * np.array([1.0, max(1.0, np.sqrt(n0 / n1))])
     model.link = fit_link(np.array(got["features"].tolist()), label.astype(float), (weight * len(label) / (n0 + n1))[label])
     return model, share
 
