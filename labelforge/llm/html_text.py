@@ -52,8 +52,10 @@ MOST_HOSTS = 3
 SHORT = 20
 BROADCAST_BYTES = 32 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag; quotes count only after an equals sign.  What is taken is never given back, so a match costs its length.
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)>""")
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
+_TAG_START = re.compile(r"</?[A-Za-z]")
 _ATTR = re.compile(r"""([A-Za-z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -68,18 +70,21 @@ _DROP = frozenset("head nav header footer aside form script style noscript templ
 #: Names (classes, ids, roles) of parts that are never main text, as whole words of the name.
 _NAMED = re.compile(
     r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|masthead|topbar|footer|sidebar|"
-    r"ads?|adverts?|advertisement|advert|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|popup|modal|"
+    r"ads?|adverts?|advertisement|advert|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookie|consent|popup|modal|"
     r"newsletter|subscribe|signup|login|searchbox|disqus|toolbar|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I)
 #: Words that main text is named by too.
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:header|side|rail|widgets?|notice|alert|search|form|share|sharing|social|related|"
-    r"recommend(?:ed|ations)?|comments?|replies|respond|skip)(?:$|[\s_-])", re.I)
+    r"recommend(?:ed|ations)?|comments?|replies|respond|skip|cookies)(?:$|[\s_-])", re.I)
 #: Whole names with such words that say what the part is (reader comments differ by page, so no count shows them).
 _PLAIN = re.compile(
-    r"(?:^|\s)(?:comments?|replies|respond|header|widgets?|(?:site|page|main|global|top)[_-]header|skip[_-](?:links?|to[\w-]*)|"
+    r"(?:^|\s)(?:comments?|replies|respond|header|widgets?|cookies[_-](?:notice|bar|message|policy|info|hint|box)|(?:site|page|main|global|top)[_-]header|skip[_-](?:links?|to[\w-]*)|"
     r"(?:side|left|right)[_-](?:bar|rail|column|panel)|(?:share|sharing|social|search|related|recommended|comments?|widgets?)"
     r"(?:[_-](?:share|sharing|social|search|bar|box|buttons?|links?|icons?|form|list|area|section|wrapper|container|wrap|panel|"
     r"posts?|articles?|items?|stories|thread|media|widgets?))+)(?:$|\s)", re.I)
+#: Names of an article that is a reader's comment.
+_COMMENT = re.compile(r"(?:^|\s)(?:(?:user|reader)[_-])?(?:comment|reply|comments|replies)(?:[_-](?:body|item|content|text|entry|\d+))?"
+                      r"(?:$|\s)", re.I)
 #: Headings and cells are not deleted by their name alone, and by a plain name no text block.
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6 tr td th caption".split())
 #: A new start tag ends these open elements of the same kind.
@@ -96,6 +101,7 @@ class Node:
     tag: str
     named: bool = False  # as something else than main text
     hint: bool = False  # by a word that main text is named by too
+    comment: bool = False  # an article that is a reader's comment
     children: list = field(default_factory=list)  # of Node and str
     size: int = 0  # characters of text
     hash: int = 0  # signed 64-bit hash of the tags and texts
@@ -134,6 +140,42 @@ def measure(root: Node) -> Node:
     return root
 
 
+class Tags:
+    """The tags of a page in one forward pass: (start, end, closing, name, attributes),
+    comments and declarations without a name.
+
+    A tag that runs to the end of the page unclosed is text.  From then on a tag
+    ends before the next ``<``, so broken tags are not scanned to the end again."""
+
+    def __init__(self, source: str):
+        self.source, self.tag = source, _TAG
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        source = self.source
+        i = source.find("<", at)
+        while i >= 0:
+            if source.startswith(("<!", "<?"), i):
+                note = source.startswith("<!--", i)
+                j = source.find("-->", i + 4) if note else source.find(">", i)
+                return i, len(source) if j < 0 else j + (3 if note else 1), "", "", ""
+            if _TAG_START.match(source, i):
+                m = self.tag.match(source, i)
+                if not m and self.tag is _TAG:
+                    self.tag = _PLAIN_TAG
+                    m = _PLAIN_TAG.match(source, i)
+                if m:
+                    return i, m.end(), m[1], m[2].lower(), m[3]
+            i = source.find("<", i + 1)
+        return None
+
+
+def _hidden(raw: str, attrs: dict[str, str]) -> bool:
+    """An attribute is named ``hidden`` or ``aria-hidden`` is true."""
+    if attrs.get("aria-hidden") == "true" or "hidden" in attrs:
+        return True
+    return "hidden" in raw.lower() and "hidden" in _ATTR.sub(" ", raw).lower().replace("/", " ").split()
+
+
 def parse(source: str) -> Node:
     """The element tree of a page."""
     root = Node("html")
@@ -145,18 +187,18 @@ def parse(source: str) -> Node:
         count.subtract(n.tag for n in open_[i:])
         del open_[i:]
 
+    tags = Tags(source)
     while True:
-        m = _TOKEN.search(source, at)
-        end = m.start() if m else len(source)
+        found = tags.after(at)
+        end = found[0] if found else len(source)
         if end > at:
             open_[-1].children.append(source[at:end])
-        if not m:
+        if not found:
             return measure(root)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        _, at, closing, tag, raw = found
         if not tag:
             continue
-        if m[1]:
+        if closing:
             for i in range(len(open_) - 1, 0, -1) if count[tag] else ():
                 if open_[i].tag == tag:
                     close_from(i)
@@ -177,28 +219,29 @@ def parse(source: str) -> Node:
                     break
                 if open_[i].tag in _CONTAINER or open_[i].tag in ("main", "body"):
                     break
-        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m[3])} if "=" in m[3] else {}
+        attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(raw)} if "=" in raw else {}
         names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-        hidden = "hidden" in m[3].lower().split() or attrs.get("aria-hidden") == "true"
-        node = Node(tag, hidden)
+        node = Node(tag, _hidden(raw, attrs))
         if names.strip():
             sure = _NAMED.search(names) and tag not in _HEADS
             plain = tag in _CONTAINER and (_PLAIN.search(names) or attrs.get("role") == "search")
             node.named |= bool(sure or plain)
+            node.comment = tag == "article" and bool(_COMMENT.search(names))
             node.hint = not node.named and bool(_NAMED.search(names) or _HINT.search(names))
         open_[-1].children.append(node)
-        if tag in _RAW:
+        empty = raw.rstrip().endswith("/")
+        if tag in _RAW and not (tag == "svg" and empty):
             stop = _RAW[tag].search(source, at)
             node.children.append(source[at:stop.start() if stop else len(source)])
             at = stop.end() if stop else len(source)
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
+        elif tag not in _VOID and not empty:
             open_.append(node)
             count[tag] += 1
 
 
 def dropped(node: Node) -> bool:
     """Named or tagged as something else than main text."""
-    return node.tag in _DROP or (node.named and node.tag not in ("body", "article", "main", "html"))
+    return node.tag in _DROP or node.comment or (node.named and node.tag not in ("body", "article", "main", "html"))
 
 
 def _find(root: Node, tag: str) -> list[Node]:
