@@ -5,9 +5,9 @@ runs) are reported wherever they stand.  Weak candidates (a login or client
 name, a random-looking string, an endpoint) are everyday text alone; they are
 reported only where complementary parts meet in one scope: a name needs a
 secret, a secret needs a name, and an endpoint needs both.  The interval join
-of candidates with parts within ``scope`` characters is made with running
-bounds over a document's parts in order of position, so no pairs are made and
-the work is linear in the number of matches.
+of candidates with parts within ``scope`` characters that don't overlap them is made
+with running bounds over a document's starts and ends in order of position, so no
+pairs are made and the work is linear in the number of matches.
 
 A match's position comes from the pieces of text between the matches: the text
 is split at them and the lengths are summed up.  Positions are code points,
@@ -96,7 +96,11 @@ def matches(docs: DataFrame, kinds=KINDS) -> DataFrame:
 
 def linked(spans: DataFrame, kinds=KINDS, scope: int = SCOPE) -> DataFrame:
     """Base matches, and the weak ones whose complementary parts lie within
-    ``scope`` characters and that overlap no base match."""
+    ``scope`` characters, apart from them, and that overlap no base match.
+
+    A document's starts and ends are passed over in order of position, ends first: at
+    a start, the last end of a part is that of the nearest one that lies wholly before;
+    at an end, the next start is that of the nearest one wholly after."""
     part = F.element_at(F.array(*[F.lit(k.part) for k in kinds]), F.col("kind") + 1)
     base = F.element_at(F.array(*[F.lit(k.base) for k in kinds]), F.col("kind") + 1)
     rows = spans.withColumn("part", part).withColumn("base", base)
@@ -110,9 +114,22 @@ def linked(spans: DataFrame, kinds=KINDS, scope: int = SCOPE) -> DataFrame:
         return F.coalesce(F.col("start") - left <= reach, F.lit(False)) | \
             F.coalesce(right - F.col("end") <= reach, F.lit(False))
 
-    rows = (rows.withColumn("covered", near(F.col("base"), -1))
-            .withColumn("by_name", near(F.col("part") == "name", scope))
-            .withColumn("by_secret", near(F.col("part") == "secret", scope)))
+    rows = rows.withColumn("covered", near(F.col("base"), -1))
+    edges = rows.withColumn("at_end", F.explode(F.array(F.lit(True), F.lit(False)))) \
+        .withColumn("place", F.when(F.col("at_end"), F.col("end")).otherwise(F.col("start")))
+    passed = Window.partitionBy("rid").orderBy("place", F.desc("at_end"), "start", "kind", "end")
+    past = passed.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = passed.rowsBetween(1, Window.unboundedFollowing)
+
+    def within(which: str) -> Column:
+        mine = F.col("part") == which
+        gap = F.when(F.col("at_end"), F.min(F.when(mine & ~F.col("at_end"), F.col("place"))).over(ahead) - F.col("place")) \
+            .otherwise(F.col("place") - F.max(F.when(mine & F.col("at_end"), F.col("place"))).over(past))
+        return F.coalesce(gap <= scope, F.lit(False))
+
+    edges = edges.withColumn("by_name", within("name")).withColumn("by_secret", within("secret"))
+    keys = ["rid", "doc_id", "tie", "kind", "start", "end", "part", "base", "covered"]
+    rows = edges.groupBy(*keys).agg(F.bool_or("by_name").alias("by_name"), F.bool_or("by_secret").alias("by_secret"))
     complete = (F.when(F.col("part") == "name", F.col("by_secret"))
                 .when(F.col("part") == "secret", F.col("by_name"))
                 .otherwise(F.col("by_name") & F.col("by_secret")))
