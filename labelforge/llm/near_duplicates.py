@@ -162,16 +162,23 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFra
     """(cls, shingles) for the classes in ``wanted``, made anew from the text of
     one document of each."""
     chosen = stage(classes.join(wanted.select("cls").distinct(), "cls").select(
-        "cls", F.col("doc_id").alias("rep"), F.col("tie").alias("rep_tie")), "chosen")
+        "cls", "again", F.col("doc_id").alias("rep"), F.col("tie").alias("rep_tie")), "chosen")
     texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    texts = texts.join(maybe_broadcast(chosen, 48),
-                       F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tie") == F.col("rep_tie")))
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        return texts.join(maybe_broadcast(reps, 48), F.col("doc_id").eqNullSafe(F.col("rep"))
+                          & (F.col("tie") == F.col("rep_tie"))).select("cls", "text")
+
+    # A row that stands in the table more than once still makes one set.
+    once = texts_of(chosen.where("not again"))
+    if not chosen.where("again").isEmpty():
+        once = once.unionByName(texts_of(chosen.where("again")).dropDuplicates(["cls"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
             sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cls", "shingles"])
-    made = texts.select("cls", "text").mapInArrow(run, "cls long, shingles array<long>")
+    made = once.select("cls", "text").mapInArrow(run, "cls long, shingles array<long>")
     return stage(made, "sets")
 
 
@@ -189,7 +196,7 @@ def class_components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pivots = keys.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(F.col("key"))).alias("x"), F.count(F.lit(1)).alias("c")) \
         .where("c > 1").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("pivot"))
     members = stage(keys.join(pivots, "key"), "buckets")
-    sig = classes.drop("doc_id", "tie", "bands")
+    sig = classes.drop("doc_id", "tie", "bands", "again")
     star = members.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
     star = stage(star.join(sig.alias("p"), F.col("a") == F.col("p.cls")).join(sig.alias("q"), F.col("b") == F.col("q.cls"))
                  .where(near("p", "q")).select("a", "b", estimate("p", "q").alias("estimate")), "star")
@@ -231,7 +238,11 @@ def groups(docs: DataFrame) -> DataFrame:
     (hash of the text)."""
     docs = docs.select("doc_id", "text")
     rows = stage(signed(docs), "signatures")
-    classes = stage(rows.where("cls is not null").dropDuplicates(["cls"]), "classes")
+    again = rows.where("cls is not null").groupBy("doc_id", "tie", "cls").count().where("count > 1")
+    again = again.select("cls", F.lit(True).alias("again")).distinct()
+    classes = (rows.where("cls is not null").dropDuplicates(["cls"]).join(again, "cls", "left")
+               .withColumn("again", F.coalesce("again", F.lit(False))))
+    classes = stage(classes, "classes")
     label = class_components(docs, classes)
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")) \
         .join(label, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
