@@ -18,19 +18,20 @@ from labelforge.operators.partitioning import spread
 # by the Unicode White_Space property as Python's str.isspace() reports it.
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
-# Unicode word class used instead of \w so that Java and RE2 agree.
-WORD_CLASS = r"\p{L}\p{N}_"
+# Unicode classes used instead of \w, \d and \s, whose short forms are ASCII.
+UNICODE_CLASSES = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}",
+                   "s": "".join(rf"\x{{{ord(ch):x}}}" for ch in WHITESPACE)}
 
 
-def unicode_word(pattern: str) -> str:
-    """Rewrite ``\\w`` (inside or outside a class) to the Unicode word class."""
+def unicode_classes(pattern: str) -> str:
+    """Rewrite ``\\w``, ``\\d`` and ``\\s`` (inside or outside a class) to Unicode classes."""
     out, in_class, i = [], False, 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
-            if nxt == "w":
-                out.append(WORD_CLASS if in_class else f"[{WORD_CLASS}]")
+            if nxt in UNICODE_CLASSES:
+                out.append(UNICODE_CLASSES[nxt] if in_class else f"[{UNICODE_CLASSES[nxt]}]")
             else:
                 out.append(ch + nxt)
             i += 2
@@ -85,10 +86,10 @@ def extract_after_headers(c) -> Column:
 
 def split_conversation(c) -> Column:
     c = col_(c)
-    forwarded = "(?s)" + spec.FORWARDED_PATTERN
+    forwarded = "(?s)" + unicode_classes(spec.FORWARDED_PATTERN)
     multi_to = "(?si)" + spec.MULTIPLE_TO_PATTERN
-    replied = "(?si)" + spec.REPLIED_PATTERN
-    before_reply = "(?si)^(.*?)" + spec.REPLIED_PATTERN
+    replied = "(?si)" + unicode_classes(spec.REPLIED_PATTERN)
+    before_reply = "(?si)^(.*?)" + unicode_classes(spec.REPLIED_PATTERN)
     return (
         F.when(c.rlike(forwarded), F.lit(""))
         .when(c.rlike(multi_to) & c.rlike(replied),
@@ -115,20 +116,20 @@ def remove_quoted_headers(c) -> Column:
     for lit in _QUOTED_HEADER_LITERALS:
         cond = F.instr(c, lit) > 0
         possible = cond if possible is None else possible & cond
-    return F.when(possible, F.regexp_replace(c, "(?s)" + unicode_word(spec.QUOTED_HEADER_PATTERN), "")) \
+    return F.when(possible, F.regexp_replace(c, "(?s)" + unicode_classes(spec.QUOTED_HEADER_PATTERN), "")) \
         .otherwise(c)
 
 
 def remove_footers(c) -> Column:
     out = col_(c)
     for pattern in spec.FOOTER_PATTERNS:
-        out = F.regexp_replace(out, "(?s)" + pattern, "")
+        out = F.regexp_replace(out, "(?s)" + unicode_classes(pattern), "")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return py_strip(out)
 
 
 def footer_hit(c, pattern: str) -> Column:
-    return col_(c).rlike("(?s)" + pattern)
+    return col_(c).rlike("(?s)" + unicode_classes(pattern))
 
 
 # -- X5: the whole cleaner as successive projections ------------------------

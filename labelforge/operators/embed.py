@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,23 +99,26 @@ def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, mode
                       batch_size: int = 64, warmup_rows: int = 256,
                       make_encoder: Callable[[], Callable] | None = None) -> DataFrame:
     """Warm up on ``warmup_rows`` texts, then time the encode of every text
-    through a no-op sink.  One result row; an encoder failure is recorded
-    in ``error`` instead of failing the job."""
+    through a no-op sink.  One result row; the texts and those without a vector
+    (``num_failed``) are counted by the timed job itself, and an encoder failure is
+    recorded in ``error`` instead of failing the job."""
     record = {"model_name": model_name, "prefix_function_name": prefix_name,
               "normalize_embeddings_in_encode_call": normalize, "batch_size": batch_size,
-              "warmup_runs": warmup_rows, "num_sentences_processed": None,
+              "warmup_runs": warmup_rows, "num_sentences_processed": None, "num_failed": None,
               "inference_time_s": None, "sentences_per_second": None,
               "output_embedding_dim": None, "error": None}
     try:
         embedded = embed_texts(texts.select(text_col), text_col, "e", dim, prefix_name, normalize, batch_size,
                                make_encoder)
         embedded.limit(warmup_rows).write.format("noop").mode("overwrite").save()
-        n = texts.count()
+        counts = Observation()
+        timed = embedded.observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(F.col("e").isNull()).alias("failed"))
         start = time.perf_counter()
-        embedded.write.format("noop").mode("overwrite").save()
+        timed.write.format("noop").mode("overwrite").save()
         elapsed = time.perf_counter() - start
+        n, failed = counts.get["n"], counts.get["failed"]
         t = round(elapsed, 2)
-        record.update(num_sentences_processed=n, inference_time_s=t,
+        record.update(num_sentences_processed=n, num_failed=failed, inference_time_s=t,
                       sentences_per_second=round(n / t, 2) if t > 0 else 0.0,
                       output_embedding_dim=dim)
     except Exception as exc:  # the run still yields a record
@@ -124,7 +127,8 @@ def encode_throughput(spark: SparkSession, texts: DataFrame, text_col: str, mode
         T.StructField("model_name", T.StringType()), T.StructField("prefix_function_name", T.StringType()),
         T.StructField("normalize_embeddings_in_encode_call", T.BooleanType()),
         T.StructField("batch_size", T.LongType()), T.StructField("warmup_runs", T.LongType()),
-        T.StructField("num_sentences_processed", T.LongType()), T.StructField("inference_time_s", T.DoubleType()),
+        T.StructField("num_sentences_processed", T.LongType()), T.StructField("num_failed", T.LongType()),
+        T.StructField("inference_time_s", T.DoubleType()),
         T.StructField("sentences_per_second", T.DoubleType()), T.StructField("output_embedding_dim", T.LongType()),
         T.StructField("error", T.StringType()),
     ])

@@ -50,6 +50,21 @@ def event_metrics(events: DataFrame) -> DataFrame:
     )
 
 
+def performance_facts(records: DataFrame) -> DataFrame:
+    """Add the derived fields of performance records (A17): ``sentences_per_second``,
+    texts by the inference seconds rounded to 2 places, 0 where these are 0; and
+    ``model_ram_footprint_mb``, memory after loading less memory before, both rounded.
+    All are rounded to 2 places, exact values half to even; null inputs give null."""
+    def two(c):
+        return fixed_decimals(c, 2).cast("double")
+
+    seconds = two("inference_time_s")
+    rate = F.when(seconds > 0, F.col("num_sentences_processed") / seconds) \
+        .when(seconds.isNotNull() & F.col("num_sentences_processed").isNotNull(), F.lit(0.0))
+    footprint = two("ram_after_load_mb") - two("ram_before_load_mb")
+    return records.withColumns({"sentences_per_second": two(rate), "model_ram_footprint_mb": two(footprint)})
+
+
 def pc_compatibility(events: DataFrame, profiles=spec.PC_PROFILES) -> DataFrame:
     """Compatibility of every inference event with each hardware profile.
 

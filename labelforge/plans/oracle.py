@@ -148,10 +148,15 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def two_places(x: str) -> str:
+    """``x`` rounded to 2 places, as a double."""
+    return f"CAST(printf('%.2f', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
 # -- mail cleaning ------------------------------------------------------------------
 
 def _clean_mail_cte() -> str:
-    from labelforge.functions.text import unicode_word
+    from labelforge.functions.text import unicode_classes
     m = "message"
     he = q("(?s)" + spec.HEADER_END_PATTERN)
     he_test = q("(?s)X-FileName:.*?\\n\\n")
@@ -161,16 +166,16 @@ def _clean_mail_cte() -> str:
           f"WHEN regexp_matches({m}, {he_test}) THEN {strip(f'regexp_extract({m}, {he}, 1)')} "
           f"WHEN strpos({m}, 'X-FileName:') > 0 AND regexp_matches({tail}, {fallback}) "
           f"THEN {strip(f'regexp_extract({tail}, {fallback}, 1)')} ELSE {m} END")
-    fw = q("(?s)" + spec.FORWARDED_PATTERN)
+    fw = q("(?s)" + unicode_classes(spec.FORWARDED_PATTERN))
     mt = q("(?si)" + spec.MULTIPLE_TO_PATTERN)
-    rp = q("(?si)" + spec.REPLIED_PATTERN)
-    before = q("(?si)^(.*?)" + spec.REPLIED_PATTERN)
+    rp = q("(?si)" + unicode_classes(spec.REPLIED_PATTERN))
+    before = q("(?si)^(.*?)" + unicode_classes(spec.REPLIED_PATTERN))
     c2 = (f"CASE WHEN regexp_matches(c1, {fw}) THEN '' "
           f"WHEN regexp_matches(c1, {mt}) AND regexp_matches(c1, {rp}) "
           f"THEN {strip(f'regexp_extract(c1, {before}, 1)')} ELSE c1 END")
-    x = f"regexp_replace(c2, {q('(?s)' + unicode_word(spec.QUOTED_HEADER_PATTERN))}, '', 'g')"
+    x = f"regexp_replace(c2, {q('(?s)' + unicode_classes(spec.QUOTED_HEADER_PATTERN))}, '', 'g')"
     for p in spec.FOOTER_PATTERNS:
-        x = f"regexp_replace({x}, {q('(?s)' + p)}, '', 'g')"
+        x = f"regexp_replace({x}, {q('(?s)' + unicode_classes(p))}, '', 'g')"
     x = f"regexp_replace({x}, '\\n{{3,}}', {NL} || {NL}, 'g')"
     c3 = f"CASE WHEN c2 = '' THEN '' ELSE {strip(x)} END"
     return f"""cleaned AS (SELECT doc_id, preprocessed_text FROM (
@@ -422,9 +427,9 @@ URL_HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)"
 
 FUSED = f"""fused AS (
   SELECT * FROM (
-    SELECT doc_id AS item_id, text, emotion, source FROM xw
+    SELECT CAST(doc_id AS HUGEINT) * 2 AS item_id, text, emotion, source FROM xw
     UNION ALL
-    SELECT {10 ** 12} + conv_id * 1000 + turn, text, emotion, 'cbet' FROM turns)
+    SELECT (CAST(conv_id AS HUGEINT) * 4294967296 + turn) * 2 + 1, text, emotion, 'cbet' FROM turns)
   WHERE emotion IN ({", ".join(q(t) for t in TARGETS)})),
 fh AS (SELECT *, md5(CAST(item_id AS VARCHAR) || ':{spec.SEED}') AS hh FROM fused),
 fc AS (SELECT emotion, count(*) AS n FROM fh GROUP BY emotion),
@@ -433,8 +438,8 @@ bal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY emotion ORDER B
 en AS (SELECT item_id, text, emotion, source, row_number() OVER (ORDER BY hh, item_id) - 1 AS position FROM bal)"""
 
 POST_DATASET = with_(POSTS, CROSSWALKED, TURNS, FUSED, _translated("en", "item_id", "text")) + """
-SELECT item_id, position, emotion, source, 'en' AS language, text AS content FROM tr
-UNION ALL SELECT item_id, position, emotion, source, 'de', translated_text FROM tr"""
+SELECT CAST(item_id AS VARCHAR) AS item_id, position, emotion, source, 'en' AS language, text AS content FROM tr
+UNION ALL SELECT CAST(item_id AS VARCHAR), position, emotion, source, 'de', translated_text FROM tr"""
 
 _ATTEMPT_COLS = ", ".join(f"emotion_attempt_{i + 1}" for i in range(spec.NUM_ATTEMPTS))
 MAIL_DATASET = with_(RAW_MAIL, _clean_mail_cte(), """firsts AS (
@@ -696,6 +701,17 @@ FROM pages""",
     || strftime(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)), '%Y%m%d_%H%M%S') || '.json' AS file_name
 FROM events""",
     "result_tree": with_(PERF) + "SELECT model_name, device, timestamp, sentences_per_second, output_embedding_dim FROM perf",
+    "encode_counts": """SELECT 'hashing-32' AS model_name, 'query' AS prefix_function_name, count(*) AS num_sentences_processed,
+  CAST(0 AS BIGINT) AS num_failed, CAST(32 AS BIGINT) AS output_embedding_dim, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "performance_facts": f"""WITH r AS (
+  SELECT user_id AS model_name, event_type AS device, CAST(sum({K}) AS BIGINT) AS n, {two_places('max(value) / 7')} AS t,
+    {two_places('max(value) * 13')} - {two_places('min(value) * 3')} AS ram FROM events GROUP BY user_id, event_type)
+SELECT model_name, device, n AS num_sentences_processed,
+  CASE WHEN t > 0 THEN {two_places('n / t')} WHEN t IS NOT NULL AND n IS NOT NULL THEN CAST(0 AS DOUBLE) END AS sentences_per_second,
+  {two_places('ram')} AS model_ram_footprint_mb FROM r""",
+    "stage_reuse": """WITH n AS (SELECT count(lang) AS n FROM documents)
+SELECT unnest(['first', 'again', 'half written', 'input grown', 'input as before', 'other settings']) AS step,
+  unnest([true, false, true, true, false, true]) AS built, unnest([n, n, n, 2 * n, 2 * n, 2 * n]) AS n_rows FROM n""",
     "config_parse": f"""WITH c AS (SELECT page_id, {URL_HOST} || ';' || CASE WHEN page_id % 2 = 0 THEN 'true' ELSE 'false' END
     || ';' || {str_list(spec.PREFIX_NAMES)}[page_id % 4 + 1] AS line FROM pages)
 SELECT page_id, split_part(line, ';', 1) AS model_name, lower(split_part(line, ';', 2)) = 'true' AS normalize,

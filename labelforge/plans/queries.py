@@ -488,6 +488,18 @@ def q_encode_throughput(spark, sf):
     return emb.encode_throughput(spark, docs(spark, sf), "text", "hashing-64", dim=64)
 
 
+def q_encode_counts(spark, sf):
+    """What the throughput job counts while it encodes: all but its timings."""
+    return emb.encode_throughput(spark, docs(spark, sf), "text", "hashing-32", dim=32, prefix_name="query").select(
+        "model_name", "prefix_function_name", "num_sentences_processed", "num_failed", "output_embedding_dim", "error")
+
+
+def q_performance_facts(spark, sf):
+    """Throughput and memory footprint of the performance records."""
+    out = evt.performance_facts(views.performance_records(spark, sf))
+    return out.select("model_name", "device", "num_sentences_processed", "sentences_per_second", "model_ram_footprint_mb")
+
+
 # ---------------------------------------------------------------------------
 # Monitoring events
 # ---------------------------------------------------------------------------
@@ -715,6 +727,32 @@ def q_experiment(spark, sf):
     return run_experiment(spark, train, test, "key")
 
 
+def q_stage_reuse(spark, sf):
+    """A stage asked for again and again: whether it was built, and its rows.  It is built at
+    first, after a write that never ended (no manifest), after its input grew and
+    for other settings; else it is read back."""
+    source, path = scratch_path(spark, "stage_input"), scratch_path(spark, "stage")
+    rows = docs(spark, sf).select("doc_id", "lang")
+    rows.write.parquet(source)
+    built = []
+
+    def build():
+        built.append(True)
+        return spark.read.parquet(source).where(F.col("lang").isNotNull())
+
+    def ask(step, **settings):
+        before = len(built)
+        out = fio.ensure_stage(spark, path, build, ["doc_id", "lang"], F.col("lang") == "en", [source], settings)
+        return step, len(built) > before, out.count()
+
+    seen = [ask("first"), ask("again")]
+    rows.where(F.col("lang") == "en").write.mode("overwrite").parquet(path)
+    seen.append(ask("half written"))
+    rows.write.mode("append").parquet(source)
+    seen += [ask("input grown"), ask("input as before"), ask("other settings", version=2)]
+    return spark.createDataFrame(seen, "step string, built boolean, n_rows long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_report": q_quality_report,
     "csv_roundtrip": q_csv_roundtrip,
@@ -768,6 +806,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embed_texts": q_embed_texts,
     "run_matrix": q_run_matrix,
     "encode_throughput": q_encode_throughput,
+    "encode_counts": q_encode_counts,
+    "performance_facts": q_performance_facts,
     "event_metrics": q_event_metrics,
     "event_roundtrip": q_event_roundtrip,
     "pc_compat": q_pc_compat,
@@ -788,4 +828,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "post_dataset": q_post_dataset,
     "mail_dataset": q_mail_dataset,
     "experiment": q_experiment,
+    "stage_reuse": q_stage_reuse,
 }

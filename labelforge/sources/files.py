@@ -8,9 +8,11 @@ columns parsed from the file path.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import os
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -207,17 +209,41 @@ def write_markdown(table: DataFrame, rows: DataFrame, header: str, path: str) ->
     head.unionByName(body).orderBy("o").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-def ensure_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                 required_cols: list[str], predicate: Column | None = None) -> DataFrame:
+MANIFEST = "_manifest"
+MANIFEST_SCHEMA = T.StructType([T.StructField("schema", T.StringType()), T.StructField("n_rows", T.LongType()),
+                                T.StructField("inputs", T.StringType()), T.StructField("settings", T.StringType())])
+
+
+def input_fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """One text for the files below ``paths``: their number and the sum of the hashes of
+    (path, length, modification time), from the listing alone; no content is read."""
+    if not paths:
+        return ""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)) \
+        .select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    n, total = listed.agg(F.count("h"), F.sum("h")).first()
+    return f"{n}:{total}"
+
+
+def ensure_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], required_cols: list[str],
+                 predicate: Column | None = None, inputs: Sequence[str] = (), settings: dict | None = None) -> DataFrame:
     """Reuse a saved Parquet stage when it is valid, else build, save, return.
 
-    Valid means: readable, non-empty, has ``required_cols`` and, when given,
-    at least one row satisfies ``predicate`` -- checked with one aggregate.
+    A stage ends with a manifest of its schema, row count, the fingerprint of the
+    files below ``inputs`` and its ``settings``.  The manifest lies in the stage's
+    folder and is written last, so overwriting the stage removes it first and a
+    half-written stage has none.  Valid means: the manifest stands, agrees with the
+    files, the inputs and the settings, the stage is non-empty, has
+    ``required_cols`` and, when given, at least one row satisfies ``predicate``.
     """
+    fingerprint, wanted = input_fingerprint(spark, inputs), json.dumps(settings or {}, sort_keys=True)
+    manifest = os.path.join(path, MANIFEST)
     try:
+        held = spark.read.schema(MANIFEST_SCHEMA).json(manifest).first()
         saved = spark.read.parquet(path)
-        if all(c in saved.columns for c in required_cols):
-            check = F.count(F.lit(1)) > 0
+        if held is not None and (held["schema"], held["inputs"], held["settings"]) == (saved.schema.json(), fingerprint, wanted) \
+                and all(c in saved.columns for c in required_cols):
+            check = (F.count(F.lit(1)) > 0) & (F.count(F.lit(1)) == held["n_rows"])
             if predicate is not None:
                 check = check & F.max(predicate.cast("int")).eqNullSafe(F.lit(1))
             if saved.agg(check.alias("ok")).first()["ok"]:
@@ -225,5 +251,9 @@ def ensure_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    rows = Observation()
+    build().observe(rows, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    saved = spark.read.parquet(path)
+    spark.createDataFrame([(saved.schema.json(), rows.get["n"], fingerprint, wanted)], MANIFEST_SCHEMA) \
+        .coalesce(1).write.mode("overwrite").json(manifest)
+    return saved

@@ -139,6 +139,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def performance_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Performance records: one per (user as model, event type as device)."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_type", "value", _k().alias("k"))
+    return ev.groupBy("user_id", "event_type").agg(
+        F.sum("k").alias("num_sentences_processed"), (F.max("value") / 7).alias("inference_time_s"),
+        (F.min("value") * 3).alias("ram_before_load_mb"), (F.max("value") * 13).alias("ram_after_load_mb"),
+    ).withColumnsRenamed({"user_id": "model_name", "event_type": "device"})
+
+
 DEVICE_BY_LANG = {"en": "gpu", "fr": "gpu", "de": "cpu-m1-pro", "es": "cpu-intel"}
 DATASET_BY_LANG = {"de": "balanced-de", "en": "balanced-en", "fr": "balanced", "es": "unbalanced"}
 #: The CPU devices among them, sorted like the columns of the comparison.
