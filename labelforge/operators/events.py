@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelforge import spec
 from labelforge.functions.text import fixed_decimals
@@ -75,25 +76,30 @@ def pc_compatibility(events: DataFrame, profiles=spec.PC_PROFILES) -> DataFrame:
     ram = F.col("ram_usage_delta_mb")
     spt = F.col("seconds_per_text")
     sufficient = ram.isNotNull() & spt.isNotNull()
+    # The texts of a limit are made once here, those of an event once before it is paired.
     profile_array = F.array(*[
         F.struct(F.lit(name).alias("profile"), F.lit(max_ram).alias("max_ram_delta_mb"),
-                 F.lit(max_time).alias("max_seconds_per_text"))
+                 F.lit(max_time).alias("max_seconds_per_text"), F.lit(f"{max_ram:.2f}").alias("ram_text"),
+                 F.lit(f"{max_time:.2f}").alias("time_text"))
         for name, max_ram, max_time in profiles
     ])
-    none = F.array(F.struct(F.lit(None).cast("string").alias("profile"),
-                            F.lit(None).cast("double").alias("max_ram_delta_mb"),
-                            F.lit(None).cast("double").alias("max_seconds_per_text")))
+    none = F.array(F.lit(None).cast(T.StructType([
+        T.StructField("profile", T.StringType()), T.StructField("max_ram_delta_mb", T.DoubleType()),
+        T.StructField("max_seconds_per_text", T.DoubleType()), T.StructField("ram_text", T.StringType()),
+        T.StructField("time_text", T.StringType())])))
+    least_ram = min((limit for _, limit, _ in profiles), default=0.0)
+    least_time = min((limit for _, _, limit in profiles), default=0.0)
     rows = inf.select("event_id", "ram_usage_delta_mb", "seconds_per_text",
+                      F.when(sufficient & (ram > least_ram), fixed_decimals(ram, 2)).alias("ram_text"),
+                      F.when(sufficient & (spt > least_time), fixed_decimals(spt, 4)).alias("time_text"),
                       F.explode(F.when(sufficient, profile_array).otherwise(none)).alias("p"))
     p = F.col("p")
     ram_ok = ram <= p["max_ram_delta_mb"]
     time_ok = spt <= p["max_seconds_per_text"]
     ram_note = F.concat(F.lit("May struggle on "), p["profile"], F.lit(" due to RAM usage (needs "),
-                        fixed_decimals(ram, 2), F.lit("MB delta, profile target <"),
-                        fixed_decimals(p["max_ram_delta_mb"], 2), F.lit("MB)."))
+                        F.col("ram_text"), F.lit("MB delta, profile target <"), p["ram_text"], F.lit("MB)."))
     time_note = F.concat(F.lit("May be too slow for "), p["profile"], F.lit(" (takes "),
-                         fixed_decimals(spt, 4), F.lit("s/email, profile target <"),
-                         fixed_decimals(p["max_seconds_per_text"], 2), F.lit("s)."))
+                         F.col("time_text"), F.lit("s/email, profile target <"), p["time_text"], F.lit("s)."))
     notes = F.when(ram_ok & time_ok, F.concat(F.lit("Likely compatible with: "), p["profile"])) \
         .otherwise(F.concat_ws(" ", F.when(~ram_ok, ram_note), F.when(~time_ok, time_note)))
     return rows.select(

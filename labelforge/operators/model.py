@@ -18,6 +18,7 @@ on every run).  Losses are taken on the rows themselves, with the weights.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from labelforge import spec
 from labelforge.functions import vectors
 from labelforge.operators import network
+from labelforge.operators.partitioning import spread
 
 MAX_MODEL_FLOATS = 10_000_000  # size bound for parameters shipped to tasks
 
@@ -163,29 +165,57 @@ def centroids(train: DataFrame, features_col: str, label_col: str) -> DataFrame:
     return rows.groupBy(F.col(label_col).cast("int").alias("label")).agg(vector_to_array(mean).alias("centroid"))
 
 
-def _centroid_table(cents: DataFrame) -> Column:
-    """The classes in order with their unit vectors, as a scalar subquery: k x
-    dim numbers of model state that reach the tasks without a join."""
-    row = F.struct("label", vectors.l2_normalize("centroid").alias("unit"))
-    return cents.agg(F.array_sort(F.collect_list(row)).alias("classes")).scalar()
+def _unit_rows(cents: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The labels in order and their unit vectors: k x dim numbers of model state,
+    checked for size before they reach the driver and the tasks."""
+    size = cents.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > MAX_MODEL_FLOATS:
+        raise ValueError(f"class means hold {size} numbers, above the shipping bound")
+    rows = cents.select("label", vectors.l2_normalize("centroid").alias("unit")).orderBy("label").collect()
+    return [r["label"] for r in rows], np.array([r["unit"] for r in rows], dtype=np.float64)
 
 
-def centroid_scores(df: DataFrame, cents: DataFrame, features_col: str, out_col: str = "scores") -> DataFrame:
-    """Add the cosine similarity to every centroid, in order of the labels."""
-    features = F.col(features_col)
-    norm = F.greatest(vectors.l2_norm(features), F.lit(1e-12))
+def _cosines(units: np.ndarray):
+    """An Arrow function: the cosine of every vector to every unit row, one matrix
+    product a batch.  A null vector, one with a null entry or of another length
+    gives null."""
+    dim = units.shape[1] if units.ndim == 2 else 0
+
+    def score(vecs: pa.Array) -> pa.Array:
+        lengths = vecs.value_lengths().to_numpy(zero_copy_only=False)
+        flat = vecs.flatten()
+        if vecs.null_count or flat.null_count or (lengths != dim).any():
+            rows = vecs.to_pylist()
+            good = np.array([r is not None and len(r) == dim and None not in r for r in rows], dtype=bool)
+            x = np.array([r for r, ok in zip(rows, good) if ok], dtype=np.float64).reshape(-1, dim)
+        else:
+            good = np.ones(len(vecs), dtype=bool)
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        norms = np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        cos = (x @ units.T) / norms
+        offsets = np.concatenate([[0], np.cumsum(good)]) * units.shape[0]
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cos.ravel()),
+                                        mask=pa.array(~good) if not good.all() else None)
+
+    return F.arrow_udf(score, "array<double>")
 
-    def cosine(c: Column) -> Column:
-        products = F.zip_with(features, c["unit"], lambda a, b: a.cast("double") * b)
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x) / norm
 
-    return df.withColumn("_lf_classes", _centroid_table(cents)) \
-        .withColumn(out_col, F.transform("_lf_classes", cosine)).drop("_lf_classes")
+def _scored(df: DataFrame, units: np.ndarray, features_col: str, out_col: str) -> DataFrame:
+    if not len(units):
+        return df.withColumn(out_col, F.array().cast("array<double>"))
+    return spread(df).withColumn(out_col, _cosines(units)(F.col(features_col)))
+
+
+def centroid_scores(df: DataFrame, cents: DataFrame, features_col: str, out_col: str = "scores") -> DataFrame:
+    """Add the cosine similarity to every centroid, in order of the labels (null for
+    a vector of another length or with a null)."""
+    return _scored(df, _unit_rows(cents)[1], features_col, out_col)
 
 
 def centroid_predict(df: DataFrame, cents: DataFrame, features_col: str,
                      out_col: str = "pred_label") -> DataFrame:
     """Predict the class of the most similar centroid (first on ties)."""
-    scored = centroid_scores(df, cents, features_col, "_lf_scores").withColumn("_lf_classes", _centroid_table(cents))
-    labels = F.transform("_lf_classes", lambda c: c["label"])
-    return scored.withColumn(out_col, F.get(labels, vectors.argmax("_lf_scores"))).drop("_lf_scores", "_lf_classes")
+    labels, units = _unit_rows(cents)
+    scored = _scored(df, units, features_col, "_lf_scores")
+    names = F.array(*[F.lit(x) for x in labels]).cast("array<int>")
+    return scored.withColumn(out_col, F.get(names, vectors.argmax("_lf_scores"))).drop("_lf_scores")

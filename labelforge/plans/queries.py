@@ -127,7 +127,7 @@ def q_dataset_profile(spark, sf):
     d = docs(spark, sf)
     return d.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct("text").alias("n_distinct_texts"),
+        F.count_distinct(F.sha2("text", 256)).alias("n_distinct_texts"),
         F.count_distinct("lang").alias("n_languages"),
         F.count_distinct("source").alias("n_sources"),
         F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"),

@@ -190,3 +190,49 @@ def test_mail_patterns_take_unicode_spaces_and_digits(spark):
 
 def test_unicode_classes_inside_and_outside_a_class():
     assert tx.unicode_classes(r"\d[\d.]\.") == r"[\p{Nd}][\p{Nd}.]\."
+
+
+def test_centroid_scores_equal_plain_cosines(spark):
+    from labelforge.operators import model as mdl
+    schema = "i int, e array<float>, label int"
+    train = spark.createDataFrame([(0, [1.0, 0.0, 2.0], 1), (1, [3.0, 0.0, 0.0], 1), (2, [0.0, 1.0, 0.0], 4)], schema)
+    odd = [(0, [1.0, 2.0, 3.0], 0), (1, None, 0), (2, [1.0, None, 0.0], 0), (3, [1.0], 0), (4, [0.0, 0.0, 0.0], 0), (5, [], 0),
+           (6, [-1.0, 0.5, 0.0], 0)]
+    cents = mdl.centroids(train, "e", "label")
+    got = {r["i"]: r["s"] for r in mdl.centroid_scores(spark.createDataFrame(odd, schema), cents, "e", "s").collect()}
+    means, best = [[2.0, 0.0, 1.0], [0.0, 1.0, 0.0]], {}
+    for i, v, _ in odd:
+        if v is None or len(v) != 3 or None in v:
+            assert got[i] is None
+            best[i] = None
+            continue
+        norm = max(sum(x * x for x in v) ** 0.5, 1e-12)
+        want = [sum(x * y for x, y in zip(v, m)) / (norm * sum(y * y for y in m) ** 0.5) for m in means]
+        assert got[i] == pytest.approx(want, abs=1e-12)
+        best[i] = [1, 4][want.index(max(want))]
+    pred = {r["i"]: r["pred_label"] for r in mdl.centroid_predict(spark.createDataFrame(odd, schema), cents, "e").collect()}
+    assert pred == best
+
+
+def test_centroid_scores_without_classes(spark):
+    from labelforge.operators import model as mdl
+    none = spark.createDataFrame([], "e array<float>, label int")
+    rows = spark.createDataFrame([([1.0],)], "e array<float>")
+    assert mdl.centroid_predict(rows, mdl.centroids(none, "e", "label"), "e").first()["pred_label"] is None
+
+
+def test_profile_notes_at_the_limits(spark):
+    rows = [(1, "inference_run", 300.0, 0.1), (2, "inference_run", 300.005, 1.0), (3, "inference_run", 5000.125, float("nan")),
+            (4, "inference_run", None, 0.1), (5, "model_load", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "event_id int, event_type string, ram_usage_delta_mb double, seconds_per_text double")
+    got = {(r["event_id"], r["profile"]): (r["status"], r["notes"]) for r in evt.pc_compatibility(df).collect()}
+    assert (4, None) in got and len(got) == 10
+    for event_id, kind, ram, spt in rows[:3]:
+        for name, max_ram, max_time in spec.PC_PROFILES:
+            notes = []
+            if not ram <= max_ram:
+                notes.append(f"May struggle on {name} due to RAM usage (needs {ram:.2f}MB delta, profile target <{max_ram:.2f}MB).")
+            if not spt <= max_time:
+                notes.append(f"May be too slow for {name} (takes {spt:.4f}s/email, profile target <{max_time:.2f}s).")
+            want = ("not compatible", " ".join(notes)) if notes else ("compatible", f"Likely compatible with: {name}")
+            assert got[event_id, name] == want
