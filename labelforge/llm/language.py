@@ -4,7 +4,8 @@ penalties, then calibrated with one temperature.
 
 Document frequencies are counted over all documents that may be learned from:
 every task sums its own, and only one count per hashed n-gram leaves it.  The
-weights are fitted on a bounded sample of them.
+weights are fitted on a bounded sample of them, drawn within each language in
+turn, so that a rare language is learned like a frequent one.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; with
 nothing to learn from, every text is ``und``; a null lang is never learned;
@@ -18,13 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.llm.common import fold, fold_column, gathered, slices
 
-#: Most documents that the fit reads.
+#: Most documents that the fit reads, of all languages and of one.
 MAX_TRAIN_ROWS = 3_000
+MAX_LANG_ROWS = 1_000
 HELD_OUT_OF = 5
 ROWS = 1 << 14
 UNKNOWN = "und"
@@ -130,14 +132,29 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(min(np.exp(np.linspace(np.log(0.05), np.log(20), 121)), key=loss))
 
 
-def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, out_of: int = HELD_OUT_OF) -> LanguageModel | None:
+def drawn(known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, per_lang: int = MAX_LANG_ROWS) -> DataFrame:
+    """At most ``max_rows`` documents (doc_id, text, lang), one row an id: the first
+    of every language by the hash of the id, then the second of each and so on,
+    up to ``per_lang``.  An id with several rows gives its smallest (text, lang).
+
+    The rank within a language is cut to ``per_lang`` before the shuffle, so a
+    language with most of the rows sends no more than that from a task.
+    """
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ranked = (known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang))
+    picked = ranked.orderBy("rank", "h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("picked"))
+    rows = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang")
+
+
+def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, out_of: int = HELD_OUT_OF,
+          per_lang: int = MAX_LANG_ROWS) -> LanguageModel | None:
     """The model, learned outside the held-out fold only."""
     known = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_column(F.col("doc_id"), out_of) != 0))
     n, have = document_frequencies(known)
-    picked = (known.select(F.col("doc_id").alias("picked")).distinct()
-              .orderBy(F.xxhash64("picked"), "picked").limit(max_rows))
-    sample = known.join(picked, F.col("doc_id") == F.col("picked"), "left_semi")
+    sample = drawn(known, max_rows, per_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
