@@ -8,7 +8,8 @@ unseen context falls back to a shorter one.  A URL's score is the mean log
 ratio per character of host + path; the threshold is calibrated on the
 rule-judged URLs to the least sum of both error shares.
 
-Counts come from all rows; every table is keyed by character n-gram, its
+Character counts come from all distinct URLs that a rule judges, the calibration
+counts their rows; every table is keyed by character n-gram, its
 counts are combined before shuffling, and URLs are scored by a join of their
 n-grams with the table of log ratios.
 
