@@ -27,6 +27,8 @@ from labelforge.llm.common import fold, fold_column, gathered, slices
 #: Most documents that the fit reads, of all languages and of one.
 MAX_TRAIN_ROWS = 3_000
 MAX_LANG_ROWS = 1_000
+#: Languages whose size reaches the tasks, the largest first.
+MAX_SIZES = 10_000
 HELD_OUT_OF = 5
 ROWS = 1 << 14
 UNKNOWN = "und"
@@ -137,11 +139,19 @@ def drawn(known: DataFrame, max_rows: int = MAX_TRAIN_ROWS, per_lang: int = MAX_
     of every language by the hash of the id, then the second of each and so on,
     up to ``per_lang``.  An id with several rows gives its smallest (text, lang).
 
-    The rank within a language is cut to ``per_lang`` before the shuffle, so a
-    language with most of the rows sends no more than that from a task.
+    The ids are ranked by their hash, and of a language with ``n`` ids only hashes in the
+    lowest ``2 * per_lang / n`` of the range enter the ranking: about twice as many as it
+    can use, so a language with most of the rows is no more work than another.
+    (``n`` is Spark's approximate count; fewer than ``per_lang`` hashes below that line
+    are out of reach by chance.)
     """
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")) \
+        .orderBy(F.desc("n"), "lang").limit(MAX_SIZES)
+    share = F.col("h") / F.lit(2.0 ** 64) + 0.5
+    low = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(sizes), "lang", "left") \
+        .where(F.col("n").isNull() | (share * F.col("n") <= 2 * per_lang))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = (known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    ranked = (low.groupBy("doc_id", "h").agg(F.min("lang").alias("lang"))
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang))
     picked = ranked.orderBy("rank", "h", "doc_id").limit(max_rows).select(F.col("doc_id").alias("picked"))
     rows = known.join(F.broadcast(picked), F.col("doc_id") == F.col("picked"), "left_semi")

@@ -34,6 +34,12 @@ def test_draw_is_bounded_and_reruns_agree(spark):
     assert language.drawn(docs.limit(0), 100, 1000).count() == 0
 
 
-def test_rank_is_cut_before_the_shuffle(spark):
-    docs = spark.createDataFrame([(1, "a", "en")], SCHEMA).unionByName(spark.createDataFrame([(2, "b", "de")], SCHEMA))
-    assert "WindowGroupLimit" in language.drawn(docs)._jdf.queryExecution().toString()
+def test_draw_takes_the_lowest_hashes_of_each_language(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"),
+                                      F.when(F.col("id") % 40 == 0, "de").otherwise("en").alias("lang"))
+    got = {(r.doc_id, r.lang) for r in language.drawn(docs, 1000, 300).collect()}
+    rows = sorted((r.h, r.doc_id, r.lang) for r in docs.withColumn("h", F.xxhash64("doc_id")).collect())
+    want = set()
+    for lang in ("de", "en"):
+        want |= {(k, lang) for _, k, x in [r for r in rows if r[2] == lang][:300]}
+    assert got == want
