@@ -55,6 +55,7 @@ DECAY = 0.5
 REACH = 7
 PIECE = 24
 CACHE = 300_000
+GROUP = 1 << 20
 _CODES = 64
 _SPELLED = re.compile(r"(?<!\w)\w(?:[\s._*-]\w){2,}(?!\w)")
 _SIGNS = re.compile(r"[\W_]+")
@@ -65,14 +66,13 @@ def plain_words(text: str | None) -> Counter:
     of single characters (``i d i o t``) also count as one word."""
     text = (text or "").lower()
     count = Counter(text.split())
-    out: Counter = Counter()
-    for raw, n in count.items():
-        word = raw if raw.isalnum() else _SIGNS.sub("", raw)
+    for raw in [w for w in count if not w.isalnum()]:
+        n, word = count.pop(raw), _SIGNS.sub("", raw)
         if word:
-            out[word] += n
+            count[word] += n
     for run in _SPELLED.findall(text):
-        out[_SIGNS.sub("", run)] += 1
-    return out
+        count[_SIGNS.sub("", run)] += 1
+    return count
 
 
 @cache
@@ -83,27 +83,33 @@ def _subsequences(n: int) -> tuple[np.ndarray, np.ndarray]:
     return places, DECAY ** (places[:, 2] - places[:, 0] + 1.0)
 
 
+@cache
+def _code(c: str) -> int:
+    o = ord(c)
+    return o - 97 if 97 <= o <= 122 else 28 + o * 40503 % 36
+
+
 def _codes(word: str) -> list[int]:
     """Marked characters as numbers below 64: a-z, then edges, then the others."""
-    out = []
-    for c in word:
-        o = ord(c)
-        out.append(o - 97 if 97 <= o <= 122 else 28 + o * 40503 % 36)
-    return [26, *out, 27]
+    return [26, *map(_code, word), 27]
 
 
-def word_map(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def word_map(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For words of equal length at a time: (their places in the list, subsequence
-    keys, weights), one row per word.  Words are at most ``PIECE`` characters."""
-    by_length: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(i)
-    for n, members in by_length.items():
-        places, weight = _subsequences(n + 2)
+    keys, weights, norms), one row per word.  Words are at most ``PIECE`` characters.
+    Where no character of a word repeats, no key does, and all norms are one value."""
+    alike: dict[tuple[int, bool], list[int]] = {}
+    codes = [_codes(w) for w in words]
+    for i, c in enumerate(codes):
+        alike.setdefault((len(c), len(set(c)) < len(c)), []).append(i)
+    for (n, repeats), members in alike.items():
+        places, weight = _subsequences(n)
         for at in range(0, len(members), 1024):
             some = members[at:at + 1024]
-            code = np.array([_codes(words[i]) for i in some], np.int64)
-            yield np.array(some), (code[:, places[:, 0]] * _CODES + code[:, places[:, 1]]) * _CODES + code[:, places[:, 2]], weight
+            code = np.array([codes[i] for i in some], np.int64)
+            keys = (code[:, places[:, 0]] * _CODES + code[:, places[:, 1]]) * _CODES + code[:, places[:, 2]]
+            norm = norms(keys, weight) if repeats else np.full(len(some), np.sqrt(max((weight * weight).sum(), 1e-12)))
+            yield np.array(some), keys, weight, norm
 
 
 def norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -119,14 +125,14 @@ def norms(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def subsequence_keys(words: list[str]) -> np.ndarray:
     """Distinct subsequence keys of the words, sorted."""
-    return np.unique(np.concatenate([np.unique(keys) for _, keys, _ in word_map(words)]))
+    return np.unique(np.concatenate([np.unique(keys) for _, keys, _, _ in word_map(words)]))
 
 
 def explicit(words: list[str], known: np.ndarray) -> np.ndarray:
     """Normalised kernel map of each word on the ``known`` subsequences."""
     out = np.zeros((len(words), len(known)), np.float32)
-    for at, keys, weight in word_map(words):
-        share = weight[None, :] / norms(keys, weight)[:, None]
+    for at, keys, weight, norm in word_map(words):
+        share = weight[None, :] / norm[:, None]
         column = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = known[column] == keys
         np.add.at(out, (np.broadcast_to(at[:, None], keys.shape)[hit], column[hit]), share[hit])
@@ -183,8 +189,8 @@ class ToxicModel:
                 pieces.append(w[-PIECE:])
                 owner.append(i)
         value = np.zeros(len(pieces))
-        for at, keys, weight in word_map(pieces):
-            value[at] = (self.weight[keys] * weight).sum(axis=1) / norms(keys, weight)
+        for at, keys, weight, norm in word_map(pieces):
+            value[at] = self.weight[keys] @ weight / norm
         out = np.full(len(words), -np.inf)
         np.maximum.at(out, np.array(owner, int), value + self.bias)
         return out
@@ -200,21 +206,32 @@ class Decider:
     def __init__(self, model: ToxicModel):
         self.model, self.known = model, {}
 
-    def features(self, text: str | None) -> tuple[float, int, int]:
-        count = plain_words(text)
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """One row per text.  Words are decided for ``GROUP`` characters of texts at a
+        time: few words of each length make slow arrays."""
+        out, at = [], 0
+        while at < len(texts):
+            counts, held = [], 0
+            while at < len(texts) and (not counts or held + len(texts[at] or "") <= GROUP):
+                counts.append(plain_words(texts[at]))
+                held += len(texts[at] or "")
+                at += 1
+            self.decide(set().union(*counts))
+            out.extend(self.of(count) for count in counts)
+        return np.array(out, float).reshape(-1, 3)
+
+    def decide(self, words: set[str]) -> None:
         if len(self.known) > CACHE:
             self.known = {}
-        new = [w for w in count if w not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+        new = sorted(words - self.known.keys())
+        for i in range(0, len(new), 4096):
+            some = new[i:i + 4096]
             self.known.update(zip(some, self.model.decisions(some).tolist()))
-        highest, positive = -3.0, 0
-        for w, n in count.items():
-            d = self.known[w]
-            if d > highest:
-                highest = d
-            if d > 0:
-                positive += n
+
+    def of(self, count: Counter) -> tuple[float, int, int]:
+        known = self.known
+        highest = max(-3.0, max(map(known.__getitem__, count), default=-3.0))
+        positive = sum(n for w, n in count.items() if known[w] > 0) if highest > 0 else 0
         return highest, positive, count.total()
 
 
@@ -237,7 +254,7 @@ def text_features(texts: DataFrame, model: ToxicModel, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decider = Decider(model)
         for batch in slices(batches):
-            got = [[float(v) for v in decider.features(t)] for t in batch.column(1).to_pylist()]
+            got = decider.features(batch.column(1).to_pylist()).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], [key, "features"])
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, "text").mapInArrow(run, f"{key} {kind}, features array<double>")
@@ -403,7 +420,7 @@ def score(docs: DataFrame, model: ToxicModel | None, share: float = 0.0, at: flo
         for batch in slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if decider:
-                p = model.score(np.array([decider.features(t) for t in texts], float))
+                p = model.score(decider.features(texts))
             else:
                 p = np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays(
