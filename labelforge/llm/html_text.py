@@ -57,7 +57,6 @@ _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+"[^"]*+"|=\
 _PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^<>]*+)>")
 _TAG_START = re.compile(r"</?[A-Za-z]")
 _ATTR = re.compile(r"""([A-Za-z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg",
                                                     "iframe", "select")}
@@ -94,9 +93,10 @@ _CONTAINER = frozenset("nav header footer aside article div section ul ol dl for
 #: Elements of their own text that are counted too; span and a only outside of others.
 _TEXT = (_BLOCK | {"span", "a"}) - _CONTAINER - {"html", "body", "main", "article", "br", "hr"}
 _CLOSES_P = _BLOCK - {"br", "html", "body"}
+_CLOSES = {t: frozenset(_ENDS.get(t, set()) | ({"p"} if t in _CLOSES_P else set())) for t in _CLOSES_P | set(_ENDS)}
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     named: bool = False  # as something else than main text
@@ -109,14 +109,19 @@ class Node:
     prose: int = 0  # characters neither dropped nor in links
 
 
+def spaced(text: str) -> str:
+    """Character references decoded, white space as single spaces."""
+    return " ".join(entities.unescape(text).split())
+
+
 def hash64(text: str) -> int:
     digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
 
 
-def measure(root: Node) -> Node:
-    """Fill size, hash, longest and prose of every node, children first.  Trees are as deep as
-    a page has unclosed tags, so they are walked with stacks of their own."""
+def measure(root: Node, hashed: bool = True) -> Node:
+    """Fill size, prose longest and, if asked, hash of every node, children first.  Trees are
+    as deep as a page has unclosed tags, so they are walked with stacks of their own."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -127,16 +132,21 @@ def measure(root: Node) -> Node:
         for c in node.children:
             if isinstance(c, str):
                 node.size += len(c.strip())
-                parts.append(_SPACE.sub(" ", entities.unescape(c)).strip())
-                node.longest = max(node.longest, parts[-1], key=len)
-                node.prose += len(parts[-1]) if node.tag != "a" else 0
+                text = spaced(c)
+                parts.append(text)
+                if len(text) > len(node.longest):
+                    node.longest = text
+                node.prose += len(text) if node.tag != "a" else 0
             else:
                 node.size += c.size
-                parts.append(f"\x01{c.hash}")
+                if hashed:
+                    parts.append(f"\x01{c.hash}")
                 if not dropped(c):
-                    node.longest = max(node.longest, c.longest, key=len)
+                    if len(c.longest) > len(node.longest):
+                        node.longest = c.longest
                     node.prose += c.prose if node.tag != "a" else 0
-        node.hash = hash64("\x00".join(parts))
+        if hashed:
+            node.hash = hash64("\x00".join(parts))
     return root
 
 
@@ -176,15 +186,16 @@ def _hidden(raw: str, attrs: dict[str, str]) -> bool:
     return "hidden" in raw.lower() and "hidden" in _ATTR.sub(" ", raw).lower().replace("/", " ").split()
 
 
-def parse(source: str) -> Node:
-    """The element tree of a page."""
+def parse(source: str, hashed: bool = True) -> Node:
+    """The element tree of a page; without hashes no template can be told in it."""
     root = Node("html")
     open_: list[Node] = [root]
     count: Counter = Counter()  # open tags by name, so none is looked for in vain
     at = 0
 
     def close_from(i: int) -> None:
-        count.subtract(n.tag for n in open_[i:])
+        for n in open_[i:]:
+            count[n.tag] -= 1
         del open_[i:]
 
     tags = Tags(source)
@@ -194,7 +205,7 @@ def parse(source: str) -> Node:
         if end > at:
             open_[-1].children.append(source[at:end])
         if not found:
-            return measure(root)
+            return measure(root, hashed)
         _, at, closing, tag, raw = found
         if not tag:
             continue
@@ -211,17 +222,17 @@ def parse(source: str) -> Node:
                 open_.append(node)
                 count[tag] += 1
             continue
-        if tag in _CLOSES_P or tag in _ENDS:
-            ends = _ENDS.get(tag, set()) | ({"p"} if tag in _CLOSES_P else set())
-            for i in range(len(open_) - 1, 0, -1) if any(count[e] for e in ends) else ():
+        ends = _CLOSES.get(tag)
+        if ends:
+            for i in range(len(open_) - 1, 0, -1) if any([count[e] for e in ends]) else ():
                 if open_[i].tag in ends:
                     close_from(i)
                     break
                 if open_[i].tag in _CONTAINER or open_[i].tag in ("main", "body"):
                     break
         attrs = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(raw)} if "=" in raw else {}
-        names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-        node = Node(tag, _hidden(raw, attrs))
+        names = " ".join([attrs.get(k, "") for k in ("class", "id", "role")]) if attrs else ""
+        node = Node(tag, bool(raw) and _hidden(raw, attrs))
         if names.strip():
             sure = _NAMED.search(names) and tag not in _HEADS
             plain = tag in _CONTAINER and (_PLAIN.search(names) or attrs.get("role") == "search")
@@ -342,7 +353,7 @@ def main_text(root: Node, template: set[int]) -> str:
     line: list[str] = []
 
     def close() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(line))).strip()
+        text = spaced("".join(line))
         line.clear()
         if text:
             lines.append(text)
@@ -442,7 +453,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            texts = [main_text(parse(source or ""), set(hashes or ()))
+            texts = [main_text(parse(source or "", bool(hashes)), set(hashes or ()))
                      for source, hashes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              ["page_id", "url", "text"])
