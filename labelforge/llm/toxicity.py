@@ -39,12 +39,11 @@ from pyspark.sql import functions as F
 
 from labelforge.llm.common import fold, fold_column, in_filter, logistic, one_per_id, slices, stage
 
-#: Most labelled documents, words taken for positive ones and other words that the fit reads, and
-#: toxic texts that speak for a word where there are more of them than documents in the fit.
+#: Most labelled documents, candidate words and other words that the fit reads, and toxic texts
+#: that speak for a word besides the first ``MAX_TRAIN_ROWS`` of all.
 MAX_TRAIN_ROWS = 8_000
 MAX_CANDIDATES = 2_000
 MAX_HOLDERS = 8
-MAX_POSITIVE = 300
 MAX_NEGATIVE = 1_600
 MINING_ROUNDS = 2
 LANDMARKS = 240
@@ -289,23 +288,22 @@ def holders(sample: DataFrame, words: list[str]) -> DataFrame:
 
 
 def speaking(held: DataFrame, max_docs: int, most: int = MAX_HOLDERS) -> DataFrame:
-    """All of ``held`` while its texts are at most ``max_docs``; beyond that the texts
-    that are among the first ``most`` by hash of some word, so every word keeps texts."""
-    if held.select("doc_id").distinct().count() <= max_docs:
-        return held
+    """``held`` for the first ``max_docs`` texts by hash, and for the first ``most`` texts of
+    every word, so rare words keep theirs: one rule whatever the number of texts."""
     order = Window.partitionBy("word").orderBy(F.xxhash64("doc_id"), "doc_id")
-    first = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id").distinct()
-    return held.join(first, "doc_id", "left_semi")
+    of_word = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("doc_id")
+    of_all = held.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    return held.join(of_all.union(of_word).distinct(), "doc_id", "left_semi")
 
 
-def explain(words: list[str], odds: np.ndarray, doc: np.ndarray, word: np.ndarray, most: int) -> dict[str, float]:
+def explain(words: list[str], odds: np.ndarray, doc: np.ndarray, word: np.ndarray) -> dict[str, float]:
     """Words that explain the texts, with the texts' weight that each took.  The
     next word is the one with the largest weight of its texts times its odds; the
     weight of those texts then falls to a quarter."""
     texts = [doc[word == j] for j in range(len(words))]
     left = np.ones(doc.max() + 1 if len(doc) else 0)
     taken: dict[str, float] = {}
-    for _ in range(most):
+    for _ in words:
         gain = np.bincount(word, left[doc], len(words)) if len(doc) else np.zeros(len(words))
         value = np.where([w in taken for w in words], 0, gain * odds)
         j = int(value.argmax())
@@ -394,7 +392,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, ou
     held = speaking(stage(holders(labelled, names).distinct(), "toxic-holders"), max_rows).toPandas()
     doc = np.unique(held["doc_id"].astype(str), return_inverse=True)[1]
     place = {w: i for i, w in enumerate(names)}
-    positive = explain(names, seeds["odds"].to_numpy(), doc, held["word"].map(place).to_numpy(int), MAX_POSITIVE)
+    positive = explain(names, seeds["odds"].to_numpy(), doc, held["word"].map(place).to_numpy(int))
     if not positive:
         return None, share
     model = fit_words(positive, negative)
