@@ -37,10 +37,10 @@ from labelforge.llm.common import slices_by_size, stage
 LENGTH = 4096
 END = 2
 BUCKETS, DIMS, BITS = 256, 3, 20   # hashed words, dimensions of the curve, bits of each
-CACHE = 1 << 19                    # parts of texts whose ids a worker keeps
+CACHE = 1 << 18                    # parts of texts whose ids a worker keeps
 RANGE_BYTES = 64 << 20             # staged bytes a range partition
 PAD = 0
-SLICE_BYTES = 8 << 20             # texts or ids a task works on at once
+SLICE_BYTES = 2 << 20             # texts or ids a task works on at once
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
