@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,12 +114,53 @@ class Batch:
 
     rows: DataFrame
     parts: int
+    held: RDD | None = None
+
+    def blocks(self) -> RDD:
+        """The rows as (partition, x, y, w) arrays, kept after their first use: a step then
+        is one small job without a query to plan."""
+        if self.held is None:
+            def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        arrays = [b["x"].flatten(), b["y"], b["w"]]
+                        raw = [pa.array([a.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for a in arrays]
+                        yield pa.RecordBatch.from_arrays([b["part"].slice(0, 1), *raw], ["part", "x", "y", "w"])
+
+            packed = self.rows.select("x", "y", "w", F.spark_partition_id().alias("part")).mapInArrow(
+                pack, "part int, x binary, y binary, w binary")
+            self.held = packed.rdd.map(lambda r: (r["part"], bytes(r["x"]), bytes(r["y"]), bytes(r["w"]))).persist()
+        return self.held
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+        self.rows.unpersist()
+
+
+def _block_sums(blocks: Iterator[tuple], weights: Weights, dropout: float, seed: int) -> Iterator[tuple[int, Sums]]:
+    """(partition, sums) of the blocks of one partition."""
+    s, part, rng = Sums(), None, None
+    for number, x, y, w in blocks:
+        if part is None:
+            part, rng = number, np.random.default_rng((seed, number))
+        x = np.frombuffer(x).reshape(-1, weights[0][0].shape[0])
+        masks = _masks(rng, len(x), weights, dropout) if dropout else None
+        s.add(loss_sums(x, np.frombuffer(y, np.int64), np.frombuffer(w), weights, True, masks))
+    if part is not None:
+        yield part, s
 
 
 def batch_sums(batch: Batch, weights: Weights, dropout: float = 0.0, seed: int = 0) -> Sums:
     """``loss_sums`` of a staged batch: one row of sums a partition, combined by the
     partition's number so that reruns agree; many partitions are first combined in
     a level of about the square root of their number."""
+    if batch.parts <= WIDE:
+        out = Sums()
+        step = functools.partial(_block_sums, weights=weights, dropout=dropout, seed=seed)
+        for _, s in sorted(batch.blocks().mapPartitions(step).collect(), key=lambda found: found[0]):
+            out.add(s)
+        return out
     spark = batch.rows.sparkSession
     shapes = [m.shape for pair in weights for m in pair]
     shared = spark.sparkContext.broadcast(weights)
@@ -163,9 +205,8 @@ def batch_sums(batch: Batch, weights: Weights, dropout: float = 0.0, seed: int =
     arrow = pa.schema([("part", pa.int32()), ("loss", pa.float64()), ("weight", pa.float64()), ("rows", pa.int64()),
                        ("right", pa.int64()), ("gradients", pa.binary())])
     sums = batch.rows.select("x", "y", "w", F.spark_partition_id().alias("part")).mapInArrow(partial, schema)
-    if batch.parts > WIDE:
-        groups = int(np.ceil(np.sqrt(batch.parts)))
-        sums = (sums.repartitionByRange(groups, "part").sortWithinPartitions("part").mapInArrow(combine, schema))
+    groups = int(np.ceil(np.sqrt(batch.parts)))
+    sums = sums.repartitionByRange(groups, "part").sortWithinPartitions("part").mapInArrow(combine, schema)
     out = Sums()
     for r in sorted(sums.collect(), key=lambda r: r.part):
         out.add(Sums(r.loss, r.weight, r.rows, r.right, unpack(bytes(r.gradients))))
@@ -321,7 +362,7 @@ def train_network(train: DataFrame, val: DataFrame, features: str, label: str, w
         return best, rows
     finally:
         for b in tr + va:
-            b.rows.unpersist()
+            b.release()
 
 
 # -- the model as a table ------------------------------------------------------------
