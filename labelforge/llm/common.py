@@ -18,13 +18,17 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder and
     read it back: lineage is cut, later readers prune columns, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before.
+
+    A task holds a row group as a whole when it writes or reads one;
+    ``group_bytes`` is its size (else Spark's own)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,11 +37,12 @@ from labelforge.llm.common import slices_by_size, stage
 LENGTH = 4096
 END = 2
 BUCKETS, DIMS, BITS = 256, 3, 20   # hashed words, dimensions of the curve, bits of each
-CACHE = 1 << 18                    # parts of texts whose ids a worker keeps
+CACHE = 1 << 17                    # parts of texts whose ids a worker keeps
 WORDS = 1000                       # new words the tokenizer's model gets at once
-RANGE_BYTES = 64 << 20             # staged bytes a range partition
+RANGE_IDS = 8 << 20                # ids a range partition
+GROUP_BYTES = 16 << 20             # a row group of the staged rows
 PAD = 0
-SLICE_BYTES = 2 << 20             # texts or ids a task works on at once
+SLICE_BYTES = 1 << 20             # texts or ids a task works on at once
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -269,11 +270,12 @@ def line_up(documents: DataFrame) -> DataFrame:
     whole line.
 
     The input is staged first, so that the bounds' sample reads no text twice; the
-    sorted rows are staged with their place within their range partition."""
-    staged = stage(documents.withColumn("row", F.monotonically_increasing_id()), "curve")
-    spark = documents.sparkSession
-    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    ranges = max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
+    sorted rows are staged with their place within their range partition.  What a task
+    sorts, writes and reads again is bounded by the ids of a range partition, counted
+    as they are and not as they compress, and by small row groups."""
+    staged = stage(documents.withColumn("row", F.monotonically_increasing_id()), "curve", GROUP_BYTES)
+    total = staged.agg(F.sum("tokens")).first()[0] or 0
+    ranges = max(documents.sparkSession.sparkContext.defaultParallelism, -(-total // RANGE_IDS))
     dealt = (staged.repartitionByRange(ranges, "key", "row").withColumn("part", F.spark_partition_id())
              .sortWithinPartitions("key", "row"))
 
@@ -285,7 +287,7 @@ def line_up(documents: DataFrame) -> DataFrame:
             before += int(tokens.sum())
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
-    laid = stage(dealt.mapInArrow(run, fields + ", at bigint"), "line")
+    laid = stage(dealt.mapInArrow(run, fields + ", at bigint"), "line", GROUP_BYTES)
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (laid.groupBy("part").agg(F.sum("tokens").alias("tokens"))
              .select("part", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")))
