@@ -12,9 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
@@ -28,10 +26,22 @@ from labelforge.operators.partitioning import spread
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 
 
-@lru_cache(1 << 16)
-def _token_hash(token: str) -> int:
-    """The first 32 bits of the token's md5."""
-    return int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16)
+class TokenHashes(dict):
+    """The first 32 bits of a token's md5, kept for up to ``MOST`` tokens of up to ``LONG``
+    characters."""
+
+    MOST, LONG = 1 << 18, 64
+
+    def __missing__(self, token: str) -> int:
+        h = int.from_bytes(hashlib.md5(token.encode("utf-8", "surrogatepass")).digest()[:4], "big")
+        if len(self) >= self.MOST:
+            self.clear()
+        if len(token) <= self.LONG:
+            self[token] = h
+        return h
+
+
+_HASHES = TokenHashes()
 
 
 def hashing_encoder(dim: int = 64, prefix: str | None = None, normalize: bool = True):
@@ -44,9 +54,9 @@ def hashing_encoder(dim: int = 64, prefix: str | None = None, normalize: bool =
             if text is None:
                 continue
             s = text if prefix is None else prefix + text
-            for tok, n in Counter(_TOKEN.findall(s.lower())).items():
-                h = _token_hash(tok)
-                out[row, h % dim] += n if h >> 31 == 0 else -n
+            tokens = _TOKEN.findall(s.lower())
+            h = np.fromiter(map(_HASHES.__getitem__, tokens), np.int64, len(tokens))
+            out[row] = np.bincount(h % dim, 1 - 2 * (h >> 31), dim)
         if normalize:
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             out = out / np.maximum(norms, 1e-12)

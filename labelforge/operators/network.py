@@ -3,9 +3,11 @@
 Training: the rows are staged once, dealt into batches by a hash of their key; a
 step reads one batch, every partition sums the gradients of its rows with the
 weight of their class, the sums are combined in two levels and the driver takes one
-Adam step.  An epoch reads the batches in a seeded order; the class-weighted loss of
-a batch is a weighted mean, that of an epoch the mean over its batches weighted by
-rows.  A plateau of the validation loss cuts the learning rate, which is recorded.
+Adam step.  Steps on batches of one partition follow one another in one task, which
+holds up to ``CHAIN_BYTES`` of rows, the model and its Adam state.  An epoch reads the
+batches in a seeded order; the class-weighted loss of a batch is a weighted mean, that
+of an epoch the mean over its batches weighted by rows.  A plateau of the validation
+loss cuts the learning rate, which is recorded.
 
 Model: a table of (layer, block, first, width, weights, bias) rows, a block being some input
 rows of a layer's matrix.  A model of up to ``MAX_SHIPPED`` numbers travels to the
@@ -18,12 +20,12 @@ in the accuracy only.  Without any row the series is empty.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BLOCK = 1024               # input rows of a matrix in a block
 GROUP_ROWS = 20_000        # vectors multiplied with a block at once
 STAGE_BYTES = 64 << 20     # vectors a partition
 WIDE = 64                  # partial sums that the driver takes without a level between
+CHAIN_BYTES = 64 << 20     # rows that a task holds for the steps that it takes one after the other
+MAX_CHAINED = 1_000_000    # numbers of a model that travels to such a task and back
 MODEL_SCHEMA = ("layer int, block int, first int, width int, "
                 "weights array<double>, bias array<double>")
 Weights = list[tuple[np.ndarray, np.ndarray]]
@@ -52,11 +56,12 @@ def forward(x: np.ndarray, weights: Weights, masks: list[np.ndarray] | None = No
     ``masks``, thinned."""
     out = [x]
     for i, (w, b) in enumerate(weights):
-        x = x @ w + b
+        x = x @ w
+        x += b
         if i < len(weights) - 1:
-            x = np.maximum(x, 0.0)
+            np.maximum(x, 0.0, out=x)
             if masks is not None:
-                x = x * masks[i]
+                x *= masks[i]
         out.append(x)
     return out
 
@@ -76,6 +81,10 @@ class Sums:
         self.rows, self.right = self.rows + other.rows, self.right + other.right
         self.gradients = [a + b for a, b in zip(self.gradients, other.gradients)] if self.gradients else other.gradients
 
+    def counts(self) -> Sums:
+        """All but the gradients."""
+        return Sums(self.loss, self.weight, self.rows, self.right)
+
 
 def loss_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: Weights, gradients: bool = True,
               masks: list[np.ndarray] | None = None) -> Sums:
@@ -94,7 +103,8 @@ def loss_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: Weights, gra
         for i in range(len(weights) - 1, -1, -1):
             out.gradients[:0] = [layers[i].T @ back, back.sum(axis=0)]
             if i:
-                back = (back @ weights[i][0].T) * (layers[i] > 0)
+                back = back @ weights[i][0].T
+                back *= layers[i] > 0
                 if masks is not None:
                     back *= masks[i - 1]
     return out
@@ -105,20 +115,27 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _masks(rng: np.random.Generator, rows: int, weights: Weights, dropout: float) -> list[np.ndarray]:
-    return [(rng.random((rows, w.shape[1])) >= dropout) / (1.0 - dropout) for w, _ in weights[:-1]]
+    out = []
+    for w, _ in weights[:-1]:
+        mask = rng.random((rows, w.shape[1]))
+        np.greater_equal(mask, dropout, out=mask)
+        mask *= 1.0 / (1.0 - dropout)
+        out.append(mask)
+    return out
 
 
 @dataclass
 class Batch:
-    """Staged rows (x, y, w, batch) and the number of their partitions."""
+    """Staged rows (x, y, w, batch) with the number of the batch and their bytes, about."""
 
     rows: DataFrame
-    parts: int
+    number: int
+    size: int
     held: RDD | None = None
 
     def blocks(self) -> RDD:
-        """The rows as (partition, x, y, w) arrays, kept after their first use: a step then
-        is one small job without a query to plan."""
+        """The rows as (batch, partition, x, y, w) arrays, kept after their first use: a step
+        then is part of a small job without a query to plan."""
         if self.held is None:
             def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -129,24 +146,42 @@ class Batch:
 
             packed = self.rows.select("x", "y", "w", F.spark_partition_id().alias("part")).mapInArrow(
                 pack, "part int, x binary, y binary, w binary")
-            self.held = packed.rdd.map(lambda r: (r["part"], bytes(r["x"]), bytes(r["y"]), bytes(r["w"]))).persist()
+            number = self.number
+            self.held = packed.rdd.map(lambda r: (number, r["part"], bytes(r["x"]), bytes(r["y"]), bytes(r["w"]))) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
         return self.held
 
+    @property
+    def parts(self) -> int:
+        return self.blocks().getNumPartitions()
+
     def release(self) -> None:
         if self.held is not None:
             self.held.unpersist()
-        self.rows.unpersist()
+        if self.rows.is_cached:
+            self.rows.unpersist()
+
 
+def keep_blocks(batches: list[Batch]) -> None:
+    """Make the blocks of all batches in one job, side by side."""
+    narrow = [b.blocks() for b in batches if b.parts <= WIDE]
+    if narrow:
+        batches[0].rows.sparkSession.sparkContext.union(narrow).foreachPartition(lambda blocks: None)
 
-def _block_sums(blocks: Iterator[tuple], weights: Weights, dropout: float, seed: int) -> Iterator[tuple[int, Sums]]:
+
+def _arrays(x: bytes, y: bytes, w: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(x).reshape(-1, width), np.frombuffer(y, np.int64), np.frombuffer(w)
+
+
+def _block_sums(blocks: Iterable[tuple], weights: Weights, dropout: float, seed: int) -> Iterator[tuple[int, Sums]]:
     """(partition, sums) of the blocks of one partition."""
     s, part, rng = Sums(), None, None
-    for number, x, y, w in blocks:
+    for _, number, *raw in blocks:
         if part is None:
             part, rng = number, np.random.default_rng((seed, number))
-        x = np.frombuffer(x).reshape(-1, weights[0][0].shape[0])
+        x, y, w = _arrays(*raw, weights[0][0].shape[0])
         masks = _masks(rng, len(x), weights, dropout) if dropout else None
-        s.add(loss_sums(x, np.frombuffer(y, np.int64), np.frombuffer(w), weights, True, masks))
+        s.add(loss_sums(x, y, w, weights, True, masks))
     if part is not None:
         yield part, s
 
@@ -162,6 +197,8 @@ def batch_sums(batch: Batch, weights: Weights, dropout: float = 0.0, seed: int =
             out.add(s)
         return out
     spark = batch.rows.sparkSession
+    if not batch.rows.is_cached:
+        batch.rows.persist()
     shapes = [m.shape for pair in weights for m in pair]
     shared = spark.sparkContext.broadcast(weights)
 
@@ -226,7 +263,8 @@ def staged_batches(df: DataFrame, features: str, label: str, weights: DataFrame,
     if not n:
         return [], 0
     count = max(1, round(n / batch_rows))
-    parts = max(1, -(-n * dim * 8 // STAGE_BYTES))
+    size = -(-n * dim * 8 // count)
+    tasks, parts = (max(1, -(-b // STAGE_BYTES)) for b in (n * dim * 8, size))
     by_class = F.broadcast(weights.select(F.col("label").alias("_lf_l"), F.col("weight_tempered").alias("_lf_w")))
     h = F.xxhash64(F.col(key), F.lit(seed))
     rows = (rows.join(by_class, F.col(label) == F.col("_lf_l"), "left")
@@ -234,11 +272,12 @@ def staged_batches(df: DataFrame, features: str, label: str, weights: DataFrame,
                     F.col(features).cast("array<double>").alias("x"), F.col(label).cast("bigint").alias("y"),
                     F.coalesce("_lf_w", F.lit(0.0)).alias("w"), F.shiftright(h, 32).alias("_lf_h")))
     path = scratch_path(spark, "batches")
-    dealt = rows.repartition(parts, F.pmod(F.col("_lf_h"), F.lit(parts))).sortWithinPartitions("batch", "_lf_k", "_lf_h")
+    # A batch of up to STAGE_BYTES is one file, whatever the number of batches.
+    dealt = rows.repartition(tasks, "batch", F.pmod(F.col("_lf_h"), F.lit(parts))) \
+        .sortWithinPartitions("batch", "_lf_k", "_lf_h")
     dealt.drop("_lf_h", "_lf_k").write.partitionBy("batch").parquet(path)
     staged = spark.read.schema("x array<double>, y bigint, w double, batch int").parquet(path)
-    each = [staged.where(F.col("batch") == b).persist() for b in range(count)]
-    return [Batch(rows, rows.rdd.getNumPartitions()) for rows in each], dim
+    return [Batch(staged.where(F.col("batch") == b), b, size) for b in range(count)], dim
 
 
 @dataclass
@@ -261,6 +300,10 @@ class Adam:
                  for m, s in zip(self.mean, self.square)]
         return [(w - moved[2 * i], c - moved[2 * i + 1]) for i, (w, c) in enumerate(weights)]
 
+    def stepped(self, weights: Weights, sums: Sums) -> Weights:
+        """A step along the mean gradient; none where no row has a weight."""
+        return self.step(weights, [g / sums.weight for g in sums.gradients]) if sums.weight > 0 else weights
+
 
 @dataclass
 class Plateau:
@@ -290,42 +333,92 @@ def _mean(parts: list[Sums]) -> tuple[float, float]:
     return loss, sum(s.right for s in parts) / rows if rows else 0.0
 
 
-def run_epoch(batches: list[Batch], weights: Weights, adam: Adam, order: np.ndarray, dropout: float = 0.0,
-              seed: int = 0) -> tuple[Weights, float, float]:
-    """One step for every batch; the loss and the accuracy are those seen on the way."""
-    seen = []
+def _chains(batches: list[Batch], order: Iterable[int], numbers: int) -> Iterator[list[int]]:
+    """The steps of ``order`` in runs that one task takes: their batches hold ``CHAIN_BYTES``
+    at most.  A batch of several partitions and a model above ``MAX_CHAINED`` numbers make
+    runs of one step."""
+    chain, held, size = [], set(), 0
     for b in order:
-        s = batch_sums(batches[b], weights, dropout, seed + adam.steps)
-        if s.weight > 0:
-            weights = adam.step(weights, [g / s.weight for g in s.gradients])
-        seen.append(s)
-    return weights, *_mean(seen)
+        alone = numbers > MAX_CHAINED or batches[b].parts > 1
+        if chain and (alone or b not in held and size + batches[b].size > CHAIN_BYTES):
+            yield chain
+            chain, held, size = [], set(), 0
+        if alone:
+            yield [b]
+            continue
+        chain.append(b)
+        if b not in held:
+            held.add(b)
+            size += batches[b].size
+    if chain:
+        yield chain
+
+
+def _take_steps(blocks: Iterable[tuple], order: list[int], weights: Weights, adam: Adam, dropout: float,
+                seed: int) -> Iterator[tuple[Weights, Adam, list[Sums]]]:
+    """Steps on the batches of the numbers ``order``, one after the other."""
+    held: dict[int, list[tuple]] = {}
+    for block in blocks:
+        held.setdefault(block[0], []).append(block)
+    seen = []
+    for number in order:
+        s = Sums()
+        for _, found in _block_sums(held.get(number, ()), weights, dropout, seed + adam.steps):
+            s.add(found)
+        weights = adam.stepped(weights, s)
+        seen.append(s.counts())
+    yield weights, adam, seen
+
+
+def run_epochs(batches: list[Batch], weights: Weights, adam: Adam, orders: Sequence[Iterable[int]],
+               dropout: float = 0.0, seed: int = 0) -> tuple[Weights, float, float]:
+    """One step for every batch in every order; the loss and the accuracy are those seen on
+    the way through the last one."""
+    sc = batches[0].rows.sparkSession.sparkContext
+    orders = [[int(b) for b in order] for order in orders]
+    seen: list[Sums] = []
+    for chain in _chains(batches, [b for order in orders for b in order], sum(m.size for pair in weights for m in pair)):
+        first = batches[chain[0]]
+        if len(chain) == 1:
+            s = batch_sums(first, weights, dropout, seed + adam.steps)
+            weights = adam.stepped(weights, s)
+            seen.append(s.counts())
+            continue
+        step = functools.partial(_take_steps, order=[batches[b].number for b in chain], weights=weights, adam=adam,
+                                 dropout=dropout, seed=seed)
+        rows = sc.union([batches[b].blocks() for b in dict.fromkeys(chain)]).coalesce(1)
+        # Without any row there is no task.
+        weights, moved, sums = (rows.mapPartitions(step).collect() or list(step([])))[0]
+        adam.steps, adam.mean, adam.square = moved.steps, moved.mean, moved.square
+        seen += sums
+    return weights, *_mean(seen[len(seen) - len(orders[-1]):])
+
+
+def run_epoch(batches: list[Batch], weights: Weights, adam: Adam, order: Iterable[int], dropout: float = 0.0,
+              seed: int = 0) -> tuple[Weights, float, float]:
+    return run_epochs(batches, weights, adam, [order], dropout, seed)
+
+
+def _block_losses(blocks: Iterable[tuple], weights: Weights) -> Iterator[tuple[int, int, Sums]]:
+    for batch, part, *raw in blocks:
+        yield batch, part, loss_sums(*_arrays(*raw, weights[0][0].shape[0]), weights, False)
 
 
 def evaluate_batches(batches: list[Batch], weights: Weights) -> tuple[float, float]:
     """Loss and accuracy of the batches under one model: one job, one row of sums
-    a batch."""
+    a block."""
     if not batches:
         return 0.0, 0.0
-    shared = batches[0].rows.sparkSession.sparkContext.broadcast(weights)
-    width = weights[0][0].shape[0]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
-            numbers = b["batch"].to_numpy()
-            x, y, w = _matrix(b["x"], width), b["y"].to_numpy(), b["w"].to_numpy()
-            for k in np.unique(numbers):
-                at = numbers == k
-                s = loss_sums(x[at], y[at], w[at], shared.value, False)
-                yield pa.RecordBatch.from_pylist([{"batch": int(k), "loss": s.loss, "weight": s.weight, "rows": s.rows,
-                                                   "right": s.right}])
-
-    every = functools.reduce(DataFrame.unionByName, [b.rows for b in batches])
-    found = (every.mapInArrow(run, "batch bigint, loss double, weight double, rows bigint, right bigint")
-             .groupBy("batch").agg(*[F.sum(c).alias(c) for c in ("loss", "weight", "rows", "right")]))
-    out = _mean([Sums(r.loss, r.weight, r.rows, r.right) for r in sorted(found.collect(), key=lambda r: r.batch)])
+    sc = batches[0].rows.sparkSession.sparkContext
+    shared = sc.broadcast(weights)
+    tasks = max(sc.defaultParallelism, sum(b.size for b in batches) // STAGE_BYTES)
+    every = sc.union([b.blocks() for b in batches]).coalesce(tasks)
+    found = every.mapPartitions(lambda blocks: _block_losses(blocks, shared.value)).collect()
+    sums: dict[int, Sums] = {}
+    for batch, _, s in sorted(found, key=lambda f: f[:2]):
+        sums.setdefault(batch, Sums()).add(s)
     shared.unpersist()
-    return out
+    return _mean(list(sums.values()))
 
 
 def train_network(train: DataFrame, val: DataFrame, features: str, label: str, weights: DataFrame, num_classes: int,
@@ -343,12 +436,13 @@ def train_network(train: DataFrame, val: DataFrame, features: str, label: str, w
         if not tr:
             return [], rows
         model = initial_weights([dim, *hidden, num_classes], seed)
+        keep_blocks(tr)
         adam, plateau = Adam(learning_rate), plateau or Plateau()
         rng = np.random.default_rng(seed)
         best, best_loss, since = model, float("inf"), 0
         for number in range(max_rounds):
-            for _ in range(epochs_per_round):
-                model, loss, acc = run_epoch(tr, model, adam, rng.permutation(len(tr)), dropout, seed)
+            orders = [rng.permutation(len(tr)) for _ in range(epochs_per_round)]
+            model, loss, acc = run_epochs(tr, model, adam, orders, dropout, seed)
             val_loss, val_acc = evaluate_batches(va, model)
             adam.rate = plateau.rate(adam.rate, val_loss)
             improved = val_loss < best_loss
